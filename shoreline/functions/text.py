@@ -115,3 +115,19 @@ def relative_to(path: Column, base: str | None) -> Column:
     if not base or base == ".":
         return F.regexp_replace(path, r"^\./", "")
     return F.regexp_replace(path, "^" + re.escape(base.rstrip("/")) + "/", "")
+
+
+_SPACE = " \t\n\r\x0b\x0c"
+
+
+def strip(c: Column) -> Column:
+    """Without white space at both ends (Spark's ``trim`` alone removes blanks only)."""
+    return F.trim(c, F.lit(_SPACE))
+
+
+def strip_left(c: Column, chars: str = _SPACE) -> Column:
+    return F.ltrim(c, F.lit(chars))
+
+
+def strip_right(c: Column, chars: str = _SPACE) -> Column:
+    return F.rtrim(c, F.lit(chars))

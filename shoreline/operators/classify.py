@@ -13,6 +13,7 @@ from shoreline.functions.text import (
     longest_prefix,
     lookup,
     lookup_spelling,
+    strip,
 )
 from shoreline.rules import files, snippets
 
@@ -26,7 +27,7 @@ def with_classification(
     row instead of once per rule that mentions it.
     """
     staged = df.withColumns({
-        "_name": F.trim(name),
+        "_name": strip(name),
         "_prim": Q.normalize_primitive(primitive),
         "_size": F.coalesce(key_size, F.lit(0)),
     }).withColumn("_base", Q.base_name(F.col("_name")))
@@ -85,7 +86,7 @@ def classify_findings(df: DataFrame) -> DataFrame:
 
 def migration_target(df: DataFrame) -> DataFrame:
     """Target of each (name, key_size): family first, then the size tier."""
-    staged = df.withColumn("base", Q.base_name(F.trim(F.col("name"))))
+    staged = df.withColumn("base", Q.base_name(strip(F.col("name"))))
     t = Q.migration_target_for_size(F.col("base"), F.coalesce(F.col("key_size"), F.lit(0)))
     return staged.withColumns({
         "target_algorithm": t["algorithm"], "target_standard": t["standard"],

@@ -29,10 +29,10 @@ HASH_DIGITS = [512, 384, 256, 224, 160, 128]
 
 # Labels of the risk classes in the algorithm table.
 RISK_LABELS = {
-    "quantum-vulnerable": "Quantum Vulnerable",
-    "quantum-weakened": "Quantum Weakened",
-    "quantum-safe": "Quantum Safe",
-    "quantum-resistant": "Quantum Resistant",
+    "quantum-vulnerable": "Vulnerable",
+    "quantum-weakened": "Weakened",
+    "quantum-safe": "Safe",
+    "quantum-resistant": "Resistant",
     "deprecated": "Deprecated",
 }
 # --- end of fixed values ----------------------------------------------------

@@ -54,13 +54,15 @@ def algorithm(name, primitive=None, key_size=None, mode=None, curve=None) -> Col
     )
 
 
-def finding_key(df: DataFrame | None = None) -> Column:
+def finding_key(within: str | None = None) -> Column:
     """Duplicate key: place plus algorithm name, or library and version.
 
     Column, key size, mode and curve are left out on purpose, since feeds
-    disagree about them.
+    disagree about them.  ``within`` names a struct column holding the finding.
     """
-    col = F.col if df is None else df.__getitem__
+    def col(name):
+        return F.col(name if within is None else f"{within}.{name}")
+
     inner = F.nullif(col("inner_path"), F.lit(""))
     place = F.when(inner.isNotNull(), F.concat(col("file"), F.lit("!"), inner)).otherwise(
         F.coalesce(col("file"), F.lit(""))
