@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from shoreline.functions.text import lookup, strip
 from shoreline.operators.records import first_per_key
 from shoreline.rules import binaries as rules
+from shoreline.tables import literal_table
 
 
 def normalize_symbol(c: Column) -> Column:
@@ -14,15 +15,16 @@ def normalize_symbol(c: Column) -> Column:
 
 def symbols_kb(spark) -> DataFrame:
     """97 fixed rows."""
-    return spark.createDataFrame(
-        rules.symbols(), "symbol string, library string, algorithm string, primitive string"
+    return literal_table(
+        spark, rules.symbols(),
+        "symbol string, library string, algorithm string, primitive string",
     )
 
 
 def modules_kb(spark) -> DataFrame:
     """30 fixed rows."""
-    return spark.createDataFrame(
-        rules.GO_MODULES, "module string, algorithm string, primitive string"
+    return literal_table(
+        spark, rules.GO_MODULES, "module string, algorithm string, primitive string"
     )
 
 

@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoreline.functions.text import lookup
+
 KEY = ["engine", "path"]
 
 
@@ -14,22 +16,20 @@ def content_hash(df: DataFrame) -> DataFrame:
 
 
 def incremental_split(
-    files: DataFrame, cache: DataFrame, engine_versions: DataFrame
+    files: DataFrame, cache: DataFrame, engine_versions: dict
 ) -> tuple[DataFrame, DataFrame]:
-    """``(changed, cached)`` for files ``(path, content_hash)`` and feeds ``(engine, engine_version)``.
+    """``(changed, cached)`` for files ``(path, content_hash)`` and feeds ``{engine: version}``.
 
     A cached entry is reused if feed version and content are the same; every other
-    pair of feed and file is to be scanned.
+    pair of feed and file is to be scanned.  The feeds are a literal in each row,
+    so pairing them with the files needs no join.
     """
-    fresh = cache.join(engine_versions, ["engine", "engine_version"], "left_semi")
-    reused = fresh.join(files, ["path", "content_hash"], "left_semi")
-    done = reused.select("engine", "path").distinct()
-    # every feed looks at every file: a list of feeds inside each row, no cross join
-    names = engine_versions.select("engine").distinct().limit(1001).collect()
-    if len(names) > 1000:
-        raise ValueError("more than 1000 feeds")
-    feeds = F.array(*[F.lit(r[0]) for r in names])
-    changed = files.withColumn("engine", F.explode(feeds)).join(done, KEY, "left_anti")
+    current = lookup(F.col("engine"), engine_versions) == F.col("engine_version")
+    reused = cache.where(current).join(files, ["path", "content_hash"], "left_semi")
+    done = reused.select(*KEY).distinct()
+    feeds = F.array(*[F.lit(e) for e in engine_versions])
+    pairs = files.withColumn("engine", F.explode(feeds))
+    changed = pairs.join(done, KEY, "left_anti")
     return changed.select("engine", "path", "content_hash"), reused
 
 

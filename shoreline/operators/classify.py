@@ -16,6 +16,8 @@ from shoreline.functions.text import (
     strip,
 )
 from shoreline.rules import files, snippets
+from shoreline.schema import column
+from shoreline.tables import literal_table
 
 
 def with_classification(
@@ -64,16 +66,14 @@ def classify_findings(df: DataFrame) -> DataFrame:
     out = with_classification(
         df, F.col("algorithm.name"), F.col("algorithm.primitive"), F.col("algorithm.key_size"), "_c"
     )
-    library_only = F.col("algorithm").isNull() & F.col("dependency").isNotNull()
+    library_only = F.col("algorithm").isNull() & column(df, "dependency").isNotNull()
     is_config = F.col("source_engine").isin("config-scanner", "tls-probe")
-    old = {c: F.col(c) if c in df.columns else F.lit(None).cast("string")
-           for c in ("quantum_risk", "severity")}
     return out.select(
         *keep,
         F.when(F.col("_c").isNotNull(), F.col("_c.risk"))
-        .when(library_only, "unknown").otherwise(old["quantum_risk"]).alias("quantum_risk"),
+        .when(library_only, "unknown").otherwise(column(df, "quantum_risk")).alias("quantum_risk"),
         F.when(F.col("_c").isNotNull(), F.col("_c.severity"))
-        .when(library_only, "info").otherwise(old["severity"]).alias("severity"),
+        .when(library_only, "info").otherwise(column(df, "severity")).alias("severity"),
         F.col("_c.hndl").alias("hndl_risk"),
         F.col("_c.advice").alias("recommendation"),
         F.col("_c.target").alias("target_algorithm"),
@@ -162,10 +162,10 @@ def migration_snippet(df: DataFrame, templates_dim: DataFrame | None = None) ->
         language == "cpp", "c"
     ).when(language == "typescript", "javascript").otherwise(language)
 
-    spark = df.sparkSession
     if templates_dim is None:
-        templates_dim = F.broadcast(spark.createDataFrame(
-            snippets.TEMPLATES, "language string, use string, before string, after string"
+        templates_dim = F.broadcast(literal_table(
+            df.sparkSession, snippets.TEMPLATES,
+            "language string, use string, before string, after string",
         ))
     dim = templates_dim.select(
         F.col("language").alias("_t"), F.col("use").alias("_u"),

@@ -14,6 +14,7 @@ from shoreline.functions.text import (
     starts_with_any,
 )
 from shoreline.rules import files
+from shoreline.tables import literal_table
 
 
 def _exclude_regex(glob: str) -> str | None:
@@ -61,8 +62,8 @@ def filter_changed_files(df: DataFrame, changed: DataFrame, base: str | None = N
 
 def engines_dim(spark) -> DataFrame:
     """The feeds: ``(engine, tier, engine_rank)``."""
-    return spark.createDataFrame(
-        [(name, tier, i) for i, (name, tier) in enumerate(files.FEEDS)],
+    return literal_table(
+        spark, [(name, tier, i) for i, (name, tier) in enumerate(files.FEEDS)],
         "engine string, tier int, engine_rank int",
     )
 

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 from shoreline import schema
 from shoreline.functions.text import blank_to_null, longest_prefix, lookup, strip
 from shoreline.rules import quantum, registry
+from shoreline.tables import literal_table
 
 
 def patterns_dim(spark) -> DataFrame:
     """Literal names of the registry: 259 fixed rows, so broadcasting is safe."""
-    return spark.createDataFrame(
-        [(n.upper(), n, p) for n, _, p in registry.patterns()],
+    return literal_table(
+        spark, [(n.upper(), n, p) for n, _, p in registry.patterns()],
         "pattern string, canonical string, primitive string",
     )
 

@@ -33,10 +33,10 @@ def scan_summary(df: DataFrame, by=()) -> DataFrame:
     )
 
 
-def _points(multiplier: Column | None = None, years: int | None = None):
+def _points(df: DataFrame, multiplier: Column | None = None, years: int | None = None):
     """Sum of penalties and of bonuses."""
     cost = S.penalty(F.col("quantum_risk"), F.col("severity"))
-    agreed = F.coalesce(F.size("corroborated_by"), F.lit(0)) > 0
+    agreed = F.coalesce(F.size(schema.column(df, "corroborated_by")), F.lit(0)) > 0
     cost = cost * F.when(agreed, F.lit("1.5")).otherwise(F.lit("1.0")).cast("decimal(4,2)")
     if multiplier is not None:
         cost = cost * multiplier
@@ -64,7 +64,7 @@ def qrs(df: DataFrame, by=()) -> DataFrame:
 
 def qrs_lifetime(df: DataFrame, years: int, by=()) -> DataFrame:
     """Readiness score with penalties scaled by how long data must live."""
-    sums = df.groupBy(*by).agg(*_points(years=years))
+    sums = df.groupBy(*by).agg(*_points(df, years=years))
     return _graded(
         sums.withColumn("score", _rounded(100 - F.col("_cost") + F.col("_bonus"))), by
     )
@@ -111,7 +111,7 @@ def _round_half_up(score: Column) -> Column:
 
 def qrs_impact(df: DataFrame, zones: DataFrame, by=()) -> DataFrame:
     """Readiness score with protocol multipliers and the blast radius of all zones."""
-    sums = _with_protocols(df, zones).groupBy(*by).agg(*_points(F.col("_mult")))
+    sums = _with_protocols(df, zones).groupBy(*by).agg(*_points(df, F.col("_mult")))
     joined = _with_blast(sums, zones, by)
     score = S.clamp(100 - F.col("_cost") + F.col("_bonus"), 0, 100)
     return _graded(joined.withColumn("score", _round_half_up(_shrunk(score))), by)
@@ -119,7 +119,7 @@ def qrs_impact(df: DataFrame, zones: DataFrame, by=()) -> DataFrame:
 
 def qrs_full(df: DataFrame, zones: DataFrame, years: int, by=()) -> DataFrame:
     """As :func:`qrs_impact`, with lifetime, clamping before the bonus and rounding twice."""
-    sums = _with_protocols(df, zones).groupBy(*by).agg(*_points(F.col("_mult"), years))
+    sums = _with_protocols(df, zones).groupBy(*by).agg(*_points(df, F.col("_mult"), years))
     joined = _with_blast(sums, zones, by)
     first = _rounded(F.greatest(100 - F.col("_cost"), F.lit(0)) + F.col("_bonus"))
     return _graded(joined.withColumn("score", _round_half_up(_shrunk(first))), by)

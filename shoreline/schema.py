@@ -42,6 +42,13 @@ def conform(df: DataFrame, derived: bool = False) -> DataFrame:
     ])
 
 
+def column(df: DataFrame, name: str) -> Column:
+    """A findings column, NULL of its type where the DataFrame does not have it."""
+    if name in df.columns:
+        return F.col(name)
+    return F.lit(None).cast({**FINDING, **DERIVED}[name])
+
+
 def algorithm(name, primitive=None, key_size=None, mode=None, curve=None) -> Column:
     """The algorithm struct; zero sizes and blank texts become NULL."""
     def text(c):

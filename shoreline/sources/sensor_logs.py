@@ -21,79 +21,92 @@ X509_FIELDS = [
 ]
 
 
-def _first_word(prefix):
-    """Argument of a directive line such as ``#unset_field -``."""
-    return F.when(
-        F.col("line").startswith(prefix) & (F.size(_words()) == 2), _words()[1]
-    )
-
+def _layouts(lines: DataFrame, names: list) -> DataFrame:
+    """Per file, the layouts its directives set up, each with the place it starts at.
 
-def _words():
-    return F.split(strip(F.col("line")), r"\s+")
-
-
-def _headers(lines: DataFrame) -> DataFrame:
-    """Directive values per file, each with the place it takes effect."""
-    separator = _first_word("#separator")
+    A layout holds the separator, the texts for absent values and the position of
+    each named column.  Directives are a few lines per file, so this is small
+    however large the file is.
+    """
+    separator = _argument("#separator")
     directives = lines.where(F.col("line").startswith("#")).select(
         "src_file",
         F.struct(
             place().alias("at"),
             F.when(separator.isin("\\x09", "\\t"), F.lit("\t"))
             .when(F.length(separator) == 1, separator).alias("separator"),
-            _first_word("#unset_field").alias("unset"),
-            _first_word("#empty_field").alias("empty"),
+            _argument("#unset_field").alias("unset"),
+            _argument("#empty_field").alias("empty"),
             F.when(
                 F.col("line").startswith("#fields") & F.col("line").contains("\t"),
                 F.split(F.col("line"), "\t"),
             ).alias("fields"),
         ).alias("d"),
     )
-    used = directives.where(
+    known = directives.where(
         F.coalesce(
             F.col("d.separator"), F.col("d.unset"), F.col("d.empty"),
             F.when(F.col("d.fields").isNotNull(), "f"),
         ).isNotNull()
     )
-    return used.groupBy("src_file").agg(F.array_sort(F.collect_list("d")).alias("directives"))
+    per_file = known.groupBy("src_file").agg(F.array_sort(F.collect_list("d")).alias("_d"))
+
+    def latest(field, upto):
+        values = F.transform(F.slice("_d", F.lit(1), upto), lambda d: d[field])
+        return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
+
+    def position(fields, name):
+        # "#fields" itself is the first entry, so names are one place late; of two
+        # columns with the same name the last one counts
+        back = F.array_position(F.reverse(fields), F.lit(name))
+        return F.when(back > 0, (F.size(fields) - back).cast("int"))
+
+    raw = F.transform("_d", lambda d, i: F.struct(
+        d["at"].alias("at"),
+        F.coalesce(latest("separator", i + 1), F.lit("\t")).alias("separator"),
+        F.coalesce(latest("unset", i + 1), F.lit("-")).alias("unset"),
+        F.coalesce(latest("empty", i + 1), F.lit("(empty)")).alias("empty"),
+        latest("fields", i + 1).alias("fields"),
+    ))
+    placed = F.transform(
+        F.filter(raw, lambda x: x["fields"].isNotNull()),
+        lambda x: F.struct(
+            x["at"].alias("at"),
+            F.concat(F.lit("\\Q"), x["separator"], F.lit("\\E")).alias("separator"),
+            x["unset"].alias("unset"), x["empty"].alias("empty"),
+            F.array(*[position(x["fields"], n) for n in names]).alias("at_column"),
+        ),
+    )
+    return per_file.select("src_file", placed.alias("layouts"))
+
+
+def _argument(directive):
+    """Argument of a directive line such as ``#unset_field -``."""
+    words = F.split(strip(F.col("line")), r"\s+")
+    return F.when(F.col("line").startswith(directive) & (F.size(words) == 2), words[1])
 
 
 def _tsv_columns(lines: DataFrame, names: list) -> DataFrame:
     """Rows of a tab-separated log with the named columns, absent as NULL.
 
     Each row uses the directives above it, so a header that changes inside a
-    file is honoured.  Directives are a few lines per file; the join carries
-    them to the data rows by file.
+    file is honoured.  The join carries the layouts to the rows by file.
     """
     data = lines.where((F.col("line") != "") & ~F.col("line").startswith("#"))
-    joined = data.join(_headers(lines), "src_file")
-    above = F.filter("directives", lambda d: d["at"] < place())
-
-    def latest(field):
-        found = F.filter(F.transform(above, lambda d: d[field]), lambda v: v.isNotNull())
-        return F.try_element_at(found, F.lit(-1))
-
-    staged = joined.withColumns({
-        "_fields": latest("fields"),
-        "_sep": F.coalesce(latest("separator"), F.lit("\t")),
-        "_unset": F.coalesce(latest("unset"), F.lit("-")),
-        "_empty": F.coalesce(latest("empty"), F.lit("(empty)")),
-    }).where(F.col("_fields").isNotNull())
-    staged = staged.withColumn(
-        "_cells", F.split(F.col("line"), F.concat(F.lit("\\Q"), F.col("_sep"), F.lit("\\E")))
-    )
-
-    def cell(name):
-        # the header line starts with "#fields", so its names are one place late;
-        # of two columns with the same name the last one counts
-        back = F.array_position(F.reverse(F.col("_fields")), F.lit(name))
-        position = (F.size("_fields") - back).cast("int")
-        value = F.when(back > 0, F.try_element_at(F.col("_cells"), position))
+    joined = data.join(_layouts(lines, names), "src_file")
+    above = F.filter("layouts", lambda x: x["at"] < place())
+    laid_out = joined.withColumn("_x", F.when(
+        F.size("layouts") == 1, F.when(F.col("layouts")[0]["at"] < place(), F.col("layouts")[0])
+    ).otherwise(F.try_element_at(above, F.lit(-1)))).where(F.col("_x").isNotNull())
+    cells = laid_out.withColumn("_cells", F.split(F.col("line"), F.col("_x.separator")))
+
+    def cell(i):
+        value = F.get(F.col("_cells"), F.get(F.col("_x.at_column"), F.lit(i)) - 1)
         return F.when(
-            (value != F.col("_unset")) & (value != F.col("_empty")), blank_to_null(value)
+            (value != F.col("_x.unset")) & (value != F.col("_x.empty")), blank_to_null(value)
         )
 
-    return staged.select("src_file", *PLACE, *[cell(n).alias(n) for n in names])
+    return cells.select("src_file", *PLACE, *[cell(i).alias(n) for i, n in enumerate(names)])
 
 
 def _json_columns(lines: DataFrame, names: list) -> DataFrame:
