@@ -1,9 +1,9 @@
 """Quantum-risk classification as Column expressions.
 
-Everything here is a projection.  Rule tables become literal maps and one
-longest-first regex each, so classifying a row costs a handful of string scans
-and never moves data: there is no distinct, join or shuffle to be skewed by a
-name that a third of all rows carry.
+What a name alone decides (family, sizes spelled in it, targets) is one struct,
+:func:`name_facts`; :func:`outcome` adds primitive and key size.  The struct is
+costly string work, so :mod:`shoreline.operators.known` looks it up for names it
+knows and works it out for the others.
 """
 
 from pyspark.sql import Column
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shoreline.functions.text import (
     blank_to_null,
+    let,
     longest_prefix,
     lookup,
     lookup_spelling,
@@ -24,8 +25,6 @@ CLASSIFICATION_TYPE = (
     "target:string,standard:string>"
 )
 
-_TARGET_TYPE = "struct<algorithm:string,standard:string>"
-
 
 def _by_upper(names):
     return {n.upper(): n for n in names}
@@ -141,128 +140,146 @@ def migration_target_for_size(base: Column, size: Column) -> Column:
     return out.otherwise(migration_target(base))
 
 
-def _result(risk, severity, hndl=None, code=None, target=None):
-    code = code if isinstance(code, Column) else F.lit(code).cast("string")
-    target = F.lit(None).cast(_TARGET_TYPE) if target is None else target
+# Outcomes of classification: risk, severity, HNDL risk, advice, fixed target.
+# A target in capitals names the rule that picks it.
+OUTCOMES = {
+    "deprecated": ("deprecated", "critical", None, "retired", "SIZED"),
+    "tls12": ("quantum-vulnerable", "medium", "immediate", "tls12-no-pqc", "TLS 1.3"),
+    "tls13": ("quantum-resistant", "info", None, "tls13-check-group", None),
+    "hqc": ("quantum-safe", "info", None, "hqc-draft", None),
+    "falcon": ("quantum-safe", "info", None, "falcon-draft", None),
+    "safe": ("quantum-safe", "info", None, None, None),
+    "eliminated": ("quantum-vulnerable", "medium", None, "eliminated", "PLAIN"),
+    "exchange": ("quantum-vulnerable", "critical", "immediate", "key-exchange", "EXCHANGE"),
+    "signature": ("quantum-vulnerable", "high", "deferred", "signature", "SIZED"),
+    "asymmetric": ("quantum-vulnerable", "high", "immediate", "asymmetric", "SIZED"),
+    "new-signature": ("quantum-vulnerable", "high", "deferred", "unknown-signature", "PLAIN"),
+    "new-exchange": (
+        "quantum-vulnerable", "critical", "immediate", "unknown-key-exchange", "PLAIN"),
+    "rng": ("quantum-resistant", "info", None, "csprng", None),
+    "seed-ecb": ("deprecated", "critical", None, "seed-ecb", None),
+    "seed": ("quantum-weakened", "low", None, "seed-128", None),
+    "lsh-short": ("quantum-weakened", "low", None, "lsh-short", None),
+    "lsh-256": ("quantum-weakened", "low", None, "lsh-256", None),
+    "hash-short": ("quantum-weakened", "low", None, "hash-short", "SHA-256"),
+    "key-tiny": ("quantum-weakened", "medium", None, "key-too-small", "AES-256"),
+    "key-128": ("quantum-weakened", "low", None, "key-128", "AES-256"),
+    "key-unknown": ("unknown", "low", None, "key-size-unknown", None),
+    "resistant": ("quantum-resistant", "info", None, None, None),
+    "unknown": ("unknown", "low", None, None, None),
+}
+_NUMBER = {name: i for i, name in enumerate(OUTCOMES)}
+
+
+def _outcome(name: str) -> Column:
+    return F.lit(_NUMBER[name])
+
+
+def name_facts(name: Column) -> Column:
+    """Everything classification needs to know about a trimmed name."""
+    return let(base_name(name), lambda base: _facts(name, base))
+
+
+def _facts(name: Column, base: Column) -> Column:
+    upper, base_up = F.upper(name), F.upper(base)
+    kind = (
+        F.when(base.isin(rules.DEPRECATED) | name.isin(rules.DEPRECATED), "deprecated")
+        .when(base == "TLSv1.2", "tls12").when(base == "TLSv1.3", "tls13")
+        .when(base == "HQC", "hqc").when(base == "Falcon", "falcon")
+        .when(base.isin(rules.PQC_SAFE), "safe")
+        .when(base.isin(rules.ELIMINATED), "eliminated")
+        .when(base.isin(rules.VULNERABLE), "vulnerable")
+        .otherwise("other")
+    )
+    tiers = {n: (at, alg, std) for names, at, alg, std in rules.SIZE_TIERS for n in names}
+    zero = F.lit(0)
     return F.struct(
-        F.lit(risk).alias("risk"),
-        F.lit(severity).alias("severity"),
-        F.lit(hndl).cast("string").alias("hndl"),
-        code.alias("advice"),
-        target["algorithm"].alias("target"),
-        target["standard"].alias("standard"),
+        base.alias("base"),
+        kind.alias("kind"),
+        lookup_spelling(base_up, advice.DEPRECATED_ADVICE).alias("code"),
+        migration_target(base)["algorithm"].alias("target_algorithm"),
+        migration_target(base)["standard"].alias("target_standard"),
+        lookup(base_up, {n: t[0] for n, t in tiers.items()}).alias("large_from"),
+        lookup(base_up, {n: t[1] for n, t in tiers.items()}).alias("large_algorithm"),
+        lookup(base_up, {n: t[2] for n, t in tiers.items()}).alias("large_standard"),
+        (is_likely_symmetric(base_up) | is_likely_symmetric(upper)).alias("looks_symmetric"),
+        (is_likely_hash(base_up) | is_likely_hash(upper)).alias("looks_hash"),
+        hash_output_size(base, upper, zero).alias("digest_bits"),
+        symmetric_key_size(upper).alias("key_bits"),
+        base_up.startswith("LSH").alias("is_lsh"),
+        (base_up == "SEED").alias("is_seed"),
+        upper.contains("ECB").alias("is_ecb"),
+        base_up.isin(rules.RESISTANT_HASHES).alias("is_resistant"),
     )
 
 
-def classify_symmetric(base: Column, upper: Column, size: Column, is_hash: Column) -> Column:
-    """Risk of a cipher by key size, or of a digest by output size."""
-    base_up = F.upper(base)
-    digest = hash_output_size(base, upper, size)
-    key = F.when(size > 0, size).otherwise(symmetric_key_size(upper))
-    is_lsh = base_up.startswith("LSH")
-    resistant = _result("quantum-resistant", "info")
+def symmetric_outcome(facts: Column, size: Column, is_hash: Column) -> Column:
+    """Outcome of a cipher by key size, or of a digest by output size."""
+    digest = F.when(size > 0, size).otherwise(facts["digest_bits"])
+    key = F.when(size > 0, size).otherwise(facts["key_bits"])
+    weak_digest = digest.between(1, 255)
+    lsh, seed = facts["is_lsh"], facts["is_seed"]
     return (
-        F.when(
-            (base_up == "SEED") & upper.contains("ECB"),
-            _result("deprecated", "critical", code="seed-ecb"),
-        )
-        .when(base_up == "SEED", _result("quantum-weakened", "low", code="seed-128"))
-        .when(is_lsh & (digest >= 512), resistant)
-        .when(
-            is_lsh & (digest > 0) & (digest < 256),
-            _result("quantum-weakened", "low", code="lsh-short"),
-        )
-        .when(is_lsh & (digest == 256), _result("quantum-weakened", "low", code="lsh-256"))
-        .when(
-            is_hash & (digest > 0) & (digest < 256),
-            _result("quantum-weakened", "low", code="hash-short", target=_target("SHA-256")),
-        )
-        .when(is_hash & (base_up.isin(rules.RESISTANT_HASHES) | (digest >= 256)), resistant)
-        .when(is_hash, _result("unknown", "low"))
-        .when(
-            (key > 0) & (key < 128),
-            _result("quantum-weakened", "medium", code="key-too-small", target=_target("AES-256")),
-        )
-        .when(
-            (key > 0) & (key < 256),
-            _result("quantum-weakened", "low", code="key-128", target=_target("AES-256")),
-        )
-        .when(key > 0, resistant)
-        .otherwise(_result("unknown", "low", code="key-size-unknown"))
+        F.when(seed & facts["is_ecb"], _outcome("seed-ecb"))
+        .when(seed, _outcome("seed"))
+        .when(lsh & (digest >= 512), _outcome("resistant"))
+        .when(lsh & weak_digest, _outcome("lsh-short"))
+        .when(lsh & (digest == 256), _outcome("lsh-256"))
+        .when(is_hash & weak_digest, _outcome("hash-short"))
+        .when(is_hash & (facts["is_resistant"] | (digest >= 256)), _outcome("resistant"))
+        .when(is_hash, _outcome("unknown"))
+        .when(key <= 0, _outcome("key-unknown"))
+        .when(key < 128, _outcome("key-tiny"))
+        .when(key < 256, _outcome("key-128"))
+        .otherwise(_outcome("resistant"))
     )
 
 
-def classify(name: Column, base: Column, primitive: Column, size: Column) -> Column:
-    """Classification struct of one algorithm.
-
-    ``name`` is trimmed, ``base`` is :func:`base_name` of it, ``primitive`` is
-    normalised and ``size`` is not NULL.  See
-    :func:`shoreline.operators.classify.with_classification`, which prepares them.
-    """
-    upper = F.upper(name)
-    base_up = F.upper(base)
+def outcome(facts: Column, primitive: Column, size: Column) -> Column:
+    """Place in :data:`OUTCOMES` from name facts, normalised primitive and size (0 unknown)."""
+    kind = facts["kind"]
     exchange = primitive.isin("pke", "key-agree", "kem")
-    looks_symmetric = is_likely_symmetric(base_up) | is_likely_symmetric(upper)
-    looks_hash = is_likely_hash(base_up) | is_likely_hash(upper)
-    by_name = ~primitive.isin(
-        "signature", "rng", "hash", "xof", "mac", "kdf", "symmetric", "ae"
-    )
-    as_hash = primitive.isin("hash", "xof", "mac", "kdf") | (
-        by_name & ~looks_symmetric & looks_hash
+    digest_primitive = primitive.isin("hash", "xof", "mac", "kdf")
+    cipher_primitive = primitive.isin("symmetric", "ae")
+    looks = facts["looks_symmetric"] | facts["looks_hash"]
+    is_hash = digest_primitive | (
+        ~cipher_primitive & ~facts["looks_symmetric"] & facts["looks_hash"]
     )
-    as_cipher = primitive.isin("symmetric", "ae") | (by_name & looks_symmetric)
-
-    sized = migration_target_for_size(base, size)
-    plain = migration_target(base)
-    exchange_target = F.when(
-        sized["standard"] == "FIPS 204", _target("ML-KEM-768", "FIPS 203")
-    ).otherwise(sized)
-    deprecated_code = F.coalesce(
-        lookup_spelling(base_up, advice.DEPRECATED_ADVICE), F.lit("retired")
-    )
-    vulnerable = base.isin(rules.VULNERABLE)
+    vulnerable = kind == "vulnerable"
+    out = F.when(vulnerable & exchange, _outcome("exchange")).when(
+        vulnerable & (primitive == "signature"), _outcome("signature")
+    ).when(vulnerable, _outcome("asymmetric"))
+    for same in ("deprecated", "safe", "tls12", "tls13", "hqc", "falcon", "eliminated"):
+        out = out.when(kind == same, _outcome(same))
     return (
-        F.when(
-            base.isin(rules.DEPRECATED) | name.isin(rules.DEPRECATED),
-            _result("deprecated", "critical", code=deprecated_code, target=sized),
-        )
+        out.when(primitive == "signature", _outcome("new-signature"))
+        .when(primitive == "rng", _outcome("rng"))
         .when(
-            base == "TLSv1.2",
-            _result("quantum-vulnerable", "medium", "immediate", "tls12-no-pqc",
-                    _target("TLS 1.3")),
+            digest_primitive | cipher_primitive | looks, symmetric_outcome(facts, size, is_hash)
         )
-        .when(base == "TLSv1.3", _result("quantum-resistant", "info", code="tls13-check-group"))
-        .when(base == "HQC", _result("quantum-safe", "info", code="hqc-draft"))
-        .when(base == "Falcon", _result("quantum-safe", "info", code="falcon-draft"))
-        .when(base.isin(rules.PQC_SAFE), _result("quantum-safe", "info"))
-        .when(
-            base.isin(rules.ELIMINATED),
-            _result("quantum-vulnerable", "medium", code="eliminated", target=plain),
-        )
-        .when(
-            vulnerable & exchange,
-            _result("quantum-vulnerable", "critical", "immediate", "key-exchange",
-                    exchange_target),
-        )
-        .when(
-            vulnerable & (primitive == "signature"),
-            _result("quantum-vulnerable", "high", "deferred", "signature", sized),
-        )
-        .when(vulnerable, _result("quantum-vulnerable", "high", "immediate", "asymmetric", sized))
-        .when(
-            primitive == "signature",
-            _result("quantum-vulnerable", "high", "deferred", "unknown-signature", plain),
-        )
-        .when(
-            as_hash | as_cipher,
-            classify_symmetric(base, upper, size, as_hash & ~as_cipher),
-        )
-        .when(
-            exchange,
-            _result("quantum-vulnerable", "critical", "immediate", "unknown-key-exchange", plain),
-        )
-        .when(primitive == "rng", _result("quantum-resistant", "info", code="csprng"))
-        .otherwise(_result("unknown", "low"))
+        .when(exchange, _outcome("new-exchange"))
+        .otherwise(_outcome("unknown"))
+    )
+
+
+def classification(number: Column, facts: Column, size: Column) -> Column:
+    """The classification struct of an outcome."""
+    def field(i):
+        return F.get(F.array(*[F.lit(o[i]).cast("string") for o in OUTCOMES.values()]), number)
+
+    target = field(4)
+    rule = target.isin("SIZED", "PLAIN", "EXCHANGE")
+    large = rule & (target != "PLAIN") & (size >= facts["large_from"])
+    algorithm = F.when(large, facts["large_algorithm"]).otherwise(facts["target_algorithm"])
+    standard = F.when(large, facts["large_standard"]).otherwise(facts["target_standard"])
+    # a signature scheme used to exchange keys goes to ML-KEM
+    to_kem = (target == "EXCHANGE") & (standard == "FIPS 204")
+    return F.struct(
+        field(0).alias("risk"), field(1).alias("severity"), field(2).alias("hndl"),
+        F.when(number == _outcome("deprecated"), F.coalesce(facts["code"], field(3)))
+        .otherwise(field(3)).alias("advice"),
+        F.when(to_kem, "ML-KEM-768").when(rule, algorithm).otherwise(target).alias("target"),
+        F.when(to_kem, "FIPS 203").when(rule, standard).alias("standard"),
     )
 
 

@@ -10,6 +10,11 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lookup(c: Column, table: dict) -> Column:
     """Value of ``c`` in a fixed table, NULL when it is not there.
 

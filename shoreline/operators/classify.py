@@ -15,6 +15,7 @@ from shoreline.functions.text import (
     lookup_spelling,
     strip,
 )
+from shoreline.operators import known
 from shoreline.rules import files, snippets
 from shoreline.schema import column
 from shoreline.tables import literal_table
@@ -25,17 +26,19 @@ def with_classification(
 ) -> DataFrame:
     """Add ``out`` (:data:`Q.CLASSIFICATION_TYPE`); NULL where ``name`` is NULL.
 
-    The steps are separate projections so that the family is worked out once per
-    row instead of once per rule that mentions it.
+    Works on batches and streams alike: rows stay where they are.
     """
-    staged = df.withColumns({
-        "_name": strip(name),
+    staged = known.with_facts(df, strip(name), Q.name_facts, "_facts").withColumns({
         "_prim": Q.normalize_primitive(primitive),
         "_size": F.coalesce(key_size, F.lit(0)),
-    }).withColumn("_base", Q.base_name(F.col("_name")))
-    result = Q.classify(F.col("_name"), F.col("_base"), F.col("_prim"), F.col("_size"))
-    return staged.withColumn(out, F.when(F.col("_name").isNotNull(), result)).drop(
-        "_name", "_prim", "_size", "_base"
+    })
+    facts, size = F.col("_facts"), F.col("_size")
+    numbered = staged.withColumn(
+        "_outcome", F.when(facts.isNotNull(), Q.outcome(facts, F.col("_prim"), size))
+    )
+    result = Q.classification(F.col("_outcome"), facts, size)
+    return numbered.withColumn(out, F.when(F.col("_outcome").isNotNull(), result)).drop(
+        "_facts", "_prim", "_size", "_outcome"
     )
 
 
