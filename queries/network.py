@@ -697,7 +697,7 @@ _SCHEMES = sorted(rules.SIGNATURE_SCHEMES) + [0x0001, 0xFE00]
     FROM (SELECT event_id, unnest([{pick(f'event_id % {len(_SCHEMES)}', _SCHEMES)}, 2309]) AS scheme
           FROM events)""")
 def sig_scheme_name(spark, sf):
-    ids = F.expr(pick(f"event_id % {len(_SCHEMES)}", _SCHEMES))
+    ids = V.expr(pick(f"event_id % {len(_SCHEMES)}", _SCHEMES))
     rows = V.table(spark, sf, "events").select(
         "event_id", F.array(ids, F.lit(2309)).alias("scheme")
     )
@@ -781,7 +781,7 @@ CANONICAL = ["example.com", "a.b", "2001:db8::1", None, "plain", "x:y:z", None,
 @query("canonical_hostname", f"""SELECT event_id, {pick(f'event_id % {len(HOSTS)}', CANONICAL)} AS host
     FROM events""")
 def canonical_hostname(spark, sf):
-    raw = F.expr(pick(f"event_id % {len(HOSTS)}", HOSTS))
+    raw = V.expr(pick(f"event_id % {len(HOSTS)}", HOSTS))
     return V.table(spark, sf, "events").select("event_id", X.canonical_hostname(raw).alias("host"))
 
 

@@ -1,5 +1,7 @@
 """Where queries and their oracles are collected."""
 
+from queries.views import for_duck
+
 QUERIES = {}
 ORACLES = {}
 
@@ -9,7 +11,7 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = for_duck(sql)
         return fn
 
     return add

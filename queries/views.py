@@ -30,9 +30,25 @@ def text(value) -> str:
 
 
 def pick(expr: str, values) -> str:
-    """The value at place ``expr`` of a list."""
-    cases = " ".join(f"WHEN {i} THEN {text(v)}" for i, v in enumerate(values) if v is not None)
-    return f"CASE CAST({expr} AS INT) {cases} END"
+    """The value at place ``expr`` of a list.
+
+    Lists are written differently in the two dialects, so this leaves marks that
+    :func:`for_spark` and :func:`for_duck` replace.
+    """
+    return "«" + ", ".join(text(v) for v in values) + "¦" + expr + "»"
+
+
+def for_spark(sql: str) -> str:
+    return sql.replace("«", "get(array(").replace("¦", "), CAST(").replace("»", " AS INT))")
+
+
+def for_duck(sql: str) -> str:
+    return sql.replace("«", "list_element([").replace("¦", "], 1 + CAST(").replace("»", " AS INT))")
+
+
+def expr(sql: str):
+    """A Column from the common dialect."""
+    return F.expr(for_spark(sql))
 
 
 def div(expr: str, n: int) -> str:
@@ -243,7 +259,7 @@ def tables_of(sql: str) -> list:
 
 def duck(sql: str) -> str:
     """The view for DuckDB, as a subquery."""
-    return "(" + sql.format(**{t: t for t in tables_of(sql)}) + ")"
+    return "(" + for_duck(sql.format(**{t: t for t in tables_of(sql)})) + ")"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -252,7 +268,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The view in Spark."""
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in tables_of(sql)})
+    tables = {t: table(spark, sf_dir, t) for t in tables_of(sql)}
+    return spark.sql(for_spark(sql), **tables)
 
 
 def findings(spark: SparkSession, sf_dir: str, sql: str = FINDINGS) -> DataFrame:

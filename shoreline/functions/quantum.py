@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shoreline.functions.text import (
     blank_to_null,
     let,
+    literal_array,
     longest_prefix,
     lookup,
     lookup_spelling,
@@ -108,36 +109,29 @@ def symmetric_key_size(upper: Column) -> Column:
     )
 
 
-def _target(algorithm=None, standard=None):
-    return F.struct(
-        F.lit(algorithm).cast("string").alias("algorithm"),
-        F.lit(standard).cast("string").alias("standard"),
-    )
-
-
 def migration_target(base: Column) -> Column:
-    """Replacement of a family as ``struct<algorithm, standard>``, NULL if none."""
+    """Replacement of a family as ``struct<algorithm, standard>``."""
     upper = F.upper(base)
     algorithms = {n: alg for (alg, _), names in rules.MIGRATION_TARGETS.items() for n in names}
-    standards = {n: std for (_, std), names in rules.MIGRATION_TARGETS.items() for n in names}
-    return F.when(
-        lookup(upper, algorithms).isNotNull(),
-        F.struct(
-            lookup(upper, algorithms).alias("algorithm"),
-            blank_to_null(lookup(upper, standards)).alias("standard"),
-        ),
+    standards = {
+        n: std for (_, std), names in rules.MIGRATION_TARGETS.items() for n in names if std
+    }
+    return F.struct(
+        lookup(upper, algorithms).alias("algorithm"),
+        lookup(upper, standards).alias("standard"),
     )
 
 
-def migration_target_for_size(base: Column, size: Column) -> Column:
-    """As :func:`migration_target`, with the larger parameter set for large keys."""
-    upper = F.upper(base)
-    out = F.when(
-        (upper == "AES") & (size > 0) & (size < 256), _target("AES-256")
+def migration_target_for_size(facts: Column, size: Column) -> Column:
+    """Replacement by name facts and key size: the larger parameter set for large keys."""
+    short_aes = (F.upper(facts["base"]) == "AES") & size.between(1, 255)
+    large = size >= facts["large_from"]
+    return F.struct(
+        F.when(short_aes, "AES-256").when(large, facts["large_algorithm"])
+        .otherwise(facts["target_algorithm"]).alias("algorithm"),
+        F.when(short_aes, None).when(large, facts["large_standard"])
+        .otherwise(facts["target_standard"]).alias("standard"),
     )
-    for names, at_least, algorithm, standard in rules.SIZE_TIERS:
-        out = out.when(upper.isin(names) & (size >= at_least), _target(algorithm, standard))
-    return out.otherwise(migration_target(base))
 
 
 # Outcomes of classification: risk, severity, HNDL risk, advice, fixed target.
@@ -181,6 +175,7 @@ def name_facts(name: Column) -> Column:
 
 
 def _facts(name: Column, base: Column) -> Column:
+    target = migration_target(base)
     upper, base_up = F.upper(name), F.upper(base)
     kind = (
         F.when(base.isin(rules.DEPRECATED) | name.isin(rules.DEPRECATED), "deprecated")
@@ -197,8 +192,8 @@ def _facts(name: Column, base: Column) -> Column:
         base.alias("base"),
         kind.alias("kind"),
         lookup_spelling(base_up, advice.DEPRECATED_ADVICE).alias("code"),
-        migration_target(base)["algorithm"].alias("target_algorithm"),
-        migration_target(base)["standard"].alias("target_standard"),
+        target["algorithm"].alias("target_algorithm"),
+        target["standard"].alias("target_standard"),
         lookup(base_up, {n: t[0] for n, t in tiers.items()}).alias("large_from"),
         lookup(base_up, {n: t[1] for n, t in tiers.items()}).alias("large_algorithm"),
         lookup(base_up, {n: t[2] for n, t in tiers.items()}).alias("large_standard"),
@@ -265,7 +260,7 @@ def outcome(facts: Column, primitive: Column, size: Column) -> Column:
 def classification(number: Column, facts: Column, size: Column) -> Column:
     """The classification struct of an outcome."""
     def field(i):
-        return F.get(F.array(*[F.lit(o[i]).cast("string") for o in OUTCOMES.values()]), number)
+        return F.get(literal_array([o[i] for o in OUTCOMES.values()]), number)
 
     target = field(4)
     rule = target.isin("SIZED", "PLAIN", "EXCHANGE")

@@ -20,8 +20,25 @@ def lookup(c: Column, table: dict) -> Column:
 
     The map is one literal, so this stays a projection: no join and no shuffle.
     """
-    pairs = [F.lit(x) for item in table.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), c)
+    pairs = ", ".join(sql_literal(x) for item in table.items() for x in item)
+    return F.try_element_at(F.expr(f"map({pairs})"), c)
+
+
+def sql_literal(value) -> str:
+    """A Python text, number, flag or None as SQL.
+
+    Long literals are handed over as one text: building them from single
+    columns costs a call into the JVM per entry.
+    """
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value).upper()
+
+
+def literal_array(values) -> Column:
+    return F.expr("array(" + ", ".join(sql_literal(v) for v in values) + ")")
 
 
 def lookup_spelling(c: Column, groups: dict) -> Column:

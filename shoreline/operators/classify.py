@@ -10,6 +10,7 @@ from shoreline.functions.text import (
     blank_to_null,
     contains_any,
     extension,
+    let,
     longest_prefix,
     lookup,
     lookup_spelling,
@@ -18,7 +19,6 @@ from shoreline.functions.text import (
 from shoreline.operators import known
 from shoreline.rules import files, snippets
 from shoreline.schema import column
-from shoreline.tables import literal_table
 
 
 def with_classification(
@@ -28,17 +28,18 @@ def with_classification(
 
     Works on batches and streams alike: rows stay where they are.
     """
-    staged = known.with_facts(df, strip(name), Q.name_facts, "_facts").withColumns({
-        "_prim": Q.normalize_primitive(primitive),
-        "_size": F.coalesce(key_size, F.lit(0)),
-    })
-    facts, size = F.col("_facts"), F.col("_size")
-    numbered = staged.withColumn(
-        "_outcome", F.when(facts.isNotNull(), Q.outcome(facts, F.col("_prim"), size))
+    asked = df.withColumn("_name", strip(name)).withColumn("_given", F.struct(
+        primitive.alias("primitive"), F.coalesce(key_size, F.lit(0)).alias("size")
+    ))
+    facts, size = F.col("_facts"), F.col("_given.size")
+    staged = known.with_facts(asked, F.col("_name"), Q.name_facts, "_facts")
+    staged = known.once(staged, Q.normalize_primitive(F.col("_given.primitive")), "_prim")
+    staged = known.once(
+        staged, F.when(facts.isNotNull(), Q.outcome(facts, F.col("_prim"), size)), "_outcome"
     )
     result = Q.classification(F.col("_outcome"), facts, size)
-    return numbered.withColumn(out, F.when(F.col("_outcome").isNotNull(), result)).drop(
-        "_facts", "_prim", "_size", "_outcome"
+    return known.once(staged, F.when(F.col("_outcome").isNotNull(), result), out).drop(
+        "_name", "_given", "_facts", "_prim", "_outcome"
     )
 
 
@@ -89,11 +90,11 @@ def classify_findings(df: DataFrame) -> DataFrame:
 
 def migration_target(df: DataFrame) -> DataFrame:
     """Target of each (name, key_size): family first, then the size tier."""
-    staged = df.withColumn("base", Q.base_name(strip(F.col("name"))))
-    t = Q.migration_target_for_size(F.col("base"), F.coalesce(F.col("key_size"), F.lit(0)))
+    staged = known.with_facts(df, strip(F.col("name")), Q.name_facts, "_facts")
+    t = Q.migration_target_for_size(F.col("_facts"), F.coalesce(F.col("key_size"), F.lit(0)))
     return staged.withColumns({
         "target_algorithm": t["algorithm"], "target_standard": t["standard"],
-    })
+    }).drop("_facts")
 
 
 def with_priority(df: DataFrame) -> DataFrame:
@@ -124,22 +125,32 @@ def _family(name):
     )
 
 
-def migration_snippet(df: DataFrame, templates_dim: DataFrame | None = None) -> DataFrame:
-    """Add ``migration_snippet`` where file, algorithm and target allow one.
+def _use(name, primitive, target):
+    """``sign`` or ``kem``: by the target, else by name or primitive; NULL if neither fits."""
+    by_target = {"ML-KEM": "kem", "MLKEM": "kem", "ML-DSA": "sign", "MLDSA": "sign",
+                 "SLH-DSA": "sign", "SLHDSA": "sign"}
+    own = F.coalesce(
+        _family(name),
+        F.when(primitive.isin(snippets.SIGN_PRIMITIVES), "sign"),
+        F.when(primitive.isin(snippets.KEM_PRIMITIVES), "kem"),
+    )
+    return F.when(
+        own.isNotNull(),
+        F.coalesce(lookup(longest_prefix(F.upper(target), by_target), by_target), own),
+    )
 
-    ``templates_dim`` (language, use, before, after) replaces the built-in
-    templates; it has one row per language and use.
-    """
-    path, name = F.lower(F.col("file")), F.col("algorithm.name")
-    primitive, target = F.lower(F.col("algorithm.primitive")), F.col("target_algorithm")
-    leaf = base_name_of_path(path)
-    ext = extension(path)
+
+def _language(path, leaf, ext):
     in_server_dir = contains_any(path, [f"/{d}/" for d in files.SERVER_DIRS])
-    language = F.coalesce(
+    is_ssh = leaf.isin("sshd_config", "ssh_config")
+    return F.coalesce(
         lookup_spelling(ext, files.SNIPPET_LANGUAGES),
-        F.when((ext == "") & (leaf.isin("sshd_config", "ssh_config") | in_server_dir), "config"),
+        F.when((ext == "") & (is_ssh | in_server_dir), "config"),
     )
-    server = (
+
+
+def _server(path, leaf):
+    return (
         F.when(path.contains("haproxy"), "haproxy")
         .when(path.contains("apache") | path.contains("httpd"), "apache")
         .when(path.contains("nginx"), "nginx")
@@ -150,50 +161,51 @@ def migration_snippet(df: DataFrame, templates_dim: DataFrame | None = None) ->
         )
         .otherwise("generic")
     )
-    known = lookup(longest_prefix(F.upper(target), ["ML-KEM", "MLKEM", "ML-DSA", "MLDSA",
-                                                    "SLH-DSA", "SLHDSA"]),
-                   {"ML-KEM": "kem", "MLKEM": "kem", "ML-DSA": "sign", "MLDSA": "sign",
-                    "SLH-DSA": "sign", "SLHDSA": "sign"})
-    family = F.coalesce(
-        _family(name),
-        F.when(primitive.isin(snippets.SIGN_PRIMITIVES), "sign"),
-        F.when(primitive.isin(snippets.KEM_PRIMITIVES), "kem"),
-    )
-    already_safe = F.upper(name).rlike("^(?:" + "|".join(snippets.ALREADY_SAFE) + ")(?:-|$)")
-    wanted = F.coalesce(blank_to_null(target).isNotNull() & ~already_safe, F.lit(False))
-    template = F.when(language == "config", F.concat(F.lit("config/"), server)).when(
-        language == "cpp", "c"
-    ).when(language == "typescript", "javascript").otherwise(language)
-
-    if templates_dim is None:
-        templates_dim = F.broadcast(literal_table(
-            df.sparkSession, snippets.TEMPLATES,
-            "language string, use string, before string, after string",
+
+
+def migration_snippet(df: DataFrame, templates: list | None = None) -> DataFrame:
+    """Add ``migration_snippet`` where file, algorithm and target allow one.
+
+    ``templates`` (language, use, before, after) replaces the built-in examples.
+    They are a short rule table and go into the projection as literals.
+    """
+    rows = snippets.TEMPLATES if templates is None else templates
+    name, target = F.col("algorithm.name"), F.col("target_algorithm")
+    before = {f"{r[0]}|{r[1]}": r[2] for r in rows}
+    after = {f"{r[0]}|{r[1]}": r[3] for r in rows}
+
+    def filled(texts, key):
+        raw = lookup(key, texts)
+        return F.replace(F.replace(raw, F.lit("{target}"), target), F.lit("{alg}"), name)
+
+    def snippet(language, key):
+        return F.when(lookup(key, before).isNotNull(), F.struct(
+            language.alias("language"), filled(before, key).alias("before"),
+            filled(after, key).alias("after"),
+            F.concat(F.lit("Replace "), name, F.lit(" with "), target, F.lit(".")).alias("explanation"),
         ))
-    dim = templates_dim.select(
-        F.col("language").alias("_t"), F.col("use").alias("_u"),
-        F.col("before").alias("_before"), F.col("after").alias("_after"),
-    )
 
-    def fill(c):
-        return F.replace(F.replace(c, F.lit("{target}"), target), F.lit("{alg}"), name)
+    def of(language, path, use):
+        leaf = base_name_of_path(path)
+        template = (
+            F.when(language == "config", F.concat(F.lit("config/"), _server(path, leaf)))
+            .when(language == "cpp", "c").when(language == "typescript", "javascript")
+            .otherwise(language)
+        )
+        return let(F.concat(template, F.lit("|"), use), lambda key: snippet(language, key))
 
-    staged = df.withColumns({
-        "_lang": F.when(wanted & family.isNotNull(), language),
-        "_key": F.when(wanted & family.isNotNull(), template),
-        "_use": F.coalesce(known, family),
-    })
-    snippet = F.struct(
-        F.col("_lang").alias("language"),
-        fill(F.col("_before")).alias("before"),
-        fill(F.col("_after")).alias("after"),
-        F.concat(F.lit("Replace "), name, F.lit(" with "), target, F.lit(".")).alias("explanation"),
-    )
-    joined = staged.join(
-        dim, (F.col("_key") == F.col("_t")) & (F.col("_use") == F.col("_u")), "left"
+    path = F.lower(F.col("file"))
+    already_safe = F.upper(name).rlike("^(?:" + "|".join(snippets.ALREADY_SAFE) + ")(?:-|$)")
+    wanted = blank_to_null(target).isNotNull() & ~already_safe
+    # bound step by step, so that no step is repeated wherever it is named
+    found = let(
+        _use(name, F.lower(F.col("algorithm.primitive")), target),
+        lambda use: F.when(use.isNotNull(), let(
+            _language(path, base_name_of_path(path), extension(path)),
+            lambda language: F.when(language.isNotNull(), of(language, path, use)),
+        )),
     )
-    out = joined.withColumn("migration_snippet", F.when(F.col("_t").isNotNull(), snippet))
-    return out.drop("_lang", "_key", "_use", "_t", "_u", "_before", "_after")
+    return df.withColumn("migration_snippet", F.when(wanted, found))
 
 
 def hndl(df: DataFrame, year: int | None = None) -> DataFrame:

@@ -135,6 +135,7 @@ def dedupe_ordinals(df: DataFrame) -> DataFrame:
     )
     return out.select(
         "finding_key", F.col("f.engine_rank").alias("engine_rank"),
+        F.col("f.first_seq").alias("first_seq"),
         F.col("f.source_engine").alias("source_engine"), F.col("f.n").alias("n"),
         (before + 1).alias("first_ordinal"),
         (F.col("i") > 0).alias("is_duplicate"),

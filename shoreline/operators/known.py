@@ -46,4 +46,14 @@ def with_facts(
     result = F.when(F.col("_known").isNotNull(), F.col("_known_facts")).when(
         F.col("_asked").isNotNull(), worked_out
     )
-    return joined.withColumn(out, result).drop("_asked", "_known", "_known_facts")
+    return once(joined, result, out).drop("_asked", "_known", "_known_facts")
+
+
+def once(df: DataFrame, value: Column, out: str) -> DataFrame:
+    """Add ``out``, worked out once per row.
+
+    The optimizer copies the definition of an ordinary column into every later
+    filter and projection that names it, which multiplies long definitions.  It
+    does not do so with the output of a generator, here of an array of one.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(out))
