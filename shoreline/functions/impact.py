@@ -93,7 +93,7 @@ def size_limits(message: Column) -> Column:
         )
         return F.transform(
             F.filter(numbers, lambda n: n > 0),
-            lambda n: F.struct(F.lit(kind).alias("type"), n.alias("max_bytes")),
+            lambda n: F.named_struct(F.lit("type"), F.lit(kind), F.lit("max_bytes"), n),
         )
 
     return F.concat(*[of(kind, pattern) for kind, pattern in rules.LIMIT_PATTERNS])

@@ -100,14 +100,16 @@ def impact_zones(df: DataFrame, max_hops: int = MAX_HOPS, base: str | None = Non
     path = F.col("data_flow_path")
     limits = F.flatten(F.transform(path, lambda s: F.transform(
         I.size_limits(F.coalesce(s["message"], F.lit(""))),
-        lambda h: F.struct(
-            h["type"].alias("type"), s["file"].alias("file"), s["line"].alias("line"),
-            h["max_bytes"].alias("max_bytes"),
+        lambda h: F.named_struct(
+            F.lit("type"), h["type"], F.lit("file"), s["file"], F.lit("line"), s["line"],
+            F.lit("max_bytes"), h["max_bytes"],
         ),
     )))
     crossings = F.flatten(F.transform(path, lambda s: F.transform(
         I.protocol_calls(F.coalesce(s["message"], F.lit(""))),
-        lambda p: F.struct(p.alias("protocol"), s["file"].alias("file"), s["line"].alias("line")),
+        lambda p: F.named_struct(
+            F.lit("protocol"), p, F.lit("file"), s["file"], F.lit("line"), s["line"]
+        ),
     )))
     name = F.col("algorithm.name")
     staged = wanted.select(
