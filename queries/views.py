@@ -263,7 +263,12 @@ def duck(sql: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table, spread over the cores when its file is too small to be split."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("lineitem", "events", "orders", "pages") and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

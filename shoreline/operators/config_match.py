@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from shoreline import schema
 from shoreline.functions.text import alternatives, has_word, strip
+from shoreline.operators.known import once
 from shoreline.rules import config as rules
 
 
@@ -69,15 +70,15 @@ def config_vocab_match(kv: DataFrame, vocabulary: list | None = None) -> DataFra
     # a cheap test first: most settings hold no key pattern at all
     letters = sorted({p.replace("-", "").replace("_", "").replace(".", "") for p in patterns})
     squeezed = F.regexp_replace(F.lower(F.col("key")), r"[.\[\]_-]", "")
-    staged = (
-        kv.where(squeezed.rlike(alternatives(letters)))
-        .withColumns({"_segments": segmented(F.col("key")), "_value": F.lower(F.col("value"))})
-        .withColumn("_glued", glued_segments(F.col("_segments")))
-        .withColumn("_keys", F.struct(*[
-            key_matches(F.col("_segments"), F.col("_glued"), p).alias(f"p{i}")
-            for i, p in enumerate(patterns)
-        ]))
+    staged = once(
+        kv.where(squeezed.rlike(alternatives(letters))).withColumn("_value", F.lower("value")),
+        segmented(F.col("key")), "_segments",
     )
+    staged = once(staged, glued_segments(F.col("_segments")), "_glued")
+    staged = once(staged, F.struct(*[
+        key_matches(F.col("_segments"), F.col("_glued"), p).alias(f"p{i}")
+        for i, p in enumerate(patterns)
+    ]), "_keys")
     at = {p: F.col(f"_keys.p{i}") for i, p in enumerate(patterns)}
     rule_no = F.when(F.lit(False), F.lit(-1))
     for n, pattern, hints, *_ in rows:
@@ -85,7 +86,8 @@ def config_vocab_match(kv: DataFrame, vocabulary: list | None = None) -> DataFra
         rule_no = rule_no.when(
             (holds & has_word(F.col("_value"), hints)) if hints else holds, F.lit(n)
         )
-    matched = staged.withColumn("rule_no", rule_no).where(F.col("rule_no").isNotNull())
+    held = F.greatest(*at.values())
+    matched = once(staged.where(held), rule_no, "rule_no").where(F.col("rule_no").isNotNull())
 
     def of_rule(i, cast):
         pairs = [F.lit(x) for r in rows if r[i] is not None for x in (r[0], r[i])]
