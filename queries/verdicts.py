@@ -113,6 +113,17 @@ def compliance_algorithm_summary(spark, sf):
     return CO.compliance_algorithm_summary(found, CO.compliance_eval(found, ["cnsa-2.0"]))
 
 
+@query("framework_algorithm_summaries", f"""{_CF}, v AS MATERIALIZED (SELECT DISTINCT framework, algorithm FROM
+        {O.violations('cf')}), a AS (SELECT COALESCE(alg_name, library, raw_identifier) AS algorithm,
+        count(*) AS occurrences FROM cf GROUP BY 1)
+    SELECT w.framework, a.algorithm, v.algorithm IS NULL AS compliant, occurrences
+    FROM a CROSS JOIN (VALUES {', '.join(f"('{f[0]}')" for f in compliance.FRAMEWORKS[:6])}) AS w(framework)
+    LEFT JOIN v ON v.algorithm = a.algorithm AND v.framework = w.framework""")
+def framework_algorithm_summaries(spark, sf):
+    found = cut(classified(spark, sf))
+    return CO.framework_algorithm_summaries(found, CO.compliance_eval(found)).drop("risk", "effort")
+
+
 @query("compliance_verdict", f"""{_CF} SELECT framework, rule, violation_severity AS severity,
     count(*) AS violations, min(deadline) AS deadline FROM {O.violations('cf')} GROUP BY ALL""")
 def compliance_verdict(spark, sf):

@@ -53,24 +53,48 @@ def _subject():
     )
 
 
-def compliance_algorithm_summary(df: DataFrame, violations: DataFrame) -> DataFrame:
-    """Per algorithm or library: occurrences, first known risk and effort, compliance."""
+def _algorithms(df: DataFrame) -> DataFrame:
+    """Per algorithm or library: occurrences, first known risk and first effort."""
     label = lookup(F.col("quantum_risk"), rules.RISK_LABELS)
     effort = blank_to_null(F.col("migration_effort"))
     order = F.struct("engine_rank", "seq")
-    algorithms = (
-        df.withColumn("_name", _subject()).where(F.col("_name").isNotNull()).groupBy("_name").agg(
-            F.count(F.lit(1)).alias("occurrences"),
-            F.min_by(label, F.when(label.isNotNull(), order)).alias("risk"),
-            F.min_by(effort, F.when(effort.isNotNull(), order)).alias("effort"),
-        )
+    return df.withColumn("_name", _subject()).where(F.col("_name").isNotNull()).groupBy("_name").agg(
+        F.count(F.lit(1)).alias("occurrences"),
+        F.coalesce(
+            F.min_by(label, F.when(label.isNotNull(), order)), F.lit("Unknown")
+        ).alias("risk"),
+        F.coalesce(
+            F.min_by(effort, F.when(effort.isNotNull(), order)), F.lit("-")
+        ).alias("effort"),
     )
-    violated = violations.where(F.coalesce(F.col("algorithm"), F.lit("")) != "").select(
-        F.col("algorithm").alias("_bad")
+
+
+def _violated(violations: DataFrame, *keys: str) -> DataFrame:
+    return violations.where(F.coalesce(F.col("algorithm"), F.lit("")) != "").select(
+        *[F.col(k).alias(f"_{k}") for k in keys], F.col("algorithm").alias("_bad")
     ).distinct()
-    return algorithms.join(violated, F.col("_name") == F.col("_bad"), "left").select(
-        F.col("_name").alias("algorithm"),
-        F.coalesce("risk", F.lit("Unknown")).alias("risk"),
-        F.coalesce("effort", F.lit("-")).alias("effort"),
+
+
+def compliance_algorithm_summary(df: DataFrame, violations: DataFrame) -> DataFrame:
+    """Per algorithm or library: occurrences, first known risk and effort, compliance."""
+    bad = _violated(violations)
+    return _algorithms(df).join(bad, F.col("_name") == F.col("_bad"), "left").select(
+        F.col("_name").alias("algorithm"), "risk", "effort",
+        F.col("_bad").isNull().alias("compliant"), "occurrences",
+    )
+
+
+def framework_algorithm_summaries(
+    df: DataFrame, violations: DataFrame, frameworks: list | None = None
+) -> DataFrame:
+    """The algorithm table of every framework, in one pass over the findings."""
+    chosen = list(C.FRAMEWORKS) if frameworks is None else frameworks
+    each = _algorithms(df).withColumn(
+        "framework", F.explode(F.array(*[F.lit(f) for f in chosen]))
+    )
+    bad = _violated(violations, "framework")
+    same = (F.col("_name") == F.col("_bad")) & (F.col("framework") == F.col("_framework"))
+    return each.join(bad, same, "left").select(
+        "framework", F.col("_name").alias("algorithm"), "risk", "effort",
         F.col("_bad").isNull().alias("compliant"), "occurrences",
     )

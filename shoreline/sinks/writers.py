@@ -9,7 +9,7 @@ from shoreline.functions.quantum import advice_text
 from shoreline.operators import inventory as N
 from shoreline.operators import score
 from shoreline.operators.cache import updated_cache
-from shoreline.operators.compliance import compliance_algorithm_summary
+from shoreline.operators.compliance import framework_algorithm_summaries
 
 
 def with_advice_text(df: DataFrame) -> DataFrame:
@@ -63,14 +63,9 @@ def write_compliance_summary(
 ) -> None:
     """Violations and algorithm tables, partitioned by framework."""
     violations.write.mode(mode).partitionBy("framework").parquet(f"{path}/violations")
-    frameworks = [r[0] for r in violations.select("framework").distinct().limit(100).collect()]
-    for i, framework in enumerate(sorted(frameworks)):
-        table = compliance_algorithm_summary(
-            df, violations.where(F.col("framework") == framework)
-        ).withColumn("framework", F.lit(framework))
-        table.write.mode(mode if i == 0 else "append").partitionBy("framework").parquet(
-            f"{path}/algorithms"
-        )
+    framework_algorithm_summaries(df, violations).write.mode(mode).partitionBy(
+        "framework"
+    ).parquet(f"{path}/algorithms")
 
 
 def append_scan_history(records: DataFrame, path: str) -> None:
