@@ -14,6 +14,7 @@ from shoreline.functions.text import strip
 from shoreline.operators import cache, dedupe, filters, known
 from shoreline.operators import classify as C
 from shoreline.operators import normalize as M
+from shoreline.plans.checkpoints import cut
 from shoreline.rules import files
 from shoreline.rules import quantum as rules
 
@@ -398,18 +399,20 @@ def priority(spark, sf):
     {O.severity_rank('severity')}, file, engine_rank, seq) AS place FROM {_RANKED}""")
 def sort_by_priority(spark, sf):
     """Places in the sorted order, counted per range partition without a global window."""
-    order = C.sort_by_priority(prioritised(spark, sf)).select("seq", "priority", "severity", "file", "engine_rank")
-    parts = order.withColumn("part", F.spark_partition_id()).withColumn(
+    order = C.sort_by_priority(prioritised(spark, sf)).select("seq")
+    parts = cut(order.withColumn("part", F.spark_partition_id()).withColumn(
         "inside", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("bigint"), 33) + 1
+    ))
+    # one number per partition
+    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    all_counts = counts.agg(F.array_sort(F.collect_list(F.struct("part", "rows"))).alias("c"))
+    starts = all_counts.select("c", F.posexplode("c").alias("i", "p")).select(
+        F.col("p.part").alias("part"),
+        F.aggregate(
+            F.slice("c", F.lit(1), F.col("i")), F.lit(0).cast("bigint"), lambda s, x: s + x["rows"]
+        ).alias("start"),
     )
-    # few numbers: one per partition
-    before = parts.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
-    starts = before.alias("a").join(
-        before.alias("b"), F.col("b.part") < F.col("a.part"), "left"
-    ).groupBy("a.part").agg(F.coalesce(F.sum("b.rows"), F.lit(0)).alias("start"))
-    return parts.join(F.broadcast(starts), "part").select(
-        "seq", (F.col("inside") + F.col("start")).alias("place")
-    )
+    return parts.join(starts, "part").select("seq", (F.col("inside") + F.col("start")).alias("place"))
 
 
 # --- feeds ----------------------------------------------------------------------

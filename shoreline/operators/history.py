@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shoreline.functions.text import blank_to_null
 from shoreline.operators.score import qrs
+from shoreline.tables import side_by_side
 
 MAX_TOP = 100
 _RISKS = {
@@ -25,9 +26,7 @@ def scan_record(df: DataFrame, by=()) -> DataFrame:
     scores = qrs(df, by)
     if by:
         return counts.join(scores, list(by))
-    # one row on either side
-    one = F.lit(1)
-    return counts.withColumn("_one", one).join(scores.withColumn("_one", one), "_one").drop("_one")
+    return side_by_side(counts, scores)
 
 
 def top_findings(df: DataFrame, n: int = MAX_TOP, by=()) -> DataFrame:

@@ -8,6 +8,7 @@ from shoreline.functions import output as O
 from shoreline.functions.text import blank_to_null, relative_to
 from shoreline.operators.impact import last_zone
 from shoreline.rules import formats
+from shoreline.tables import side_by_side
 
 NAMESPACE = "crypto"
 RULE_PREFIX = "CRYPTO"
@@ -140,10 +141,7 @@ def cbom_metadata(df: DataFrame, zones: DataFrame | None = None) -> DataFrame:
         F.count_if(F.col("blast_radius_grade") == "Significant").alias("significant_migrations"),
         F.coalesce(F.sum(F.size("violated_protocols")), F.lit(0)).alias("protocols_affected"),
     )
-    # one row on either side
-    return meta.withColumn("_one", F.lit(1)).join(
-        counts.withColumn("_one", F.lit(1)), "_one"
-    ).drop("_one")
+    return side_by_side(meta, counts)
 
 
 def finding_annotations(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shoreline import schema
 from shoreline.functions import scoring as S
 from shoreline.operators.impact import first_zone
+from shoreline.tables import side_by_side
 
 _SCORE = "decimal(28,6)"
 
@@ -93,10 +94,7 @@ def _with_blast(sums: DataFrame, zones: DataFrame, by) -> DataFrame:
     blast = _blast(zones, by)
     if by:
         return sums.join(blast, list(by), "left")
-    # one row on either side
-    return sums.withColumn("_one", F.lit(1)).join(
-        blast.withColumn("_one", F.lit(1)), "_one", "left"
-    ).drop("_one")
+    return side_by_side(sums, blast)
 
 
 def _shrunk(score: Column) -> Column:

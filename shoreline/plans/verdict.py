@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from shoreline.operators import compliance, policy, score
 from shoreline.operators.history import trend_delta
+from shoreline.tables import side_by_side
 
 
 def compliance_verdict(findings: DataFrame, frameworks: list | None = None) -> DataFrame:
@@ -18,10 +19,7 @@ def compliance_verdict(findings: DataFrame, frameworks: list | None = None) -> D
 
 def policy_verdict(findings: DataFrame, **rules) -> DataFrame:
     """All violations of a policy; see :func:`policy.evaluate_policy`."""
-    one = F.lit(1)
-    summary = score.scan_summary(findings).withColumn("_one", one).join(
-        score.qrs(findings).withColumn("_one", one), "_one"
-    ).drop("_one")
+    summary = side_by_side(score.scan_summary(findings), score.qrs(findings))
     return policy.evaluate_policy(findings, summary, **rules)
 
 

@@ -10,6 +10,7 @@ from shoreline.operators import inventory as N
 from shoreline.operators import score
 from shoreline.operators.cache import updated_cache
 from shoreline.operators.compliance import framework_algorithm_summaries
+from shoreline.tables import side_by_side
 
 
 def with_advice_text(df: DataFrame) -> DataFrame:
@@ -22,9 +23,7 @@ def write_findings_json(df: DataFrame, path: str, mode: str = "errorifexists") -
     """``<path>/findings`` with one line per finding, ``<path>/summary`` with one row."""
     full = schema.conform(df, derived=True)
     with_advice_text(full).write.mode(mode).json(f"{path}/findings")
-    summary = score.scan_summary(full).withColumn("_one", F.lit(1)).join(
-        score.qrs(full).withColumn("_one", F.lit(1)), "_one"
-    ).drop("_one")
+    summary = side_by_side(score.scan_summary(full), score.qrs(full))
     summary.coalesce(1).write.mode(mode).json(f"{path}/summary")
 
 
