@@ -69,7 +69,8 @@ def _cuts(rows: DataFrame, nodes: dict[int, tuple[str, float]]) -> dict[int, tup
             for at, size in mine:
                 # the bin that the wanted number of bytes ends in
                 if left[n] <= size or at == mine[-1][0]:
-                    found[n].append(at)
+                    # at the end the bin goes to the side that it fits better
+                    found[n].append(at - 1 if level == 2 and left[n] < size / 2 else at)
                     break
                 left[n] -= size
     return {n: tuple(f) for n, f in found.items()}
