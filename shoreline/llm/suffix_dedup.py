@@ -20,9 +20,9 @@ induction from a sample, as in external suffix sorting with common prefixes:
    the least common prefix between the suffixes behind them.  A neighbour with 200 or
    more bytes in common is a repeat.  A suffix that cannot reach that any more leaves.
 
-A task holds one batch of names at a time.  A name with more than ``crowd`` different
-surroundings is not sorted in one task: its windows are told apart by their hashes, a
-count that is combined before the shuffle.
+A task holds one batch of names at a time.  A name of more than ``crowd`` places is not
+sorted in one task: its windows are told apart by their hashes, a count that is combined
+before the shuffle.
 """
 
 import hashlib
@@ -321,12 +321,13 @@ def _found(texts: DataFrame, length: int, crowd: int) -> DataFrame:
         raise ValueError(f"length must be over {GRAM} and at most {GRAM + 200}")
     samples = texts.select("k1", "k2", "text").mapInArrow(
         _samples(length), "ghash long, chash long, k1 long, k2 long, at long")
-    names = samples.groupBy("ghash").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("ghash")
-    live = samples.join(names, "ghash")
+    names = samples.groupBy("ghash").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    # joined by an expression, so that both sides get an exchange that splits a name of very many places
+    names = names.select(F.bitwise_not("ghash").alias("name"), (F.col("times") > crowd).alias("crowded"))
+    live = samples.join(names, F.bitwise_not(samples["ghash"]) == names["name"]).drop("name")
     # one sample suffix for each surroundings
-    one = live.groupBy("ghash", "chash").agg(
+    one = live.groupBy("ghash", "chash", "crowded").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one"))
-    crowds = one.groupBy("ghash").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > crowd).select("ghash")
 
     def tuples(chosen: DataFrame) -> DataFrame:
         asked = chosen.select("ghash", "chash", "n", "one.*").groupBy("k1", "k2").agg(
@@ -334,9 +335,9 @@ def _found(texts: DataFrame, length: int, crowd: int) -> DataFrame:
         return texts.join(asked, ["k1", "k2"]).mapInArrow(
             _surroundings(length), "ghash long, chash long, n long, tail binary, front binary")
 
-    queue = tuples(one.join(crowds, "ghash", "left_anti")).repartition("ghash").sortWithinPartitions("ghash", "tail", "chash")
+    queue = tuples(one.where("not crowded")).repartition("ghash").sortWithinPartitions("ghash", "tail", "chash")
     marks = queue.mapInArrow(_induced(length), _MARKS)
-    windows = tuples(one.join(crowds, "ghash", "left_semi")).mapInArrow(
+    windows = tuples(one.where("crowded")).mapInArrow(
         _window_hashes(length), "ghash long, chash long, n long, far long, whash long")
     twice = windows.groupBy("ghash", "far", "whash").agg(
         F.max("n").alias("n"), F.min("chash").alias("lo"), F.max("chash").alias("hi")).where("n > 1 or lo <> hi")
