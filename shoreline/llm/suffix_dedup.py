@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shoreline.llm.frames import ship, text_keys
 
@@ -41,6 +42,8 @@ _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _MARKS = "ghash long, chash long, marks binary"
+# never null: no step then adds a filter of its own, and the shuffled samples serve all of them
+_SAMPLES = T.StructType([T.StructField(c, T.LongType(), False) for c in ("ghash", "chash", "k1", "k2", "at")])
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -315,12 +318,22 @@ def _keyed(docs: DataFrame, text_col: str, rest: list) -> DataFrame:
     return docs.select(text.alias("text"), F.struct(*rest).alias("rest")).select(*text_keys(F.col("text")), "text", "rest")
 
 
+def _with(texts: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
+    """Texts with their list.
+
+    The lists are already dealt by key.  Joined by an expression they are dealt anew, and
+    Spark can split the copies of a very common text over tasks.
+    """
+    lists = lists.select(F.bitwise_not("k1").alias("l1"), F.col("k2").alias("l2"), lists.columns[-1])
+    return texts.join(lists, (F.bitwise_not(texts["k1"]) == lists["l1"]) & (texts["k2"] == lists["l2"]), how)
+
+
 def _found(texts: DataFrame, length: int, crowd: int) -> DataFrame:
     """``(k1, k2, found)`` for texts with a repeat: sample suffixes and the marks of their windows."""
     if not GRAM < length <= GRAM + 200:
         raise ValueError(f"length must be over {GRAM} and at most {GRAM + 200}")
     samples = texts.select("k1", "k2", "text").mapInArrow(
-        _samples(length), "ghash long, chash long, k1 long, k2 long, at long")
+        _samples(length), _SAMPLES)
     names = samples.groupBy("ghash").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     # joined by an expression, so that both sides get an exchange that splits a name of very many places
     names = names.select(F.bitwise_not("ghash").alias("name"), (F.col("times") > crowd).alias("crowded"))
@@ -332,7 +345,7 @@ def _found(texts: DataFrame, length: int, crowd: int) -> DataFrame:
     def tuples(chosen: DataFrame) -> DataFrame:
         asked = chosen.select("ghash", "chash", "n", "one.*").groupBy("k1", "k2").agg(
             F.collect_list(F.struct("ghash", "chash", "n", "at")).alias("asked"))
-        return texts.join(asked, ["k1", "k2"]).mapInArrow(
+        return _with(texts, asked).mapInArrow(
             _surroundings(length), "ghash long, chash long, n long, tail binary, front binary")
 
     queue = tuples(one.where("not crowded")).repartition("ghash").sortWithinPartitions("ghash", "tail", "chash")
@@ -390,7 +403,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     texts = _keyed(docs, text_col, [docs[id_col].cast("long").alias("doc_id")])
     found = _found(texts, length, crowd)
-    return texts.join(found, ["k1", "k2"], "left").select(F.col("rest.doc_id").alias("doc_id"), "text", "found").mapInArrow(
+    return _with(texts, found, "left").select(F.col("rest.doc_id").alias("doc_id"), "text", "found").mapInArrow(
         _digest(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -404,7 +417,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = 200,
     rest = [docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(others)] + [docs[f"`{text_col}`"].isNull().alias("none")]
     texts = _keyed(docs, text_col, rest)
     found = _found(texts, length, crowd)
-    joined = texts.join(found, ["k1", "k2"], "left").select("text", "rest", "found")
+    joined = _with(texts, found, "left").select("text", "rest", "found")
     cut = joined.mapInArrow(_kept_text(length), joined.select("text", "rest").schema)
     kept = F.when(~F.col("rest.none"), F.col("text")).cast(docs.schema[text_col].dataType)
     return cut.select(*[
