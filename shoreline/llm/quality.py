@@ -69,9 +69,12 @@ class Ordinal:
         return _sigmoid(self.weights[feature].sum() - self.thresholds)
 
 
-def fit(docs: list[np.ndarray], grades: np.ndarray, top: int, bits: int = BITS, epochs: int = 12, batch: int = 512,
+def fit(docs: list[np.ndarray], grades: np.ndarray, top: int, bits: int = BITS, epochs: int = 12, batch: int = 512, steps: int = 375,
         rate: float = 0.03, doubt: float = 2.0, seed: int = 11, least: int = 5) -> Ordinal:
-    """Fit by Adam.  Features of fewer than ``least`` texts get no weight."""
+    """Fit by Adam: ``epochs`` passes, and at least ``steps`` batches.
+
+    Features of fewer than ``least`` texts get no weight.
+    """
     size = 1 << bits
     w, t0, gaps = np.zeros(size), np.array([-1.0]), np.zeros(top - 1)
     if not len(docs):
@@ -86,7 +89,7 @@ def fit(docs: list[np.ndarray], grades: np.ndarray, top: int, bits: int = BITS,
     m, v = np.zeros(size), np.zeros(size)
     mt, vt = np.zeros(top), np.zeros(top)
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps * batch // len(docs)))):
         order = rng.permutation(len(docs))
         for lo in range(0, len(order), batch):
             step += 1
