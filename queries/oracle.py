@@ -204,8 +204,8 @@ def place() -> str:
     return "file || CASE WHEN inner_path IS NOT NULL THEN '!' || inner_path ELSE '' END"
 
 
-def finding_key() -> str:
-    return f"""CASE WHEN alg_name IS NOT NULL
+def finding_key(before_file: str = "") -> str:
+    return f"""project || '|{before_file}' || CASE WHEN alg_name IS NOT NULL
             THEN {place()} || '|' || line || '|alg|' || alg_name
         WHEN library IS NOT NULL
             THEN {place()} || '|dep|' || library || COALESCE('@' || version, '')

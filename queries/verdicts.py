@@ -222,8 +222,8 @@ def consumer_type(spark, sf):
 
 
 _HITS = " UNION ALL ".join(
-    f"SELECT seq, hop, file, line, '{k}' AS type, unnest(regexp_extract_all(message, '{p}', 1)) AS n FROM {_STEPS}"
-    for k, p in irules.LIMIT_PATTERNS)
+    f"SELECT seq, hop, file, line, '{k}' AS type, unnest(regexp_extract_all(message, '{b}\s*(\d+){a}', 1)) AS n FROM {_STEPS}"
+    for k, b, a in irules.LIMIT_FORMS)
 
 
 @query("constraint_hits", f"""SELECT seq, hop, file, line, type, CAST(n AS BIGINT) AS max_bytes
@@ -355,7 +355,7 @@ _SHRINK = "CASE WHEN avg IS NULL THEN {0} ELSE {0} * (1.0::DOUBLE - 0.15::DOUBLE
 
 
 def _by_project(df):
-    return df.withColumn("project", F.col("seq") % 400)
+    return df.withColumn("part", F.col("seq") % 400)
 
 
 @query("qrs_impact", _PER.replace("{years}", "1.0") + f""" SELECT project, score, {O.grade('score')} AS grade
@@ -364,7 +364,7 @@ def _by_project(df):
         FROM t LEFT JOIN a USING (project))""")
 def qrs_impact(spark, sf):
     found = _by_project(classified_flows(spark, sf))
-    return SC.qrs_impact(found, _by_project(zones(spark, sf)), by=("project",))
+    return SC.qrs_impact(found, _by_project(zones(spark, sf)), by=("part",)).withColumnRenamed("part", "project")
 
 
 @query("qrs_full", _PER.replace("{years}", "1.15") + f""" SELECT project, score, {O.grade('score')} AS grade
@@ -373,7 +373,7 @@ def qrs_impact(spark, sf):
         FROM t LEFT JOIN a USING (project))""")
 def qrs_full(spark, sf):
     found = _by_project(classified_flows(spark, sf))
-    return SC.qrs_full(found, _by_project(zones(spark, sf)), 20, by=("project",))
+    return SC.qrs_full(found, _by_project(zones(spark, sf)), 20, by=("part",)).withColumnRenamed("part", "project")
 
 
 @query("encoded_size", f"""SELECT enc, b, CASE e.enc WHEN 'hex' THEN b * 2 ELSE {_ENC} END AS bytes,
@@ -478,7 +478,7 @@ def _safe(expr):
 @query("csv_columns", f"""{_CF} SELECT seq, COALESCE(severity, '') AS severity,
     {_safe("COALESCE(alg_name, '')")} AS algorithm, COALESCE(CAST(key_size AS STRING), '') AS "keySize",
     COALESCE(quantum_risk, '') AS risk, 'false' AS "pqcPresent", {_safe("'=' || file")} AS file,
-    CAST(line AS STRING) AS line, '''=' || {O.finding_key()} AS "dedupeKey" FROM cf""")
+    CAST(line AS STRING) AS line, {O.finding_key('=')} AS "dedupeKey" FROM cf""")
 def csv_columns(spark, sf):
     rows = classified(spark, sf).withColumn("file", F.concat(F.lit("="), "file"))
     full = schema.conform(rows, derived=True)

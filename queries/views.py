@@ -290,6 +290,6 @@ def findings(spark: SparkSession, sf_dir: str, sql: str = FINDINGS) -> DataFrame
     conformed = schema.FINDING
     have = set(nested.columns)
     return nested.select(
-        "project", "place",
+        "place",
         *[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in conformed.items()],
     )

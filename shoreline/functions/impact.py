@@ -86,9 +86,9 @@ def protocol_encoding(protocol: Column) -> Column:
 
 def size_limits(message: Column) -> Column:
     """Positive size limits written in a message, as ``struct<type, max_bytes>``."""
-    def of(kind, pattern):
+    def of(kind, before, after):
         numbers = F.transform(
-            F.regexp_extract_all(message, F.lit(pattern), F.lit(1)),
+            F.regexp_extract_all(message, F.lit(rf"{before}\s*(\d+){after}"), F.lit(1)),
             lambda n: n.try_cast("bigint"),
         )
         return F.transform(
@@ -96,7 +96,7 @@ def size_limits(message: Column) -> Column:
             lambda n: F.named_struct(F.lit("type"), F.lit(kind), F.lit("max_bytes"), n),
         )
 
-    return F.concat(*[of(kind, pattern) for kind, pattern in rules.LIMIT_PATTERNS])
+    return F.concat(*[of(*form) for form in rules.LIMIT_FORMS])
 
 
 def blast_radius(hops: Column, limits: Column, protocols: Column, ratio: Column) -> Column:

@@ -67,9 +67,15 @@ def enrich_key_size(df: DataFrame, constants: DataFrame) -> DataFrame:
     once per pair and joined back; findings themselves are joined once.
     """
     token = algorithm_token(F.col("algorithm.name"))
+    # the constants of a file are those of the finding's own project
+    if {"project"} <= set(df.columns) & set(constants.columns):
+        place = F.concat_ws("!", "project", "file")
+        constants = constants.withColumn("file", place)
+    else:
+        place = F.col("file")
     wanted = (
         df.where(_lacks_size() & (F.coalesce(F.col("file"), F.lit("")) != ""))
-        .select(F.col("file").alias("_file"), token.alias("_token")).distinct()
+        .select(place.alias("_file"), token.alias("_token")).distinct()
     )
     known_sizes = sorted({*rules.SYMMETRIC_SIZES, *rules.RSA_SIZES, *rules.EC_SIZES})
     consts = constants.where(F.col("value").isin(known_sizes)).select(
@@ -94,7 +100,7 @@ def enrich_key_size(df: DataFrame, constants: DataFrame) -> DataFrame:
     ).where(F.col("_found").isNotNull())
     a = F.col("algorithm")
     joined = df.withColumn("_t", token).join(
-        answers, (F.col("file") == F.col("_file")) & (F.col("_t") == F.col("_token")), "left"
+        answers, (place == F.col("_file")) & (F.col("_t") == F.col("_token")), "left"
     )
     return joined.withColumn(
         "algorithm",

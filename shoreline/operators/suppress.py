@@ -53,10 +53,12 @@ def extract_directives(lines: DataFrame, tag: str = TAG) -> DataFrame:
 def suppress_inline(df: DataFrame, directives: DataFrame) -> DataFrame:
     """Drop findings with a matching marker on their line or the line above.
 
-    ``directives`` is ``(file, line, algorithms)``.  The anti join is on file and
+    ``directives`` is ``(file, line, algorithms)``, with ``project`` where there are several.  The anti join is on file and
     line, so both sides are partitioned by place.
     """
+    scope = [F.col("project").alias("_project")] if {"project"} <= set(df.columns) & set(directives.columns) else []
     marks = directives.select(
+        *scope,
         F.col("file").alias("_f"), F.explode(F.array("line", F.col("line") + 1)).alias("_l"),
         F.transform("algorithms", lambda a: F.lower(a)).alias("_algs"),
     )
@@ -68,7 +70,9 @@ def suppress_inline(df: DataFrame, directives: DataFrame) -> DataFrame:
         | (F.array_contains("_algs", "ssl") & covers_version(F.lit("ssl"), F.col("_name")))
     )
     return df.withColumn("_name", name).join(
-        marks, (F.col("file") == F.col("_f")) & (F.col("line") == F.col("_l")) & covered,
+        marks,
+        (F.col("file") == F.col("_f")) & (F.col("line") == F.col("_l")) & covered
+        & (F.col("project").eqNullSafe(F.col("_project")) if scope else F.lit(True)),
         "left_anti",
     ).drop("_name")
 

@@ -8,8 +8,9 @@ DEPENDENCY = "struct<library:string,version:string>"
 FLOW = "array<struct<file:string,line:int,col:int,message:string>>"
 
 # Observed columns, then columns later steps derive.  Absent is NULL.
+# ``project`` is the scan a finding belongs to; nothing is matched across projects.
 FINDING = {
-    "file": "string", "line": "int", "col": "int", "inner_path": "string",
+    "project": "string", "file": "string", "line": "int", "col": "int", "inner_path": "string",
     "artifact_type": "string", "algorithm": ALGORITHM,
     "dependency": DEPENDENCY, "confidence": "string",
     "source_engine": "string", "corroborated_by": "array<string>",
@@ -65,7 +66,7 @@ def finding_key(within: str | None = None) -> Column:
     """Duplicate key: place plus algorithm name, or library and version.
 
     Column, key size, mode and curve are left out on purpose, since feeds
-    disagree about them.  ``within`` names a struct column holding the finding.
+    disagree about them.  Where there is a project it comes first.  ``within`` names a struct column holding the finding.
     """
     def col(name):
         return F.col(name if within is None else f"{within}.{name}")
@@ -78,7 +79,7 @@ def finding_key(within: str | None = None) -> Column:
     name = F.nullif(col("algorithm")["name"], F.lit(""))
     library = F.nullif(col("dependency")["library"], F.lit(""))
     version = F.nullif(col("dependency")["version"], F.lit(""))
-    return (
+    key = (
         F.when(name.isNotNull(), F.concat_ws("|", place, line, F.lit("alg"), name))
         .when(
             library.isNotNull(),
@@ -89,8 +90,9 @@ def finding_key(within: str | None = None) -> Column:
             F.coalesce(col("source_engine"), F.lit("")),
         ))
     )
+    return F.concat_ws("|", col("project"), key)
 
 
 def file_key() -> Column:
-    """File plus path inside the archive."""
-    return F.concat_ws("!", F.col("file"), F.nullif(F.col("inner_path"), F.lit("")))
+    """Project, file and path inside the archive."""
+    return F.concat_ws("!", F.col("project"), F.col("file"), F.nullif(F.col("inner_path"), F.lit("")))

@@ -129,7 +129,7 @@ def extract_constants(df: DataFrame) -> DataFrame:
     return values.groupBy("file", "name").agg(F.max_by("value", order).alias("value"))
 
 
-def flatten_json_kv(df: DataFrame, max_depth: int = 64) -> DataFrame:
+def flatten_json_kv(df: DataFrame, max_depth: int = 1000) -> DataFrame:
     """JSON documents ``(file, content)`` to ``(file, key, value)``.
 
     Object keys are joined with dots, array entries are ``[i]``, nulls are
@@ -137,6 +137,8 @@ def flatten_json_kv(df: DataFrame, max_depth: int = 64) -> DataFrame:
     one level per step, so only documents that are that deep cost that many steps.
     """
     spark = df.sparkSession
+    # the walk has as many rows as the documents have keys
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     parsed = df.select("file", F.try_parse_json(F.col("content")).alias("v")).where(
         F.col("v").isNotNull()
     )

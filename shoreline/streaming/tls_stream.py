@@ -38,9 +38,16 @@ def stream_tls_logs(spark: SparkSession, path, fmt: str = "eve", **options) -> D
 
 
 def stream_dedup(
-    df: DataFrame, keys: list, watermark: str = "1 day", time: str = "ts_received"
+    df: DataFrame, keys: list, watermark: str | None = None, time: str = "ts_received"
 ) -> DataFrame:
-    """First record per key within the watermark, which bounds the state."""
+    """First record per key.
+
+    Nothing is dropped for its age: the state holds a row for each key, dealt over the
+    state partitions.  With a ``watermark`` the state is bounded, and records of files
+    that are later than it are lost.
+    """
+    if watermark is None:
+        return df.dropDuplicates(keys)
     return df.withWatermark(time, watermark).dropDuplicatesWithinWatermark(keys)
 
 
@@ -51,7 +58,7 @@ def findings_of(df: DataFrame, fmt: str) -> DataFrame:
 
 
 def stream_findings(
-    df: DataFrame, out: str, checkpoint: str, fmt: str = "eve", watermark: str = "1 day",
+    df: DataFrame, out: str, checkpoint: str, fmt: str = "eve", watermark: str | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Append classified findings of new records to parquet files.

@@ -97,3 +97,21 @@ def test_generic_name_needs_exactly_one_version(spark):
             ("g", 1, "TLSv1.3", None, None, "no", "low", 2, "c", 4)]
     names = sorted(n for _, n, *_ in merged(spark, rows))
     assert names == ["TLS", "TLSv1.2", "TLSv1.2", "TLSv1.3"]
+
+
+def test_projects_are_kept_apart(spark):
+    from pyspark.sql import functions as F
+
+    from shoreline import schema
+    from shoreline.operators import dedupe, suppress
+
+    one = spark.createDataFrame(
+        [("a.py", 3, "RSA", "ast", 0, 0), ("a.py", 3, "RSA", "pattern", 1, 0)],
+        "file string, line int, name string, source_engine string, engine_rank int, seq long",
+    ).withColumn("algorithm", schema.algorithm(F.col("name")))
+    both = one.withColumn("project", F.lit("p")).unionByName(one.withColumn("project", F.lit("q")))
+    merged = dedupe.dedupe_findings(schema.conform(both))
+    assert sorted(r["project"] for r in merged.collect()) == ["p", "q"]
+    marks = spark.createDataFrame([("p", "a.py", 3, [])], "project string, file string, line int, algorithms array<string>")
+    left = suppress.suppress_inline(schema.conform(both), marks)
+    assert {r["project"] for r in left.collect()} == {"q"}
