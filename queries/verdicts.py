@@ -222,7 +222,7 @@ def consumer_type(spark, sf):
 
 
 _HITS = " UNION ALL ".join(
-    f"SELECT seq, hop, file, line, '{k}' AS type, unnest(regexp_extract_all(message, '{b}\s*(\d+){a}', 1)) AS n FROM {_STEPS}"
+    f"SELECT seq, hop, file, line, '{k}' AS type, unnest(regexp_extract_all(message, '{b}\\s*(\\d+){a}', 1)) AS n FROM {_STEPS}"
     for k, b, a in irules.LIMIT_FORMS)
 
 
