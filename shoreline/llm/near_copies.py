@@ -33,6 +33,8 @@ from shoreline.llm.components import components
 from shoreline.llm.frames import own_name, ship, stored, text_keys
 
 SEED = 42
+#: Independent fingerprints and minima of hashes that tell near-copies in the pipeline.
+PRINTS, MINIMA = 8, 4
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 _ONE = np.uint64(1)
 
@@ -65,6 +67,38 @@ def fingerprint(hashes: np.ndarray) -> int:
     return out
 
 
+def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
+    """Other hashes of the same shingles: the finalizer of SplitMix64."""
+    z = hashes + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def sketches(texts: DataFrame, words: int, prints: int, minima: int) -> DataFrame:
+    """``(k1, k2, doc_id, text)`` to ``(k1, k2, doc_id, fps, mins)``.
+
+    ``fps`` are independent fingerprints, ``mins`` the least of the shingles' hashes
+    under independent mixes (0 without words).
+    """
+    def longs(rows: list[list[int]]) -> pa.Array:
+        return pa.array([np.array(r, np.uint64).view(np.int64) for r in rows], pa.list_(pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, mins = [], []
+            for t in b.column("text"):
+                h = shingle_hashes(t.as_py(), words)
+                fps.append([fingerprint(_mixed(h, 1 + i)) for i in range(prints)])
+                mins.append([int(_mixed(h, -1 - i).min()) if len(h) else 0 for i in range(minima)])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("k1"), b.column("k2"), b.column("doc_id"), longs(fps), longs(mins)],
+                ["k1", "k2", "doc_id", "fps", "mins"])
+
+    return texts.select("k1", "k2", "doc_id", "text").mapInArrow(
+        run, "k1 long, k2 long, doc_id long, fps array<long>, mins array<long>")
+
+
 def fingerprints(texts: DataFrame, words: int) -> DataFrame:
     """``(k1, k2, doc_id, text)`` to ``(k1, k2, doc_id, fp)``; the bits of ``fp`` as a long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,9 +140,10 @@ def _emit(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            first = b.column("print").to_numpy(zero_copy_only=False).astype(np.int32) * parts
             for part, cell, at, away in _cells(fps, parts):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), part, np.int32)), pa.array(cell.view(np.int64)),
+                    [pa.array(first[at] + np.int32(part)), pa.array(cell.view(np.int64)),
                      pa.array(fps[at].view(np.int64)), pa.array(away)], ["part", "cell", "fp", "away"])
 
     return run
@@ -167,13 +202,15 @@ def _forest(radius: int):
 def links(fps: DataFrame, radius: int, block: int = 4096) -> DataFrame:
     """Distinct ``fp`` longs to links ``(a, b)`` that connect all pairs within ``radius`` bits.
 
-    The links are a spanning forest: two fingerprints within the radius are always
+    With a column ``print`` only fingerprints of the same number are compared.  The links are a spanning forest: two fingerprints within the radius are always
     connected by a path of them.  A radius of 0 gives none.
     """
     parts = next((p for p in (1, 2, 4, 8) if radius // p <= 1), None)
     if parts is None:
         raise ValueError("the radius must be below 16")
-    cells = fps.select("fp").mapInArrow(_emit(parts), "part int, cell long, fp long, away boolean")
+    if "print" not in fps.columns:
+        fps = fps.withColumn("print", F.lit(0))
+    cells = fps.select("fp", "print").mapInArrow(_emit(parts), "part int, cell long, fp long, away boolean")
     sizes = (cells.groupBy("part", "cell")
              .agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("away")).cast("int")).alias("own"))
              .where("n > 1 and own > 0").select("part", "cell", "n"))
@@ -240,49 +277,88 @@ def _similar(words: int, least: float):
     return run
 
 
+def candidate_groups(texts: DataFrame, radius: int) -> DataFrame:
+    """``(k1, k2, fps)``, one row per text, to ``(k1, k2, base)``: texts linked by any fingerprint.
+
+    Texts without a link do not appear.  The graph has the texts and the fingerprints
+    that are linked or shared as nodes, so no pairs of texts are written.
+    """
+    each = stored(texts.select("k1", "k2", F.posexplode("fps").alias("print", "fp")), "fingerprints")
+    shared = (each.groupBy("print", "fp").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi")))
+    near = stored(links(shared.select("print", "fp"), radius), "links")
+    met = near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).unionByName(
+        shared.where("lo <> hi").select("fp")).distinct()
+    held = each.join(met, "fp").select(F.col("k1").alias("a"), F.col("fp").alias("b"))
+    found = components(near.unionByName(held))
+    return texts.select("k1", "k2").join(found, F.col("k1") == F.col("node")).select("k1", "k2", F.col("label").alias("base"))
+
+
+def _judged(open_: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``(k1, k2, same)``: each text of a ``grp``, but its head, against the head."""
+    order = F.struct(F.col("least").isNull(), F.col("least"), F.col("k1"), F.col("k2"))
+    head = open_.groupBy("grp").agg(F.min(order).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        "grp", F.col("h.k1").alias("h1"), F.col("h.k2").alias("h2"))
+    rest = open_.join(head, "grp").where("not (k1 = h1 and k2 = h2)").select("grp", "k1", "k2", "text")
+    theirs = open_.join(head, "grp").where("k1 = h1 and k2 = h2").select("grp", F.col("text").alias("head_text"))
+    judged = rest.join(theirs, "grp").select("k1", "k2", "grp", "text", "head_text").mapInArrow(
+        _similar(words, similarity), "k1 long, k2 long, grp long, same boolean")
+    return stored(judged.select("k1", "k2", "same").distinct(), "judged")
+
+
+def _near_texts(heads: DataFrame, one: DataFrame, radius: int, words: int, similarity: float, rounds: int,
+                minima: int) -> DataFrame | None:
+    """``(k1, k2)`` of the texts that a kept one of their group makes superfluous; None if there are none."""
+    groups = heads.join(candidate_groups(heads, radius), ["k1", "k2"]).select("k1", "k2", "least", "base", "mins")
+    # the texts of candidates alone, each once: that of the row with its smallest id
+    open_ = groups.join(one, ["k1", "k2"]).where(F.col("least").eqNullSafe(F.col("id"))).drop("id")
+    held = stored(open_.dropDuplicates(["k1", "k2"]), "candidates")
+    open_, gone = held, None
+    for turn in range(rounds + minima):
+        if open_.isEmpty():
+            break
+        whole = turn < rounds
+        grp = F.col("base") if whole else F.xxhash64("base", F.get("mins", F.lit(turn - rounds)))
+        judged = _judged(open_.withColumn("grp", grp), words, similarity)
+        out = judged.where("same").select("k1", "k2")
+        gone = out if gone is None else gone.unionByName(out)
+        # a head was compared with its whole component, but only with a part of it later
+        if whole:
+            open_ = held.join(judged.where("not same").select("k1", "k2"), ["k1", "k2"])
+        else:
+            open_ = open_.join(out, ["k1", "k2"], "left_anti")
+    return gone
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-                     radius: int = 7, similarity: float = 0.8, rounds: int = 3) -> DataFrame:
+                     radius: int = 7, similarity: float = 0.8, rounds: int = 2, prints: int = PRINTS,
+                     minima: int = MINIMA) -> DataFrame:
     """``docs`` with one row of each group of near-copies, all columns kept.
 
-    Candidates are the SimHash components at ``radius`` bits.  A text goes if its
-    ``words``-word shingles have a Jaccard similarity of at least ``similarity`` with
-    the head of its component (the text with the smallest id); the texts that are not
-    similar to it form the next round's component, with a head of their own.  What is
-    left after ``rounds`` stays.  Equal texts (null counts as empty) always go to one
-    row, the one with the smallest id, nulls last; texts without words are equal only
-    to themselves.
+    Candidates are the texts linked at ``radius`` bits of one of ``prints`` independent
+    fingerprints: the first alone, which clears crowded groups, then the others for
+    what is left.  A text goes if its ``words``-word shingles have a Jaccard similarity
+    of at least ``similarity`` with the head of its component (the text with the
+    smallest id); the texts that are not similar to it form the next round's component,
+    with a head of their own.  Components not done after ``rounds`` are parted by
+    ``minima`` min-hashes in turn, each shared by two texts as often as they are
+    similar, and each part has a head.  Equal texts (null counts as empty) always go to
+    one row, the one with the smallest id, nulls last; texts without words are equal
+    only to themselves.
     """
     texts = _texts(docs, id_col, text_col)
-    marked = stored(fingerprints(texts, words), "fingerprints")
-    grouped = fingerprint_groups(marked, radius)
+    marked = stored(sketches(texts, words, prints, minima), "fingerprints")
     # one row per distinct text: its smallest id, or null
-    heads = marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"))
-    shared = marked.groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi"))
-    crowded = shared.where("lo <> hi").select("fp").withColumn("alone", F.lit(False))
-    open_ = (heads.join(grouped, "fp", "left").join(crowded, "fp", "left")
-             .where("grp is not null or alone is not null").withColumn("grp", F.coalesce("grp", "fp"))
-             .select("k1", "k2", "least", "grp"))
-    open_ = stored(open_, "candidates")
-    gone = None
+    heads = marked.groupBy("k1", "k2").agg(
+        F.min("doc_id").alias("least"), F.first("fps").alias("fps"), F.first("mins").alias("mins"))
+    heads = stored(heads, "texts")
     one = texts.select("k1", "k2", F.col("doc_id").alias("id"), "text")
-    for _ in range(rounds):
-        if open_.isEmpty():
-            break
-        order = F.struct(F.col("least").isNull(), F.col("least"), F.col("k1"), F.col("k2"))
-        head = open_.groupBy("grp").agg(F.min(order).alias("h")).select(
-            "grp", F.col("h.k1").alias("h1"), F.col("h.k2").alias("h2"), F.col("h.least").alias("h_id"))
-        rest = open_.join(head, "grp").where("not (k1 = h1 and k2 = h2)").select("grp", "k1", "k2", "least")
-        # the text of one row per distinct text: the row with its smallest id
-        own = rest.join(one, ["k1", "k2"]).where(F.col("least").eqNullSafe(F.col("id"))).select("grp", "k1", "k2", "text")
-        theirs = (head.join(one.withColumnsRenamed({"k1": "h1", "k2": "h2"}), ["h1", "h2"])
-                  .where(F.col("h_id").eqNullSafe(F.col("id")))
-                  .select("grp", F.col("text").alias("head_text")).dropDuplicates(["grp"]))
-        judged = own.join(theirs, "grp").select("k1", "k2", "grp", "text", "head_text").mapInArrow(
-            _similar(words, similarity), "k1 long, k2 long, grp long, same boolean")
-        judged = stored(judged.distinct(), "judged")
-        out = judged.where("same").select("k1", "k2")
-        gone = out if gone is None else gone.unionByName(out)
-        open_ = rest.join(judged.where("not same").select("k1", "k2"), ["k1", "k2"]).select("k1", "k2", "least", "grp")
+    gone, left = None, heads
+    for first, many, parted in ((1, 1, 0), (2, prints - 1, minima)):
+        some = left.withColumn("fps", F.slice("fps", first, many))
+        out = _near_texts(some, one, radius, words, similarity, rounds, parted)
+        if out is not None:
+            gone = out if gone is None else gone.unionByName(out)
+            left = left.join(out, ["k1", "k2"], "left_anti")
     kept = heads.select("k1", "k2", "least")
     if gone is not None:
         kept = kept.join(gone, ["k1", "k2"], "left_anti")
