@@ -35,8 +35,9 @@ from shoreline.llm.frames import own_name, ship, stored, text_keys
 SEED = 42
 #: Independent fingerprints and minima of hashes that tell near-copies in the pipeline.
 PRINTS, MINIMA = 8, 4
-_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 _ONE = np.uint64(1)
+#: The lowest bit of each byte; hashes taken at once.
+_LANES, _AT_ONCE = np.uint64(0x0101010101010101), 1 << 16
 
 
 # -- fingerprints -------------------------------------------------------------------
@@ -54,45 +55,64 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.array([one(s, SEED) for s in shingles], np.uint64)
 
 
+def _bits_set(hashes: np.ndarray) -> np.ndarray:
+    """How often each of the 64 bits is set in each row of hashes: eight bits a pass, a byte each."""
+    out = np.zeros((len(hashes), 8, 8), np.int64)
+    # 255 ones fit a byte
+    cuts = np.arange(0, hashes.shape[1], 255)
+    for bit in range(8):
+        sums = np.add.reduceat((hashes >> np.uint64(bit)) & _LANES, cuts, axis=1)
+        out[:, :, bit] = np.ascontiguousarray(sums, "<u8").view(np.uint8).reshape(len(hashes), -1, 8).sum(1)
+    return out.reshape(len(hashes), 64)
+
+
+def _majority(ones: np.ndarray, of: int) -> np.ndarray:
+    return np.packbits(2 * ones > of, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """A bit is 1 if more than half of the hashes have it; no hashes give 0."""
     if not len(hashes):
         return 0
-    octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
-    out = 0
-    for j in range(8):
-        ones = np.bincount(octets[:, j], minlength=256) @ _BITS
-        for bit in np.flatnonzero(2 * ones > len(hashes)):
-            out |= 1 << (8 * j + int(bit))
-    return out
-
-
-def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
-    """Other hashes of the same shingles: the finalizer of SplitMix64."""
-    z = hashes + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))
+    ones = sum(_bits_set(hashes[None, i:i + _AT_ONCE]) for i in range(0, len(hashes), _AT_ONCE))
+    return int(_majority(ones, len(hashes))[0])
+
+
+def _mixed(hashes: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles, a row for each salt: the finalizer of SplitMix64."""
+    z = hashes[None, :] + (salts * np.uint64(0x9E3779B97F4A7C15))[:, None]
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
 
 
+def sketch(hashes: np.ndarray, prints: int, minima: int) -> tuple[np.ndarray, np.ndarray]:
+    """Independent fingerprints, and the least hash under other mixes; zeros without hashes."""
+    if not len(hashes):
+        return np.zeros(prints, np.uint64), np.zeros(minima, np.uint64)
+    salts = np.arange(1, 1 + prints + minima, dtype=np.uint64)
+    ones, least = 0, np.full(minima, ~np.uint64(0))
+    for i in range(0, len(hashes), _AT_ONCE):
+        mixed = _mixed(hashes[i:i + _AT_ONCE], salts)
+        ones = ones + _bits_set(mixed[:prints])
+        least = np.minimum(least, mixed[prints:].min(axis=1))
+    return _majority(ones, len(hashes)), least
+
+
 def sketches(texts: DataFrame, words: int, prints: int, minima: int) -> DataFrame:
     """``(k1, k2, doc_id, text)`` to ``(k1, k2, doc_id, fps, mins)``.
 
     ``fps`` are independent fingerprints, ``mins`` the least of the shingles' hashes
     under independent mixes (0 without words).
     """
-    def longs(rows: list[list[int]]) -> pa.Array:
-        return pa.array([np.array(r, np.uint64).view(np.int64) for r in rows], pa.list_(pa.int64()))
+    def longs(rows: list[np.ndarray]) -> pa.Array:
+        return pa.array([r.view(np.int64) for r in rows], pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, mins = [], []
-            for t in b.column("text"):
-                h = shingle_hashes(t.as_py(), words)
-                fps.append([fingerprint(_mixed(h, 1 + i)) for i in range(prints)])
-                mins.append([int(_mixed(h, -1 - i).min()) if len(h) else 0 for i in range(minima)])
+            rows = [sketch(shingle_hashes(t.as_py(), words), prints, minima) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [b.column("k1"), b.column("k2"), b.column("doc_id"), longs(fps), longs(mins)],
+                [b.column("k1"), b.column("k2"), b.column("doc_id"), longs([r[0] for r in rows]), longs([r[1] for r in rows])],
                 ["k1", "k2", "doc_id", "fps", "mins"])
 
     return texts.select("k1", "k2", "doc_id", "text").mapInArrow(
