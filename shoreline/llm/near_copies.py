@@ -34,7 +34,7 @@ from shoreline.llm.frames import own_name, ship, stored, text_keys
 
 SEED = 42
 #: Independent fingerprints and minima of hashes that tell near-copies in the pipeline.
-PRINTS, MINIMA = 8, 4
+PRINTS, MINIMA = 6, 2
 _ONE = np.uint64(1)
 #: The lowest bit of each byte; hashes taken at once.
 _LANES, _AT_ONCE = np.uint64(0x0101010101010101), 1 << 16
@@ -355,8 +355,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with one row of each group of near-copies, all columns kept.
 
     Candidates are the texts linked at ``radius`` bits of one of ``prints`` independent
-    fingerprints: the first alone, which clears crowded groups, then the others for
-    what is left.  A text goes if its ``words``-word shingles have a Jaccard similarity
+    fingerprints.  A text goes if its ``words``-word shingles have a Jaccard similarity
     of at least ``similarity`` with the head of its component (the text with the
     smallest id); the texts that are not similar to it form the next round's component,
     with a head of their own.  Components not done after ``rounds`` are parted by
@@ -372,13 +371,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.min("doc_id").alias("least"), F.first("fps").alias("fps"), F.first("mins").alias("mins"))
     heads = stored(heads, "texts")
     one = texts.select("k1", "k2", F.col("doc_id").alias("id"), "text")
-    gone, left = None, heads
-    for first, many, parted in ((1, 1, 0), (2, prints - 1, minima)):
-        some = left.withColumn("fps", F.slice("fps", first, many))
-        out = _near_texts(some, one, radius, words, similarity, rounds, parted)
-        if out is not None:
-            gone = out if gone is None else gone.unionByName(out)
-            left = left.join(out, ["k1", "k2"], "left_anti")
+    gone = _near_texts(heads, one, radius, words, similarity, rounds, minima)
     kept = heads.select("k1", "k2", "least")
     if gone is not None:
         kept = kept.join(gone, ["k1", "k2"], "left_anti")
