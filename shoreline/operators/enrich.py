@@ -5,10 +5,6 @@ from pyspark.sql import functions as F
 
 from shoreline.rules import constants as rules
 
-# Names without a letter or digit share no token; their rows are spread over
-# this many join keys.
-_SPREAD = 64
-
 
 def algorithm_token(name: Column) -> Column:
     """Leading letters and digits of the name, upper case."""
@@ -110,37 +106,44 @@ def enrich_key_size(df: DataFrame, constants: DataFrame) -> DataFrame:
 
 
 def _tokens(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(text, "[^A-Za-z0-9]+"), lambda s: s != ""))
+    return F.filter(F.split(text, "[^A-Za-z0-9]+"), lambda s: s != "")
 
 
 def enrich_key_size_by_identifier(df: DataFrame, constants: DataFrame) -> DataFrame:
     """Key size from the longest constant name that is a word of the raw identifier.
 
-    A name found as a word starts with one of the identifier's tokens, so the
-    join is on that token and the exact test runs on its few candidates.  It runs
-    once per distinct identifier.
+    A name found as a word is a run of the identifier's tokens, so names and runs
+    are joined on equality of all their tokens and only names that differ in their
+    separators are tested further.  A name without any letter or digit is looked
+    for by its first character.  Each distinct identifier is taken apart once.
     """
     field = F.regexp_replace(F.col("name"), r"^[^.]*\.", "")
-    spread = F.transform(F.sequence(F.lit(0), F.lit(_SPREAD - 1)), lambda i: i.cast("string"))
     consts = (
         constants.where(F.col("value") > 0)
         .select(field.alias("_field"), F.col("value").alias("_value"))
         .where(F.col("_field") != "")
         .groupBy("_field").agg(F.max("_value").alias("_value"))
-        .withColumn("_first", F.regexp_extract("_field", "([A-Za-z0-9]+)", 1))
-        .withColumn("_token", F.explode(F.when(
-            F.col("_first") != "", F.array("_first")
-        ).otherwise(F.transform(spread, lambda i: F.concat(F.lit("#"), i)))))
+        .withColumn("_n", F.size(_tokens(F.col("_field"))))
+        .withColumn("_run", F.when(F.col("_n") > 0, F.array_join(_tokens(F.col("_field")), " "))
+                    .otherwise(F.concat(F.lit("#"), F.substring("_field", 1, 1))))
     )
     raw = F.col("raw_identifier")
+    tokens = F.col("_tokens")
+    runs = F.flatten(F.transform(tokens, lambda t, i: F.transform(
+        F.sequence(F.lit(1), F.least(F.size(tokens) - i, F.col("_most"))),
+        lambda n: F.array_join(F.slice(tokens, i + 1, n), " "))))
+    separators = F.array_distinct(F.filter(
+        F.split(F.regexp_replace("_raw", "[A-Za-z0-9]+", ""), ""), lambda c: c != ""))
     words = (
         df.where(_lacks_size() & (F.coalesce(raw, F.lit("")) != "")).select(raw.alias("_raw"))
         .distinct()
-        .withColumn("_token", F.explode(F.concat(_tokens(F.col("_raw")), F.array(
-            F.concat(F.lit("#"), F.pmod(F.xxhash64("_raw"), F.lit(_SPREAD)).cast("string"))
-        ))))
+        # no run longer than the longest name is needed
+        .withColumn("_most", F.greatest(F.lit(1), consts.agg(F.max("_n")).scalar()))
+        .withColumn("_tokens", _tokens(F.col("_raw")))
+        .select("_raw", F.explode(F.concat(
+            F.array_distinct(runs), F.transform(separators, lambda c: F.concat(F.lit("#"), c)))).alias("_run"))
     )
-    hits = words.join(consts, "_token").where(_contains_word(F.col("_raw"), F.col("_field")))
+    hits = words.join(consts, "_run").where(_contains_word(F.col("_raw"), F.col("_field")))
     # longest name first, then alphabetical
     best = F.max_by("_value", F.struct(F.length("_field"), _reversed_order("_field")))
     answers = hits.groupBy("_raw").agg(best.alias("_found"))

@@ -48,6 +48,9 @@ def top_findings(df: DataFrame, n: int = MAX_TOP, by=()) -> DataFrame:
         F.concat(F.lit(".../"), F.array_join(F.slice(parts, -2, 2), "/")),
     ).otherwise(F.col("file"))
     named = df.where(blank_to_null(name).isNotNull())
+    if not by:
+        # the best of all tasks, so that the window below sees n rows
+        named = named.orderBy(*order).limit(n)
     keys = [F.col(c) for c in by] or [F.lit(0)]
     ranked = named.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     top = ranked.where(F.col("place") <= n)

@@ -3,6 +3,8 @@
 The inline marker is ``<tag>:ignore``, e.g. ``# crypto:ignore[RSA] -- reason``.
 """
 
+import functools
+import operator
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +19,7 @@ from shoreline.functions.text import (
 )
 
 TAG = "crypto"
+COMMENT_OPENERS = ["//", "#", "/*", "<!--"]
 MAX_PATTERNS = 10_000
 
 
@@ -27,27 +30,58 @@ def strip_string_literals(text: Column) -> Column:
     )
 
 
+def _reason(body: Column) -> Column:
+    """What follows the introducing colon or dashes, without the end of the comment."""
+    dashes = body.startswith("-")
+    said = strip(F.when(dashes, F.regexp_replace(body, "^-+", "")).otherwise(F.substr(body, F.lit(2))))
+    # of nothing but dashes the last one is the reason
+    said = F.when((said == "") & dashes & (F.length(body) > 1), F.lit("-")).otherwise(said)
+    open_ = strip(_without_end(said))
+    return F.when(open_ != "", open_).otherwise(said)
+
+
+def _without_end(text: Column) -> Column:
+    out = text
+    for end in ("-->", "*/"):
+        out = F.when(text.endswith(end), F.substr(text, F.lit(1), F.length(text) - len(end))).otherwise(out)
+    return out
+
+
+def _read_marker(rest: Column) -> Column:
+    """``(algorithms, reason)`` of the text behind a marker; NULL if it is something else."""
+    close = F.locate("]", rest)
+    listed = rest.startswith("[") & (close > 0)
+    names = F.transform(
+        F.split(F.when(listed, F.substr(rest, F.lit(2), close - 2)).otherwise(""), ","), strip)
+    body = strip(F.when(listed, F.substr(rest, close + 1)).otherwise(rest))
+    introduced = body.startswith("-") | body.startswith(":") | body.startswith("—")
+    reason = F.when(introduced, _reason(body))
+    fits = F.when(introduced, reason != "").otherwise(strip(_without_end(body)) == "")
+    return F.when(fits, F.struct(
+        F.filter(names, lambda n: n != "").alias("algorithms"), blank_to_null(reason).alias("reason")))
+
+
 def extract_directives(lines: DataFrame, tag: str = TAG) -> DataFrame:
     """Markers in lines ``(file, line_no, text)``: ``(file, line, algorithms, reason)``.
 
-    An empty algorithm list covers every algorithm.  Markers inside string
-    literals do not count.
+    A marker opens a comment: ``<tag>:ignore``, then a list in brackets, then a reason
+    after a colon or dashes, both optional, then the end of the line.  An empty
+    algorithm list covers every algorithm.  Markers inside string literals do not
+    count; of several on a line the first readable one does.
     """
-    marker = (
-        r"(?://|#|/\*|<!--)\s*" + re.escape(tag) + r":ignore(?:\[([^\]]*)\])?"
-        r"(?:\s*(?:[—:]\s*|\s*-+\s*)(.+?))?(?:\s*\*/|\s*-->)?\s*$"
-    )
-    text = strip_string_literals(strip(F.col("text")))
-    # the substring test spares most lines the regexes
-    hits = lines.where(F.col("text").contains(f"{tag}:ignore")).withColumn("_t", text).where(
-        F.col("_t").rlike(marker)
-    )
-    names = F.transform(F.split(F.regexp_extract("_t", marker, 1), ","), strip)
-    return hits.select(
-        "file", F.col("line_no").alias("line"),
-        F.filter(names, lambda n: n != "").alias("algorithms"),
-        blank_to_null(strip(F.regexp_extract("_t", marker, 2))).alias("reason"),
-    )
+    marker = f"{tag}:ignore"
+    # the substring test spares most lines the rest
+    hits = lines.where(F.col("text").contains(marker)).withColumn(
+        "_t", strip_string_literals(strip(F.col("text")))).where(F.col("_t").contains(marker))
+    pieces = F.split("_t", re.escape(marker))
+
+    def read(i):
+        before = strip(F.get(pieces, i - 1))
+        opened = functools.reduce(operator.or_, [before.endswith(c) for c in COMMENT_OPENERS])
+        return F.when(opened, _read_marker(F.array_join(F.slice(pieces, i + 1, F.size(pieces)), marker)))
+
+    found = F.array_compact(F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), read))
+    return hits.select("file", F.col("line_no").alias("line"), F.inline(F.slice(found, 1, 1)))
 
 
 def suppress_inline(df: DataFrame, directives: DataFrame) -> DataFrame:

@@ -9,12 +9,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` in the folder the session names.
 
     ``spark.checkpoint.dir`` is the shared folder of the cluster.  Where it is not
-    set (tests, one machine) a folder is set once per session.  Checkpoint files
+    set, a session on one machine gets a folder, any other is refused.  Checkpoint files
     survive the loss of executors, unlike cached blocks.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="shoreline-"))
     return df.checkpoint(eager=True)

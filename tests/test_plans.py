@@ -198,3 +198,43 @@ def test_constants_of_languages(spark):
              ("c.c", "#define A 1\n#define A 2\nconst int A = 3;"), ("d.txt", "A = 1")]
     got = text_files.extract_constants(spark.createDataFrame(files, "file string, content string"))
     assert sorted(tuple(r) for r in got.collect()) == [("a.java", "K", 1024), ("b.go", "Y", 16), ("c.c", "A", 2)]
+
+
+def test_sizes_spelled_in_names(spark):
+    from shoreline.functions import compliance
+
+    names = {"AES-128-GCM": 128, "AES256": 256, "XAES_192": None, "AES_192": 192, "AES 128": None, "AES_128_GCM": None,
+             "AES-KW-AES-256": 256}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = {r[0]: r[1] for r in df.select("n", compliance._spelled(F.col("n"), compliance._AES_SPELLINGS)).collect()}
+    assert got == names
+    names = {"SHA-256": 256, "SHA3-384": 384, "SHA-3-512": 512, "SHA--224": 224, "HMAC-SHA512": 512, "SHA/256": None}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = {r[0]: r[1] for r in df.select("n", compliance._spelled(F.col("n"), compliance._SHA_SPELLINGS)).collect()}
+    assert got == names
+
+
+def test_markers_are_read_piece_by_piece(spark):
+    want = {
+        "x = 1 // crypto:ignore": ([], None), "# crypto:ignore[RSA, ,AES] -- old key": (["RSA", "AES"], "old key"),
+        "/* crypto:ignore: later */": ([], "later"), "<!-- crypto:ignore[] \u2014 why -->": ([], "why"),
+        "# crypto:ignore because": None, "crypto:ignore": None, "# crypto:ignore[RSA": None, "# crypto:ignore:": None,
+        '"# crypto:ignore"': None, "# crypto:ignore no // crypto:ignore[DSA]": (["DSA"], None),
+    }
+    lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(want)], "file string, line_no int, text string")
+    got = {r["line"]: (r["algorithms"], r["reason"]) for r in suppress.extract_directives(lines).collect()}
+    assert got == {i: w for i, w in enumerate(want.values()) if w}
+
+
+def test_identifiers_meet_constants_by_all_their_tokens(spark):
+    from shoreline.operators import enrich
+
+    constants = spark.createDataFrame(
+        [(f"p.KEY_C{i}", 1000 + i) for i in range(300)] + [("p.KEY", 7), ("p._", 9), ("p.KEY-C1", 8)], "name string, value long")
+    ids = {"f(KEY_C7)": 1007, "KEY_C7_X+KEY": 1007, "aKEY_C7": None, "KEY.C7": 7, "KEY-C1": 8, "a ___ b": 9, "": None, None: None}
+    found = spark.createDataFrame(
+        [(("RSA", None, None, None, None), x) for x in ids],
+        "algorithm struct<name:string,primitive:string,key_size:int,mode:string,curve:string>, raw_identifier string")
+    out = enrich.enrich_key_size_by_identifier(found, constants)
+    assert {r["raw_identifier"]: r["algorithm"]["key_size"] for r in out.collect()} == ids
+    assert enrich.enrich_key_size_by_identifier(found, constants.where("false")).count() == len(ids)
