@@ -9,8 +9,6 @@ from shoreline.functions.text import blank_to_null, strip
 from shoreline.rules import tls as rules
 from shoreline.sources.lines import place
 
-MAX_LIST = 64
-
 
 def first_per_key(df: DataFrame, keys: list, order: Column) -> DataFrame:
     """First row of each key.
@@ -44,15 +42,16 @@ def dedup_eve(df: DataFrame) -> DataFrame:
     )
 
 
-def cap_list(c: Column, n: int = MAX_LIST) -> Column:
+def cap_list(c: Column, n: int) -> Column:
     """First ``n`` entries of a list."""
     return F.slice(c, 1, n)
 
 
-def split_list(c: Column, n: int = MAX_LIST) -> Column:
-    """Non-blank entries of a comma list, the first ``n`` as the log format allows."""
+def split_list(c: Column, n: int | None = None) -> Column:
+    """Non-blank entries of a comma list; with ``n`` the first ``n`` only."""
     parts = F.transform(F.split(X.sanitize_field(c), ","), strip)
-    return cap_list(F.filter(parts, lambda s: s != ""), n)
+    entries = F.filter(parts, lambda s: s != "")
+    return entries if n is None else cap_list(entries, n)
 
 
 def _seen(name, primitive, source, key_size=None, group=None, raw=None, pqc=None):

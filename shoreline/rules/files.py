@@ -70,7 +70,6 @@ CONFIG_FILE_WORDS = [
 ]
 
 SKIPPED_DIRS = ["vendor", "node_modules", ".git"]
-MAX_SOURCE_BYTES = 1 << 20
 
 # Feeds in registration order: name, tier (1 pattern, 2 flow, 3 supply chain,
 # 4 binary, 5 network).

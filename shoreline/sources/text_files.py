@@ -11,18 +11,30 @@ def _in_skipped_dir(path):
     return contains_any(path, [f"/{d}/" for d in files.SKIPPED_DIRS])
 
 
+def _listed(spark: SparkSession, path, glob: str) -> DataFrame:
+    return (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", glob).load(path).where(~_in_skipped_dir(F.col("path")))
+    )
+
+
+def skipped_files(spark: SparkSession, path, max_bytes: int, glob: str = "*") -> DataFrame:
+    """``(file, length)`` of the files that a limit of ``max_bytes`` leaves out."""
+    return _listed(spark, path, glob).where(F.col("length") > max_bytes).select(
+        F.col("path").alias("file"), "length")
+
+
 def load_source_files(
-    spark: SparkSession, path, max_bytes: int = files.MAX_SOURCE_BYTES, glob: str = "*"
+    spark: SparkSession, path, max_bytes: int | None = None, glob: str = "*"
 ) -> DataFrame:
-    """Text files as ``(file, content)``; larger files and vendored folders are left out.
+    """Text files as ``(file, content)``; vendored folders are left out.
 
-    The size limit is applied to file metadata, before any content is read.
+    With ``max_bytes`` larger files are left out too (:func:`skipped_files` lists them);
+    the limit is applied to file metadata, before any content is read.
     """
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob).load(path)
-        .where((F.col("length") <= max_bytes) & ~_in_skipped_dir(F.col("path")))
-    )
+    listing = _listed(spark, path, glob)
+    if max_bytes is not None:
+        listing = listing.where(F.col("length") <= max_bytes)
     return listing.select(
         F.col("path").alias("file"),
         F.try_validate_utf8(F.col("content").cast("string")).alias("content"),
@@ -38,7 +50,7 @@ def split_lines(df: DataFrame) -> DataFrame:
 
 
 def load_source_lines(
-    spark: SparkSession, path, max_bytes: int = files.MAX_SOURCE_BYTES
+    spark: SparkSession, path, max_bytes: int | None = None
 ) -> DataFrame:
     return split_lines(load_source_files(spark, path, max_bytes))
 

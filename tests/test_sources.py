@@ -163,3 +163,18 @@ def test_history(spark, tmp_path):
         json.dumps({"project": "p", "scan_seq": i, "score": i}) for i in range(5)))
     got = history.load_scan_history(spark, str(tmp_path / "h.json"), limit=2).collect()
     assert [(r["scan_seq"], r["total"]) for r in got] == [(3, 0), (4, 0)]
+
+
+def test_without_a_limit_large_files_are_read_and_with_one_they_are_listed(spark, tmp_path):
+    (tmp_path / "big.py").write_text("x = 1\n" * 300_000)
+    (tmp_path / "small.py").write_text("y = 2\n")
+    assert text_files.load_source_files(spark, str(tmp_path)).count() == 2
+    left_out = text_files.skipped_files(spark, str(tmp_path), 1000).collect()
+    assert [(r["file"].rsplit("/", 1)[1], r["length"]) for r in left_out] == [("big.py", 1_800_000)]
+
+
+def test_lists_have_no_cap(spark):
+    from shoreline.operators import records
+
+    df = spark.createDataFrame([(",".join(f"g{i}" for i in range(200)),)], "groups string")
+    assert df.select(F.size(records.split_list(F.col("groups")))).first()[0] == 200
