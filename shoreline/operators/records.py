@@ -9,6 +9,9 @@ from shoreline.functions.text import blank_to_null, strip
 from shoreline.rules import tls as rules
 from shoreline.sources.lines import place
 
+# entries of a list that the log format allows
+MAX_LIST = 64
+
 
 def first_per_key(df: DataFrame, keys: list, order: Column) -> DataFrame:
     """First row of each key.
@@ -47,8 +50,8 @@ def cap_list(c: Column, n: int) -> Column:
     return F.slice(c, 1, n)
 
 
-def split_list(c: Column, n: int | None = None) -> Column:
-    """Non-blank entries of a comma list; with ``n`` the first ``n`` only."""
+def split_list(c: Column, n: int | None = MAX_LIST) -> Column:
+    """Non-blank entries of a comma list, the first ``n`` as the log format allows; None keeps all."""
     parts = F.transform(F.split(X.sanitize_field(c), ","), strip)
     entries = F.filter(parts, lambda s: s != "")
     return entries if n is None else cap_list(entries, n)

@@ -173,8 +173,9 @@ def test_without_a_limit_large_files_are_read_and_with_one_they_are_listed(spark
     assert [(r["file"].rsplit("/", 1)[1], r["length"]) for r in left_out] == [("big.py", 1_800_000)]
 
 
-def test_lists_have_no_cap(spark):
+def test_lists_are_cut_as_the_format_says(spark):
     from shoreline.operators import records
 
     df = spark.createDataFrame([(",".join(f"g{i}" for i in range(200)),)], "groups string")
-    assert df.select(F.size(records.split_list(F.col("groups")))).first()[0] == 200
+    sizes = df.select(F.size(records.split_list(F.col("groups"))), F.size(records.split_list(F.col("groups"), None)))
+    assert tuple(sizes.first()) == (64, 200)
