@@ -20,6 +20,7 @@ it, never all pairs.
 """
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,10 @@ from shoreline.llm.components import components
 from shoreline.llm.frames import own_name, ship, stored, text_keys
 
 SEED = 42
-#: Independent fingerprints and minima of hashes that tell near-copies in the pipeline.
-PRINTS, MINIMA = 6, 2
+#: Bands of min-hashes that tell near-copies in the pipeline, and min-hashes in each.  Two texts
+#: of similarity s have no band in common with probability (1 - s ** ROWS) ** BANDS: at 0.8
+#: that is 5e-8, at 0.85 2e-10.
+BANDS, ROWS = 32, 4
 _ONE = np.uint64(1)
 #: The lowest bit of each byte; hashes taken at once.
 _LANES, _AT_ONCE = np.uint64(0x0101010101010101), 1 << 16
@@ -78,45 +81,47 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(_majority(ones, len(hashes))[0])
 
 
-def _mixed(hashes: np.ndarray, salts: np.ndarray) -> np.ndarray:
-    """Other hashes of the same shingles, a row for each salt: the finalizer of SplitMix64."""
-    z = hashes[None, :] + (salts * np.uint64(0x9E3779B97F4A7C15))[:, None]
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+@lru_cache(4)
+def _salts(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two columns of fixed random 32-bit numbers, the second odd."""
+    salts = np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "little"), SEED) for i in range(n)], np.uint64)
+    return (salts >> np.uint64(32)).astype(np.uint32)[:, None], salts.astype(np.uint32)[:, None] | np.uint32(1)
 
 
-def sketch(hashes: np.ndarray, prints: int, minima: int) -> tuple[np.ndarray, np.ndarray]:
-    """Independent fingerprints, and the least hash under other mixes; zeros without hashes."""
-    if not len(hashes):
-        return np.zeros(prints, np.uint64), np.zeros(minima, np.uint64)
-    salts = np.arange(1, 1 + prints + minima, dtype=np.uint64)
-    ones, least = 0, np.full(minima, ~np.uint64(0))
-    for i in range(0, len(hashes), _AT_ONCE):
-        mixed = _mixed(hashes[i:i + _AT_ONCE], salts)
-        ones = ones + _bits_set(mixed[:prints])
-        least = np.minimum(least, mixed[prints:].min(axis=1))
-    return _majority(ones, len(hashes)), least
-
-
-def sketches(texts: DataFrame, words: int, prints: int, minima: int) -> DataFrame:
-    """``(k1, k2, doc_id, text)`` to ``(k1, k2, doc_id, fps, mins)``.
+def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """A key for each band of ``rows`` min-hashes; none without hashes.
 
-    ``fps`` are independent fingerprints, ``mins`` the least of the shingles' hashes
-    under independent mixes (0 without words).
+    Two texts have the same key in a band if they agree in its min-hashes, each of which they
+    share as often as they are similar.  The lower and the upper half of a hash are
+    independent, and each min-hash is the least of one half under a mix of its own.
     """
-    def longs(rows: list[np.ndarray]) -> pa.Array:
-        return pa.array([r.view(np.int64) for r in rows], pa.list_(pa.int64()))
-
+    if not len(hashes):
+        return np.empty(0, np.uint64)
+    n = bands * rows
+    flip, times = _salts(n)
+    least = np.full(n, ~np.uint32(0))
+    for i in range(0, len(hashes), _AT_ONCE >> 4):
+        some = hashes[i:i + (_AT_ONCE >> 4)]
+        halves = some.astype(np.uint32), (some >> np.uint64(32)).astype(np.uint32)
+        for half, at in zip(halves, (slice(0, n // 2), slice(n // 2, n)), strict=True):
+            mixed = half[None, :] ^ flip[at]
+            mixed *= times[at]
+            least[at] = np.minimum(least[at], mixed.min(axis=1))
+    # a band takes its min-hashes from both halves
+    whole = np.ascontiguousarray(least.reshape(rows, bands).T)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(whole)], np.uint64)
+
+
+def banded(texts: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+    """``(k1, k2, doc_id, text)`` to ``(k1, k2, doc_id, cells)``: the keys of a text's bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [sketch(shingle_hashes(t.as_py(), words), prints, minima) for t in b.column("text")]
+            keys = [band_keys(shingle_hashes(t.as_py(), words), bands, rows).view(np.int64) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [b.column("k1"), b.column("k2"), b.column("doc_id"), longs([r[0] for r in rows]), longs([r[1] for r in rows])],
-                ["k1", "k2", "doc_id", "fps", "mins"])
+                [b.column("k1"), b.column("k2"), b.column("doc_id"), pa.array(keys, pa.list_(pa.int64()))],
+                ["k1", "k2", "doc_id", "cells"])
 
-    return texts.select("k1", "k2", "doc_id", "text").mapInArrow(
-        run, "k1 long, k2 long, doc_id long, fps array<long>, mins array<long>")
+    return texts.select("k1", "k2", "doc_id", "text").mapInArrow(run, "k1 long, k2 long, doc_id long, cells array<long>")
 
 
 def fingerprints(texts: DataFrame, words: int) -> DataFrame:
@@ -297,19 +302,15 @@ def _similar(words: int, least: float):
     return run
 
 
-def candidate_groups(texts: DataFrame, radius: int) -> DataFrame:
-    """``(k1, k2, fps)``, one row per text, to ``(k1, k2, base)``: texts linked by any fingerprint.
+def candidate_groups(texts: DataFrame) -> DataFrame:
+    """``(k1, k2, cells)``, one row per text, to ``(k1, k2, base)``: texts linked by any band.
 
-    Texts without a link do not appear.  The graph has the texts and the fingerprints
-    that are linked or shared as nodes, so no pairs of texts are written.
+    Texts without a link do not appear.  The graph has the texts and the cells they share
+    as nodes, so no pairs of texts are written.
     """
-    each = stored(texts.select("k1", "k2", F.posexplode("fps").alias("print", "fp")), "fingerprints")
-    shared = (each.groupBy("print", "fp").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi")))
-    near = stored(links(shared.select("print", "fp"), radius), "links")
-    met = near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).unionByName(
-        shared.where("lo <> hi").select("fp")).distinct()
-    held = each.join(met, "fp").select(F.col("k1").alias("a"), F.col("fp").alias("b"))
-    found = components(near.unionByName(held))
+    each = stored(texts.select("k1", "k2", F.explode("cells").alias("cell")), "cells")
+    shared = each.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
+    found = components(each.join(shared, "cell").select(F.col("k1").alias("a"), F.col("cell").alias("b")))
     return texts.select("k1", "k2").join(found, F.col("k1") == F.col("node")).select("k1", "k2", F.col("label").alias("base"))
 
 
@@ -325,10 +326,10 @@ def _judged(open_: DataFrame, words: int, similarity: float) -> DataFrame:
     return stored(judged.select("k1", "k2", "same").distinct(), "judged")
 
 
-def _near_texts(heads: DataFrame, one: DataFrame, radius: int, words: int, similarity: float, rounds: int,
+def _near_texts(heads: DataFrame, one: DataFrame, words: int, similarity: float, rounds: int,
                 minima: int) -> DataFrame | None:
     """``(k1, k2)`` of the texts that a kept one of their group makes superfluous; None if there are none."""
-    groups = heads.join(candidate_groups(heads, radius), ["k1", "k2"]).select("k1", "k2", "least", "base", "mins")
+    groups = heads.join(candidate_groups(heads), ["k1", "k2"]).select("k1", "k2", "least", "base", "cells")
     # the texts of candidates alone, each once: that of the row with its smallest id
     open_ = groups.join(one, ["k1", "k2"]).where(F.col("least").eqNullSafe(F.col("id"))).drop("id")
     held = stored(open_.dropDuplicates(["k1", "k2"]), "candidates")
@@ -337,7 +338,7 @@ def _near_texts(heads: DataFrame, one: DataFrame, radius: int, words: int, simil
         if open_.isEmpty():
             break
         whole = turn < rounds
-        grp = F.col("base") if whole else F.xxhash64("base", F.get("mins", F.lit(turn - rounds)))
+        grp = F.col("base") if whole else F.xxhash64("base", F.get("cells", F.lit(turn - rounds)))
         judged = _judged(open_.withColumn("grp", grp), words, similarity)
         out = judged.where("same").select("k1", "k2")
         gone = out if gone is None else gone.unionByName(out)
@@ -350,28 +351,26 @@ def _near_texts(heads: DataFrame, one: DataFrame, radius: int, words: int, simil
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-                     radius: int = 7, similarity: float = 0.8, rounds: int = 2, prints: int = PRINTS,
-                     minima: int = MINIMA) -> DataFrame:
+                     similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS, rounds: int = 2,
+                     minima: int = 4) -> DataFrame:
     """``docs`` with one row of each group of near-copies, all columns kept.
 
-    Candidates are the texts linked at ``radius`` bits of one of ``prints`` independent
-    fingerprints.  A text goes if its ``words``-word shingles have a Jaccard similarity
+    Candidates are the texts that agree in one of ``bands`` bands of ``rows`` min-hashes
+    (``BANDS`` tells how rarely that misses a pair).  A text goes if its ``words``-word shingles have a Jaccard similarity
     of at least ``similarity`` with the head of its component (the text with the
     smallest id); the texts that are not similar to it form the next round's component,
     with a head of their own.  Components not done after ``rounds`` are parted by
-    ``minima`` min-hashes in turn, each shared by two texts as often as they are
-    similar, and each part has a head.  Equal texts (null counts as empty) always go to
+    ``minima`` bands in turn, and each part has a head.  Equal texts (null counts as empty) always go to
     one row, the one with the smallest id, nulls last; texts without words are equal
     only to themselves.
     """
     texts = _texts(docs, id_col, text_col)
-    marked = stored(sketches(texts, words, prints, minima), "fingerprints")
+    marked = stored(banded(texts, words, bands, rows), "bands")
     # one row per distinct text: its smallest id, or null
-    heads = marked.groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("least"), F.first("fps").alias("fps"), F.first("mins").alias("mins"))
+    heads = marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("cells").alias("cells"))
     heads = stored(heads, "texts")
     one = texts.select("k1", "k2", F.col("doc_id").alias("id"), "text")
-    gone = _near_texts(heads, one, radius, words, similarity, rounds, minima)
+    gone = _near_texts(heads, one, words, similarity, rounds, minima)
     kept = heads.select("k1", "k2", "least")
     if gone is not None:
         kept = kept.join(gone, ["k1", "k2"], "left_anti")
