@@ -297,72 +297,88 @@ def _similar(words: int, least: float):
                 both, either = len(own & against), len(own | against)
                 keep.append(both >= least * either)
             yield pa.RecordBatch.from_arrays(
-                [b.column(c) for c in ("k1", "k2", "grp")] + [pa.array(keep, pa.bool_())], ["k1", "k2", "grp", "same"])
+                [b.column(c) for c in ("k1", "k2", "h1", "h2")] + [pa.array(keep, pa.bool_())], ["k1", "k2", "h1", "h2", "same"])
 
     return run
 
 
-def candidate_groups(texts: DataFrame) -> DataFrame:
-    """``(k1, k2, cells)``, one row per text, to ``(k1, k2, base)``: texts linked by any band.
+def _crowded(cells: DataFrame) -> DataFrame:
+    """The rows of cells with more than one text."""
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
+    return stored(cells.join(sizes, "cell"), "cells")
 
-    Texts without a link do not appear.  The graph has the texts and the cells they share
-    as nodes, so no pairs of texts are written.
+
+def _heads(cells: DataFrame, turn: int) -> DataFrame:
+    """``(cell, h1, h2, place)``: the cells of the texts that are among the first of each cell they are in.
+
+    The first turns go by id, so that the smallest id of a group stays; later ones by a
+    hash of their own, so that a long chain of texts with rising ids takes few turns.
+    """
+    by = (F.col("least").isNull().cast("long"), F.coalesce("least", F.lit(0))) if turn < 2 else (
+        F.xxhash64("k1", "k2", F.lit(turn)), F.lit(0).cast("long"))
+    placed = cells.withColumn("place", F.struct(by[0].alias("p1"), by[1].alias("p2"), F.col("k1").alias("p3"), F.col("k2").alias("p4")))
+    # a bound on the first rows of a group is applied before the shuffle too
+    first = placed.withColumn("nth", F.row_number().over(Window.partitionBy("cell").orderBy("place"))).where(F.col("nth") <= 2 ** turn)
+    first = stored(first.select("cell", F.col("k1").alias("h1"), F.col("k2").alias("h2"), "place"), "first")
+    there = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("there"))
+    all_ = cells.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("in"))
+    everywhere = there.join(all_, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("there") == F.col("in")))
+    return stored(first.join(everywhere.select("h1", "h2"), ["h1", "h2"]), "heads")
+
+
+def _same(cells: DataFrame, heads: DataFrame, held: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``(k1, k2, h1, h2)``: the texts that are near-copies of a head with which they share a cell."""
+    pairs = cells.select("cell", "k1", "k2").join(heads, "cell").where("not (k1 = h1 and k2 = h2)").select(
+        "k1", "k2", "h1", "h2").distinct()
+    theirs = held.select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), F.col("text").alias("head_text"))
+    judged = pairs.join(held, ["k1", "k2"]).join(theirs, ["h1", "h2"]).select(
+        "k1", "k2", "h1", "h2", "text", "head_text").mapInArrow(
+        _similar(words, similarity), "k1 long, k2 long, h1 long, h2 long, same boolean")
+    return stored(judged.where("same").drop("same"), "judged")
+
+
+def _near_texts(heads: DataFrame, one: DataFrame, words: int, similarity: float) -> DataFrame | None:
+    """``(k1, k2)`` of the texts that a kept one makes superfluous; None if there are none.
+
+    Every turn judges some heads against all open texts that share a cell with them.
+    Of two heads that are near-copies the later one is set back; the others are kept,
+    and they and their near-copies are done.  The first open text is always such a head.
+    Ends when no cell has two open texts, so that each two of the texts that stay and
+    share a cell were judged.  A cell has twice as many heads in each turn.
     """
-    each = stored(texts.select("k1", "k2", F.explode("cells").alias("cell")), "cells")
-    shared = each.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
-    found = components(each.join(shared, "cell").select(F.col("k1").alias("a"), F.col("cell").alias("b")))
-    return texts.select("k1", "k2").join(found, F.col("k1") == F.col("node")).select("k1", "k2", F.col("label").alias("base"))
-
-
-def _judged(open_: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``(k1, k2, same)``: each text of a ``grp``, but its head, against the head."""
-    order = F.struct(F.col("least").isNull(), F.col("least"), F.col("k1"), F.col("k2"))
-    head = open_.groupBy("grp").agg(F.min(order).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1").select(
-        "grp", F.col("h.k1").alias("h1"), F.col("h.k2").alias("h2"))
-    rest = open_.join(head, "grp").where("not (k1 = h1 and k2 = h2)").select("grp", "k1", "k2", "text")
-    theirs = open_.join(head, "grp").where("k1 = h1 and k2 = h2").select("grp", F.col("text").alias("head_text"))
-    judged = rest.join(theirs, "grp").select("k1", "k2", "grp", "text", "head_text").mapInArrow(
-        _similar(words, similarity), "k1 long, k2 long, grp long, same boolean")
-    return stored(judged.select("k1", "k2", "same").distinct(), "judged")
-
-
-def _near_texts(heads: DataFrame, one: DataFrame, words: int, similarity: float, rounds: int,
-                minima: int) -> DataFrame | None:
-    """``(k1, k2)`` of the texts that a kept one of their group makes superfluous; None if there are none."""
-    groups = heads.join(candidate_groups(heads), ["k1", "k2"]).select("k1", "k2", "least", "base", "cells")
+    cells = _crowded(heads.select(F.explode("cells").alias("cell"), "k1", "k2", "least"))
     # the texts of candidates alone, each once: that of the row with its smallest id
-    open_ = groups.join(one, ["k1", "k2"]).where(F.col("least").eqNullSafe(F.col("id"))).drop("id")
-    held = stored(open_.dropDuplicates(["k1", "k2"]), "candidates")
-    open_, gone = held, None
-    for turn in range(rounds + minima):
-        if open_.isEmpty():
-            break
-        whole = turn < rounds
-        grp = F.col("base") if whole else F.xxhash64("base", F.get("cells", F.lit(turn - rounds)))
-        judged = _judged(open_.withColumn("grp", grp), words, similarity)
-        out = judged.where("same").select("k1", "k2")
+    candidates = cells.select("k1", "k2", "least").distinct()
+    held = one.join(candidates, ["k1", "k2"]).where(F.col("least").eqNullSafe(F.col("id"))).select("k1", "k2", "text")
+    held = stored(held.dropDuplicates(["k1", "k2"]), "candidates")
+    gone, turn = None, 0
+    while not cells.isEmpty():
+        first = _heads(cells, turn)
+        same = _same(cells, first, held, words, similarity)
+        places = first.select("h1", "h2", "place").distinct()
+        mine = places.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("place").alias("my_place"))
+        late = same.join(mine, ["k1", "k2"]).join(places, ["h1", "h2"]).where("place < my_place").select(
+            F.col("k1").alias("h1"), F.col("k2").alias("h2")).distinct()
+        kept = stored(places.select("h1", "h2").join(late, ["h1", "h2"], "left_anti"), "kept")
+        out = stored(same.join(kept, ["h1", "h2"]).select("k1", "k2").distinct(), "gone")
+        done = out.unionByName(kept.select(F.col("h1").alias("k1"), F.col("h2").alias("k2")))
+        cells = _crowded(cells.join(done, ["k1", "k2"], "left_anti"))
         gone = out if gone is None else gone.unionByName(out)
-        # a head was compared with its whole component, but only with a part of it later
-        if whole:
-            open_ = held.join(judged.where("not same").select("k1", "k2"), ["k1", "k2"])
-        else:
-            open_ = open_.join(out, ["k1", "k2"], "left_anti")
+        turn += 1
     return gone
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-                     similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS, rounds: int = 2,
-                     minima: int = 4) -> DataFrame:
+                     similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``docs`` with one row of each group of near-copies, all columns kept.
 
     Candidates are the texts that agree in one of ``bands`` bands of ``rows`` min-hashes
-    (``BANDS`` tells how rarely that misses a pair).  A text goes if its ``words``-word shingles have a Jaccard similarity
-    of at least ``similarity`` with the head of its component (the text with the
-    smallest id); the texts that are not similar to it form the next round's component,
-    with a head of their own.  Components not done after ``rounds`` are parted by
-    ``minima`` bands in turn, and each part has a head.  Equal texts (null counts as empty) always go to
-    one row, the one with the smallest id, nulls last; texts without words are equal
-    only to themselves.
+    (``BANDS`` tells how rarely that misses a pair).  Kept are texts that all others are
+    judged against: a text goes if its ``words``-word shingles have a Jaccard similarity of
+    at least ``similarity`` with a kept one, mostly one with a smaller id, and no two kept
+    candidates are so similar.  Equal texts (null counts as empty) always go to one row,
+    the one with the smallest id, nulls last; texts without words are equal only to
+    themselves.
     """
     texts = _texts(docs, id_col, text_col)
     marked = stored(banded(texts, words, bands, rows), "bands")
@@ -370,7 +386,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     heads = marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("cells").alias("cells"))
     heads = stored(heads, "texts")
     one = texts.select("k1", "k2", F.col("doc_id").alias("id"), "text")
-    gone = _near_texts(heads, one, words, similarity, rounds, minima)
+    gone = _near_texts(heads, one, words, similarity)
     kept = heads.select("k1", "k2", "least")
     if gone is not None:
         kept = kept.join(gone, ["k1", "k2"], "left_anti")

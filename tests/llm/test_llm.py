@@ -181,6 +181,31 @@ def test_near_copies_at_the_bound_go(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 600, 2))
 
 
+def test_no_two_kept_are_near_copies(spark):
+    # ten families with a common template, linked to each other, and a chain of versions with rising ids
+    rng = random.Random(9)
+
+    def prose(n):
+        return [f"{rng.getrandbits(40):x}" for _ in range(n)]
+
+    template, texts = prose(150), []
+    for _ in range(10):
+        family = template + prose(45)
+        for _ in range(8):
+            copy = list(family)
+            copy[rng.randrange(150)] = "changed"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    version = prose(200)
+    for _ in range(60):
+        version = version[6:] + prose(6)
+        texts.append(" ".join(version))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"] for r in near_copies.keep_one_of_each(df).collect()}
+    assert not [(a, b) for a in kept for b in kept if a < b and _similarity(texts[a], texts[b]) >= 0.8]
+    assert all(any(_similarity(texts[a], texts[b]) >= 0.8 for b in kept) for a in range(len(texts)) if a not in kept)
+
+
 def test_bounds_are_optimal():
     import itertools
 
