@@ -26,6 +26,8 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
+#: The part of any host's rank that the last step may add.
+TOLERANCE = 1e-6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,15 +75,46 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.where("src <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, steps: int = 10, damping: float = 0.85) -> DataFrame:
-    """``(kind, host, value)`` from ``seeds`` ``(kind, host, weight)`` and ``edges`` ``(kind, src, dst, n)``.
-
-    Values of a kind add up to 1 if it has seeds.
-    """
+def _shares(seeds: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(kind, host, share)`` of the seeds and ``(kind, src, dst, part)`` of the edges out of a host."""
     total = seeds.groupBy("kind").agg(F.sum("weight").alias("all"))
     start = stored(seeds.join(F.broadcast(total), "kind").select("kind", "host", (F.col("weight") / F.col("all")).alias("share")), "seeds")
     out = edges.groupBy("kind", "src").agg(F.sum("n").alias("out"))
     passed = stored(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("out")).alias("part")), "edges")
+    return start, passed
+
+
+def settled(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = TOLERANCE,
+            steps: int = 1000) -> DataFrame:
+    """What ``propagate`` tends to with ever more steps; takes and returns the same.
+
+    Adds up what the seeds' shares bring after 0, 1, 2, ... links, which is in proportion
+    to the ranks, until a step adds to no host more than ``tolerance`` of what it has; so
+    it never ends while hosts are newly reached.  Raises if ``steps`` are not enough.
+    """
+    start, passed = _shares(seeds, edges)
+    value = start.select("kind", "host", F.col("share").alias("value"), F.col("share").alias("last"))
+    for _ in range(steps):
+        moved = (passed.join(value, (passed["kind"] == value["kind"]) & (passed["src"] == value["host"]))
+                 .select(passed["kind"], F.col("dst").alias("host"), (F.col("last") * F.col("part") * damping).alias("value"))
+                 .groupBy("kind", "host").agg(F.sum("value").alias("value")))
+        value = value.withColumn("last", F.lit(0.0)).unionByName(moved.withColumn("last", F.col("value")))
+        value = stored(value.groupBy("kind", "host").agg(F.sum("value").alias("value"), F.sum("last").alias("last")), "ranks")
+        most = value.agg(F.max(F.col("last") / F.col("value"))).first()[0]
+        if most is None or most <= tolerance:
+            break
+    else:
+        raise RuntimeError(f"settled: ranks still change after {steps} steps")
+    total = value.groupBy("kind").agg(F.sum("value").alias("all"))
+    return value.join(F.broadcast(total), "kind").select("kind", "host", (F.col("value") / F.col("all")).alias("value"))
+
+
+def propagate(seeds: DataFrame, edges: DataFrame, steps: int = 10, damping: float = 0.85) -> DataFrame:
+    """``(kind, host, value)`` after ``steps`` from ``seeds`` ``(kind, host, weight)`` and ``edges`` ``(kind, src, dst, n)``.
+
+    Values of a kind add up to 1 if it has seeds.
+    """
+    start, passed = _shares(seeds, edges)
     value = start.withColumnRenamed("share", "value")
     for step in range(steps):
         moved = (passed.join(value, (passed["kind"] == value["kind"]) & (passed["src"] == value["host"]))
@@ -97,9 +130,11 @@ def propagate(seeds: DataFrame, edges: DataFrame, steps: int = 10, damping: floa
 
 
 def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                 rules=RULES, steps: int = 10, damping: float = 0.85, threshold: float = 0.5) -> DataFrame:
+                 rules=RULES, damping: float = 0.85, threshold: float = 0.5, tolerance: float = TOLERANCE) -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` for each row.
 
+    The ranks are those of ``settled``, so distrust reaches hosts any number of links away.
+
     Null urls and urls without ``://`` have an empty host and path; no rule fits an empty
     host, and it is no node: such pages are allowed.  Null pages have no links; repeated
     rows count as often as they occur.  Other columns are not looked at.
@@ -111,7 +146,7 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     links = host_edges(pages, url_col, html_col)
     edges = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(
         links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    ranks = propagate(seeds, edges, steps, damping)
+    ranks = settled(seeds, edges, damping, tolerance)
     hosts = ranks.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("value")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("value")).otherwise(0.0)).alias("distrust"))

@@ -445,6 +445,35 @@ def test_url_verdicts(spark):
     assert link_rank.url_verdicts(df.where("false")).count() == 0
 
 
+def test_distrust_reaches_far_hosts(spark):
+    # fourteen links to a blocked host; no trust reaches them
+    rows = [(i, f"http://h{i}.org/x", f'<a href="http://h{i + 1}.org/">x</a>') for i in range(13)]
+    rows += [(13, "http://h13.org/x", '<a href="http://bad.net/">x</a>'), (14, "http://bad.net/es/1", ""), (15, "http://h99.org/", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in link_rank.url_verdicts(df).collect()}
+    assert got == {**dict.fromkeys(range(15), "block"), 15: "allow"}
+
+
+def test_ranks_settle(spark):
+    links = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 1), ("d", "c", 4), ("c", "e", 1)]
+    edges = spark.createDataFrame([("trust", *x) for x in links], "kind string, src string, dst string, n long")
+    seeds = spark.createDataFrame([("trust", "a", 3), ("trust", "d", 1)], "kind string, host string, weight long")
+    names = "abcde"
+    m = np.zeros((5, 5))
+    for s, d, n in links:
+        m[names.index(d), names.index(s)] = n
+    m = m / np.maximum(m.sum(0), 1)
+    start = np.array([0.75, 0, 0, 0.25, 0])
+    x = start
+    for _ in range(300):
+        moved = 0.5 * m @ x
+        x = moved + start * (1 - moved.sum())
+    got = {r["host"]: r["value"] for r in link_rank.settled(seeds, edges, damping=0.5).collect()}
+    assert np.allclose([got[n] for n in names], x, rtol=1e-5)
+    with pytest.raises(RuntimeError):
+        link_rank.settled(seeds, edges, steps=3)
+
+
 def test_propagation_is_personalised_pagerank(spark):
     links = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 1), ("d", "c", 4)]
     edges = spark.createDataFrame([("trust", *x) for x in links], "kind string, src string, dst string, n long")
