@@ -33,14 +33,17 @@ class Encoder:
 
     Byte-level BPE parts a text before each space that is followed by another character
     and never merges across that place, so a text's ids are its words' ids.  Letters and
-    the signs after them are parted too.
+    the signs after them are parted too.  Texts that hold an added token (special ones
+    count unless ``escape``) are encoded whole.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, escape: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = escape
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and not (escape and t.special)]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         #: ids of a space and the word
         self.known: dict[str, bytes] = {}
         # other kinds of tokenizers are left to the library
@@ -86,14 +89,19 @@ class Encoder:
             for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
                 yield np.array(e.ids, "<u4").tobytes()
             return
-        parts = [_WORD_SPACE.split(t) if _OTHER_SPACE.search(t) else t.split(" ") for t in texts]
+        whole = [bool(self.added and self.added.search(t)) for t in texts]
+        parts = [[""] if w else _WORD_SPACE.split(t) if _OTHER_SPACE.search(t) else t.split(" ")
+                 for t, w in zip(texts, whole, strict=True)]
         known = self.known
         heads = [p.pop(0) for p in parts]
         learnt = self._learn(set().union(*parts).difference(known))
         if len(known) + len(learnt) <= REMEMBERED:
             known.update(learnt)
             learnt = known
-        for h, p in zip(heads, parts, strict=True):
+        for t, w, h, p in zip(texts, whole, heads, parts, strict=True):
+            if w:
+                yield self._ids(t)
+                continue
             first = self._ids(h) if h else b""
             if learnt is known:
                 yield first + b"".join(map(known.__getitem__, p))
@@ -102,11 +110,11 @@ class Encoder:
 
 
 @lru_cache(2)
-def encoder(definition: str) -> Encoder:
-    return Encoder(definition)
+def encoder(definition: str, escape: bool = False) -> Encoder:
+    return Encoder(definition, escape)
 
 
-def _encoded(definition, end_id: int, most: int = 4_000_000):
+def _encoded(definition, end_id: int, escape: bool, most: int = 4_000_000):
     """Rows in order to rows with tokens; a batch holds about ``most`` characters."""
     end = np.array([end_id], "<u4").tobytes()
 
@@ -119,7 +127,7 @@ def _encoded(definition, end_id: int, most: int = 4_000_000):
             ["doc_id", "n_tokens", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(definition.value)
+        enc = encoder(definition.value, escape)
         ids, texts, held = [], [], 0
         for b in batches:
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
@@ -137,11 +145,12 @@ def _encoded(definition, end_id: int, most: int = 4_000_000):
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",
                  end_id: int = 0, encoding: str = "delta", row_group_bytes: int = 32 << 20,
-                 page_rows: int = 2_000) -> None:
+                 page_rows: int = 2_000, escape: bool = False) -> None:
     """Encode the whole text of each row and write token files.
 
     ``tokenizer_file`` is a definition for the tokenizers library, read on the driver (a
-    few MB).  Special tokens in a text are ordinary text.  ``end_id`` ends each document.
+    few MB).  A special token in a text gets its id, as the library has it by default, or
+    is ordinary text with ``escape``.  ``end_id`` ends each document.
     ``encoding`` is ``delta`` or ``dictionary``.  Null texts count as empty and give the
     end id alone; null ids come first; rows of the same id keep a fixed order by text.
     Other columns are not written.
@@ -157,7 +166,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, id_col: str =
     # the shuffle carries texts, which are smaller than their ids
     order = [F.col("doc_id"), F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    tokens = rows.mapInArrow(_encoded(definition, end_id), "doc_id long, n_tokens int, tokens array<int>")
+    tokens = rows.mapInArrow(_encoded(definition, end_id, escape), "doc_id long, n_tokens int, tokens array<int>")
     (tokens.write.option("compression", "zstd")
      .option("parquet.block.size", row_group_bytes)
      .option("parquet.page.row.count.limit", page_rows)

@@ -269,6 +269,22 @@ def test_token_files(spark, docs, none):
     assert token_files.encode_and_read_back(none, file).count() == 0
 
 
+def test_special_tokens_are_the_library_s(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b  <|endoftext|>", "no such token", "<|endoftext| >"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for escape in (False, True):
+        t = Tokenizer.from_file(file)
+        t.encode_special_tokens = escape
+        ids = [np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4") for x in texts]
+        got = token_files.encode_and_read_back(df, file, **({"escape": True} if escape else {})).collect()
+        assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in got} == {
+            i: (len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)}
+
+
 def test_words_are_the_library_s():
     import public_tokenizers
 
