@@ -181,6 +181,12 @@ def test_near_copies_at_the_bound_go(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 600, 2))
 
 
+def test_texts_without_words_stay(spark):
+    texts = [" ", "\t", "\n\n", "", None, "  ", " ", "one"]
+    kept = near_copies.keep_one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3, 5, 7]
+
+
 def test_no_two_kept_are_near_copies(spark):
     # ten families with a common template, linked to each other, and a chain of versions with rising ids
     rng = random.Random(9)
