@@ -13,14 +13,22 @@ from shoreline.llm import (
     link_rank,
     near_copies,
     packing,
+    prefix_trie,
     quality,
+    ranked_search,
+    set_join,
     shards,
     suffix_dedup,
     token_files,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op7_chat_windows": chat.ORACLE}
+ORACLES: dict[str, str] = {
+    "op7_chat_windows": chat.ORACLE,
+    "op11_ranked_search": ranked_search.ORACLE,
+    "op12_set_join": set_join.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
+}
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -95,3 +103,19 @@ def op9_url_verdicts(spark, sf_dir):
 @query
 def op10_simhash_components(spark, sf_dir):
     return near_copies.simhash_components(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_ranked_search(spark, sf_dir):
+    index = ranked_search.build_index(_table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_set_join(spark, sf_dir):
+    return set_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
