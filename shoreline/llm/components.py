@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoreline.llm.frames import stored
+from shoreline.llm.frames import forget, stored
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -26,7 +26,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         before = tuple(mark)
         if not mark[0]:
             break
-        pairs = stored(_small_star(_large_star(pairs)), "links")
+        after = stored(_small_star(_large_star(pairs)), "links")
+        forget(pairs)
+        pairs = after
     else:
         raise RuntimeError(f"components: not stable after {rounds} rounds")
     nodes = pairs.select(F.col("a").alias("node"), F.col("b").alias("label"))

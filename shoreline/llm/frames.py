@@ -13,9 +13,12 @@ from pyspark.sql.window import Window
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) one is made and set.
+    Where the session names none, one on this machine is made and set; a cluster, whose
+    executors would not see it, is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="shoreline-")
         spark.sparkContext.setCheckpointDir(named)
@@ -37,7 +40,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = new_folder(spark, what)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more; what depends on them must be stored itself."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _shipped: set[str] = set()

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoreline.llm.components import components
-from shoreline.llm.frames import ship, stored, text_keys
+from shoreline.llm.frames import forget, ship, stored, text_keys
 
 _MIX, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 #: Tokens with hashes below this are counted first: a quarter.
@@ -143,7 +143,7 @@ class Bin:
         for other, seen in merged(short, least - longs):
             if self.find(other) == self.find(q):
                 continue
-            # at least 1 set of texts has `seen` so far, each list not asked yet can add one
+            # each list not asked yet can add one
             want = needed(n, self.rows[other][2])
             left = len(long)
             for numbers in long:
@@ -231,9 +231,13 @@ def _open_texts(marked: DataFrame) -> DataFrame:
     """``(c, k1, k2, least, n)``: the texts of whose lowest tokens not too many are in no other text."""
     held = marked.select("k1", F.explode("low").alias("t")).groupBy("t").agg(F.min("k1").alias("k1"), F.max("k1").alias("last"))
     alone = held.where("k1 = last").groupBy("k1").agg(F.count(F.lit(1)).alias("alone"))
-    texts = marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")).where("n > 0")
+    # how many rows have the text and the smallest id: one of them stands for the text
+    rows = marked.groupBy("k1", "k2", "doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
+    order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    texts = rows.groupBy("k1", "k2").agg(
+        F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min_by("rows", order).alias("twins")).where("n > 0")
     left = texts.join(alone, "k1", "left").where("coalesce(alone, 0) <= n div 5")
-    return stored(left.select(F.monotonically_increasing_id().alias("c"), "k1", "k2", "least", "n"), "open")
+    return stored(left.select(F.monotonically_increasing_id().alias("c"), "k1", "k2", "least", "n", "twins"), "open")
 
 
 def _ordered(sets: DataFrame) -> DataFrame:
@@ -304,19 +308,24 @@ def _full_links(ordered: DataFrame, cells: DataFrame, labels: DataFrame, block:
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-            block: int = 1024) -> tuple[DataFrame, DataFrame]:
+            block: int = 384) -> tuple[DataFrame, DataFrame]:
     """``(rows, families)``: each row's ``(k1, k2, doc_id, n)`` and, for linked texts, ``(k1, k2, family)``.
 
     ``family`` is the same number for all texts that links connect.  A text that no
     different text is linked with is in no family.
     """
     texts = _texts(docs, id_col, text_col)
-    marked = stored(_marked(texts, words), "marked")
-    left = _open_texts(marked)
+    lows = stored(_marked(texts, words), "lows")
+    left = _open_texts(lows)
+    marked = stored(lows.drop("low"), "marked")
+    forget(lows)
     same = (texts["k1"] == left["k1"]) & (texts["k2"] == left["k2"]) & texts["doc_id"].eqNullSafe(left["least"])
-    # rows that agree in text and id are one
-    sets = _sets(texts.join(left, same).select("c", "n", "text"), words).dropDuplicates(["c"])
-    ordered = _ordered(stored(sets, "tokens"))
+    # rows that agree in text and id are one; only these need the shuffle
+    found = texts.join(left, same)
+    twins = found.where("twins > 1").select("c", "n", "text").dropDuplicates(["c"])
+    sets = stored(_sets(found.where("twins = 1").select("c", "n", "text").unionByName(twins), words), "tokens")
+    ordered = _ordered(sets)
+    forget(sets)
     cells = _cells(ordered)
     links = stored(_head_links(ordered, stored(_meetings(cells), "meetings"), block), "head-links")
     labels = stored(_labelled(ordered, links), "labels")
@@ -328,7 +337,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     families = labels.join(last, "label", "left").select("c", F.coalesce("top", "label").alias("family"))
     crowded = families.groupBy("family").agg(F.count(F.lit(1)).alias("of")).where("of > 1").select("family")
     named = families.join(crowded, "family").join(left, "c").select("k1", "k2", "family")
-    return marked.select("k1", "k2", "doc_id", "n"), named
+    return marked, named
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
