@@ -149,7 +149,7 @@ def _merged(source: str) -> str:
 
 def _show_merged(df):
     return flat(
-        df.withColumn("finding_key", schema.finding_key()), "finding_key", "source_engine",
+        df.withColumn("finding_key", schema.key_text(schema.finding_key())), "finding_key", "source_engine",
         F.array_join("corroborated_by", ",").alias("others"), "reachable", "confidence",
     )
 
@@ -175,7 +175,7 @@ def dedupe_hot_key(spark, sf):
     })
     out = dedupe.dedupe_ordinals(one)
     return out.select(
-        F.substring_index("finding_key", "|", 1).alias("project"), "engine_rank", "n",
+        F.col("finding_key.project").alias("project"), "engine_rank", "n",
         F.col("first_seq"),
     )
 
@@ -188,12 +188,13 @@ def dedupe_hot_key(spark, sf):
     FROM (SELECT {O.finding_key()} AS finding_key, engine_rank, source_engine, count(*) AS n
           FROM {RAW} GROUP BY 1, 2, 3)""")
 def dedupe_ordinals(spark, sf):
-    return dedupe.dedupe_ordinals(V.findings(spark, sf)).drop("first_seq")
+    out = dedupe.dedupe_ordinals(V.findings(spark, sf)).drop("first_seq")
+    return out.withColumn("finding_key", schema.key_text(F.col("finding_key")))
 
 
 @query("finding_key", f"SELECT seq, {O.finding_key()} AS finding_key FROM {RAW}")
 def finding_key(spark, sf):
-    return V.findings(spark, sf).select("seq", schema.finding_key().alias("finding_key"))
+    return V.findings(spark, sf).select("seq", schema.key_text(schema.finding_key()).alias("finding_key"))
 
 
 # --- filters --------------------------------------------------------------------

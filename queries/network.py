@@ -62,15 +62,16 @@ def _line(df, file, text):
 
 
 def ssl_tsv_lines(spark, sf):
-    """A log whose column order changes at row 1000."""
+    """A log whose column order changes at row 1999, read in blocks of 700 rows."""
     tls = V.view(spark, sf, V.TLS)
     text = F.when(F.col("event_id") + 100 < 1000, _ssl_cells(SSL_A)).otherwise(_ssl_cells(SSL_B))
+    rows = _line(tls, F.col("log_no"), text).withColumn("row_no", 2 * F.col("row_no"))
     return _with_headers(
-        _line(tls.where((F.col("event_id") + 100) % 1000 != 0), F.col("log_no"), text),
+        rows,
         {0: "#separator \\x09", 1: "#set_separator\t,", 2: "#empty_field\t(empty)",
          3: "#unset_field\t-", 4: "#path\tssl", 5: "#fields\t" + "\t".join(SSL_A),
-         6: "#types\tx", 1000: "#fields\t" + "\t".join(SSL_B)},
-    )
+         6: "#types\tx", 1999: "#fields\t" + "\t".join(SSL_B)},
+    ).withColumn("src_block", F.floor(F.col("row_no") / 700))
 
 
 def ssl_json_lines(spark, sf):
@@ -103,7 +104,7 @@ _SSL_RECORD = f"""SELECT log_no AS src_file, event_id + 100 AS row_no, uid, host
     FROM {V.duck(V.TLS)} AS t WHERE established"""
 
 
-@query("scan_zeek_ssl_tsv", f"{_SSL_RECORD} AND (event_id + 100) % 1000 <> 0")
+@query("scan_zeek_ssl_tsv", _SSL_RECORD.replace("event_id + 100 AS row_no", "2 * (event_id + 100) AS row_no"))
 def scan_zeek_ssl_tsv(spark, sf):
     return sensor_logs.parse_ssl_tsv(ssl_tsv_lines(spark, sf)).drop("src_block")
 
@@ -410,7 +411,7 @@ _JA3S = [("0123456789abcdef0123456789abcdef", True, "X25519MLKEM768"),
 _JA3S_VALUES = "(VALUES " + ", ".join(
     f"({V.text(h)}, {V.text(p)}, {V.text(x)})" for h, p, x in _JA3S
 ) + ") AS j(ja3s, pqc_present, label)"
-_LIST = "list_filter(list_transform(string_split({c}, ','), lambda s: trim(s)), lambda s: s <> '')[1:64]"
+_LIST = "list_filter(list_transform(string_split({c}, ','), lambda s: trim(s)), lambda s: s <> '')"
 _EVE_TARGET = O.sanitize_target("COALESCE(sni, dest_ip || ':' || dest_port)")
 _EVE_CLEAN = f"""(SELECT * REPLACE (replace(sigalgs, chr(9), '') AS sigalgs), {_EVE_TARGET} AS target
     FROM {_EVE_ROWS})"""
@@ -762,7 +763,7 @@ def load_ct_certificates(spark, sf):
 
 
 @query("ct_record_to_finding", f"""SELECT id,
-    '(ct-lookup)/' || hostname || '#cert:' || substr(serial_number, 1, 8) AS file, n AS name,
+    '(ct-lookup)/' || hostname || '#cert:' || serial_number AS file, n AS name,
     NULLIF(pub_key_size, 0) AS key_size, pub_key_curve AS curve,
     'ct-cert:' || hostname || '|' || n || '|' || serial_number AS raw_identifier
     FROM (SELECT *, COALESCE(NULLIF(sig_algorithm, ''), pub_key_algorithm) AS n FROM {V.duck(CT)})""")

@@ -94,9 +94,10 @@ def new_and_removed(spark, sf):
 VERSIONS = {"cipherscope": "2", "semgrep": "1", "config-scanner": "5"}
 
 
-def files_now(spark, sf):
-    """Documents as files; the content hash is over the whole text."""
-    docs = V.table(spark, sf, "documents").where("doc_id % 10 <> 9")
+def files_now(spark, sf, deleted=False):
+    """Documents as files; the content hash is over the whole text.  With ``deleted`` some are gone by now."""
+    docs = V.table(spark, sf, "documents")
+    docs = docs.where("doc_id % 10 <> 9") if deleted else docs
     return C.content_hash(docs.select(F.concat(F.lit("d"), "doc_id").alias("path"), F.col("text").alias("content")))
 
 
@@ -114,16 +115,15 @@ def cached(spark, sf):
 @query("incremental_split", """
     SELECT 'changed' AS side, e AS engine, 'd' || doc_id AS path FROM documents,
         (VALUES ('cipherscope'), ('semgrep'), ('config-scanner')) AS v(e)
-    WHERE doc_id % 10 <> 9 AND NOT (e = 'cipherscope' AND doc_id % 4 <> 0)
-    UNION ALL SELECT 'cached', 'cipherscope', 'd' || doc_id FROM documents
-    WHERE doc_id % 10 <> 9 AND doc_id % 4 <> 0""")
+    WHERE NOT (e = 'cipherscope' AND doc_id % 4 <> 0)
+    UNION ALL SELECT 'cached', 'cipherscope', 'd' || doc_id FROM documents WHERE doc_id % 4 <> 0""")
 def incremental_split(spark, sf):
     changed, reused = C.incremental_split(files_now(spark, sf), cached(spark, sf), VERSIONS)
     return changed.select(F.lit("changed").alias("side"), "engine", "path").unionByName(
         reused.select(F.lit("cached").alias("side"), "engine", "path"))
 
 
-@query("content_hash", "SELECT 'd' || doc_id AS path, sha256(text) AS content_hash FROM documents WHERE doc_id % 10 <> 9")
+@query("content_hash", "SELECT 'd' || doc_id AS path, sha256(text) AS content_hash FROM documents")
 def content_hash(spark, sf):
     return files_now(spark, sf)
 
@@ -137,7 +137,7 @@ def load_cache_snapshot(spark, sf):
 @query("prune_deleted", """SELECT e AS engine, 'd' || doc_id AS path FROM documents,
     (VALUES ('cipherscope'), ('semgrep')) AS v(e) WHERE doc_id % 10 <> 9""")
 def prune_deleted(spark, sf):
-    return C.prune_deleted(cached(spark, sf), files_now(spark, sf)).select("engine", "path")
+    return C.prune_deleted(cached(spark, sf), files_now(spark, sf, deleted=True)).select("engine", "path")
 
 
 @query("updated_cache", """SELECT e AS engine, 'd' || doc_id AS path,
@@ -147,7 +147,7 @@ def updated_cache(spark, sf):
     old = cached(spark, sf)
     number = F.regexp_extract("path", "([0-9]+)", 1).cast("int")
     fresh = old.where((F.col("engine") == "semgrep") & (number % 3 == 0)).withColumn("engine_version", F.lit("1"))
-    return C.updated_cache(old, fresh, files_now(spark, sf)).select("engine", "path", "engine_version")
+    return C.updated_cache(old, fresh, files_now(spark, sf, deleted=True)).select("engine", "path", "engine_version")
 
 
 @query("union_cached_fresh", """SELECT 'cached' AS side, count(*) AS n FROM documents

@@ -24,36 +24,44 @@ def load_source_lines(spark, sf):
         "file", "line_no", F.length("text").cast("bigint").alias("chars"))
 
 
+def lines(spark, sf):
+    """Lines of code and of the documents' whole texts."""
+    return text_files.split_lines(V.view(spark, sf, V.FILES).drop("doc_id"))
+
+
+_LINES = V.lines_of(V.FILES)
 DIRECTIVES = [("", ""), ("MD5,SHA-1", "legacy"), None, ("TLS", "old peers"), ("AES", ">"), None, None, None]
-_DIR = f"""(SELECT file, line_no AS line, algs, reason FROM (SELECT *,
+_DIR = f"""(SELECT project, file, line_no AS line, algs, reason FROM (SELECT *,
     {pick('n', [None if d is None else d[0] for d in DIRECTIVES])} AS algs,
     NULLIF({pick('n', ['' if d is None else d[1] for d in DIRECTIVES])}, '') AS reason
-    FROM (SELECT *, list_position({O.array(V.CODE)}, text) - 1 AS n FROM {V.duck(V.LINES)}))
+    FROM (SELECT *, list_position({O.array(V.CODE)}, text) - 1 AS n FROM {_LINES}))
     WHERE algs IS NOT NULL)"""
 
 
 @query("extract_directives", f"SELECT * FROM {_DIR}")
 def extract_directives(spark, sf):
-    out = suppress.extract_directives(V.view(spark, sf, V.LINES))
-    return out.select("file", "line", F.array_join("algorithms", ",").alias("algs"), "reason")
+    out = suppress.extract_directives(lines(spark, sf))
+    return out.select("project", "file", "line", F.array_join("algorithms", ",").alias("algs"), "reason")
 
 
 def code_findings(spark, sf):
-    """Findings in the files of the lines view, two lines each."""
+    """Findings in the files of two projects, in their first lines."""
     found = V.findings(spark, sf)
     return found.withColumns({
+        "project": F.concat(F.lit("p"), (F.col("seq") % 2).cast("string")),
         "file": F.concat(F.lit("d"), (F.col("place") % 600).cast("string")),
         "line": (1 + F.col("seq") % 3).cast("int"),
     })
 
 
-@query("suppress_inline", f"""SELECT seq FROM (SELECT seq, 'd' || place % 600 AS file, 1 + seq % 3 AS line,
-        lower(COALESCE(alg_name, '')) AS n FROM {V.duck(V.FINDINGS)}) AS f
-    WHERE NOT EXISTS (SELECT 1 FROM {_DIR} AS d WHERE d.file = f.file AND f.line IN (d.line, d.line + 1)
+@query("suppress_inline", f"""SELECT seq FROM (SELECT seq, 'p' || seq % 2 AS project, 'd' || place % 600 AS file,
+        1 + seq % 3 AS line, lower(COALESCE(alg_name, '')) AS n FROM {V.duck(V.FINDINGS)}) AS f
+    WHERE NOT EXISTS (SELECT 1 FROM {_DIR} AS d WHERE d.project = f.project AND d.file = f.file
+        AND f.line IN (d.line, d.line + 1)
         AND (d.algs = '' OR list_contains(string_split(lower(d.algs), ','), f.n)
              OR (d.algs = 'TLS' AND regexp_full_match(f.n, 'tls([0-9]|v[0-9]| [0-9]).*'))))""")
 def suppress_inline(spark, sf):
-    marks = suppress.extract_directives(V.view(spark, sf, V.LINES))
+    marks = suppress.extract_directives(lines(spark, sf))
     return suppress.suppress_inline(code_findings(spark, sf), marks).select("seq")
 
 
@@ -72,13 +80,13 @@ def suppress_by_path(spark, sf):
     return suppress.suppress_by_path(V.findings(spark, sf), IGNORES).select("seq", "file")
 
 
-@query("load_ignore_patterns", f"""SELECT file AS src_file, line_no AS row_no, trim(text) AS pattern
-    FROM {V.duck(V.LINES)} WHERE trim(text) <> '' AND NOT starts_with(trim(text), '#')""")
+@query("load_ignore_patterns", f"""SELECT project, file AS src_file, line_no AS row_no, trim(text) AS pattern
+    FROM {_LINES} WHERE trim(text) <> '' AND NOT starts_with(trim(text), '#')""")
 def load_ignore_patterns(spark, sf):
-    lines = V.view(spark, sf, V.LINES).select(
-        F.col("file").alias("src_file"), F.lit(0).cast("bigint").alias("src_block"),
+    rows = lines(spark, sf).select(
+        "project", F.col("file").alias("src_file"), F.lit(0).cast("bigint").alias("src_block"),
         F.col("line_no").alias("row_no"), F.concat(F.lit("  "), "text", F.lit("\t")).alias("line"))
-    return text_files.parse_ignore_patterns(lines).drop("src_block")
+    return text_files.parse_ignore_patterns(rows).drop("src_block")
 
 
 # --- constants ------------------------------------------------------------------
@@ -89,31 +97,48 @@ SOURCES = {
     "c.ts": "export const KEY_SIZE: number = 256;\nconst AES_SIZE = 128\nlet X1 = 5",
     "d.c": "#define KEY_BITS 1'024u\n#define MULTI 5 \\\n  + 6\nstatic const int AES_KEY = 192;\n"
            "enum Sizes { EC_BITS = 384, RSA = 2048 };\nconst int KEY_BITS = 7;",
-    "e.go": "const KeySize = 256 // bits\nconst (\n  RsaBits = 0b100000000000\n  Octal int = 0o17\n)\nvar x = 9\n",
+    "e.go": "package sizes\nconst KeySize = 256 // bits\nconst (\n  RsaBits = 0b100000000000\n  Octal int = 0o17\n)\nvar x = 9\n",
     "f.txt": "KEY = 5",
 }
+# Projects with odd numbers give other values to some of the same names.
+OTHER_VALUES = {"2_048": "3_072", "4096": "1024", "0x80": "0x100", "256": "0x80", "192": "256", "384": "521"}
 CONSTANTS = {
-    "A.java": {"RSA_KEY_SIZE": 2048, "H": 16, "OCT": 8},
-    "b.py": {"RSA_BITS": 4096, "AES_KEY_LEN": 128},
-    "c.ts": {"KEY_SIZE": 256, "AES_SIZE": 128},
-    "d.c": {"KEY_BITS": 1024, "AES_KEY": 192, "EC_BITS": 384, "RSA": 2048},
-    "e.go": {"KeySize": 256, "RsaBits": 2048, "Octal": 15},
+    "A.java": {"RSA_KEY_SIZE": (2048, 3072), "H": (16, 16), "OCT": (8, 8)},
+    "b.py": {"RSA_BITS": (4096, 1024), "AES_KEY_LEN": (128, 256)},
+    "c.ts": {"KEY_SIZE": (256, 128), "AES_SIZE": (128, 128)},
+    "d.c": {"KEY_BITS": (1024, 1024), "AES_KEY": (192, 256), "EC_BITS": (384, 521), "RSA": (2048, 2048)},
+    "e.go": {"KeySize": (256, 128), "RsaBits": (2048, 2048), "Octal": (15, 15)},
 }
+SCOPES = {"A.java": "A", "b.py": "b", "c.ts": "c", "d.c": "", "e.go": "sizes"}
 _FILES = list(SOURCES)
-_CONST_ROWS = ", ".join(f"('{f}', '{n}', {v})" for f, cs in CONSTANTS.items() for n, v in cs.items())
+_CONST_ROWS = ", ".join(
+    f"('{f}', '{SCOPES[f]}', '{n}', {v[0]}, {v[1]})" for f, cs in CONSTANTS.items() for n, v in cs.items())
+#: Documents 2k and 2k + 1 are the same file in two neighbouring projects of five.
+_K = div("doc_id", 2)
+_OWNER = f"({_K} + doc_id % 2) % 5"
+
+
+def _other(text):
+    for old, new in OTHER_VALUES.items():
+        text = text.replace(f"= {old}", f"= {new}")
+    return text
 
 
 def source_files(spark, sf):
-    which = f"doc_id % {len(_FILES)}"
+    """Declarations and then the document's whole text, in a file of each language."""
+    which = f"{_K} % {len(_FILES)}"
+    texts = [F.array(*[F.lit(change(SOURCES[f])) for f in _FILES]) for change in (str, _other)]
+    declared = F.get(F.when(V.expr(f"{_OWNER} % 2 = 1"), texts[1]).otherwise(texts[0]), V.expr(which).cast("int"))
     return V.table(spark, sf, "documents").select(
-        F.concat(F.lit("d"), "doc_id", F.lit("/"), V.expr(pick(which, _FILES))).alias("file"),
-        F.concat(F.array(*[F.lit(SOURCES[f]) for f in _FILES])[(F.col("doc_id") % len(_FILES)).cast("int")],
-                 F.lit("\n")).alias("content"))
+        F.concat(F.lit("p"), V.expr(string(_OWNER))).alias("project"),
+        F.concat(F.lit("d"), V.expr(string(_K)), F.lit("/"), V.expr(pick(which, _FILES))).alias("file"),
+        F.concat(declared, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("content"))
 
 
-_DOC_CONST = f"""(SELECT 'd' || doc_id || '/' || c.f AS file, c.name, CAST(c.value AS BIGINT) AS value
-    FROM documents JOIN (VALUES {_CONST_ROWS}) AS c(f, name, value)
-    ON c.f = {pick(f'doc_id % {len(_FILES)}', _FILES)})"""
+_DOC_CONST = f"""(SELECT 'p' || {_OWNER} AS project, 'd' || {_K} || '/' || c.f AS file, c.scope, c.name,
+        CAST(CASE WHEN {_OWNER} % 2 = 1 THEN c.odd ELSE c.even END AS BIGINT) AS value
+    FROM documents JOIN (VALUES {_CONST_ROWS}) AS c(f, scope, name, even, odd)
+    ON c.f = {pick(f'{_K} % {len(_FILES)}', _FILES)})"""
 
 
 @query("extract_constants", f"SELECT * FROM {_DOC_CONST}")
@@ -121,9 +146,13 @@ def extract_constants(spark, sf):
     return text_files.extract_constants(source_files(spark, sf))
 
 
+_FOUND_IN = f"'p' || (place % 600 + seq % 3) % 5"
+
+
 def sized_findings(spark, sf):
     file = V.expr(f"'d' || CAST(place % 600 AS STRING) || '/' || {pick(f'place % 600 % {len(_FILES)}', _FILES)}")
-    return V.findings(spark, sf).withColumn("file", file)
+    return V.findings(spark, sf).withColumns({"file": file, "project": F.expr(
+        "concat('p', CAST((place % 600 + seq % 3) % 5 AS STRING))")})
 
 
 _PLAUSIBLE = f"""CASE WHEN {O.isin('tok', constants.SYMMETRIC_TOKENS)} THEN value IN (128, 192, 256, 512)
@@ -135,12 +164,12 @@ _SEGMENTS = """string_split(regexp_replace(upper(regexp_replace(name, '([a-z])([
 
 
 @query("enrich_key_size", f"""
-    WITH f AS (SELECT seq, alg_name, key_size, 'd' || place % 600 || '/' ||
+    WITH f AS (SELECT seq, alg_name, key_size, {_FOUND_IN} AS project, 'd' || place % 600 || '/' ||
             {pick(f'place % 600 % {len(_FILES)}', _FILES)} AS file,
             regexp_extract(upper(alg_name), '^([A-Z0-9]*)', 1) AS tok FROM {V.duck(V.FINDINGS)}),
     e AS (SELECT f.seq, value, tok <> '' AND regexp_matches(regexp_replace(upper(name), '[^A-Z0-9]', ' ', 'g'),
             '(^| )' || tok || '( |$)') AS named
-        FROM f JOIN {_DOC_CONST} AS c ON c.file = f.file
+        FROM f JOIN {_DOC_CONST} AS c ON c.file = f.file AND c.project = f.project
         WHERE alg_name IS NOT NULL AND COALESCE(key_size, 0) = 0 AND value >= 8 AND {_PLAUSIBLE}
             AND ((tok <> '' AND regexp_matches(regexp_replace(upper(name), '[^A-Z0-9]', ' ', 'g'),
                 '(^| )' || tok || '( |$)')) OR list_has_any({_SEGMENTS}, {O.array(constants.KEY_WORDS)}))),
@@ -155,18 +184,19 @@ def enrich_key_size(spark, sf):
 
 IDENTIFIERS = ["use(RSA_BITS)", "AES_KEY_LEN+RSA_BITS", "xRSA_BITS", "a.KeySize", "KEY_BITS2", "nothing",
                "(EC_BITS)", "RSA"]
-IDENT_SIZE = [4096, 128, None, 256, None, None, 384, 2048]
+IDENT_NAME = ["RSA_BITS", "AES_KEY_LEN", None, "KeySize", None, None, "EC_BITS", "RSA"]
 
 
-@query("enrich_key_size_by_identifier", f"""SELECT seq, CASE WHEN alg_name IS NOT NULL THEN
-        COALESCE(key_size, {pick(f'seq % {len(IDENTIFIERS)}', IDENT_SIZE)}) END AS key_size
-    FROM {V.duck(V.FINDINGS)}""")
+@query("enrich_key_size_by_identifier", f"""
+    WITH c AS (SELECT project, name, max(value) AS value FROM {_DOC_CONST} GROUP BY project, name)
+    SELECT seq, CASE WHEN alg_name IS NOT NULL THEN COALESCE(key_size, c.value) END AS key_size
+    FROM (SELECT *, {pick(f'seq % {len(IDENTIFIERS)}', IDENT_NAME)} AS named, {_FOUND_IN} AS own
+          FROM {V.duck(V.FINDINGS)}) AS f LEFT JOIN c ON c.project = f.own AND c.name = f.named""")
 def enrich_key_size_by_identifier(spark, sf):
     raw = V.expr(pick(f"seq % {len(IDENTIFIERS)}", IDENTIFIERS))
-    found = V.findings(spark, sf).withColumn("raw_identifier", raw)
+    found = sized_findings(spark, sf).withColumn("raw_identifier", raw)
     consts = text_files.extract_constants(source_files(spark, sf)).select(
-        F.concat(F.lit("pkg."), "name").alias("name"), "value").distinct()
-    consts = consts.where("name <> 'pkg.KEY_SIZE'")
+        "project", F.concat("scope", F.lit("."), "name").alias("name"), "value")
     out = enrich.enrich_key_size_by_identifier(found, consts)
     return out.select("seq", F.col("algorithm.key_size").alias("key_size"))
 
@@ -185,16 +215,50 @@ CONF = {
 }
 
 
+_CONF_FILES = f"""SELECT doc_id, 'p' || {string('doc_id % 3')} AS project, 'd' || {string('doc_id')} AS file,
+    COALESCE(text, '') AS content FROM {{documents}}"""
+# what a key and a value are in the lines of a document, which has no continuations
+_PAIR = r"""trim(regexp_extract(t, '(?s)^([^=:]*)[=:]', 1), {b}) AS key,
+    trim(regexp_extract(t, '(?s)^[^=:]*[=:](.*)$', 1), {b}) AS value"""
+_BLANK = "' ' || chr(9) || chr(11) || chr(12) || chr(13) || chr(160) || chr(133)"
+_COMMENTS = {"properties": "'#', '!'", "env": "'#'", "ini": "'#', ';', '['"}
+
+
 def _conf_oracle(fmt):
     rows = ", ".join(f"({V.text(k)}, {V.text(v)}, {n})" for k, v, n in CONF[fmt][1])
-    return f"""SELECT 'd' || doc_id AS file, c.key, c.value, c.line FROM documents,
-        (VALUES {rows}) AS c(key, value, line)"""
+    offset = CONF[fmt][0].count("\n") + (not CONF[fmt][0].endswith("\n"))
+    t = f"trim(text, {_BLANK})"
+    if fmt == "env":
+        t = f"trim(regexp_replace({t}, '(?i)^export ', ''), {_BLANK})"
+    section = CONF_SECTION if fmt == "ini" else ""
+    cut = {"ini": [";", "#"], "env": ["#"]}.get(fmt, [])
+    plain = "value"
+    for mark in reversed(cut):
+        plain = f"CASE WHEN contains(value, ' {mark}') THEN trim(split_part(value, ' {mark}', 1), {_BLANK}) ELSE {plain} END"
+    for q in ('"', "''") if cut else ():
+        closed = f"regexp_matches(value, '(?s)^{q}[^{q}]*{q}')"
+        opened = "substr(value, 2)" if fmt == "env" else "value"
+        plain = f"""CASE WHEN length(value) >= 2 AND starts_with(value, '{q}') THEN
+            CASE WHEN {closed} THEN regexp_extract(value, '(?s)^{q}([^{q}]*){q}', 1) ELSE {opened} END ELSE {plain} END"""
+    return f"""SELECT project, file, c.key, c.value, c.line FROM {V.duck(_CONF_FILES)},
+        (VALUES {rows}) AS c(key, value, line)
+    UNION ALL SELECT project, file, {'CASE WHEN key = ' + "''" + f" THEN NULL ELSE {V.text(section)} || key END" if fmt == 'ini' else 'key'},
+        {plain}, line_no + {offset}
+    FROM (SELECT project, file, line_no, {_PAIR.format(b=_BLANK)} FROM (
+        SELECT *, {t} AS t FROM {V.lines_of(_CONF_FILES)})
+        WHERE t <> '' AND trim(text, {_BLANK}) <> '' AND substr(trim(text, {_BLANK}), 1, 1) NOT IN ({_COMMENTS[fmt]})
+            AND regexp_matches(t, '[=:]'))
+    {"WHERE key <> ''" if fmt == 'ini' else ''}"""
+
+
+#: the section that the lines behind the settings are in
+CONF_SECTION = "a b."
 
 
 def _conf_query(fmt):
     def run(spark, sf):
-        files = V.table(spark, sf, "documents").select(
-            F.concat(F.lit("d"), "doc_id").alias("file"), F.lit(CONF[fmt][0]).alias("content"))
+        files = V.view(spark, sf, _CONF_FILES).drop("doc_id").withColumn(
+            "content", F.concat(F.lit(CONF[fmt][0]), "content"))
         return config_text.read_config_kv(files, fmt)
 
     return run
@@ -204,14 +268,16 @@ for _fmt in CONF:
     query(f"load_config_kv_{_fmt}", _conf_oracle(_fmt))(_conf_query(_fmt))
 
 
-@query("config_sections", f"""SELECT file, line_no, last_value(CASE WHEN text = 'plain text' THEN 'plain'
-        WHEN starts_with(text, 'const') THEN '' END IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no) AS section
-    FROM {V.duck(V.LINES)}""")
+@query("config_sections", f"""SELECT project, file, line_no, last_value(CASE WHEN text = 'plain text' THEN 'plain'
+        WHEN starts_with(text, 'const KEY') THEN '' WHEN regexp_matches(trim(text), '^\\[[^\\]]*\\]')
+        THEN trim(regexp_extract(trim(text), '^\\[([^\\]]*)\\]', 1)) END IGNORE NULLS) OVER
+        (PARTITION BY project, file ORDER BY line_no) AS section
+    FROM {_LINES}""")
 def config_sections(spark, sf):
     text = F.when(F.col("text") == "plain text", "[ plain ] x").when(
-        F.col("text").startswith("const"), "[]").otherwise(F.col("text"))
-    return config_text.config_sections(V.view(spark, sf, V.LINES).withColumn("text", text)).select(
-        "file", "line_no", "section")
+        F.col("text").startswith("const KEY"), "[]").otherwise(F.col("text"))
+    return config_text.config_sections(lines(spark, sf).withColumn("text", text)).select(
+        "project", "file", "line_no", "section")
 
 
 _TREE = '{"a": {"b": [1, {"c": "x"}], "n": null}, "t": true, "f": 1.5, "s": "q"}'

@@ -221,9 +221,14 @@ def consumer_type(spark, sf):
     return V.view(spark, sf, STEPS).select("seq", "hop", I.consumer_type(F.col("message")).alias("consumer"))
 
 
-_HITS = " UNION ALL ".join(
-    f"SELECT seq, hop, file, line, '{k}' AS type, unnest(regexp_extract_all(message, '{b}\\s*(\\d+){a}', 1)) AS n FROM {_STEPS}"
-    for k, b, a in irules.LIMIT_FORMS)
+LIMITS = [
+    ("buf := make([]byte, 256)", "buffer-alloc", 256), ("INSERT INTO t VARCHAR(4000)", "db-column", 4000),
+    ("SIG_MAX_LEN = 512 max_len = 90", "config", 90), ("SIG_MAX_LEN = 512 max_len = 90", "constant", 512),
+    ("new byte[64] dtls.Dial", "buffer-alloc", 64),
+]
+_LIMIT_ROWS = ", ".join(f"({V.text(m)}, {V.text(k)}, {n})" for m, k, n in LIMITS)
+_HITS = f"""SELECT seq, hop, file, line, type, n FROM {_STEPS} AS s
+    JOIN (VALUES {_LIMIT_ROWS}) AS x(said, type, n) ON x.said = s.message"""
 
 
 @query("constraint_hits", f"""SELECT seq, hop, file, line, type, CAST(n AS BIGINT) AS max_bytes

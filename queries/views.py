@@ -206,16 +206,23 @@ CODE = [
     's := "# crypto:ignore" + y', "/* crypto:ignore[TLS] : old peers */",
     "<!-- crypto:ignore[AES] -->", "const KEY_BITS = 2048", "# crypto:ignored", "plain text",
 ]
-LINES = f"""
-    SELECT file, line_no, text FROM (
-        SELECT 'd' || {string('doc_id')} AS file, 1 AS line_no,
-               {pick(f'doc_id % {len(CODE)}', CODE)} AS text FROM {{documents}}
-        UNION ALL
-        SELECT 'd' || {string('doc_id')} AS file, 2 AS line_no,
-               {pick(f'{div("doc_id", 3)} % {len(CODE)}', CODE)} AS text FROM {{documents}}
-    ) AS t
+# Every document is a file of two lines of code and then its whole text.  Documents 2k and
+# 2k + 1 are the same file in two projects, with lines of their own.
+_FIRST, _SECOND = pick(f"doc_id % {len(CODE)}", CODE), pick(f"{div('doc_id', 3)} % {len(CODE)}", CODE)
+FILES = f"""
+    SELECT doc_id, 'p' || {string('doc_id % 2')} AS project, 'd' || {string(div('doc_id', 2))} AS file,
+           {_FIRST} || chr(10) || {_SECOND} || chr(10) || COALESCE(text, '') AS content
+    FROM {{documents}}
 """
 
+
+def lines_of(files: str) -> str:
+    """The lines of whole files, for DuckDB."""
+    return f"""(SELECT project, file, CAST(i AS INT) AS line_no, t AS text FROM (
+        SELECT project, file, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS t
+        FROM (SELECT project, file, string_split(content, chr(10)) AS l FROM {duck(files)})))"""
+
+
 # --- history -----------------------------------------------------------------
 HISTORY = f"""
     SELECT 'p' || {string('o_custkey % 40')} AS project, o_orderkey AS scan_seq,
@@ -263,12 +270,8 @@ def duck(sql: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, spread over the cores when its file is too small to be split."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ("lineitem", "events", "orders", "pages") and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Sizes, limits and blast radius."""
 
+import functools
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shoreline.functions.text import contains_any, longest_prefix, lookup
+from shoreline.functions.text import contains_any, let, longest_prefix, lookup
 from shoreline.rules import impact as rules
 
 # Bytes on the wire: signature, else ciphertext, else public key.
@@ -85,18 +88,43 @@ def protocol_encoding(protocol: Column) -> Column:
 
 
 def size_limits(message: Column) -> Column:
-    """Positive size limits written in a message, as ``struct<type, max_bytes>``."""
-    def of(kind, before, after):
-        numbers = F.transform(
-            F.regexp_extract_all(message, F.lit(rf"{before}\s*(\d+){after}"), F.lit(1)),
-            lambda n: n.try_cast("bigint"),
-        )
-        return F.transform(
-            F.filter(numbers, lambda n: n > 0),
-            lambda n: F.named_struct(F.lit("type"), F.lit(kind), F.lit("max_bytes"), n),
-        )
-
-    return F.concat(*[of(*form) for form in rules.LIMIT_FORMS])
+    """Positive size limits written in a message, as ``struct<type, max_bytes>``.
+
+    The message is cut into words and signs.  A number is a limit by what stands around
+    it: the size of a byte slice or array that is made, the length of a VARCHAR column,
+    or what is assigned to a length setting or to a constant with MAX inside its name.
+    """
+    def found(t):
+        def at(i, before):
+            return F.get(t, i - before)
+
+        def follows(i, words):
+            """The words stand right before the number at place i."""
+            tests = [at(i, len(words) - n) == w for n, w in enumerate(words)]
+            return functools.reduce(operator.and_, tests)
+
+        assigned = lambda i: at(i, 1) == "="
+        readers = [
+            ("buffer-alloc", lambda i: follows(i, ["make", "(", "[", "]", "byte", ","]) & (at(i, -1) == ")"), True),
+            ("buffer-alloc", lambda i: follows(i, ["new", "byte", "["]) & (at(i, -1) == "]"), True),
+            ("db-column", lambda i: at(i, 2).endswith("VARCHAR") & (at(i, 1) == "(") & (at(i, -1) == ")"), True),
+            ("config", lambda i: assigned(i) & at(i, 2).endswith("max_len"), False),
+            ("constant", lambda i: assigned(i) & F.substr(at(i, 2), F.lit(2), F.length(at(i, 2)) - 2).contains("_MAX_"), False),
+        ]
+
+        def of(kind, test, whole):
+            number = "^[0-9]+$" if whole else "^[0-9]"
+            places = F.filter(F.sequence(F.lit(0), F.size(t)), lambda i: F.coalesce(
+                F.get(t, i).rlike(number) & test(i), F.lit(False)))
+            sizes = F.transform(places, lambda i: F.regexp_extract(F.get(t, i), "^[0-9]+", 0).try_cast("bigint"))
+            return F.transform(F.filter(sizes, lambda n: n > 0), lambda n: F.named_struct(
+                F.lit("type"), F.lit(kind), F.lit("max_bytes"), n))
+
+        return F.concat(*[of(*r) for r in readers])
+
+    nothing = F.array().cast("array<struct<type:string,max_bytes:bigint>>")
+    # no digit, no limit
+    return F.when(message.rlike("[0-9]"), let(F.regexp_extract_all(message, F.lit(r"\w+|\S"), F.lit(0)), found)).otherwise(nothing)
 
 
 def blast_radius(hops: Column, limits: Column, protocols: Column, ratio: Column) -> Column:

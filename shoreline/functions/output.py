@@ -177,6 +177,6 @@ def csv_columns() -> list:
         positive(F.col("handshake_bytes")), text(F.col("file")),
         F.coalesce("line", F.lit(0)).cast("string"), text(F.col("source_engine")),
         text(F.col("reachable")), flag("partial_inventory"),
-        text(F.col("partial_inventory_reason")), text(schema.finding_key()),
+        text(F.col("partial_inventory_reason")), text(schema.key_text(schema.finding_key())),
     ]
     return [v.alias(name) for name, v in zip(formats.CSV_COLUMNS, values)]

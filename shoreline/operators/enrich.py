@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoreline import schema
 from shoreline.rules import constants as rules
 
 
@@ -64,45 +65,44 @@ def enrich_key_size(df: DataFrame, constants: DataFrame) -> DataFrame:
     """
     token = algorithm_token(F.col("algorithm.name"))
     # the constants of a file are those of the finding's own project
-    if {"project"} <= set(df.columns) & set(constants.columns):
-        place = F.concat_ws("!", "project", "file")
-        constants = constants.withColumn("file", place)
-    else:
-        place = F.col("file")
+    project = schema.scope_of(df, constants, "constants")
     wanted = (
         df.where(_lacks_size() & (F.coalesce(F.col("file"), F.lit("")) != ""))
-        .select(place.alias("_file"), token.alias("_token")).distinct()
+        .select(project.alias("_project"), F.col("file").alias("_file"), token.alias("_token")).distinct()
     )
     known_sizes = sorted({*rules.SYMMETRIC_SIZES, *rules.RSA_SIZES, *rules.EC_SIZES})
     consts = constants.where(F.col("value").isin(known_sizes)).select(
-        F.col("file").alias("_file"), F.col("name").alias("_name"), F.col("value").alias("_value"),
+        project.alias("_in"), F.col("file").alias("_at"), F.col("name").alias("_name"),
+        F.col("value").alias("_value"),
     ).distinct()
     in_name = (F.col("_token") != "") & _contains_word(F.upper("_name"), F.col("_token"))
     speaks_of_keys = F.arrays_overlap(
         name_segments(F.col("_name")), F.array(*[F.lit(w) for w in rules.KEY_WORDS])
     )
-    eligible = wanted.join(consts, "_file").withColumn("_in_name", in_name).where(
+    same = F.col("_project").eqNullSafe(F.col("_in")) & (F.col("_file") == F.col("_at"))
+    eligible = wanted.join(consts, same).withColumn("_in_name", in_name).where(
         (F.col("_in_name") | speaks_of_keys)
         & plausible_key_size(F.col("_token"), F.col("_value"))
     )
     named = F.col("_in_name")
-    answers = eligible.groupBy("_file", "_token").agg(
+    answers = eligible.groupBy("_project", "_file", "_token").agg(
         F.count(F.lit(1)).alias("n"), F.max("_value").alias("only"),
         F.count_if(named).alias("n_named"), F.max(F.when(named, F.col("_value"))).alias("named"),
     ).select(
-        F.col("_file"), F.col("_token"),
+        "_project", "_file", "_token",
         F.when(F.col("n") == 1, F.col("only")).when(F.col("n_named") == 1, F.col("named"))
         .alias("_found"),
     ).where(F.col("_found").isNotNull())
     a = F.col("algorithm")
     joined = df.withColumn("_t", token).join(
-        answers, (place == F.col("_file")) & (F.col("_t") == F.col("_token")), "left"
+        answers, project.eqNullSafe(F.col("_project")) & (F.col("file") == F.col("_file"))
+        & (F.col("_t") == F.col("_token")), "left"
     )
     return joined.withColumn(
         "algorithm",
         F.when(_lacks_size() & F.col("_found").isNotNull(), _with_key_size(a, F.col("_found")))
         .otherwise(a),
-    ).drop("_t", "_file", "_token", "_found")
+    ).drop("_t", "_project", "_file", "_token", "_found")
 
 
 def _tokens(text: Column) -> Column:
@@ -115,14 +115,16 @@ def enrich_key_size_by_identifier(df: DataFrame, constants: DataFrame) -> DataFr
     A name found as a word is a run of the identifier's tokens, so names and runs
     are joined on equality of all their tokens and only names that differ in their
     separators are tested further.  A name without any letter or digit is looked
-    for by its first character.  Each distinct identifier is taken apart once.
+    for by its first character.  Each distinct identifier of a project is taken apart
+    once, and only constants of its own project count.
     """
+    project = schema.scope_of(df, constants, "constants")
     field = F.regexp_replace(F.col("name"), r"^[^.]*\.", "")
     consts = (
         constants.where(F.col("value") > 0)
-        .select(field.alias("_field"), F.col("value").alias("_value"))
+        .select(project.alias("_in"), field.alias("_field"), F.col("value").alias("_value"))
         .where(F.col("_field") != "")
-        .groupBy("_field").agg(F.max("_value").alias("_value"))
+        .groupBy("_in", "_field").agg(F.max("_value").alias("_value"))
         .withColumn("_n", F.size(_tokens(F.col("_field"))))
         .withColumn("_run", F.when(F.col("_n") > 0, F.array_join(_tokens(F.col("_field")), " "))
                     .otherwise(F.concat(F.lit("#"), F.substring("_field", 1, 1))))
@@ -135,25 +137,26 @@ def enrich_key_size_by_identifier(df: DataFrame, constants: DataFrame) -> DataFr
     separators = F.array_distinct(F.filter(
         F.split(F.regexp_replace("_raw", "[A-Za-z0-9]+", ""), ""), lambda c: c != ""))
     words = (
-        df.where(_lacks_size() & (F.coalesce(raw, F.lit("")) != "")).select(raw.alias("_raw"))
+        df.where(_lacks_size() & (F.coalesce(raw, F.lit("")) != "")).select(project.alias("_project"), raw.alias("_raw"))
         .distinct()
         # no run longer than the longest name is needed
         .withColumn("_most", F.greatest(F.lit(1), consts.agg(F.max("_n")).scalar()))
         .withColumn("_tokens", _tokens(F.col("_raw")))
-        .select("_raw", F.explode(F.concat(
-            F.array_distinct(runs), F.transform(separators, lambda c: F.concat(F.lit("#"), c)))).alias("_run"))
+        .select("_project", "_raw", F.explode(F.concat(
+            F.array_distinct(runs), F.transform(separators, lambda c: F.concat(F.lit("#"), c)))).alias("_asked"))
     )
-    hits = words.join(consts, "_run").where(_contains_word(F.col("_raw"), F.col("_field")))
+    same = (F.col("_asked") == F.col("_run")) & F.col("_project").eqNullSafe(F.col("_in"))
+    hits = words.join(consts, same).where(_contains_word(F.col("_raw"), F.col("_field")))
     # longest name first, then alphabetical
     best = F.max_by("_value", F.struct(F.length("_field"), _reversed_order("_field")))
-    answers = hits.groupBy("_raw").agg(best.alias("_found"))
+    answers = hits.groupBy("_project", "_raw").agg(best.alias("_found"))
     a = F.col("algorithm")
-    joined = df.join(answers, raw == F.col("_raw"), "left")
+    joined = df.join(answers, project.eqNullSafe(F.col("_project")) & (raw == F.col("_raw")), "left")
     return joined.withColumn(
         "algorithm",
         F.when(_lacks_size() & F.col("_found").isNotNull(), _with_key_size(a, F.col("_found")))
         .otherwise(a),
-    ).drop("_raw", "_found")
+    ).drop("_project", "_raw", "_found")
 
 
 def _reversed_order(field: str) -> Column:

@@ -1,8 +1,8 @@
 """Follow the data flow of a finding and work out what a migration would break.
 
-A flow path belongs to one finding and is cut after ``max_hops`` steps where the
-rules say so, so it is handled inside its row with array functions: nothing is
-exploded, joined or shuffled until the zones themselves.
+A flow path belongs to one finding, so it is handled inside its row with array
+functions: nothing is exploded, joined or shuffled until the zones themselves.
+``max_hops`` cuts a path where a caller asks for it.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shoreline import schema
 from shoreline.functions import impact as I
-from shoreline.rules.impact import MAX_HOPS
+from shoreline.operators.known import once, with_facts
 
 
 def _steps(df: DataFrame) -> DataFrame:
@@ -28,9 +28,9 @@ def flow_steps(df: DataFrame) -> DataFrame:
     return _steps(df)
 
 
-def hop_edges(df: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """Edges from each place to the next, starting at the finding itself."""
-    path = F.slice("data_flow_path", 1, max_hops)
+def hop_edges(df: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Edges from each place to the next, starting at the finding itself; all without ``max_hops``."""
+    path = F.col("data_flow_path") if max_hops is None else F.slice("data_flow_path", 1, max_hops)
     before = F.concat(
         F.array(F.struct(F.col("file").alias("file"), F.coalesce("line", F.lit(0)).alias("line"))),
         F.transform(path, lambda s: F.struct(s["file"].alias("file"), s["line"].alias("line"))),
@@ -87,11 +87,11 @@ def impact_targets(df: DataFrame, key: str = "name") -> DataFrame:
     )
 
 
-def impact_zones(df: DataFrame, max_hops: int = MAX_HOPS, base: str | None = None) -> DataFrame:
+def impact_zones(df: DataFrame, max_hops: int | None = None, base: str | None = None) -> DataFrame:
     """What each target of each finding with a flow path would break.
 
     Limits and protocols come from the whole path; only the hop count stops at
-    ``max_hops``.  Targets without a known size give no zone.
+    ``max_hops``, if given.  Targets without a known size give no zone.
     """
     wanted = df.where(F.col("algorithm").isNotNull() & (F.size("data_flow_path") > 0))
     if base:
@@ -112,15 +112,24 @@ def impact_zones(df: DataFrame, max_hops: int = MAX_HOPS, base: str | None = Non
         ),
     )))
     name = F.col("algorithm.name")
-    staged = wanted.select(
+    hops = F.size(path) if max_hops is None else F.least(F.size(path), F.lit(max_hops))
+    # what the name decides is looked up, and limits and protocols are read once a finding,
+    # not once for each of its targets
+    known = with_facts(wanted, name, lambda n: F.struct(
+        I.dominant_size(n).alias("size"),
+        F.filter(F.transform(I.impact_targets(n), lambda t, i: F.struct(
+            i.alias("no"), t.alias("name"), I.dominant_size(t).alias("size"))), lambda t: t["size"].isNotNull()
+        ).alias("targets")), "_facts").where("_facts.size is not null and size(_facts.targets) > 0")
+    read = once(known, F.struct(limits.alias("limits"), crossings.alias("crossings")), "_read")
+    staged = read.select(
         schema.finding_key().alias("finding_key"), "engine_rank", "seq",
-        name.alias("from_algorithm"), limits.alias("_limits"), crossings.alias("_crossings"),
-        F.least(F.size(path), F.lit(max_hops)).alias("hop_count"),
-        I.dominant_size(name).alias("_from_bytes"),
-        F.posexplode(I.impact_targets(name)).alias("target_no", "to_algorithm"),
-    ).withColumn("_to_bytes", I.dominant_size(F.col("to_algorithm"))).where(
-        F.col("_from_bytes").isNotNull() & F.col("_to_bytes").isNotNull()
-    )
+        name.alias("from_algorithm"), F.col("_read.limits").alias("_limits"),
+        F.col("_read.crossings").alias("_crossings"), hops.alias("hop_count"),
+        F.col("_facts.size").alias("_from_bytes"), F.explode("_facts.targets").alias("_t"),
+    ).select(
+        "*", F.col("_t.no").alias("target_no"), F.col("_t.name").alias("to_algorithm"),
+        F.col("_t.size").alias("_to_bytes"),
+    ).drop("_t")
     to_bytes = F.col("_to_bytes").cast("bigint")
     broken = F.transform(
         F.filter("_limits", lambda h: to_bytes > h["max_bytes"]),

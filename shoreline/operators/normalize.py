@@ -104,7 +104,7 @@ def fold_generic_protocol(df: DataFrame) -> DataFrame:
     is_generic = F.coalesce(name.isin(quantum.GENERIC_PROTOCOLS), F.lit(False))
     versions = (
         df.where(name.isin(quantum.VERSIONED_PROTOCOLS))
-        .select(schema.file_key().alias("_fk"), F.coalesce("line", F.lit(0)).alias("_ln"),
+        .select(F.struct(*schema.file_key()).alias("_fk"), F.coalesce("line", F.lit(0)).alias("_ln"),
                 name.alias("_version"))
         .groupBy("_fk", "_ln")
         .agg(F.min("_version").alias("_low"), F.max("_version").alias("_high"))
@@ -112,7 +112,7 @@ def fold_generic_protocol(df: DataFrame) -> DataFrame:
     )
     generic = (
         df.where(is_generic)
-        .withColumns({"_fk": schema.file_key(), "_ln": F.coalesce("line", F.lit(0))})
+        .withColumns({"_fk": F.struct(*schema.file_key()), "_ln": F.coalesce("line", F.lit(0))})
         .join(versions, ["_fk", "_ln"], "left")
     )
     a = F.col("algorithm")

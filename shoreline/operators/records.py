@@ -9,9 +9,6 @@ from shoreline.functions.text import blank_to_null, strip
 from shoreline.rules import tls as rules
 from shoreline.sources.lines import place
 
-# entries of a list that the log format allows
-MAX_LIST = 64
-
 
 def first_per_key(df: DataFrame, keys: list, order: Column) -> DataFrame:
     """First row of each key.
@@ -50,8 +47,8 @@ def cap_list(c: Column, n: int) -> Column:
     return F.slice(c, 1, n)
 
 
-def split_list(c: Column, n: int | None = MAX_LIST) -> Column:
-    """Non-blank entries of a comma list, the first ``n`` as the log format allows; None keeps all."""
+def split_list(c: Column, n: int | None = None) -> Column:
+    """Non-blank entries of a comma list; the first ``n`` where a log format has a limit."""
     parts = F.transform(F.split(X.sanitize_field(c), ","), strip)
     entries = F.filter(parts, lambda s: s != "")
     return entries if n is None else cap_list(entries, n)
@@ -143,10 +140,13 @@ def ja3s_lookup(df: DataFrame, ja3s_dim: DataFrame) -> DataFrame:
     return df.join(hints, "ja3s")
 
 
-def eve_record_to_findings(df: DataFrame, ja3s_dim: DataFrame | None = None) -> DataFrame:
+def eve_record_to_findings(
+    df: DataFrame, ja3s_dim: DataFrame | None = None, max_list: int | None = None
+) -> DataFrame:
     """Cipher, fingerprint hint, signature algorithms and groups of an IDS record.
 
-    ``ja3s_dim`` (ja3s, pqc_present, label) has one row per fingerprint.
+    ``ja3s_dim`` (ja3s, pqc_present, label) has one row per fingerprint.  ``max_list``
+    keeps the first entries of each list only.
     """
     if ja3s_dim is None:
         staged = df.withColumn("_label", F.lit(None).cast("string"))
@@ -164,11 +164,11 @@ def eve_record_to_findings(df: DataFrame, ja3s_dim: DataFrame | None = None) ->
                   raw=F.concat(F.lit("suricata-ja3s:"), F.col("ja3s"))),
         ),
         F.transform(
-            F.coalesce(split_list(F.col("sigalgs")), none),
+            F.coalesce(split_list(F.col("sigalgs"), max_list), none),
             lambda s: _seen(s, "signature", "eve.json/sigalgs"),
         ),
         F.transform(
-            F.coalesce(split_list(F.col("groups")), none),
+            F.coalesce(split_list(F.col("groups"), max_list), none),
             lambda g: _seen(g, "key-agree", "eve.json/groups"),
         ),
     )
@@ -327,15 +327,21 @@ def key_share_length_check(df: DataFrame) -> DataFrame:
     })
 
 
-def ct_record_to_finding(df: DataFrame) -> DataFrame:
-    """One finding per certificate: its signature algorithm, else its key algorithm."""
+def ct_record_to_finding(df: DataFrame, serial_chars: int | None = None) -> DataFrame:
+    """One finding per certificate: its signature algorithm, else its key algorithm.
+
+    ``file`` names the host and the serial number, so each certificate is a place of its
+    own; ``serial_chars`` shortens the number, and certificates of a host that agree in
+    these characters then count as one place.
+    """
     name = F.coalesce(blank_to_null(F.col("sig_algorithm")), F.col("pub_key_algorithm"))
     serial = F.coalesce(F.col("serial_number"), F.lit(""))
     host = F.col("hostname")
     return df.select(
         *df.columns,
         F.concat(
-            F.lit("(ct-lookup)/"), host, F.lit("#cert:"), F.substring(serial, 1, 8)
+            F.lit("(ct-lookup)/"), host, F.lit("#cert:"),
+            serial if serial_chars is None else F.substring(serial, 1, serial_chars),
         ).alias("file"),
         F.lit(0).alias("line"), F.lit("ct-log").alias("artifact_type"),
         schema.algorithm(

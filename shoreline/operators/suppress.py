@@ -10,6 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoreline import schema
 from shoreline.functions.text import (
     blank_to_null,
     covers_version,
@@ -17,6 +18,7 @@ from shoreline.functions.text import (
     relative_to,
     strip,
 )
+from shoreline.operators.known import once
 
 TAG = "crypto"
 COMMENT_OPENERS = ["//", "#", "/*", "<!--"]
@@ -30,35 +32,41 @@ def strip_string_literals(text: Column) -> Column:
     )
 
 
-def _reason(body: Column) -> Column:
-    """What follows the introducing colon or dashes, without the end of the comment."""
-    dashes = body.startswith("-")
-    said = strip(F.when(dashes, F.regexp_replace(body, "^-+", "")).otherwise(F.substr(body, F.lit(2))))
-    # of nothing but dashes the last one is the reason
-    said = F.when((said == "") & dashes & (F.length(body) > 1), F.lit("-")).otherwise(said)
-    open_ = strip(_without_end(said))
-    return F.when(open_ != "", open_).otherwise(said)
-
-
 def _without_end(text: Column) -> Column:
+    """Text without the end of a comment, and without blanks around what is left."""
     out = text
     for end in ("-->", "*/"):
         out = F.when(text.endswith(end), F.substr(text, F.lit(1), F.length(text) - len(end))).otherwise(out)
-    return out
+    return strip(out)
+
+
+def _listed(m: Column) -> Column:
+    """Where the list in brackets ends, 0 without one."""
+    return F.struct(m["opened"].alias("opened"), m["rest"].alias("rest"), F.when(m["rest"].startswith("["), F.locate("]", m["rest"])).otherwise(0).alias("close"))
+
+
+def _parted(m: Column) -> Column:
+    """The names of the list, and what comes behind it."""
+    names = F.split(F.when(m["close"] > 0, F.substr(m["rest"], F.lit(2), m["close"] - 2)).otherwise(""), ",")
+    body = strip(F.when(m["close"] > 0, F.substr(m["rest"], m["close"] + 1)).otherwise(m["rest"]))
+    return F.struct(m["opened"].alias("opened"), F.filter(F.transform(names, strip), lambda n: n != "").alias("algorithms"), body.alias("body"))
+
+
+def _introduced(m: Column) -> Column:
+    """What a colon or dashes introduce; of nothing but dashes the last one is the reason."""
+    body, dashes = m["body"], m["body"].startswith("-")
+    said = strip(F.when(dashes, F.regexp_replace(body, "^-+", "")).when(
+        body.startswith(":") | body.startswith("—"), F.substr(body, F.lit(2))))
+    said = F.when((F.length(body) > 1) & body.rlike("^-+$"), F.lit("-")).otherwise(said)
+    return F.struct(m["opened"].alias("opened"), m["algorithms"].alias("algorithms"), body.alias("body"), said.alias("said"))
 
 
-def _read_marker(rest: Column) -> Column:
-    """``(algorithms, reason)`` of the text behind a marker; NULL if it is something else."""
-    close = F.locate("]", rest)
-    listed = rest.startswith("[") & (close > 0)
-    names = F.transform(
-        F.split(F.when(listed, F.substr(rest, F.lit(2), close - 2)).otherwise(""), ","), strip)
-    body = strip(F.when(listed, F.substr(rest, close + 1)).otherwise(rest))
-    introduced = body.startswith("-") | body.startswith(":") | body.startswith("—")
-    reason = F.when(introduced, _reason(body))
-    fits = F.when(introduced, reason != "").otherwise(strip(_without_end(body)) == "")
-    return F.when(fits, F.struct(
-        F.filter(names, lambda n: n != "").alias("algorithms"), blank_to_null(reason).alias("reason")))
+def _judged(m: Column) -> Column:
+    """The reason without the end of the comment, and whether the marker can be read."""
+    open_ = _without_end(m["said"])
+    reason = F.when(open_ != "", open_).otherwise(m["said"])
+    fits = F.when(m["said"].isNotNull(), m["said"] != "").otherwise(_without_end(m["body"]) == "")
+    return F.struct((m["opened"] & fits).alias("fits"), m["algorithms"].alias("algorithms"), blank_to_null(reason).alias("reason"))
 
 
 def extract_directives(lines: DataFrame, tag: str = TAG) -> DataFrame:
@@ -67,33 +75,41 @@ def extract_directives(lines: DataFrame, tag: str = TAG) -> DataFrame:
     A marker opens a comment: ``<tag>:ignore``, then a list in brackets, then a reason
     after a colon or dashes, both optional, then the end of the line.  An empty
     algorithm list covers every algorithm.  Markers inside string literals do not
-    count; of several on a line the first readable one does.
+    count; of several on a line the first readable one does.  A column ``project`` is
+    kept.  The steps follow each other over an array of a line's markers, so each is
+    worked out once.
     """
     marker = f"{tag}:ignore"
     # the substring test spares most lines the rest
-    hits = lines.where(F.col("text").contains(marker)).withColumn(
-        "_t", strip_string_literals(strip(F.col("text")))).where(F.col("_t").contains(marker))
-    pieces = F.split("_t", re.escape(marker))
+    hits = lines.where(F.col("text").contains(marker))
+    bare = once(hits, strip_string_literals(strip(F.col("text"))), "_t").where(F.col("_t").contains(marker))
+    cut = once(bare, F.split("_t", re.escape(marker)), "_pieces")
+    pieces = F.col("_pieces")
 
-    def read(i):
+    def at(i):
         before = strip(F.get(pieces, i - 1))
         opened = functools.reduce(operator.or_, [before.endswith(c) for c in COMMENT_OPENERS])
-        return F.when(opened, _read_marker(F.array_join(F.slice(pieces, i + 1, F.size(pieces)), marker)))
+        rest = F.array_join(F.slice(pieces, i + 1, F.size(pieces)), marker)
+        return F.struct(opened.alias("opened"), rest.alias("rest"))
 
-    found = F.array_compact(F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), read))
-    return hits.select("file", F.col("line_no").alias("line"), F.inline(F.slice(found, 1, 1)))
+    found = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), at)
+    for step in (_listed, _parted, _introduced, _judged):
+        found = F.transform(found, step)
+    first = F.slice(F.filter(found, lambda m: m["fits"]), 1, 1)
+    read = cut.select(*schema.scope_columns(lines), "file", F.col("line_no").alias("line"), F.explode(first).alias("_m"))
+    return read.select(*schema.scope_columns(lines), "file", "line", "_m.algorithms", "_m.reason")
 
 
 def suppress_inline(df: DataFrame, directives: DataFrame) -> DataFrame:
     """Drop findings with a matching marker on their line or the line above.
 
-    ``directives`` is ``(file, line, algorithms)``, with ``project`` where there are several.  The anti join is on file and
-    line, so both sides are partitioned by place.
+    ``directives`` is ``(file, line, algorithms)``, with ``project`` where findings have
+    it; a marker counts in its own project.  The anti join is on project, file and line,
+    so both sides are partitioned by place.
     """
-    scope = [F.col("project").alias("_project")] if {"project"} <= set(df.columns) & set(directives.columns) else []
+    project = schema.scope_of(df, directives, "directives")
     marks = directives.select(
-        *scope,
-        F.col("file").alias("_f"), F.explode(F.array("line", F.col("line") + 1)).alias("_l"),
+        project.alias("_project"), F.col("file").alias("_f"), F.explode(F.array("line", F.col("line") + 1)).alias("_l"),
         F.transform("algorithms", lambda a: F.lower(a)).alias("_algs"),
     )
     name = F.lower(F.coalesce(F.col("algorithm.name"), F.lit("")))
@@ -106,7 +122,7 @@ def suppress_inline(df: DataFrame, directives: DataFrame) -> DataFrame:
     return df.withColumn("_name", name).join(
         marks,
         (F.col("file") == F.col("_f")) & (F.col("line") == F.col("_l")) & covered
-        & (F.col("project").eqNullSafe(F.col("_project")) if scope else F.lit(True)),
+        & project.eqNullSafe(F.col("_project")),
         "left_anti",
     ).drop("_name")
 

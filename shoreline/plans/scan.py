@@ -28,7 +28,8 @@ class ScanOptions:
     ignore_patterns: list = field(default_factory=list)
     constants: DataFrame | None = None
     impact: bool = False
-    max_hops: int = 10
+    # hops of a flow path that count; None counts all
+    max_hops: int | None = None
     snippets: bool = True
     # checkpoint the merged findings, which several later steps read
     cut_lineage: bool = True

@@ -63,36 +63,71 @@ def algorithm(name, primitive=None, key_size=None, mode=None, curve=None) -> Col
 
 
 def finding_key(within: str | None = None) -> Column:
-    """Duplicate key: place plus algorithm name, or library and version.
+    """Duplicate key: project, place and algorithm name, or library and version.
 
-    Column, key size, mode and curve are left out on purpose, since feeds
-    disagree about them.  Where there is a project it comes first.  ``within`` names a struct column holding the finding.
+    A struct, so that no two findings share a key by the way their parts are written;
+    in joins and groups an absent project is equal to an absent one only.  Column, key
+    size, mode and curve are left out on purpose, since feeds disagree about them.
+    ``within`` names a struct column holding the finding; :func:`key_text` writes a key.
     """
     def col(name):
         return F.col(name if within is None else f"{within}.{name}")
 
-    inner = F.nullif(col("inner_path"), F.lit(""))
-    place = F.when(inner.isNotNull(), F.concat(col("file"), F.lit("!"), inner)).otherwise(
-        F.coalesce(col("file"), F.lit(""))
-    )
-    line = F.coalesce(col("line"), F.lit(0)).cast("string")
     name = F.nullif(col("algorithm")["name"], F.lit(""))
     library = F.nullif(col("dependency")["library"], F.lit(""))
+    kind = F.when(name.isNotNull(), "alg").when(library.isNotNull(), "dep").otherwise("raw")
+    line = F.when(name.isNull() & library.isNotNull(), 0).otherwise(F.coalesce(col("line"), F.lit(0)))
     version = F.nullif(col("dependency")["version"], F.lit(""))
-    key = (
-        F.when(name.isNotNull(), F.concat_ws("|", place, line, F.lit("alg"), name))
-        .when(
-            library.isNotNull(),
-            F.concat_ws("|", place, F.lit("dep"), F.concat_ws("@", library, version)),
-        )
-        .otherwise(F.concat_ws(
-            "|", place, line, F.coalesce(col("raw_identifier"), F.lit("")),
-            F.coalesce(col("source_engine"), F.lit("")),
-        ))
+    detail = F.when(name.isNotNull(), None).when(library.isNotNull(), version).otherwise(
+        F.coalesce(col("source_engine"), F.lit("")))
+    return F.struct(
+        *file_key(within), kind.alias("kind"), line.alias("line"),
+        F.coalesce(name, library, col("raw_identifier"), F.lit("")).alias("name"), detail.alias("detail"),
+    )
+
+
+def key_text(key: Column) -> Column:
+    """A duplicate key as reports show it; for reading, since separators are not escaped."""
+    place = F.when(key["inner_path"] != "", F.concat(key["file"], F.lit("!"), key["inner_path"])).otherwise(key["file"])
+    line = key["line"].cast("string")
+    text = (
+        F.when(key["kind"] == "alg", F.concat_ws("|", place, line, F.lit("alg"), key["name"]))
+        .when(key["kind"] == "dep", F.concat_ws("|", place, F.lit("dep"), F.concat_ws("@", key["name"], key["detail"])))
+        .otherwise(F.concat_ws("|", place, line, key["name"], key["detail"]))
     )
-    return F.concat_ws("|", col("project"), key)
+    return F.concat_ws("|", key["project"], text)
 
 
-def file_key() -> Column:
+def file_key(within: str | None = None) -> list[Column]:
     """Project, file and path inside the archive."""
-    return F.concat_ws("!", F.col("project"), F.col("file"), F.nullif(F.col("inner_path"), F.lit("")))
+    def col(name):
+        return F.col(name if within is None else f"{within}.{name}")
+
+    return [col("project").alias("project"), F.coalesce(col("file"), F.lit("")).alias("file"),
+            F.coalesce(col("inner_path"), F.lit("")).alias("inner_path")]
+
+
+SCOPE = "project"
+
+
+def scope_columns(df: DataFrame) -> list[str]:
+    """The columns that say which scan a row belongs to: ``project``, where there is one."""
+    return [SCOPE] if SCOPE in df.columns else []
+
+
+def in_project(df: DataFrame, project: str | Column | None) -> DataFrame:
+    """Say which scan rows belong to; a Column may read it from their file names."""
+    if project is None:
+        return df
+    return df.withColumn(SCOPE, project if isinstance(project, Column) else F.lit(project))
+
+
+def scope_of(df: DataFrame, other: DataFrame, what: str) -> Column:
+    """The scope to match ``other`` in: its project, or none if neither side names projects.
+
+    Rows without a project match such rows only.  A side without the column says nothing
+    about which scan it is from, so it is refused where the other side has it.
+    """
+    if (SCOPE in df.columns) != (SCOPE in other.columns):
+        raise ValueError(f"findings and {what} must both have a column {SCOPE!r}, or neither")
+    return F.col(SCOPE) if SCOPE in df.columns else F.lit(None).cast("string")

@@ -1,10 +1,11 @@
 """Key/value settings of properties, env and INI files."""
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shoreline import schema
 from shoreline.functions.text import blank_to_null, strip, strip_left
+from shoreline.sources.spread import in_blocks, last_above, switch_above
 from shoreline.sources.text_files import split_lines
 
 COMMENTS = {"properties": ["#", "!"], "ini": ["#", ";"]}
@@ -13,13 +14,10 @@ COMMENTS = {"properties": ["#", "!"], "ini": ["#", ";"]}
 def config_sections(lines: DataFrame) -> DataFrame:
     """Add ``section``: the last ``[name]`` header above each line of its file.
 
-    The window is per file, and the readers only take files up to a megabyte.
+    The lines of a file are dealt over blocks, so a file of any length is spread.
     """
-    return lines.withColumn("section", _last_section(_header(strip(F.col("text")))))
-
-
-def _by_line():
-    return W.partitionBy("file").orderBy("line_no")
+    placed = last_above(in_blocks(lines), {"section": _header(strip(F.col("text")))})
+    return placed.select(*lines.columns, "section")
 
 
 def _header(text: Column) -> Column:
@@ -27,60 +25,47 @@ def _header(text: Column) -> Column:
     return F.when(text.rlike(r"^\[[^\]]*\]"), strip(F.regexp_extract(text, r"^\[([^\]]*)\]", 1)))
 
 
-def _last_section(header: Column) -> Column:
-    above = _by_line().rowsBetween(W.unboundedPreceding, 0)
-    return F.last(header, ignorenulls=True).over(above)
-
-
 def _with_continuation(lines: DataFrame, skipped: Column) -> DataFrame:
     """Add ``_inside``: the line continues an entry begun above it.
 
     Reading a file top to bottom, each line either sets that state (an entry
     that ends in a backslash begins one, any other entry ends it), keeps it (a
     comment that ends in a backslash), or flips it (an entry with blanks after
-    the backslash begins one, but does not go on with one).  The state is the
-    last value set, flipped as often as flips came since.
+    the backslash begins one, but does not go on with one).
     """
     text = F.col("text")
     opens = strip(text).endswith("\\") & ~skipped
     goes_on = text.endswith("\\")
     flips = opens & ~goes_on
     keeps = goes_on & skipped
-    upto = _by_line().rowsBetween(W.unboundedPreceding, 0)
-    counted = lines.withColumn("_flips", F.sum(flips.cast("int")).over(upto) % 2)
-    value_set = F.when(~flips & ~keeps, goes_on.cast("int").bitwiseXOR(F.col("_flips")))
-    state = F.coalesce(F.last(value_set, ignorenulls=True).over(upto), F.lit(0)).bitwiseXOR(
-        F.col("_flips")
-    )
-    staged = counted.withColumn("_state", state)
-    return staged.withColumn(
-        "_inside", F.coalesce(F.lag("_state").over(_by_line()), F.lit(0)) == 1
-    ).drop("_flips", "_state")
+    return switch_above(lines, F.when(~flips & ~keeps, goes_on.cast("int")), flips, "_inside")
 
 
 def _entries(lines: DataFrame, comments: list, has_sections: bool) -> DataFrame:
-    """Entries with continuations glued on: ``(file, line_no, section, text)``."""
+    """Entries with continuations glued on: ``(file, line_no, section, text)``.
+
+    An entry is known by the line it begins at.  Its pieces are put together in one
+    row, which is the length of one value.
+    """
+    keep = [*schema.scope_columns(lines), "file"]
     stripped = strip(F.col("text"))
     skipped = (stripped == "") | F.substring(stripped, 1, 1).isin(comments)
     if has_sections:
         skipped = skipped | stripped.startswith("[")
-    staged = _with_continuation(lines, skipped)
+    staged = _with_continuation(in_blocks(lines), skipped)
     header = F.when(~F.col("_inside") & F.lit(has_sections), _header(stripped))
     begins = ~F.col("_inside") & ~skipped
-    upto = _by_line().rowsBetween(W.unboundedPreceding, 0)
-    staged = staged.withColumns({
-        "section": _last_section(header),
-        "_entry": F.sum(begins.cast("int")).over(upto),
-        "_piece": F.regexp_replace(
-            F.when(F.col("_inside"), strip_left(F.col("text"), " \t")).otherwise(stripped),
-            r"\\$", "",
-        ),
-    }).where(F.col("_inside") | begins)
-    return staged.groupBy("file", "_entry").agg(
+    piece = F.regexp_replace(
+        F.when(F.col("_inside"), strip_left(F.col("text"), " \t")).otherwise(stripped), r"\\$", "")
+    staged = last_above(
+        staged.withColumns({"_begins": begins, "_piece": piece}),
+        {"section": header, "_entry": F.when(begins, F.col("line_no"))})
+    pieces = staged.where(F.col("_inside") | F.col("_begins"))
+    return pieces.groupBy(*keep, "_entry").agg(
         F.min("line_no").alias("line_no"),
         F.min_by("section", "line_no").alias("section"),
         F.array_sort(F.collect_list(F.struct("line_no", "_piece"))).alias("_p"),
-    ).select("file", "line_no", "section", F.array_join(F.col("_p._piece"), "").alias("text"))
+    ).select(*keep, "line_no", "section", F.array_join(F.col("_p._piece"), "").alias("text"))
 
 
 def _split_pair(text: Column):
@@ -108,7 +93,9 @@ def _unquote(value: Column, comments: list, drop_open_quote: bool) -> Column:
 def load_config_kv(lines: DataFrame, fmt: str) -> DataFrame:
     """Settings ``(file, key, value, line)`` of lines ``(file, line_no, text)``.
 
-    ``fmt`` is ``properties``, ``env`` or ``ini``.
+    ``fmt`` is ``properties``, ``env`` or ``ini``.  A column ``project`` is kept.  What a
+    line takes over from those above it comes through blocks of lines, so one long file
+    is read by many tasks.
     """
     if fmt == "properties":
         entries = _entries(lines, COMMENTS[fmt], has_sections=False)
@@ -128,7 +115,7 @@ def load_config_kv(lines: DataFrame, fmt: str) -> DataFrame:
     else:
         raise ValueError(f"unknown config format {fmt!r}")
     return entries.select(
-        "file", key.alias("key"), value.alias("value"), F.col("line_no").alias("line")
+        *schema.scope_columns(lines), "file", key.alias("key"), value.alias("value"), F.col("line_no").alias("line")
     ).where(F.col("key").isNotNull())
 
 

@@ -5,11 +5,14 @@
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shoreline import schema
 from shoreline.functions import tls as X
-from shoreline.functions.text import blank_to_null, strip
-from shoreline.sources.lines import PLACE, detect_log_format, place, read_lines
+from shoreline.functions.text import blank_to_null, let, strip
+from shoreline.operators.known import once
+from shoreline.sources.lines import PLACE, first_sign, format_of, read_lines
 
 SSL_FIELDS = [
     "uid", "id.resp_h", "id.resp_p", "version", "cipher", "curve", "server_name",
@@ -21,35 +24,35 @@ X509_FIELDS = [
 ]
 
 
-def _layouts(lines: DataFrame, names: list) -> DataFrame:
-    """Per file, the layouts its directives set up, each with the place it starts at.
+def _block_table(lines: DataFrame, names: list) -> DataFrame:
+    """Per file and block: the file's format, the layout it starts with and those it sets.
 
-    A layout holds the separator, the texts for absent values and the position of
-    each named column.  Directives are a few lines per file, so this is small
-    however large the file is.
+    One pass over the lines reduces every block to its directives (a few lines of a file,
+    however large it is) and its first character; the blocks of a file, one row each,
+    are then read in order, and what a directive sets holds in the blocks below it until
+    another sets it anew.  A layout is the separator, the texts for absent values and the
+    position of each named column.
     """
     separator = _argument("#separator")
-    directives = lines.where(F.col("line").startswith("#")).select(
-        "src_file",
-        F.struct(
-            place().alias("at"),
-            F.when(separator.isin("\\x09", "\\t"), F.lit("\t"))
-            .when(F.length(separator) == 1, separator).alias("separator"),
-            _argument("#unset_field").alias("unset"),
-            _argument("#empty_field").alias("empty"),
-            F.when(
-                F.col("line").startswith("#fields") & F.col("line").contains("\t"),
-                F.split(F.col("line"), "\t"),
-            ).alias("fields"),
-        ).alias("d"),
+    directive = F.struct(
+        F.col("row_no").alias("at"),
+        F.when(separator.isin("\\x09", "\\t"), F.lit("\t"))
+        .when(F.length(separator) == 1, separator).alias("separator"),
+        _argument("#unset_field").alias("unset"),
+        _argument("#empty_field").alias("empty"),
+        F.when(
+            F.col("line").startswith("#fields") & F.col("line").contains("\t"),
+            F.split(F.col("line"), "\t"),
+        ).alias("fields"),
     )
-    known = directives.where(
-        F.coalesce(
-            F.col("d.separator"), F.col("d.unset"), F.col("d.empty"),
-            F.when(F.col("d.fields").isNotNull(), "f"),
-        ).isNotNull()
+    set_ = F.coalesce(
+        directive["separator"], directive["unset"], directive["empty"],
+        F.when(directive["fields"].isNotNull(), "f"))
+    sign = first_sign()
+    blocks = lines.groupBy("src_file", "src_block").agg(
+        F.array_sort(F.collect_list(F.when(F.col("line").startswith("#") & set_.isNotNull(), directive))).alias("_d"),
+        F.min_by(sign, F.when(sign.isNotNull(), F.col("row_no"))).alias("_sign"),
     )
-    per_file = known.groupBy("src_file").agg(F.array_sort(F.collect_list("d")).alias("_d"))
 
     def latest(field, upto):
         values = F.transform(F.slice("_d", F.lit(1), upto), lambda d: d[field])
@@ -61,23 +64,30 @@ def _layouts(lines: DataFrame, names: list) -> DataFrame:
         back = F.array_position(F.reverse(fields), F.lit(name))
         return F.when(back > 0, (F.size(fields) - back).cast("int"))
 
-    raw = F.transform("_d", lambda d, i: F.struct(
-        d["at"].alias("at"),
-        F.coalesce(latest("separator", i + 1), F.lit("\t")).alias("separator"),
-        F.coalesce(latest("unset", i + 1), F.lit("-")).alias("unset"),
-        F.coalesce(latest("empty", i + 1), F.lit("(empty)")).alias("empty"),
-        latest("fields", i + 1).alias("fields"),
-    ))
-    placed = F.transform(
-        F.filter(raw, lambda x: x["fields"].isNotNull()),
-        lambda x: F.struct(
-            x["at"].alias("at"),
-            F.concat(F.lit("\\Q"), x["separator"], F.lit("\\E")).alias("separator"),
-            x["unset"].alias("unset"), x["empty"].alias("empty"),
-            F.array(*[position(x["fields"], n) for n in names]).alias("at_column"),
-        ),
-    )
-    return per_file.select("src_file", placed.alias("layouts"))
+    parts = ["separator", "unset", "empty", "fields"]
+    absent = {"separator": F.lit("\t"), "unset": F.lit("-"), "empty": F.lit("(empty)"), "fields": F.lit(None)}
+    above = W.partitionBy("src_file").orderBy("src_block").rowsBetween(W.unboundedPreceding, -1)
+    carried = blocks.withColumns({f"_{p}": latest(p, F.size("_d")) for p in parts}).withColumns({
+        **{f"_{p}_in": F.last(f"_{p}", ignorenulls=True).over(above) for p in parts},
+        "_first": F.first("_sign", ignorenulls=True).over(
+            W.partitionBy("src_file").orderBy("src_block").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
+    })
+
+    def layout(at, value):
+        got = {p: F.coalesce(value(p), F.col(f"_{p}_in"), absent[p].cast(carried.schema[f"_{p}_in"].dataType)) for p in parts}
+        return F.struct(
+            at.cast("bigint").alias("at"),
+            F.concat(F.lit("\\Q"), got["separator"], F.lit("\\E")).alias("separator"),
+            got["unset"].alias("unset"), got["empty"].alias("empty"),
+            F.when(got["fields"].isNotNull(), F.array(*[position(got["fields"], n) for n in names])).alias("at_column"),
+        )
+
+    start = layout(F.lit(None), lambda p: F.lit(None).cast(carried.schema[f"_{p}_in"].dataType))
+    own = F.transform("_d", lambda d, i: layout(d["at"], lambda p: latest(p, i + 1)))
+    layouts = F.filter(F.concat(F.array(start), own), lambda x: x["at_column"].isNotNull())
+    return carried.select(
+        F.col("src_file").alias("_file"), F.col("src_block").alias("_block"),
+        format_of(F.col("_first")).alias("fmt"), layouts.alias("layouts"))
 
 
 def _argument(directive):
@@ -86,54 +96,96 @@ def _argument(directive):
     return F.when(F.col("line").startswith(directive) & (F.size(words) == 2), words[1])
 
 
-def _tsv_columns(lines: DataFrame, names: list) -> DataFrame:
-    """Rows of a tab-separated log with the named columns, absent as NULL.
+def _placed(lines: DataFrame, names: list) -> DataFrame:
+    """Lines with their file's format and their block's layouts.
 
-    Each row uses the directives above it, so a header that changes inside a
-    file is honoured.  The join carries the layouts to the rows by file.
+    The join is on file and block, so a log of any size stays as spread as it was read.
     """
-    data = lines.where((F.col("line") != "") & ~F.col("line").startswith("#"))
-    joined = data.join(_layouts(lines, names), "src_file")
-    above = F.filter("layouts", lambda x: x["at"] < place())
-    laid_out = joined.withColumn("_x", F.when(
-        F.size("layouts") == 1, F.when(F.col("layouts")[0]["at"] < place(), F.col("layouts")[0])
-    ).otherwise(F.try_element_at(above, F.lit(-1)))).where(F.col("_x").isNotNull())
-    cells = laid_out.withColumn("_cells", F.split(F.col("line"), F.col("_x.separator")))
-
-    def cell(i):
-        value = F.get(F.col("_cells"), F.get(F.col("_x.at_column"), F.lit(i)) - 1)
-        return F.when(
-            (value != F.col("_x.unset")) & (value != F.col("_x.empty")), blank_to_null(value)
-        )
+    table = _block_table(lines, names)
+    same = (lines["src_file"] == table["_file"]) & lines["src_block"].eqNullSafe(table["_block"])
+    return lines.join(table, same).drop("_file", "_block")
 
-    return cells.select("src_file", *PLACE, *[cell(i).alias(n) for i, n in enumerate(names)])
 
+def _kept(lines: DataFrame) -> list[str]:
+    """Columns that go from lines to records as they are."""
+    return ["src_file", *PLACE, *[c for c in (*schema.scope_columns(lines), "ts_received") if c in lines.columns]]
 
-def _json_columns(lines: DataFrame, names: list) -> DataFrame:
-    """Rows of an NDJSON log; malformed lines are dropped.
+
+def _tsv_cells(names: list) -> tuple[Column, Column]:
+    """Whether a placed line is a row under a layout, and its named columns as a struct."""
+    data = (F.col("line") != "") & ~F.col("line").startswith("#")
+    layout = F.try_element_at(F.filter(
+        "layouts", lambda x: x["at"].isNull() | (x["at"] < F.col("row_no"))), F.lit(-1))
+
+    def row(x):
+        cells = F.split(F.col("line"), x["separator"])
+
+        def cell(values, i):
+            value = F.get(values, F.get(x["at_column"], F.lit(i)) - 1)
+            return F.when((value != x["unset"]) & (value != x["empty"]), blank_to_null(value))
+
+        return let(cells, lambda values: F.struct(*[cell(values, i).alias(n) for i, n in enumerate(names)]))
+
+    return data & layout.isNotNull(), let(layout, row)
+
+
+def _json_cells(names: list) -> Column:
+    """The named columns of an NDJSON line as a struct, NULL for a malformed one.
 
     Keys are flat and dotted, and every value is read as text, since ports and
     flags come as numbers or booleans from some sensors and as strings from others.
     """
-    schema = ", ".join(f"`{c}` string" for c in names) + ", `_bad` string"
+    ddl = ", ".join(f"`{c}` string" for c in names) + ", `_bad` string"
     text = strip(F.col("line"))
-    parsed = lines.where(text.startswith("{")).withColumn(
-        "_r", F.from_json(text, schema, {"columnNameOfCorruptRecord": "_bad"})
-    ).where(F.col("_r").isNotNull() & F.col("_r._bad").isNull())
-    keep = ["src_file", *PLACE] + [c for c in ("ts_received",) if c in lines.columns]
-    return parsed.select(
-        *keep, *[blank_to_null(F.col(f"_r.`{c}`")).alias(c) for c in names]
-    )
+    read = F.from_json(text, ddl, {"columnNameOfCorruptRecord": "_bad"})
+    return F.when(text.startswith("{"), let(read, lambda r: F.when(
+        r["_bad"].isNull(), F.struct(*[blank_to_null(r[c]).alias(c) for c in names]))))
+
+
+def _records(lines: DataFrame, cells: Column, names: list, *more: str) -> DataFrame:
+    read = once(lines, cells, "_r").where(F.col("_r").isNotNull())
+    return read.select(*_kept(lines), *more, *[F.col(f"_r.`{c}`").alias(c) for c in names])
+
+
+def _tsv_columns(lines: DataFrame, names: list) -> DataFrame:
+    """Rows of a tab-separated log with the named columns, absent as NULL.
+
+    Each row uses the directives above it, so a header that changes inside a
+    file is honoured.
+    """
+    fits, cells = _tsv_cells(names)
+    return _records(_placed(lines, names).where(fits), cells, names)
+
+
+def _json_columns(lines: DataFrame, names: list) -> DataFrame:
+    """Rows of an NDJSON log; malformed lines are dropped."""
+    return _records(lines, _json_cells(names), names)
+
+
+def _mixed_columns(lines: DataFrame, names: list) -> DataFrame:
+    """Rows of logs of either format, each file read as its first character asks, in one pass.
+
+    ``_kind`` is the format a row was read as and ``_fmt`` that of its file; the lines of
+    an ``unknown`` file are read as NDJSON where they look so, else as tab-separated text.
+    """
+    fits, cells = _tsv_cells(names)
+    is_json = (F.col("fmt") == "json") | ((F.col("fmt") == "unknown") & strip(F.col("line")).startswith("{"))
+    placed = _placed(lines, names).withColumn("_kind", F.when(is_json, "json").otherwise("tsv")).withColumn("_fmt", F.col("fmt"))
+    either = F.when(F.col("_kind") == "json", _json_cells(names)).otherwise(F.when(fits, cells))
+    return _records(placed, either, names, "_kind", "_fmt")
 
 
 def _established(c: Column) -> Column:
     return ~F.coalesce(c.isin("F", "false"), F.lit(False))
 
 
+def _marks(df: DataFrame) -> list[str]:
+    return [c for c in ("_kind", "_fmt") if c in df.columns]
+
+
 def _ssl_records(df: DataFrame) -> DataFrame:
-    extra = [c for c in ("ts_received",) if c in df.columns]
     return df.where(_established(F.col("established"))).select(
-        "src_file", *PLACE, *extra, "uid",
+        *_kept(df), *_marks(df), "uid",
         F.col("`id.resp_h`").alias("resp_host"),
         # JSON numbers may be written 443.0
         F.regexp_replace(F.col("`id.resp_p`"), r"\.0+$", "").alias("resp_port"),
@@ -146,7 +198,7 @@ def _ssl_records(df: DataFrame) -> DataFrame:
 
 def _x509_records(df: DataFrame, san: Column, length: Column) -> DataFrame:
     return df.select(
-        "src_file", *PLACE, "id",
+        *_kept(df), *_marks(df), "id",
         F.col("`certificate.sig_alg`").alias("sig_alg"),
         F.col("`certificate.key_alg`").alias("key_alg"),
         F.col("`certificate.key_type`").alias("key_type"),
@@ -170,14 +222,18 @@ def parse_x509_tsv(lines: DataFrame) -> DataFrame:
     )
 
 
-def parse_x509_json(lines: DataFrame) -> DataFrame:
+def _json_x509(df: DataFrame) -> tuple[Column, Column]:
     raw = F.col("`san.dns`")
     first = F.when(
         raw.startswith("["), F.from_json(raw, "array<string>")[0]
     ).otherwise(raw)
     # JSON numbers may be written 2048.0
-    length = F.regexp_replace(F.col("`certificate.key_length`"), r"\.\d+$", "")
-    return _x509_records(_json_columns(lines, X509_FIELDS), first, length)
+    return first, F.regexp_replace(F.col("`certificate.key_length`"), r"\.\d+$", "")
+
+
+def parse_x509_json(lines: DataFrame) -> DataFrame:
+    df = _json_columns(lines, X509_FIELDS)
+    return _x509_records(df, *_json_x509(df))
 
 
 def scan_zeek_ssl_tsv(spark: SparkSession, path) -> DataFrame:
@@ -196,22 +252,32 @@ def scan_zeek_x509_json(spark: SparkSession, path) -> DataFrame:
     return parse_x509_json(read_lines(spark, path))
 
 
-def _by_format(lines: DataFrame, from_tsv, from_json) -> DataFrame:
-    """Send each file to the reader its first character asks for.
+def _of_their_format(records: DataFrame) -> DataFrame:
+    """Records of mixed logs without what a file of unknown format gave as tab-separated text,
+    where it gave NDJSON records too."""
+    both = records.where((F.col("_fmt") == "unknown") & (F.col("_kind") == "json")).select(
+        F.col("src_file").alias("_file")).distinct()
+    doubtful = (F.col("src_file") == F.col("_file")) & (F.col("_fmt") == "unknown") & (F.col("_kind") == "tsv")
+    return records.join(both, doubtful, "left_anti").drop("_kind", "_fmt")
 
-    Files that start with neither ``#`` nor ``{`` are tried as JSON, and as
-    tab-separated text only if that gave no rows.
-    """
-    tagged = lines.join(detect_log_format(lines), "src_file")
-    json_rows = from_json(tagged.where(F.col("fmt") != "tsv"))
-    tsv_rows = from_tsv(tagged.where(F.col("fmt") != "json"))
-    answered = json_rows.select("src_file").distinct()
-    return json_rows.unionByName(tsv_rows.join(answered, "src_file", "left_anti"))
+
+def parse_ssl(lines: DataFrame) -> DataFrame:
+    """Records of logs of either format; a file that starts with neither ``#`` nor ``{`` is
+    tried as NDJSON, and as tab-separated text only if that gave no records."""
+    return _of_their_format(_ssl_records(_mixed_columns(lines, SSL_FIELDS)))
+
+
+def parse_x509(lines: DataFrame) -> DataFrame:
+    df = _mixed_columns(lines, X509_FIELDS)
+    is_json, (san, length) = F.col("_kind") == "json", _json_x509(df)
+    return _of_their_format(_x509_records(
+        df, F.when(is_json, san).otherwise(F.col("`san.dns`")),
+        F.when(is_json, length).otherwise(F.col("`certificate.key_length`"))))
 
 
 def scan_zeek_ssl(spark: SparkSession, path) -> DataFrame:
-    return _by_format(read_lines(spark, path), parse_ssl_tsv, parse_ssl_json)
+    return parse_ssl(read_lines(spark, path))
 
 
 def scan_zeek_x509(spark: SparkSession, path) -> DataFrame:
-    return _by_format(read_lines(spark, path), parse_x509_tsv, parse_x509_json)
+    return parse_x509(read_lines(spark, path))

@@ -1,10 +1,17 @@
 """Source text, ignore files, binary artifacts and JSON documents."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.functions.text import contains_any, extension, strip
-from shoreline.rules import constants, files
+from shoreline import schema
+from shoreline.functions.text import contains_any, strip
+from shoreline.rules import files
+from shoreline.sources.declarations import extract_constants
+
+__all__ = [
+    "extract_constants", "flatten_json_kv", "load_artifact_bytes", "load_ignore_patterns", "load_source_files",
+    "load_source_lines", "parse_ignore_patterns", "skipped_files", "split_lines",
+]
 
 
 def _in_skipped_dir(path):
@@ -25,34 +32,37 @@ def skipped_files(spark: SparkSession, path, max_bytes: int, glob: str = "*") ->
 
 
 def load_source_files(
-    spark: SparkSession, path, max_bytes: int | None = None, glob: str = "*"
+    spark: SparkSession, path, max_bytes: int | None = None, glob: str = "*",
+    project: str | Column | None = None,
 ) -> DataFrame:
     """Text files as ``(file, content)``; vendored folders are left out.
 
-    With ``max_bytes`` larger files are left out too (:func:`skipped_files` lists them);
+    ``project`` adds the scan they belong to: a name, or a Column over ``file`` that reads
+    it from the path, so that many projects can be read at once.  With ``max_bytes`` larger files are left out too (:func:`skipped_files` lists them);
     the limit is applied to file metadata, before any content is read.
     """
     listing = _listed(spark, path, glob)
     if max_bytes is not None:
         listing = listing.where(F.col("length") <= max_bytes)
-    return listing.select(
+    return schema.in_project(listing.select(
         F.col("path").alias("file"),
         F.try_validate_utf8(F.col("content").cast("string")).alias("content"),
-    )
+    ), project)
 
 
 def split_lines(df: DataFrame) -> DataFrame:
-    """``(file, content)`` to ``(file, line_no, text)``, numbered from 1."""
+    """``(file, content)`` to ``(file, line_no, text)``, numbered from 1; ``project`` is kept."""
     lines = F.split(F.col("content"), r"\r\n|\r|\n")
-    return df.select("file", F.posexplode(lines).alias("_i", "text")).select(
-        "file", (F.col("_i") + 1).alias("line_no"), "text"
+    keep = [*schema.scope_columns(df), "file"]
+    return df.select(*keep, F.posexplode(lines).alias("_i", "text")).select(
+        *keep, (F.col("_i") + 1).alias("line_no"), "text"
     )
 
 
 def load_source_lines(
-    spark: SparkSession, path, max_bytes: int | None = None
+    spark: SparkSession, path, max_bytes: int | None = None, project: str | Column | None = None
 ) -> DataFrame:
-    return split_lines(load_source_files(spark, path, max_bytes))
+    return split_lines(load_source_files(spark, path, max_bytes, project=project))
 
 
 def load_artifact_bytes(spark: SparkSession, path, max_bytes: int) -> DataFrame:
@@ -67,7 +77,7 @@ def parse_ignore_patterns(lines: DataFrame) -> DataFrame:
     """Trimmed patterns in file order, without blank and comment lines."""
     text = strip(F.col("line"))
     return lines.where((text != "") & ~text.startswith("#")).select(
-        "src_file", "src_block", "row_no", text.alias("pattern")
+        *schema.scope_columns(lines), "src_file", "src_block", "row_no", text.alias("pattern")
     )
 
 
@@ -77,70 +87,6 @@ def load_ignore_patterns(spark: SparkSession, path) -> DataFrame:
     return parse_ignore_patterns(read_lines(spark, path))
 
 
-def _integer(raw):
-    """Value of an integer literal (decimal, hex, octal or binary), NULL if malformed."""
-    digits = F.regexp_replace(raw, "[_']", "")
-    prefix = F.lower(F.substring(digits, 1, 2))
-    after2 = F.substr(digits, F.lit(3))
-    octal = F.regexp_replace(digits, "^0[oO]?", "")
-    value = (
-        F.when(prefix == "0x", F.conv(after2, 16, 10))
-        .when(prefix == "0b", F.conv(after2, 2, 10))
-        .when(digits.rlike("^0[oO]?[0-7]+$"), F.conv(octal, 8, 10))
-        .when(digits.rlike("^(?:0|[1-9][0-9]*)$"), digits)
-    )
-    return value.try_cast("bigint")
-
-
-def extract_constants(df: DataFrame) -> DataFrame:
-    """Integer constants of source files ``(file, content)``.
-
-    Gives ``(file, name, value)``.  Files are at most a megabyte each, so one
-    file is a small piece of work; the extension picks the language.
-    """
-    ext = extension(F.col("file"))
-    content = F.col("content")
-    found = F.array().cast("array<struct<rank:int,pos:int,name:string,raw:string>>")
-
-    def pairs(text, pattern, rank):
-        regex = F.lit("(?m)" + pattern)
-        names = F.regexp_extract_all(text, regex, F.lit(1))
-        raws = F.regexp_extract_all(text, regex, F.lit(2))
-        return F.transform(
-            F.arrays_zip(names.alias("n"), raws.alias("r")),
-            lambda p, i: F.struct(
-                F.lit(rank).alias("rank"), i.alias("pos"),
-                p["n"].alias("name"), p["r"].alias("raw"),
-            ),
-        )
-
-    per_language = F.when(F.lit(False), found)
-    for language, (extensions, patterns) in constants.CONSTANT_PATTERNS.items():
-        parts = [pairs(content, p, i) for i, p in enumerate(patterns)]
-        if language in constants.BLOCK_PATTERNS:
-            body, inner = constants.BLOCK_PATTERNS[language]
-            bodies = F.regexp_extract_all(content, F.lit("(?m)" + body), F.lit(1))
-            parts.append(pairs(F.array_join(bodies, "\n"), inner, len(patterns)))
-        per_language = per_language.when(ext.isin(extensions), F.concat(*parts))
-    macros = F.regexp_extract_all(content, F.lit("(?m)" + constants.CONTINUED_MACRO), F.lit(1))
-    exploded = df.where(ext.isin([e for x, _ in constants.CONSTANT_PATTERNS.values() for e in x])) \
-        .select("file", macros.alias("_macros"), F.explode(per_language).alias("_c"), ext.alias("_e"))
-    is_cpp = F.col("_e").isin(constants.CONSTANT_PATTERNS["cpp"][0])
-    values = exploded.select(
-        "file", F.col("_c.name").alias("name"), _integer(F.col("_c.raw")).alias("value"),
-        F.col("_c.rank").alias("_rank"), F.col("_c.pos").alias("_pos"), is_cpp.alias("_cpp"),
-        (is_cpp & (F.col("_c.rank") == 0) & F.array_contains("_macros", F.col("_c.name")))
-        .alias("_continued"),
-    ).where(F.col("value").isNotNull() & ~F.col("_continued"))
-    # a name defined twice: the last one counts; in C, defines come before declarations
-    # and the first declaration counts
-    order = F.struct(
-        F.when(F.col("_cpp"), -F.col("_rank")).otherwise(F.col("_rank")),
-        F.when(F.col("_cpp") & (F.col("_rank") > 0), -F.col("_pos")).otherwise(F.col("_pos")),
-    )
-    return values.groupBy("file", "name").agg(F.max_by("value", order).alias("value"))
-
-
 def flatten_json_kv(df: DataFrame, max_depth: int = 1000) -> DataFrame:
     """JSON documents ``(file, content)`` to ``(file, key, value)``.
 
