@@ -164,12 +164,13 @@ def _cpp(lines: Column, tokens: Column) -> Column:
         return F.coalesce(plain, F.lit(False)) | F.coalesce(one, F.lit(False)) | F.coalesce(
             two, F.lit(False)) | F.coalesce(longs, F.lit(False))
 
-    parts = [macros]
-    for rank, word in enumerate(("const", "constexpr"), 1):
-        parts.append(_at_equals(
+    def declarations(rank, word):
+        return _at_equals(
             tokens,
-            lambda i, w=word: _is_name(at(i, 1)) & (at(i, -2) == ";") & _c_number(at(i, -1)) & declared(i, w),
-            lambda i, r=rank: _entry(r, i, nowhere, at(i, 1), _leading(at(i, -1), True))))
+            lambda i: _is_name(at(i, 1)) & (at(i, -2) == ";") & _c_number(at(i, -1)) & declared(i, word),
+            lambda i: _entry(rank, i, nowhere, at(i, 1), _leading(at(i, -1), True)))
+
+    parts = [macros, declarations(1, "const"), declarations(2, "constexpr")]
 
     # the bodies of enumerations, from the brace to the next closing one
     def body(j):
