@@ -10,7 +10,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +20,16 @@ from pyspark.sql.window import Window
 
 from shoreline.llm.frames import new_folder, ship
 
-#: Encoded words that a worker remembers at most; others are encoded each time.
-REMEMBERED = 1_000_000
+#: Encoded words that a worker remembers at most; then it begins anew.
+REMEMBERED = 500_000
+#: Words encoded side by side in one text.
+_TOGETHER = 4_096
 #: A space that starts a word: the pattern of byte-level BPE parts texts here in any case.
 _WORD_SPACE = re.compile(r" (?=\S)")
 _OTHER_SPACE = re.compile(r" (?:\s|$)")
 _SIGNS = ".,;:!?*$%&#()\"-"
+#: How byte-level vocabularies write a space.
+_SPACE_BYTE = "\u0120"
 
 
 class Encoder:
@@ -33,8 +37,9 @@ class Encoder:
 
     Byte-level BPE parts a text before each space that is followed by another character
     and never merges across that place, so a text's ids are its words' ids.  Letters and
-    the signs after them are parted too.  Texts that hold an added token (special ones
-    count unless ``escape``) are encoded whole.
+    the signs after them are parted too.  New words are encoded many at a time, side by
+    side; the ids of each begin where an id begins with a space.  Texts that hold an added
+    token (special ones count unless ``escape``) are encoded whole.
     """
 
     def __init__(self, definition: str, escape: bool = False):
@@ -55,32 +60,46 @@ class Encoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _letters(self, words: list[str]) -> dict[str, bytes]:
-        """Words of letters alone, side by side in one call."""
-        if not words:
-            return {}
-        e = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
-        ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids)
-        at = (np.searchsorted(of, np.arange(len(words) + 1)) * 4).tolist()
-        octets = ids.tobytes()
-        return {w: octets[a:b] for w, a, b in zip(words, at[:-1], at[1:], strict=True)}
+    @cached_property
+    def _begins(self) -> np.ndarray:
+        """Which ids begin with a space."""
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        out = np.zeros(max(vocabulary.values()) + 1, bool)
+        out[[i for t, i in vocabulary.items() if t.startswith(_SPACE_BYTE)]] = True
+        return out
+
+    def _together(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of a space and each word; words with a space of their own one by one."""
+        out = {w: self._ids(" " + w) for w in words if " " in w or not w}
+        words = [w for w in words if w not in out]
+        runs = [words[i:i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False),
+                          strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = (np.flatnonzero(self._begins[ids]) * 4).tolist()
+            if len(at) != len(run):
+                out.update((w, self._ids(" " + w)) for w in run)
+                continue
+            octets = ids.tobytes()
+            out.update((w, octets[a:b]) for w, a, b in zip(run, at, [*at[1:], len(octets)], strict=True))
+        return out
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        known = self.known
-        cores = {w: w.rstrip(_SIGNS) for w in words}
-        new = {c for c in cores.values() if c.isalpha() and c not in known}
-        out = self._letters([*new])
+        known, cores, whole = self.known, {}, []
+        for w in words:
+            core = w.rstrip(_SIGNS)
+            if core.isalpha():
+                cores[w] = core
+            else:
+                whole.append(w)
+        out = self._together([*{c for c in cores.values() if c not in known}, *whole])
         signs: dict[str, bytes] = {}
         for w, core in cores.items():
-            if w in out:
-                continue
-            if core.isalpha():
+            if w not in out:
                 tail = w[len(core):]
                 if tail not in signs:
                     signs[tail] = self._ids(tail)
                 out[w] = (out.get(core) or known[core]) + signs[tail]
-            else:
-                out[w] = self._ids(" " + w)
         return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -94,19 +113,17 @@ class Encoder:
                  for t, w in zip(texts, whole, strict=True)]
         known = self.known
         heads = [p.pop(0) for p in parts]
-        learnt = self._learn(set().union(*parts).difference(known))
-        if len(known) + len(learnt) <= REMEMBERED:
-            known.update(learnt)
-            learnt = known
+        asked = set().union(*parts)
+        learnt = self._learn(asked.difference(known))
+        if len(known) + len(learnt) > REMEMBERED:
+            # what this batch asks for is what is remembered next
+            self.known = known = {w: known[w] for w in asked if w in known}
+        known.update(learnt)
         for t, w, h, p in zip(texts, whole, heads, parts, strict=True):
             if w:
                 yield self._ids(t)
                 continue
-            first = self._ids(h) if h else b""
-            if learnt is known:
-                yield first + b"".join(map(known.__getitem__, p))
-            else:
-                yield first + b"".join([known[w] if w in known else learnt[w] for w in p])
+            yield (self._ids(h) if h else b"") + b"".join(map(known.__getitem__, p))
 
 
 @lru_cache(2)
@@ -202,7 +219,9 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
         _sums, "doc_id long, file string, row long, n_tokens long, ids_crc32 long")
     # lists are as long as their metadata say: file totals need the small column only
     totals = read_tokens(spark, path).groupBy("file").agg(F.sum("n_tokens").alias("size"))
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # by number: from 100,000 files on their names are not in order
+    number = F.regexp_extract("file", "^part-([0-9]+)", 1).cast("long")
+    earlier = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     first = totals.select(F.col("file").alias("of"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("first"))
     before = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     inside = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
