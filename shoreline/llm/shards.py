@@ -7,9 +7,10 @@ the length of the text, its source, its language and its place in id order, each
 brought to 0 .. 65535.  Along a dimension rows are ordered by that value, then by a
 hash of the text, then by a hash of the id, so that equal texts stay together unless a
 cut falls among them, and a value that a third of all rows share is still cut in half.
+Rows that agree in all this are told apart by the number they got when they were read.
 
-The median is found by narrowing: three passes count bytes in bins of the value, of the
-text's hash and of the id's hash.  A pass sends at most 65536 bins of each node to the
+The median is found by narrowing: four passes count bytes in bins of the value, of the
+text's hash, of the id's hash and of the number's.  A pass sends at most 65536 bins of each node to the
 driver, whatever the number of rows.  Everything runs on a narrow table written once;
 the text is read once.
 """
@@ -43,11 +44,15 @@ def _narrow(docs: DataFrame, id_col: str, text_col: str, source_col: str | None,
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"),
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"),
-        F.xxhash64(crowd[0]).alias("source_hash"), F.xxhash64(crowd[1]).alias("lang_hash"))
+        F.xxhash64(crowd[0]).alias("source_hash"), F.xxhash64(crowd[1]).alias("lang_hash"),
+        F.monotonically_increasing_id().alias("place"))
 
 
-def _cuts(rows: DataFrame, nodes: dict[int, tuple[str, float]]) -> dict[int, tuple[int, int, int]]:
-    """The cut of each node: (value, text bin, id bin), the last place on the left side.
+_LEVELS = ["value", "text_bin", "id_bin", "place_bin"]
+
+
+def _cuts(rows: DataFrame, nodes: dict[int, tuple[str, float]]) -> dict[int, tuple[int, ...]]:
+    """The cut of each node: a bin of each level, the last place on the left side.
 
     ``nodes`` has each node's dimension and the share of its bytes that goes left.
     """
@@ -55,10 +60,10 @@ def _cuts(rows: DataFrame, nodes: dict[int, tuple[str, float]]) -> dict[int, tup
     keyed = rows.where(F.col("node").isin([*nodes])).withColumn("value", value)
     found: dict[int, list[int]] = {n: [] for n in nodes}
     left: dict[int, float] = {}
-    for level, name in enumerate(("value", "text_bin", "id_bin")):
+    for level, name in enumerate(_LEVELS):
         inside = keyed
         if level:
-            known = ["value", "text_bin"][:level]
+            known = _LEVELS[:level]
             inside = keyed.where(" OR ".join(
                 f"(node = {n} AND " + " AND ".join(f"{k} = {v}" for k, v in zip(known, found[n], strict=True)) + ")" for n in nodes))
         bins = inside.groupBy("node", F.col(name).alias("at")).agg(F.sum("size").alias("size")).collect()
@@ -70,33 +75,38 @@ def _cuts(rows: DataFrame, nodes: dict[int, tuple[str, float]]) -> dict[int, tup
                 # the bin that the wanted number of bytes ends in
                 if left[n] <= size or at == mine[-1][0]:
                     # at the end the bin goes to the side that it fits better
-                    found[n].append(at - 1 if level == 2 and left[n] < size / 2 else at)
+                    found[n].append(at - 1 if name == _LEVELS[-1] and left[n] < size / 2 else at)
                     break
                 left[n] -= size
     return {n: tuple(f) for n, f in found.items()}
 
 
 def kd_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text",
-              source_col: str | None = "source", lang_col: str | None = "lang") -> DataFrame:
+              source_col: str | None = "source", lang_col: str | None = "lang",
+              target_bytes: int | None = None) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)`` for each row.
 
     ``size`` is the text's UTF-8 bytes plus 1; the law is ``bytes``: shards have nearly
     the same number of them (a cut can miss by one document's bytes).  Null texts have
     size 1, null metadata a place of its own, null or repeated ids are told apart by
-    their text.  Rows that agree in id and text are never parted.  Fewer documents than
+    their text, repeated rows by their place.  With ``target_bytes`` there are as many
+    shards as bring each to these bytes, instead of ``shards``.  Fewer documents than
     shards leave shards empty; an empty table gives no rows.  Other columns are not
     looked at.
     """
     narrow = stored(_narrow(docs, id_col, text_col, source_col, lang_col), "metadata")
     seen = narrow.agg(
         F.count(F.lit(1)).alias("rows"), F.min(F.log2("size")).alias("l0"), F.max(F.log2("size")).alias("l1"),
-        F.min("doc_id").alias("i0"), F.max("doc_id").alias("i1")).first()
+        F.min("doc_id").alias("i0"), F.max("doc_id").alias("i1"), F.sum("size").alias("bytes")).first()
+    if target_bytes is not None:
+        shards = max(1, -(-(seen["bytes"] or 0) // target_bytes))
     rows = narrow.select(
         "doc_id", "size", "text_crc32",
         _scaled(F.log2("size"), seen["l0"], seen["l1"]).alias("by_length"), _bin("source_hash", 1).alias("by_source"),
         _bin("lang_hash", 2).alias("by_lang"), _scaled(F.col("doc_id"), seen["i0"], seen["i1"]).alias("by_id"),
         _bin("text_hash", 3).alias("text_bin"),
-        F.pmod(F.xxhash64(F.lit(4), "doc_id", "text_hash"), F.lit(_BINS)).cast("int").alias("id_bin"))
+        F.pmod(F.xxhash64(F.lit(4), "doc_id", "text_hash"), F.lit(_BINS)).cast("int").alias("id_bin"),
+        _bin("place", 5).alias("place_bin"), "place")
     # a node is named by its first shard; it holds `want` shards
     rows = rows.withColumn("node", F.lit(0))
     want = {0: shards}
@@ -110,15 +120,14 @@ def kd_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col
             cuts = _cuts(rows, nodes)
             moved = F.col("node")
             for n, (dim, _) in nodes.items():
-                value, text, last = cuts[n]
-                right = F.expr(f"{dim} > {value} OR {dim} = {value} AND (text_bin > {text} OR text_bin = {text} AND id_bin > {last})")
+                right = F.struct(dim, *_LEVELS[1:]) > F.struct(*[F.lit(x).alias(c) for c, x in zip((dim, *_LEVELS[1:]), cuts[n], strict=True)])
                 moved = F.when((F.col("node") == n) & right, n + want[n] // 2).otherwise(moved)
             rows = rows.withColumn("node", moved)
         for n in split:
             half = want[n] // 2
             want[n + half] = want[n] - half
             want[n] = half
-    placed = rows.select("doc_id", "size", "text_crc32", F.col("node").alias("shard"))
-    ranked = numbered(placed, ["shard"], ["doc_id", "text_crc32", "size"], "slot", seen["rows"])
+    placed = rows.select("doc_id", "size", "text_crc32", F.col("node").alias("shard"), "place")
+    ranked = numbered(placed, ["shard"], ["doc_id", "text_crc32", "size", "place"], "slot", seen["rows"])
     return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
