@@ -3,7 +3,7 @@
 Texts are compared lower-cased, each run of white space one space.  An item of n
 characters may differ by ``rate * n`` edits (rounded down) from a passage of a document.
 Cut into one piece more than that, at least one piece is found unchanged in any such
-passage.  All pieces of a block of items go into one Aho-Corasick automaton, which reads
+passage.  An item too short for an edit must stand there as whole words.  All pieces of a block of items go into one Aho-Corasick automaton, which reads
 each document once; the places where a hit puts its item are verified with Myers'
 bit-parallel edit distance, the item's whole length in one machine word of Python.
 
@@ -69,6 +69,13 @@ class Pattern:
         return best
 
 
+def _bordered(text: str, a: int, b: int) -> bool:
+    """Whether the words at both ends of ``text[a:b]`` end there."""
+    before = a and text[a - 1].isalnum() and text[a].isalnum()
+    after = b < len(text) and text[b].isalnum() and text[b - 1].isalnum()
+    return not before and not after
+
+
 class Matcher:
     """Finds the items of one block in a text."""
 
@@ -99,6 +106,9 @@ class Matcher:
         for i, at in starts.items():
             p, best = self.patterns[i], None
             at.sort()
+            if not p.budget:
+                # no room for edits: the item itself, not a part of longer words
+                at = [x for x in at if _bordered(text, x, x + len(p.item))][:1]
             k, reach = 0, 2 * p.budget
             while k < len(at):
                 lo = hi = at[k]
