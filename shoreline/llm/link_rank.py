@@ -49,7 +49,8 @@ def path_of(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits; nulls if none does.  First listed wins ties."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for says, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2]), reverse=True):
+    # the last to be put in front is the longest, and of these the first listed
+    for says, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(says)).otherwise(verdict)
     return rule, verdict
