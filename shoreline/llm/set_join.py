@@ -30,15 +30,18 @@ Texts are equal if 128 bits of hash are, tokens if 64 bits are.
 
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from heapq import heapify, heappop, heappush
 from math import log2
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shoreline.llm.components import components
 from shoreline.llm.frames import forget, ship, stored, text_keys
@@ -122,8 +125,8 @@ class Bin:
             i = self.root[i]
         return i
 
-    def partners(self, q: int) -> Iterator[int]:
-        """The listed texts of other components that link with text ``q`` (some that a link already joins are left out)."""
+    def partners(self, q: int, skip: Callable[[int], bool]) -> Iterator[int]:
+        """The listed texts of other labels that link with text ``q``, but for those to ``skip``."""
         _, label, n, tokens, _, _ = self.rows[q]
         low, high = self.span[label]
         least = -(-4 * n // 5)
@@ -141,7 +144,7 @@ class Bin:
         longs = min(least - 1, int(least / (0.01 * log2(len(lists[-1]) + 1) + 1)))
         short, long = lists[:len(lists) - longs], lists[len(lists) - longs:]
         for other, seen in merged(short, least - longs):
-            if self.find(other) == self.find(q):
+            if skip(other):
                 continue
             # each list not asked yet can add one
             want = needed(n, self.rows[other][2])
@@ -155,11 +158,12 @@ class Bin:
                 yield other
 
     def links(self) -> tuple[list[int], list[int]]:
+        """Links of the texts that ask, as many as join components."""
         a, b = [], []
         for q, row in enumerate(self.rows):
             if not row[4]:
                 continue
-            for other in self.partners(q):
+            for other in self.partners(q, lambda o, q=q: self.find(o) == self.find(q)):
                 mine, theirs = self.find(q), self.find(other)
                 if mine != theirs:
                     self.root[max(mine, theirs)] = min(mine, theirs)
@@ -167,30 +171,42 @@ class Bin:
                     b.append(self.rows[other][0])
         return a, b
 
+    def superseded(self) -> tuple[list[int], list[int]]:
+        """Read in order of labels: the texts linked with one before them that is not itself such a text."""
+        by: dict[int, int] = {}
+        for q, row in enumerate(self.rows):
+            if row[4] and q not in by:
+                for other in self.partners(q, lambda o, q=q: o in by or self.rows[o][4] and o < q):
+                    by[other] = q
+        return [self.rows[q][0] for q in by.values()], [self.rows[o][0] for o in by]
+
 
-def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows ``bin, c, label, n, tokens, asks, listed`` to the links that join components."""
+def _searched(what: str):
+    """Sorted rows ``bin, c, label, n, tokens, asks, listed`` to what a bin answers (a method of it)."""
     def flush(rows):
-        a, b = Bin(rows).links()
+        a, b = getattr(Bin(rows), what)()
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    now, rows = None, []
-    for batch in batches:
-        bins, cs, labels, ns, asks, listed = (batch.column(x).to_pylist() for x in ("bin", "c", "label", "n", "asks", "listed"))
-        tokens = batch.column("tokens")
-        for i, x in enumerate(bins):
-            if x != now and rows:
-                yield flush(rows)
-                rows = []
-            now = x
-            rows.append((cs[i], labels[i], ns[i], tokens[i].values.to_numpy(zero_copy_only=False), asks[i], listed[i]))
-    if rows:
-        yield flush(rows)
-
-
-def _search(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            bins, cs, labels, ns, asks, listed = (batch.column(x).to_pylist() for x in ("bin", "c", "label", "n", "asks", "listed"))
+            tokens = batch.column("tokens")
+            for i, x in enumerate(bins):
+                if x != now and rows:
+                    yield flush(rows)
+                    rows = []
+                now = x
+                rows.append((cs[i], labels[i], ns[i], tokens[i].values.to_numpy(zero_copy_only=False), asks[i], listed[i]))
+        if rows:
+            yield flush(rows)
+
+    return run
+
+
+def _search(rows: DataFrame, what: str = "links") -> DataFrame:
     dealt = rows.select("bin", "c", "label", "n", "tokens", "asks", "listed").repartition("bin").sortWithinPartitions("bin")
-    return dealt.mapInArrow(_searched, "a long, b long").distinct()
+    return dealt.mapInArrow(_searched(what), "a long, b long").distinct()
 
 
 # -- which texts meet --------------------------------------------------------------------
@@ -256,11 +272,15 @@ def _band(n) -> F.Column:
 
 
 def _cells(ordered: DataFrame) -> DataFrame:
-    """``(t, band, c)``: the lists of the first ``n // 5 + 1`` tokens with two texts or more."""
-    short = ordered.select("c", _band(F.col("n")).alias("band"),
-                           F.explode(F.expr("slice(tokens, 1, n div 5 - own + 1)")).alias("t"))
-    crowded = short.groupBy("t").agg(F.count(F.lit(1)).alias("of")).where("of > 1").select("t")
-    return stored(short.join(crowded, "t"), "cells")
+    """``(t, band, c)``: the lists of the first ``n // 5 + 1`` tokens with two texts or more.
+
+    The smaller text of a linked pair has its first shared token among its first
+    ``n // 9 + 1``, so a list in which no text has the token there is left out.
+    """
+    short = ordered.select("c", "n", "own", F.posexplode(F.expr("slice(tokens, 1, n div 5 - own + 1)")).alias("i", "t"))
+    short = short.select("c", _band(F.col("n")).alias("band"), "t", (9 * (F.col("own") + F.col("i")) <= F.col("n")).alias("early"))
+    crowded = short.groupBy("t").agg(F.count(F.lit(1)).alias("of"), F.max("early").alias("early")).where("of > 1 and early")
+    return stored(short.select("t", "band", "c").join(crowded.select("t"), "t"), "cells")
 
 
 def _meetings(cells: DataFrame) -> DataFrame:
@@ -307,12 +327,22 @@ def _full_links(ordered: DataFrame, cells: DataFrame, labels: DataFrame, block:
     return _search(rows)
 
 
+class Joined(NamedTuple):
+    """What the join knows: all as stored tables."""
+
+    rows: DataFrame  #: each row's ``(k1, k2, doc_id, n)``
+    texts: DataFrame  #: ``(c, k1, k2, least, ...)`` of the texts that can have partners
+    sets: DataFrame  #: their ``(c, n, own, tokens)``
+    families: DataFrame  #: ``(c, family)`` of the linked ones, the same for all that links connect
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-            block: int = 384) -> tuple[DataFrame, DataFrame]:
-    """``(rows, families)``: each row's ``(k1, k2, doc_id, n)`` and, for linked texts, ``(k1, k2, family)``.
+            block: int = 384, met: DataFrame | None = None) -> Joined:
+    """Find the families of linked texts.
 
-    ``family`` is the same number for all texts that links connect.  A text that no
-    different text is linked with is in no family.
+    A text that no different text is linked with is in no family.  ``met`` names pairs
+    ``(k1, k2, h1, h2)`` that are compared first, a text with a head; what these link is
+    not searched again.
     """
     texts = _texts(docs, id_col, text_col)
     lows = stored(_marked(texts, words), "lows")
@@ -320,15 +350,26 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     marked = stored(lows.drop("low"), "marked")
     forget(lows)
     same = (texts["k1"] == left["k1"]) & (texts["k2"] == left["k2"]) & texts["doc_id"].eqNullSafe(left["least"])
-    # rows that agree in text and id are one; only these need the shuffle
-    found = texts.join(left, same)
+    # dealt by text at any size of the tables: the list of open texts grows with the corpus
+    found = texts.hint("merge").join(left.hint("merge"), same)
+    # rows that agree in text and id are one; only these need a shuffle of their own
     twins = found.where("twins > 1").select("c", "n", "text").dropDuplicates(["c"])
     sets = stored(_sets(found.where("twins = 1").select("c", "n", "text").unionByName(twins), words), "tokens")
     ordered = _ordered(sets)
     forget(sets)
     cells = _cells(ordered)
-    links = stored(_head_links(ordered, stored(_meetings(cells), "meetings"), block), "head-links")
-    labels = stored(_labelled(ordered, links), "labels")
+    meetings = stored(_meetings(cells), "meetings")
+    links = None
+    if met is not None:
+        at = left.select("c", "k1", "k2")
+        told = met.join(at.select(F.col("c").alias("b"), "k1", "k2"), ["k1", "k2"]).join(
+            at.select(F.col("c").alias("a"), F.col("k1").alias("h1"), F.col("k2").alias("h2")), ["h1", "h2"]).select("a", "b")
+        links = stored(_head_links(ordered, stored(told.distinct(), "told"), 1024), "told-links")
+        labels = stored(_labelled(ordered, links), "labels")
+        of = [labels.select(F.col("c").alias(x), F.col("label").alias(f"l{x}")) for x in ("a", "b")]
+        meetings = stored(meetings.join(of[0], "a").join(of[1], "b").where("la <> lb").select("a", "b"), "meetings")
+    more = stored(_head_links(ordered, meetings, 1024), "head-links")
+    labels = stored(_labelled(ordered, more if links is None else links.unionByName(more)), "labels")
     more = stored(_full_links(ordered, cells, labels, block), "full-links")
     joined = more.join(labels.select(F.col("c").alias("a"), F.col("label").alias("la")), "a").join(
         labels.select(F.col("c").alias("b"), F.col("label").alias("lb")), "b").select(
@@ -336,8 +377,48 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     last = components(joined).select(F.col("node").alias("label"), F.col("label").alias("top"))
     families = labels.join(last, "label", "left").select("c", F.coalesce("top", "label").alias("family"))
     crowded = families.groupBy("family").agg(F.count(F.lit(1)).alias("of")).where("of > 1").select("family")
-    named = families.join(crowded, "family").join(left, "c").select("k1", "k2", "family")
-    return marked, named
+    families = stored(families.join(crowded, "family").select("c", "family"), "families")
+    forget(cells, meetings)
+    return Joined(marked, left, ordered, families)
+
+
+def superseded(joined: Joined, block: int = 1024) -> DataFrame:
+    """``(k1, k2)`` of the texts that a kept one makes superfluous.
+
+    Read a family in order of ids, nulls last: a text is kept unless it is linked with one
+    kept before it.  A turn decides the first ``block`` open texts of each family in one
+    task and searches the kept of them among the family's others, dealt over tasks.  A
+    family of copies ends in its first turn; a turn keeps or drops ``block`` texts at least.
+    """
+    order = Window.partitionBy("family").orderBy(F.asc_nulls_last("least"), "c")
+    open_ = stored(joined.families.join(joined.texts.select("c", "least"), "c"), "open-families")
+    gone = []
+    while not open_.isEmpty():
+        # a bound on the rank is applied before the shuffle too
+        first = stored(open_.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= block), "first")
+        both = F.lit(True)
+        within = first.select(F.col("family").alias("bin"), "c", F.col("nth").cast("long").alias("label"),
+                              both.alias("asks"), both.alias("listed")).join(joined.sets, "c")
+        out = stored(_search(within, "superseded").select(F.col("b").alias("c")).distinct(), "superseded")
+        gone.append(out)
+        rest = stored(open_.join(first.select("c"), "c", "left_anti"), "rest")
+        if rest.isEmpty():
+            break
+        bins = rest.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("bins"))
+        heads = first.join(out, "c", "left_anti").join(bins, "family").select(
+            "family", "c", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("part"))
+        asking = heads.select(F.xxhash64("family", F.col("part").cast("long")).alias("bin"), "c",
+                              F.lit(-1).cast("long").alias("label"), F.lit(True).alias("asks"), F.lit(False).alias("listed"))
+        listed = rest.join(bins, "family").select(
+            F.xxhash64("family", F.pmod(F.xxhash64("c"), F.col("bins"))).alias("bin"), "c", F.col("c").alias("label"),
+            F.lit(False).alias("asks"), F.lit(True).alias("listed"))
+        near = stored(_search(asking.unionByName(listed).join(joined.sets, "c"), "superseded").select(
+            F.col("b").alias("c")).distinct(), "superseded")
+        gone.append(near)
+        open_ = stored(rest.join(near, "c", "left_anti"), "open-families")
+    if not gone:
+        return joined.texts.where("false").select("k1", "k2")
+    return reduce(DataFrame.unionByName, gone).join(joined.texts, "c").select("k1", "k2")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
@@ -348,13 +429,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     its own id.  Ids may be null or repeat: a component has its smallest id, null only
     where no row of it has one.  Other columns are not looked at.
     """
-    rows, families = similar(docs, id_col, text_col, words)
-    texts = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
+    joined = similar(docs, id_col, text_col, words)
+    families = joined.families.join(joined.texts, "c").select("k1", "k2", "family")
+    texts = joined.rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
     known = texts.join(families, ["k1", "k2"], "left")
     tops = known.where("family is not null").groupBy("family").agg(F.min("least").alias("top"))
     final = known.join(tops, "family", "left").select(
         "k1", "k2", F.when(F.col("family").isNull(), F.col("least")).otherwise(F.col("top")).alias("component_id"))
-    return rows.join(final, ["k1", "k2"]).select(
+    return joined.rows.join(final, ["k1", "k2"]).select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
