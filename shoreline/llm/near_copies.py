@@ -20,7 +20,6 @@ it, never all pairs.
 """
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from shoreline.llm import set_join
 from shoreline.llm.components import components
-from shoreline.llm.frames import own_name, ship, stored, text_keys
+from shoreline.llm.frames import forget, own_name, ship, stored, text_keys
 
 SEED = 42
-#: Bands of min-hashes that tell near-copies in the pipeline, and min-hashes in each.  Two texts
-#: of similarity s have no band in common with probability (1 - s ** ROWS) ** BANDS: at 0.8
-#: that is 5e-8, at 0.85 2e-10.
-BANDS, ROWS = 32, 4
 _ONE = np.uint64(1)
 #: The lowest bit of each byte; hashes taken at once.
 _LANES, _AT_ONCE = np.uint64(0x0101010101010101), 1 << 16
@@ -81,49 +77,6 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(_majority(ones, len(hashes))[0])
 
 
-@lru_cache(4)
-def _salts(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two columns of fixed random 32-bit numbers, the second odd."""
-    salts = np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "little"), SEED) for i in range(n)], np.uint64)
-    return (salts >> np.uint64(32)).astype(np.uint32)[:, None], salts.astype(np.uint32)[:, None] | np.uint32(1)
-
-
-def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """A key for each band of ``rows`` min-hashes; none without hashes.
-
-    Two texts have the same key in a band if they agree in its min-hashes, each of which they
-    share as often as they are similar.  The lower and the upper half of a hash are
-    independent, and each min-hash is the least of one half under a mix of its own.
-    """
-    if not len(hashes):
-        return np.empty(0, np.uint64)
-    n = bands * rows
-    flip, times = _salts(n)
-    least = np.full(n, ~np.uint32(0))
-    for i in range(0, len(hashes), _AT_ONCE >> 4):
-        some = hashes[i:i + (_AT_ONCE >> 4)]
-        halves = some.astype(np.uint32), (some >> np.uint64(32)).astype(np.uint32)
-        for half, at in zip(halves, (slice(0, n // 2), slice(n // 2, n)), strict=True):
-            mixed = half[None, :] ^ flip[at]
-            mixed *= times[at]
-            least[at] = np.minimum(least[at], mixed.min(axis=1))
-    # a band takes its min-hashes from both halves
-    whole = np.ascontiguousarray(least.reshape(rows, bands).T)
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(whole)], np.uint64)
-
-
-def banded(texts: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """``(k1, k2, doc_id, text)`` to ``(k1, k2, doc_id, cells)``: the keys of a text's bands."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [band_keys(shingle_hashes(t.as_py(), words), bands, rows).view(np.int64) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("k1"), b.column("k2"), b.column("doc_id"), pa.array(keys, pa.list_(pa.int64()))],
-                ["k1", "k2", "doc_id", "cells"])
-
-    return texts.select("k1", "k2", "doc_id", "text").mapInArrow(run, "k1 long, k2 long, doc_id long, cells array<long>")
-
-
 def fingerprints(texts: DataFrame, words: int) -> DataFrame:
     """``(k1, k2, doc_id, text)`` to ``(k1, k2, doc_id, fp)``; the bits of ``fp`` as a long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,111 +238,29 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _similar(words: int, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            last, against = None, set()
-            for mine, theirs in zip(b.column("text"), b.column("head_text"), strict=True):
-                if last is None or theirs != last:
-                    last, against = theirs, set(shingle_hashes(theirs.as_py(), words).tolist())
-                own = set(shingle_hashes(mine.as_py(), words).tolist())
-                both, either = len(own & against), len(own | against)
-                keep.append(both >= least * either)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(c) for c in ("k1", "k2", "h1", "h2")] + [pa.array(keep, pa.bool_())], ["k1", "k2", "h1", "h2", "same"])
-
-    return run
-
-
-def _crowded(cells: DataFrame) -> DataFrame:
-    """The rows of cells with more than one text."""
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
-    return stored(cells.join(sizes, "cell"), "cells")
-
-
-def _heads(cells: DataFrame, turn: int) -> DataFrame:
-    """``(cell, h1, h2, place)``: the cells of the texts that are among the first of each cell they are in.
-
-    The first turns go by id, so that the smallest id of a group stays; later ones by a
-    hash of their own, so that a long chain of texts with rising ids takes few turns.
-    """
-    by = (F.col("least").isNull().cast("long"), F.coalesce("least", F.lit(0))) if turn < 2 else (
-        F.xxhash64("k1", "k2", F.lit(turn)), F.lit(0).cast("long"))
-    placed = cells.withColumn("place", F.struct(by[0].alias("p1"), by[1].alias("p2"), F.col("k1").alias("p3"), F.col("k2").alias("p4")))
-    # a bound on the first rows of a group is applied before the shuffle too
-    first = placed.withColumn("nth", F.row_number().over(Window.partitionBy("cell").orderBy("place"))).where(F.col("nth") <= 2 ** turn)
-    first = stored(first.select("cell", F.col("k1").alias("h1"), F.col("k2").alias("h2"), "place"), "first")
-    there = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("there"))
-    all_ = cells.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("in"))
-    everywhere = there.join(all_, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("there") == F.col("in")))
-    return stored(first.join(everywhere.select("h1", "h2"), ["h1", "h2"]), "heads")
-
-
-def _same(cells: DataFrame, heads: DataFrame, held: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``(k1, k2, h1, h2)``: the texts that are near-copies of a head with which they share a cell."""
-    pairs = cells.select("cell", "k1", "k2").join(heads, "cell").where("not (k1 = h1 and k2 = h2)").select(
-        "k1", "k2", "h1", "h2").distinct()
-    theirs = held.select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), F.col("text").alias("head_text"))
-    judged = pairs.join(held, ["k1", "k2"]).join(theirs, ["h1", "h2"]).select(
-        "k1", "k2", "h1", "h2", "text", "head_text").mapInArrow(
-        _similar(words, similarity), "k1 long, k2 long, h1 long, h2 long, same boolean")
-    return stored(judged.where("same").drop("same"), "judged")
-
-
-def _near_texts(heads: DataFrame, one: DataFrame, words: int, similarity: float) -> DataFrame | None:
-    """``(k1, k2)`` of the texts that a kept one makes superfluous; None if there are none.
-
-    Every turn judges some heads against all open texts that share a cell with them.
-    Of two heads that are near-copies the later one is set back; the others are kept,
-    and they and their near-copies are done.  The first open text is always such a head.
-    Ends when no cell has two open texts, so that each two of the texts that stay and
-    share a cell were judged.  A cell has twice as many heads in each turn.
-    """
-    cells = _crowded(heads.select(F.explode("cells").alias("cell"), "k1", "k2", "least"))
-    # the texts of candidates alone, each once: that of the row with its smallest id
-    candidates = cells.select("k1", "k2", "least").distinct()
-    held = one.join(candidates, ["k1", "k2"]).where(F.col("least").eqNullSafe(F.col("id"))).select("k1", "k2", "text")
-    held = stored(held.dropDuplicates(["k1", "k2"]), "candidates")
-    gone, turn = None, 0
-    while not cells.isEmpty():
-        first = _heads(cells, turn)
-        same = _same(cells, first, held, words, similarity)
-        places = first.select("h1", "h2", "place").distinct()
-        mine = places.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("place").alias("my_place"))
-        late = same.join(mine, ["k1", "k2"]).join(places, ["h1", "h2"]).where("place < my_place").select(
-            F.col("k1").alias("h1"), F.col("k2").alias("h2")).distinct()
-        kept = stored(places.select("h1", "h2").join(late, ["h1", "h2"], "left_anti"), "kept")
-        out = stored(same.join(kept, ["h1", "h2"]).select("k1", "k2").distinct(), "gone")
-        done = out.unionByName(kept.select(F.col("h1").alias("k1"), F.col("h2").alias("k2")))
-        cells = _crowded(cells.join(done, ["k1", "k2"], "left_anti"))
-        gone = out if gone is None else gone.unionByName(out)
-        turn += 1
-    return gone
-
-
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-                     similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+                     radius: int = 3) -> DataFrame:
     """``docs`` with one row of each group of near-copies, all columns kept.
 
-    Candidates are the texts that agree in one of ``bands`` bands of ``rows`` min-hashes
-    (``BANDS`` tells how rarely that misses a pair).  Kept are texts that all others are
-    judged against: a text goes if its ``words``-word shingles have a Jaccard similarity of
-    at least ``similarity`` with a kept one, mostly one with a smaller id, and no two kept
-    candidates are so similar.  Equal texts (null counts as empty) always go to one row,
-    the one with the smallest id, nulls last; texts without words are equal only to
-    themselves.
+    Two texts are near-copies if their ``words``-word shingles have a Jaccard similarity of
+    at least 0.8.  Read in order of ids, nulls last, a text goes if it is a near-copy of one
+    that stays.  Texts whose fingerprints are linked are compared first, with one text of
+    their fingerprint group; a fingerprint alone never decides.  What fingerprints miss is
+    found by the set join, which knows what is linked already, so no pair is lost.  Equal
+    texts (null counts as empty) always go to one row, the one with the smallest id; texts
+    without words are equal only to themselves.
     """
     texts = _texts(docs, id_col, text_col)
-    marked = stored(banded(texts, words, bands, rows), "bands")
-    # one row per distinct text: its smallest id, or null
-    heads = marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("cells").alias("cells"))
-    heads = stored(heads, "texts")
-    one = texts.select("k1", "k2", F.col("doc_id").alias("id"), "text")
-    gone = _near_texts(heads, one, words, similarity)
-    kept = heads.select("k1", "k2", "least")
-    if gone is not None:
-        kept = kept.join(gone, ["k1", "k2"], "left_anti")
+    prints = stored(fingerprints(texts, words), "fingerprints")
+    grouped = fingerprint_groups(prints, radius)
+    # one row per text and per fingerprint group: a text that all others of its group meet
+    one = prints.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"))
+    placed = stored(one.join(grouped, "fp", "left").withColumn("grp", F.coalesce("grp", "fp")), "placed")
+    forget(prints)
+    heads = placed.groupBy("grp").agg(F.min(F.struct("k1", "k2")).alias("head"))
+    met = placed.join(heads, "grp").select("k1", "k2", F.col("head.k1").alias("h1"), F.col("head.k2").alias("h2"))
+    joined = set_join.similar(docs, id_col, text_col, words, met=met.where("not (k1 = h1 and k2 = h2)"))
+    kept = placed.select("k1", "k2", "least").join(set_join.superseded(joined), ["k1", "k2"], "left_anti")
     h1, h2, n, nth = (own_name(docs, x) for x in ("kept_k1", "kept_k2", "kept_least", "kept_nth"))
     kept = kept.select(F.col("k1").alias(h1), F.col("k2").alias(h2), F.col("least").alias(n))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
@@ -398,8 +269,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ident = keyed[id_col].cast("long")
     same = (keyed["_" + h1] == kept[h1]) & (keyed["_" + h2] == kept[h2]) & ident.eqNullSafe(kept[n])
     found = keyed.join(kept, same)
-    first = Window.partitionBy(h1, h2, n).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != text_col and _orderable(docs, c)] or [F.lit(1)])
-    return found.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    order = Window.partitionBy(h1, h2, n).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != text_col and _orderable(docs, c)] or [F.lit(1)])
+    return found.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _orderable(df: DataFrame, name: str) -> bool:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shoreline.llm import (
     chat,
@@ -15,7 +16,10 @@ from shoreline.llm import (
     link_rank,
     near_copies,
     packing,
+    prefix_trie,
     quality,
+    ranked_search,
+    set_join,
     shards,
     suffix_dedup,
     token_files,
@@ -524,3 +528,320 @@ def test_pipeline_stages(spark):
         after = stage(spark, docs, sf)
         assert after.columns == docs.columns and 0 < after.count() <= docs.count()
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+# -- operators 11 to 13, and what the operators above learnt ------------------------------
+
+def _words(text):
+    return (text or "").translate(_LOWER_ASCII).encode("utf-8", "surrogatepass").split()
+
+
+_LOWER_ASCII = {i: i + 32 for i in range(65, 91)}
+
+
+def _shingles(text, words=5):
+    parts = _words(text)
+    if not parts:
+        return set()
+    n = min(words, len(parts))
+    return {tuple(parts[i:i + n]) for i in range(len(parts) - n + 1)}
+
+
+def _families(texts, words=5):
+    """Brute force: the smallest number reachable by links of Jaccard 0.8."""
+    sets = [_shingles(t, words) for t in texts]
+    top = list(range(len(texts)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                x, y = sorted((find(i), find(j)))
+                top[y] = x
+    return [find(i) for i in range(len(texts))], [len(s) for s in sets]
+
+
+def test_set_join_on_awkward_rows(docs, none):
+    rows = _docs()
+    tops, sizes = _families([r[1] for r in rows])
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[tops[i]] = min(least.get(tops[i], r[0]), r[0])
+    want = Counter((r[0], sizes[i], least.get(tops[i]) if sizes[i] else r[0]) for i, r in enumerate(rows))
+    assert Counter(map(tuple, set_join.jaccard_components(docs).collect())) == want
+    assert set_join.jaccard_components(none).count() == 0
+
+
+def _template_corpus(seed=4):
+    """Families of edited copies, a template that many share, a chain, and pairs at the bound."""
+    rng = random.Random(seed)
+
+    def prose(n):
+        return [f"{rng.getrandbits(40):x}" for _ in range(n)]
+
+    texts, page, notice = [], prose(120), prose(60)
+    for _ in range(150):
+        copy = list(page)
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            copy[rng.randrange(120)] = rng.choice(["x", "y"]) + str(rng.randrange(9))
+        texts.append(" ".join(copy))
+    texts += [" ".join(notice + prose(40)) for _ in range(150)]
+    version = prose(100)
+    for _ in range(40):
+        version = version[4:] + prose(4)
+        texts.append(" ".join(version))
+    for n in (5, 9, 24, 54, 104, 203):
+        for cut in range(0, n // 3, max(1, n // 30)):
+            base = prose(n)
+            texts += [" ".join(base), " ".join(base[:n - cut])]
+    texts += ["a b", "a  B", "a b c", "A b c d e", "a b c d e", "a b c d e f", "x"]
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("block", [7, 384])
+def test_set_join_is_complete(spark, block):
+    texts = _template_corpus()
+    tops, sizes = _families(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    joined = set_join.similar(df, block=block)
+    families = joined.families.join(joined.texts, "c").select("k1", "k2", "family")
+    found = joined.rows.join(families, ["k1", "k2"], "left").collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r["family"] if r["family"] is not None else ("alone", r["k1"], r["k2"]), []).append(r["doc_id"])
+        assert r["n"] == sizes[r["doc_id"]]
+    assert sorted(sorted(g) for g in groups.values()) == sorted(
+        sorted(i for i, t in enumerate(tops) if t == top) for top in set(tops))
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_superseded_in_order_of_ids(spark, block):
+    texts = _template_corpus(5)
+    sets = [_shingles(t) for t in texts]
+    want, first = [], {}
+    for i, a in enumerate(sets):
+        if texts[i] in first:
+            continue
+        first[texts[i]] = i
+        if not any(100 * len(a & sets[j]) >= 80 * (len(a) + len(sets[j]) - len(a & sets[j])) for j in want):
+            want.append(i)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    joined = set_join.similar(df)
+    gone = {(r["k1"], r["k2"]) for r in set_join.superseded(joined, block).collect()}
+    kept = joined.rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least")).collect()
+    assert sorted(r["least"] for r in kept if (r["k1"], r["k2"]) not in gone) == want
+
+
+def test_lists_are_merged_with_skips():
+    rng = random.Random(2)
+    for _ in range(200):
+        lists = [sorted(rng.sample(range(40), rng.randrange(1, 15))) for _ in range(rng.randrange(1, 12))]
+        for least in range(1, len(lists) + 2):
+            counts = Counter(x for one in lists for x in one)
+            assert list(set_join.merged(lists, least)) == sorted((x, n) for x, n in counts.items() if n >= least)
+
+
+def test_work_of_the_set_join_is_bounded(spark):
+    """A shared template meets nowhere; a large family is linked by its heads alone."""
+    rng = random.Random(6)
+
+    def prose(n):
+        return [f"{rng.getrandbits(40):x}" for _ in range(n)]
+
+    notice, page = prose(60), prose(200)
+    for n in (200, 400):
+        shared = [" ".join(notice + prose(40)) for _ in range(n)]
+        family = []
+        for i in range(n):
+            copy = list(page)
+            copy[i % 200] = f"edit{i}"
+            family.append(" ".join(copy))
+        for texts, most in ((shared, 0), (family, 3 * n)):
+            df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+            ids = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "c long, text string")
+            sets = set_join._sets(ids.withColumn("n", F.lit(0)), 5).withColumn("n", F.size("tokens"))
+            ordered = set_join._ordered(sets)
+            assert set_join._meetings(set_join._cells(ordered)).count() <= most
+            assert set_join.jaccard_components(df).select("component_id").distinct().count() == (n if most == 0 else 1)
+
+
+def _rank(documents, items, k=50):
+    """Brute force over all documents."""
+    import math
+    import re
+
+    def terms(text):
+        return re.findall("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+", (text or "").translate(_LOWER_ASCII))
+
+    held = [Counter(terms(t)) for _, t in documents]
+    sizes = [sum(c.values()) for c in held]
+    n, total = sum(s > 0 for s in sizes), sum(sizes)
+    df = Counter(t for c in held for t in c)
+    out = set()
+    for item, asked in items.items():
+        scored = []
+        for (doc, _), c, size in zip(documents, held, sizes, strict=True):
+            score = 0
+            for t in asked & set(c):
+                w = math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1)))
+                score += w * (1000000000 * c[t] // (1000 * c[t] + 20 * (50 + 50 * size * n // total)))
+            if score > 0 and doc is not None:
+                scored.append((-score, doc))
+        out |= {(item, rank, doc, -score) for rank, (score, doc) in enumerate(sorted(scored)[:k], 1)}
+    return out, terms
+
+
+@pytest.mark.parametrize("k, block, slices", [(50, 4096, 1 << 20), (3, 5, 7), (1, 1, 1 << 20)])
+def test_ranked_search(spark, docs, none, k, block, slices):
+    rows = [(r[0], r[1]) for r in _docs()]
+    rng = random.Random(1)
+    vocabulary = " ".join(t for _, t in rows if t).split()
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(1, 30)))) for i in range(12)]
+    items += [(20, "page ONE one"), (20, "words"), (21, None), (22, "?!"), (23, "unknown-term"), (None, "one"), (3, items[3][1])]
+    terms = _rank([], {})[1]
+    asked = {}
+    for i, t in items:
+        if i is not None:
+            asked.setdefault(i, set()).update(terms(t))
+    want, _ = _rank(rows, asked, k)
+    table = spark.createDataFrame(items, "item_id long, text string").withColumn("block", F.lit("x")).withColumn("term", F.lit(1))
+    index = ranked_search.build_index(docs, block_docs=block)
+    got = ranked_search.search(index, table, k, slice_terms=slices).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert ranked_search.search(ranked_search.build_index(none), table).count() == 0
+    assert ranked_search.search(index, table.where("false")).count() == 0
+
+
+def test_accumulators_stop_and_stay_exact():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n, stopped = 500, 0
+    for _ in range(20):
+        block = ranked_search._Block(pa.array(range(n)), rng.integers(50, 200, n), n, n * 100)
+        for w in sorted(rng.integers(1, 8000, 30).tolist(), reverse=True):
+            of = np.sort(rng.choice(n, rng.integers(1, n), replace=False)).astype(np.int32)
+            block.add(w, of, rng.integers(1, 5, len(of)).astype(np.int32), [7])
+        whole = np.zeros(n, np.int64)
+        for of, parts in block.lists:
+            whole[of] += parts
+        held = block.scores(block.by_item[7], 10)
+        stopped += (held != whole).any()
+        best = np.lexsort((np.arange(n), -whole))[:10]
+        got = block.first(10)
+        assert sorted(zip(got.column(1).to_pylist(), got.column(2).to_pylist(), strict=True)) == sorted(
+            zip(best.tolist(), whole[best].tolist(), strict=True))
+    assert stopped
+
+
+def _trie(rows):
+    """Brute force over all prefixes."""
+    convs = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            convs.setdefault(c, []).append(((turn is not None, turn or 0), role or "", text or ""))
+    told = {c: [(r, t) for _, r, t in sorted(ts)] for c, ts in convs.items()}
+    built = {}
+    for c in told:
+        h = zlib.crc32(str(c).encode()) % 6
+        built[c] = tuple(told.get(c - c % 100, [])[:h] + told[c][h:])
+    members = {}
+    for c, turns in built.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(turns[:d], []).append(c)
+    out = set()
+    for node, cs in members.items():
+        below = [x for x in members if x[:len(node)] == node]
+        kids = [x for x in below if len(x) == len(node) + 1]
+        leaves = sum(not any(y[:-1] == x and y for y in below) for x in below)
+        saved = sum((len(members[x]) - 1) * (len(x[-1][1]) if x else 0) for x in below)
+        ends = ",".join(str(c) for c in sorted(c for c in cs if built[c] == node))
+        parent = min(members[node[:-1]]) if node else None
+        out.add((min(cs), len(node), parent, len(cs), len(kids), leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return out
+
+
+def test_conversation_trie(spark):
+    rng = random.Random(12)
+    rows = []
+    for c in [*range(40), *range(100, 130), 7000, 7001, 7099, 350]:
+        for turn in range(rng.choice([1, 2, 3, 8, 12])):
+            text = rng.choice(["hi", "hello", "", None, "é\u20ac\U0001f600", "x" * 30]) if c % 3 else f"t{turn}"
+            rows.append((c, turn if rng.random() < 0.95 else None, rng.choice(["user", "assistant", None]) if c % 2 else "user", text))
+    rows += [(5, 3, "user", "tie"), (5, 3, "user", "tie"), (5, 3, "assistant", "tie"), (None, 0, "user", "nobody")]
+    rows += [(200, t, "user", f"long {t}") for t in range(60)] + [(201, t, "user", f"long {t}") for t in range(60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    # names that the operator uses inside
+    df = df.withColumns({"d": F.lit("x"), "part": F.lit(1), "grp": F.lit(2), "at": F.lit(3)}).repartition(6)
+    got = prefix_trie.conversation_trie(df)
+    want = _trie(rows)
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(want) and set(found) == want
+    assert prefix_trie.conversation_trie(df.where("false")).count() == 0
+
+
+def test_prefixes_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "_TURNS", 3)
+    rows = [(c, t, "user", f"m{t if t < 17 else c}") for c in range(1, 9) for t in range(20)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert {tuple(r) for r in prefix_trie.conversation_trie(df).collect()} == _trie(rows)
+
+
+def test_contraction_of_trees(spark):
+    rng = random.Random(4)
+    chain = [(i, i - 1 if i else None, 1, i) for i in range(300)]
+    bush = [(1000 + i, 1000 + rng.randrange(i) if i else None, 1, rng.randrange(9)) for i in range(200)]
+    star = [(2000 + i, 2000 if i else None, 1, i) for i in range(50)]
+    nodes = [*chain, *bush, *star, (9999, None, 4, 5)]
+    got = {r[0]: (r[1], r[2]) for r in prefix_trie.subtree_totals(
+        spark.createDataFrame(nodes, "id long, parent long, a long, b long"), ["a", "b"]).collect()}
+    want = {n[0]: [n[2], n[3]] for n in nodes}
+    for i, up, *_ in sorted(nodes, reverse=True):
+        if up is not None:
+            want[up] = [x + y for x, y in zip(want[up], want[i], strict=True)]
+    assert got == {i: tuple(v) for i, v in want.items()}
+
+
+def test_repeated_rows_are_dealt_like_others(spark):
+    same = spark.createDataFrame([(7, "same text", "en", "s")] * 3000, "doc_id long, text string, lang string, source string")
+    sizes = [r["n"] for r in shards.kd_shards(same, 8).groupBy("shard").agg(F.sum("size").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) <= 0.1 * sum(sizes) / 8
+    by_bytes = shards.kd_shards(same, target_bytes=6000).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    assert len(by_bytes) == 5
+
+
+def test_first_of_equally_long_rules(spark):
+    df = spark.createDataFrame([("x.a.com", "/p")], "host string, path string")
+    rules = [("block", "a.com", "/"), ("allow", "a.com", "/"), ("allow", "com", "/")]
+    for given, want in ((rules, "block"), ([rules[1], rules[0], rules[2]], "allow")):
+        _, verdict = link_rank.rule_of(F.col("host"), F.col("path"), given)
+        assert df.select(verdict).first()[0] == want
+
+
+def test_short_items_are_whole_words(spark):
+    docs = spark.createDataFrame([(1, "other words"), (2, "he said"), (3, "so he."), (4, "the"), (5, "C++ is")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "he"), (2, "c++")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.benchmark_matches(docs, items).collect()}
+    assert got == {(2, 1), (3, 1), (5, 2)}
+
+
+def test_words_are_forgotten_and_learnt_again(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(token_files, "REMEMBERED", 50)
+    monkeypatch.setattr(token_files, "_TOGETHER", 7)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = token_files.Encoder(f.read())
+    rng = random.Random(3)
+    pool = ["".join(rng.choices("abcxyzéß'.,-!?0123\u00a0\t\n\u0120", k=rng.randint(1, 9))) for _ in range(300)]
+    for _ in range(30):
+        texts = [" ".join(rng.choices([*pool, "", "  "], k=rng.randrange(40))) for _ in range(4)]
+        want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert list(encoder.encode(texts)) == want
