@@ -602,15 +602,6 @@ def tls12_downgrade(spark, sf):
     )
 
 
-@query("load_tls_observations", f"""SELECT count(*) AS n, count(DISTINCT target) AS targets,
-    CAST(sum(bytes_in + bytes_out) AS BIGINT) AS bytes FROM {V.duck(V.ENDPOINTS)}""")
-def load_tls_observations(spark, sf):
-    return endpoints(spark, sf).agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("target").alias("targets"),
-        F.sum(F.col("bytes_in") + F.col("bytes_out")).alias("bytes"),
-    )
-
-
 _ACC = "CASE WHEN event_id % 4 < 2 THEN '4588,29' ELSE '' END"
 _HRR = "CASE WHEN event_id % 5 = 0 THEN '4589' ELSE '' END"
 _MODE = """CASE WHEN COALESCE(pref_forward, 0) = 0 OR COALESCE(pref_reverse, 0) = 0

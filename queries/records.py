@@ -1,8 +1,5 @@
 """Queries over history, cache, regression metrics and streams."""
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from queries import network as NQ
@@ -10,6 +7,7 @@ from queries import views as V
 from queries.registry import query
 from shoreline.operators import cache as C
 from shoreline.operators import history as H
+from shoreline.plans.checkpoints import new_folder
 from shoreline.rules import files
 from shoreline.streaming import tls_stream as T
 
@@ -20,11 +18,6 @@ def history(spark, sf):
     return V.view(spark, sf, V.HISTORY)
 
 
-@query("load_scan_history", f"SELECT project, scan_seq, score, total FROM {_HIST}")
-def load_scan_history(spark, sf):
-    return history(spark, sf).orderBy("project", "scan_seq").select("project", "scan_seq", "score", "total")
-
-
 @query("last_n_scans", f"""SELECT project, scan_seq, score FROM (SELECT *, row_number() OVER
     (PARTITION BY project ORDER BY scan_seq DESC) AS rn FROM {_HIST}) WHERE rn <= 3""")
 def last_n_scans(spark, sf):
@@ -128,12 +121,6 @@ def content_hash(spark, sf):
     return files_now(spark, sf)
 
 
-@query("load_cache_snapshot", """SELECT 'cipherscope' AS engine, 'd' || doc_id AS path, 'f' || doc_id AS file
-    FROM documents""")
-def load_cache_snapshot(spark, sf):
-    return C.cached_findings(cached(spark, sf).where("engine = 'cipherscope'")).drop("line")
-
-
 @query("prune_deleted", """SELECT e AS engine, 'd' || doc_id AS path FROM documents,
     (VALUES ('cipherscope'), ('semgrep')) AS v(e) WHERE doc_id % 10 <> 9""")
 def prune_deleted(spark, sf):
@@ -171,10 +158,7 @@ def engines(spark, sf):
 # --- streams --------------------------------------------------------------------
 def _folder(spark) -> str:
     """A fresh folder for one stream, on the shared folder the session names."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return f"{named.rstrip('/')}/stream-{os.urandom(8).hex()}"
-    return tempfile.mkdtemp(prefix="shoreline-stream-")
+    return new_folder(spark, "stream")
 
 
 def _log_files(spark, sf, folder):

@@ -292,7 +292,7 @@ def flatten_json_kv(spark, sf):
     docs = V.table(spark, sf, "events").select(
         F.concat(F.lit("e"), "event_id").alias("file"),
         F.when(F.col("event_id") % 10 == 0, merged).otherwise(F.col("props")).alias("content"))
-    return text_files.flatten_json_kv(docs, max_depth=8)
+    return text_files.flatten_json_kv(docs)
 
 
 def _vocab_sql():
@@ -448,13 +448,6 @@ def byte_signature_match(spark, sf):
     return B.byte_signature_match(rows).drop("row_no")
 
 
-@query("load_artifact_bytes", """SELECT page_id, octet_length(encode(html)) AS bytes FROM pages
-    WHERE octet_length(encode(html)) <= 8000""")
-def load_artifact_bytes(spark, sf):
-    rows = V.table(spark, sf, "pages").select("page_id", F.octet_length("html").cast("bigint").alias("bytes"))
-    return rows.where("bytes <= 8000")
-
-
 _MATCHES = f"""(SELECT artifact, 'symbol' AS kind, is_dynamic, algorithm FROM {_SYM_MATCH}
     UNION ALL SELECT artifact, 'library', NULL, algorithm FROM {_LIB_MATCH} WHERE p_partkey % 3 = 0
     UNION ALL SELECT DISTINCT artifact, 'constant', CAST(NULL AS BOOLEAN), 'AES' FROM {V.duck(SYMBOLS)}

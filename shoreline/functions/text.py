@@ -24,6 +24,13 @@ def lookup(c: Column, table: dict) -> Column:
     return F.try_element_at(F.expr(f"map({pairs})"), c)
 
 
+def lookup_list(c: Column, table: dict) -> Column:
+    """The list of ``c`` in a fixed table of lists, NULL when it is not there."""
+    pairs = ", ".join(
+        f"{sql_literal(k)}, array({', '.join(map(sql_literal, v))})" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), c)
+
+
 def sql_literal(value) -> str:
     """A Python text, number, flag or None as SQL.
 

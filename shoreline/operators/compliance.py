@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from shoreline.functions import compliance as C
 from shoreline.functions.text import blank_to_null, lookup
+from shoreline.operators.known import once, with_facts
 from shoreline.rules import compliance as rules
 
 PCI = "pci-dss-4.0"
@@ -14,15 +15,18 @@ def compliance_eval(df: DataFrame, frameworks: list | None = None) -> DataFrame:
     """Violations: the finding's columns, then framework, rule, deadline, severity.
 
     All frameworks are judged in one projection and exploded, so the findings
-    are read once however many frameworks are asked for.
+    are read once however many frameworks are asked for.  What a name decides is looked up
+    for the names our rules know, so the rules themselves test flags.
     """
+    name, group = C.subject_names()
+    df = with_facts(with_facts(df, name, C.name_facts, "_name"), group, C.group_facts, "_group")
     facts = C.Facts()
     chosen = list(C.FRAMEWORKS) if frameworks is None else [f for f in frameworks if f != PCI]
     found = F.array_compact(F.array(*[C.violation(f, facts) for f in chosen]))
     subject = F.when(F.col("algorithm").isNotNull(), F.col("algorithm.name")).otherwise(
         F.col("raw_identifier")
     )
-    out = df.withColumn("_v", F.explode(found)).select(
+    out = once(df, found, "_found").withColumn("_v", F.explode("_found")).select(
         *[c for c in ("project", "file", "line", "engine_rank", "seq") if c in df.columns],
         subject.alias("algorithm"), "_v.*",
     )

@@ -1,10 +1,12 @@
 """Match configuration settings against the crypto vocabulary."""
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoreline import schema
-from shoreline.functions.text import alternatives, has_word, strip
+from shoreline.functions.text import alternatives, has_word, let, lookup, lookup_list, strip
 from shoreline.operators.known import once
 from shoreline.rules import config as rules
 
@@ -15,31 +17,62 @@ def segmented(key: Column) -> Column:
     return F.lower(dotted)
 
 
+#: Segments that a name without separators may be glued of.
+GLUED = 4
+
+
+def _words_and_signs(text: Column) -> Column:
+    """Words of ASCII letters and digits, and what stands between them, in order."""
+    return F.regexp_extract_all(text, F.lit("[a-z0-9]+|[^a-z0-9]+"), F.lit(0))
+
+
+def runs_of_words(text: Column, most: int) -> Column:
+    """Every run of up to ``most`` words of a lower-case text, with the signs between them.
+
+    A literal that begins and ends with a letter or digit stands in the text as whole
+    words if, and only if, it is one of these runs.
+    """
+    def of(parts: Column) -> Column:
+        return F.flatten(F.transform(parts, lambda p, i: F.when(p.rlike("^[a-z0-9]"), F.transform(
+            F.sequence(F.lit(0), F.least(F.lit(most - 1), F.floor((F.size(parts) - 1 - i) / 2).cast("int"))),
+            lambda n: F.array_join(F.slice(parts, i + 1, 2 * n + 1), ""))).otherwise(
+            F.array().cast("array<string>"))))
+
+    return let(_words_and_signs(text), of)
+
+
 def glued_segments(segments: Column) -> Column:
-    """The segments in a row: every run of two to four, written without separators."""
+    """The segments in a row: every run of two to ``GLUED``, written without separators."""
     parts = F.filter(F.split(segments, r"[.\[\]_-]+"), lambda s: s != "")
+    return let(parts, lambda p: F.flatten(F.transform(p, lambda _, i: F.transform(
+        F.filter(F.sequence(F.lit(2), F.lit(GLUED)), lambda n: i + n <= F.size(p)),
+        lambda n: F.array_join(F.slice(p, i + 1, n), "")))))
+
+
+def _words(literal: str) -> int:
+    return len(re.findall("[a-z0-9]+", literal))
 
-    def runs(length):
-        starts = F.when(
-            F.size(parts) >= length, F.sequence(F.lit(1), F.size(parts) - length + 1)
-        )
-        return F.transform(starts, lambda i: F.array_join(F.slice(parts, i, length), ""))
 
-    none = F.array().cast("array<string>")
-    return F.concat(*[F.coalesce(runs(n), none) for n in (2, 3, 4)])
+def _plain(literal: str) -> bool:
+    return bool(re.fullmatch("[a-z0-9](?:.*[a-z0-9])?", literal, re.S))
 
 
-def key_matches(segments: Column, glued: Column, pattern: str) -> Column:
-    """The pattern or its plural is a word of the key.
+def _postings(rows: list) -> tuple[dict, dict, int, int]:
+    """What a run of the key, a glued run of the key and a run of the value mean.
 
-    Patterns without separators also match glued: ``cipher-suites`` has
-    ``ciphersuite``.
+    Returns the patterns by run and by glued run, and the most words of a pattern and of a
+    hint.  A pattern with separators also matches its plural, one without also matches
+    glued segments and their plural.
     """
-    if any(ch in pattern for ch in "-_."):
-        return has_word(segments, [pattern, pattern + "s"])
-    return has_word(segments, [pattern]) | F.arrays_overlap(
-        glued, F.array(F.lit(pattern), F.lit(pattern + "s"))
-    )
+    by_run, by_glue = {}, {}
+    for pattern in dict.fromkeys(r[1] for r in rows):
+        by_run.setdefault(pattern, []).append(pattern)
+        target = by_run if any(ch in pattern for ch in "-_.") else by_glue
+        target.setdefault(pattern + "s", []).append(pattern)
+        if target is by_glue:
+            by_glue.setdefault(pattern, []).append(pattern)
+    hints = [h for r in rows for h in r[2] or []]
+    return by_run, by_glue, max(map(_words, by_run)), max(map(_words, hints), default=1)
 
 
 def parse_bits(value: Column) -> Column:
@@ -61,33 +94,41 @@ def first_match(df: DataFrame, key: list, order: str) -> DataFrame:
 def config_vocab_match(kv: DataFrame, vocabulary: list | None = None) -> DataFrame:
     """Findings for the settings ``(file, key, value, line)`` that name crypto.
 
-    The first rule in order wins.  Rules are grouped by key pattern, so a row
-    tests each of the few key patterns once and the hints of those that hold;
-    no join is needed.
+    The first rule in order wins.  The vocabulary is an inverted index: a key's runs of
+    words are looked up and give its patterns, and a pattern with a run of the value's words
+    gives the first rule that has both.  A setting costs its words, however many rules there
+    are; no rule is tested for itself, and nothing is joined.  ``project`` is kept.
     """
     rows = rules.vocabulary() if vocabulary is None else vocabulary
-    patterns = list(dict.fromkeys(r[1] for r in rows))
+    by_run, by_glue, key_words, value_words = _postings(rows)
+    first: dict[str, int] = {}
+    odd = []
+    for n, pattern, hints, *_ in rows:
+        for hint in hints or [""]:
+            first.setdefault(f"{pattern}\n{hint}", n)
+            if hint and not _plain(hint):
+                odd.append(hint)
     # a cheap test first: most settings hold no key pattern at all
-    letters = sorted({p.replace("-", "").replace("_", "").replace(".", "") for p in patterns})
+    letters = sorted({re.sub("[-_.]", "", p) for p in by_run})
     squeezed = F.regexp_replace(F.lower(F.col("key")), r"[.\[\]_-]", "")
-    staged = once(
-        kv.where(squeezed.rlike(alternatives(letters))).withColumn("_value", F.lower("value")),
-        segmented(F.col("key")), "_segments",
-    )
-    staged = once(staged, glued_segments(F.col("_segments")), "_glued")
-    staged = once(staged, F.struct(*[
-        key_matches(F.col("_segments"), F.col("_glued"), p).alias(f"p{i}")
-        for i, p in enumerate(patterns)
-    ]), "_keys")
-    at = {p: F.col(f"_keys.p{i}") for i, p in enumerate(patterns)}
-    rule_no = F.when(F.lit(False), F.lit(-1))
-    for n, pattern, hints, *_ in rows:
-        holds = at[pattern]
-        rule_no = rule_no.when(
-            (holds & has_word(F.col("_value"), hints)) if hints else holds, F.lit(n)
-        )
-    held = F.greatest(*at.values())
-    matched = once(staged.where(held), rule_no, "rule_no").where(F.col("rule_no").isNotNull())
+    staged = once(kv.where(squeezed.rlike(alternatives(letters))), segmented(F.col("key")), "_segments")
+
+    def patterns_of(runs, index):
+        return F.flatten(F.array_compact(F.transform(runs, lambda r: lookup_list(r, index))))
+
+    found = F.array_distinct(F.concat(
+        patterns_of(runs_of_words(F.col("_segments"), key_words), by_run),
+        patterns_of(glued_segments(F.col("_segments")), by_glue)))
+    held = once(staged, found, "_patterns").where(F.size("_patterns") > 0)
+    value = F.lower("value")
+    # hints that end in a sign are no runs of words
+    others = F.array_compact(F.array(*[F.when(has_word(value, [h]), h) for h in sorted(set(odd))])) if odd else F.array().cast(
+        "array<string>")
+    said = F.concat(F.array(F.lit("")), F.array_distinct(F.concat(runs_of_words(value, value_words), others)))
+    named = once(held, said, "_said")
+    rule_no = F.array_min(F.flatten(F.transform("_patterns", lambda p: F.transform(
+        "_said", lambda h: lookup(F.concat(p, F.lit("\n"), h), first)))))
+    matched = once(named, rule_no, "rule_no").where(F.col("rule_no").isNotNull())
 
     def of_rule(i, cast):
         pairs = [F.lit(x) for r in rows if r[i] is not None for x in (r[0], r[i])]
@@ -98,7 +139,7 @@ def config_vocab_match(kv: DataFrame, vocabulary: list | None = None) -> DataFra
         of_rule(5, "int"), F.when(F.col("rule_no").isin(sized), parse_bits(F.col("value")))
     )
     return matched.select(
-        "file", "line", "key", "value", "rule_no",
+        *schema.scope_columns(kv), "file", "line", "key", "value", "rule_no",
         schema.algorithm(of_rule(3, "string"), of_rule(4, "string"), size, of_rule(6, "string"))
         .alias("algorithm"),
         F.lit("medium").alias("confidence"), F.lit("config-scanner").alias("source_engine"),

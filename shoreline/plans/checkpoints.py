@@ -1,22 +1,35 @@
-"""Cut long lineages where a step is read more than once."""
+"""Cut long lineages where a step is read more than once, in the folder all executors share."""
 
+import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the folder the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, set as the session's checkpoint folder.
 
-    ``spark.checkpoint.dir`` is the shared folder of the cluster.  Where it is not
-    set, a session on one machine gets a folder, any other is refused.  Checkpoint files
-    survive the loss of executors, unlike cached blocks.
+    Where the session names none, one on this machine gets a folder; a cluster, whose
+    executors would not see it, is refused.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="shoreline-"))
+    return (named or context.getCheckpointDir()).rstrip("/")
+
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{what}-{os.urandom(8).hex()}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of ``df`` in the shared folder.
+
+    Checkpoint files survive the loss of executors, unlike cached blocks.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -19,9 +19,27 @@ def with_advice_text(df: DataFrame) -> DataFrame:
     return df.withColumn("recommendation", F.coalesce(advice_text(code), code))
 
 
+def store_findings(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
+    """Write classified findings to ``<path>/table`` and read them back.
+
+    Every writer below derives its outputs from such a table, so the plan of a scan runs
+    once, however many outputs are asked for.  A writer that is given other findings stores
+    them itself.
+    """
+    full = schema.conform(df, derived=True)
+    full.write.mode(mode).parquet(f"{path}/table")
+    table = df.sparkSession.read.schema(full.schema).parquet(f"{path}/table")
+    table._stored_at = f"{path}/table"
+    return table
+
+
+def _stored(df: DataFrame, path: str, mode: str) -> DataFrame:
+    return df if getattr(df, "_stored_at", None) else store_findings(df, path, mode)
+
+
 def write_findings_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """``<path>/findings`` with one line per finding, ``<path>/summary`` with one row."""
-    full = schema.conform(df, derived=True)
+    full = _stored(df, path, mode)
     with_advice_text(full).write.mode(mode).json(f"{path}/findings")
     summary = side_by_side(score.scan_summary(full), score.qrs(full))
     summary.coalesce(1).write.mode(mode).json(f"{path}/summary")
@@ -43,6 +61,10 @@ def write_cbom_components(
     Places are written apart, partitioned by kind, so that no component has to
     hold a list as long as the data.
     """
+    df = _stored(df, path, mode)
+    if zones is not None:
+        zones.write.mode(mode).parquet(f"{path}/zones")
+        zones = df.sparkSession.read.schema(zones.schema).parquet(f"{path}/zones")
     N.cbom_components(df, base, zones).write.mode(mode).json(f"{path}/components")
     N.cbom_occurrences(df, base).write.mode(mode).partitionBy("kind").json(f"{path}/occurrences")
     N.cbom_dependencies(df).write.mode(mode).json(f"{path}/dependencies")
@@ -53,6 +75,7 @@ def write_sarif_rows(
     df: DataFrame, path: str, base: str | None = None, mode: str = "errorifexists"
 ) -> None:
     """Rules and results as JSON lines."""
+    df = _stored(df, path, mode)
     N.sarif_rules(df).write.mode(mode).json(f"{path}/rules")
     N.sarif_results(df, base).drop("engine_rank", "seq").write.mode(mode).json(f"{path}/results")
 
@@ -62,14 +85,18 @@ def write_compliance_summary(
 ) -> None:
     """Violations and algorithm tables, partitioned by framework."""
     violations.write.mode(mode).partitionBy("framework").parquet(f"{path}/violations")
+    df = _stored(df, path, mode)
+    violations = df.sparkSession.read.schema(violations.schema).parquet(f"{path}/violations")
     framework_algorithm_summaries(df, violations).write.mode(mode).partitionBy(
         "framework"
     ).parquet(f"{path}/algorithms")
 
 
 def append_scan_history(records: DataFrame, path: str) -> None:
-    """Append scan records, partitioned by project."""
-    records.write.mode("append").partitionBy("project").json(path)
+    """Append scan records, one file a day, however many projects were scanned."""
+    day = F.coalesce(F.substring("timestamp", 1, 10), F.lit("undated")) if "timestamp" in records.columns else F.lit("undated")
+    dated = records.withColumn("day", day)
+    dated.repartition("day").write.mode("append").partitionBy("day").json(path)
 
 
 def write_cache_snapshot(
@@ -89,3 +116,14 @@ WRITERS = {
     "json": write_findings_json, "csv": write_findings_csv, "cbom": write_cbom_components,
     "sarif": write_sarif_rows,
 }
+
+
+def write_all(df: DataFrame, path: str, formats=tuple(WRITERS), mode: str = "errorifexists", **options) -> DataFrame:
+    """All asked outputs under ``<path>/<format>`` from one stored table, which is returned.
+
+    ``options`` has further arguments of the writers by format.
+    """
+    table = store_findings(df, path, mode)
+    for name in formats:
+        WRITERS[name](table, f"{path}/{name}", mode=mode, **options.get(name, {}))
+    return table

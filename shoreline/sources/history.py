@@ -19,11 +19,11 @@ CACHE_TYPE = (
 
 
 def load_scan_history(spark: SparkSession, path, limit: int | None = None) -> DataFrame:
-    """Records per project, oldest first; only the last ``limit`` if given."""
+    """Records of all projects, in no order; only the last ``limit`` of each project if given."""
     history = spark.read.schema(HISTORY_TYPE).json(path)
     counts = [c for c, t in history.dtypes if t in ("bigint", "int") and c != "scan_seq"]
     history = history.na.fill(0, counts)
-    return last_n_scans(history, limit) if limit else history.orderBy("project", "scan_seq")
+    return last_n_scans(history, limit) if limit else history
 
 
 def load_cache_snapshot(spark: SparkSession, path, engines: list | None = None) -> DataFrame:

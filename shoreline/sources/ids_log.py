@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from shoreline.functions import tls as X
 from shoreline.functions.text import blank_to_null
+from shoreline.operators.known import once
+from shoreline.operators.metrics import unwatched
 from shoreline.sources.lines import PLACE, read_lines
 
 EVENT = (
@@ -15,15 +17,17 @@ EVENT = (
 )
 
 
-def parse_eve(lines: DataFrame) -> DataFrame:
-    """TLS records of the log; other events and torn lines are dropped.
+def parse_eve(lines: DataFrame, watch=unwatched) -> DataFrame:
+    """TLS records of the log; other events and torn lines are dropped, and torn ones with
+    something of TLS in them counted by a watch.
 
     The substring test is only there to skip JSON parsing of other events; the
     exact test follows it.
     """
-    parsed = lines.where(F.col("line").contains('"tls"')).withColumn(
-        "_e", F.from_json(F.col("line"), EVENT, {"columnNameOfCorruptRecord": "_bad"})
-    ).where(
+    read = once(
+        lines.where(F.col("line").contains('"tls"')),
+        F.from_json(F.col("line"), EVENT, {"columnNameOfCorruptRecord": "_bad"}), "_e")
+    parsed = watch(read, "lines", malformed=F.col("_e._bad").isNotNull()).where(
         F.col("_e._bad").isNull() & (F.col("_e.event_type") == "tls") & F.col("_e.tls").isNotNull()
     )
     extra = [c for c in ("ts_received",) if c in lines.columns]

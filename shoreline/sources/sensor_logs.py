@@ -12,6 +12,7 @@ from shoreline import schema
 from shoreline.functions import tls as X
 from shoreline.functions.text import blank_to_null, let, strip
 from shoreline.operators.known import once
+from shoreline.operators.metrics import unwatched
 from shoreline.sources.lines import PLACE, first_sign, format_of, read_lines
 
 SSL_FIELDS = [
@@ -142,8 +143,9 @@ def _json_cells(names: list) -> Column:
         r["_bad"].isNull(), F.struct(*[blank_to_null(r[c]).alias(c) for c in names]))))
 
 
-def _records(lines: DataFrame, cells: Column, names: list, *more: str) -> DataFrame:
-    read = once(lines, cells, "_r").where(F.col("_r").isNotNull())
+def _records(lines: DataFrame, cells: Column, names: list, *more: str, watch=unwatched) -> DataFrame:
+    told = (strip(F.col("line")) != "") & ~F.col("line").startswith("#")
+    read = watch(once(lines, cells, "_r"), "lines", malformed=told & F.col("_r").isNull()).where(F.col("_r").isNotNull())
     return read.select(*_kept(lines), *more, *[F.col(f"_r.`{c}`").alias(c) for c in names])
 
 
@@ -157,12 +159,12 @@ def _tsv_columns(lines: DataFrame, names: list) -> DataFrame:
     return _records(_placed(lines, names).where(fits), cells, names)
 
 
-def _json_columns(lines: DataFrame, names: list) -> DataFrame:
-    """Rows of an NDJSON log; malformed lines are dropped."""
-    return _records(lines, _json_cells(names), names)
+def _json_columns(lines: DataFrame, names: list, watch=unwatched) -> DataFrame:
+    """Rows of an NDJSON log; malformed lines are dropped, and counted by a watch."""
+    return _records(lines, _json_cells(names), names, watch=watch)
 
 
-def _mixed_columns(lines: DataFrame, names: list) -> DataFrame:
+def _mixed_columns(lines: DataFrame, names: list, watch=unwatched) -> DataFrame:
     """Rows of logs of either format, each file read as its first character asks, in one pass.
 
     ``_kind`` is the format a row was read as and ``_fmt`` that of its file; the lines of
@@ -172,7 +174,7 @@ def _mixed_columns(lines: DataFrame, names: list) -> DataFrame:
     is_json = (F.col("fmt") == "json") | ((F.col("fmt") == "unknown") & strip(F.col("line")).startswith("{"))
     placed = _placed(lines, names).withColumn("_kind", F.when(is_json, "json").otherwise("tsv")).withColumn("_fmt", F.col("fmt"))
     either = F.when(F.col("_kind") == "json", _json_cells(names)).otherwise(F.when(fits, cells))
-    return _records(placed, either, names, "_kind", "_fmt")
+    return _records(placed, either, names, "_kind", "_fmt", watch=watch)
 
 
 def _established(c: Column) -> Column:
@@ -212,8 +214,8 @@ def parse_ssl_tsv(lines: DataFrame) -> DataFrame:
     return _ssl_records(_tsv_columns(lines, SSL_FIELDS))
 
 
-def parse_ssl_json(lines: DataFrame) -> DataFrame:
-    return _ssl_records(_json_columns(lines, SSL_FIELDS))
+def parse_ssl_json(lines: DataFrame, watch=unwatched) -> DataFrame:
+    return _ssl_records(_json_columns(lines, SSL_FIELDS, watch))
 
 
 def parse_x509_tsv(lines: DataFrame) -> DataFrame:
@@ -261,14 +263,14 @@ def _of_their_format(records: DataFrame) -> DataFrame:
     return records.join(both, doubtful, "left_anti").drop("_kind", "_fmt")
 
 
-def parse_ssl(lines: DataFrame) -> DataFrame:
+def parse_ssl(lines: DataFrame, watch=unwatched) -> DataFrame:
     """Records of logs of either format; a file that starts with neither ``#`` nor ``{`` is
     tried as NDJSON, and as tab-separated text only if that gave no records."""
-    return _of_their_format(_ssl_records(_mixed_columns(lines, SSL_FIELDS)))
+    return _of_their_format(_ssl_records(_mixed_columns(lines, SSL_FIELDS, watch)))
 
 
-def parse_x509(lines: DataFrame) -> DataFrame:
-    df = _mixed_columns(lines, X509_FIELDS)
+def parse_x509(lines: DataFrame, watch=unwatched) -> DataFrame:
+    df = _mixed_columns(lines, X509_FIELDS, watch)
     is_json, (san, length) = F.col("_kind") == "json", _json_x509(df)
     return _of_their_format(_x509_records(
         df, F.when(is_json, san).otherwise(F.col("`san.dns`")),

@@ -7,6 +7,7 @@ from shoreline import schema
 from shoreline.functions.text import contains_any, strip
 from shoreline.rules import files
 from shoreline.sources.declarations import extract_constants
+from shoreline.sources.json_text import flatten_json_kv
 
 __all__ = [
     "extract_constants", "flatten_json_kv", "load_artifact_bytes", "load_ignore_patterns", "load_source_files",
@@ -65,12 +66,18 @@ def load_source_lines(
     return split_lines(load_source_files(spark, path, max_bytes, project=project))
 
 
-def load_artifact_bytes(spark: SparkSession, path, max_bytes: int) -> DataFrame:
-    """Binary artifacts as ``(path, length, content)`` up to a size."""
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        .where(F.col("length") <= max_bytes).select("path", "length", "content")
-    )
+def load_artifact_bytes(
+    spark: SparkSession, path, max_bytes: int | None = None, project: str | Column | None = None
+) -> DataFrame:
+    """Binary artifacts as ``(path, length, content)``; up to a size, if one is given.
+
+    :func:`skipped_files` lists what a size leaves out.  ``project`` adds the scan they
+    belong to, by name or as a Column over ``path``.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if max_bytes is not None:
+        files = files.where(F.col("length") <= max_bytes)
+    return schema.in_project(files.select("path", "length", "content"), project)
 
 
 def parse_ignore_patterns(lines: DataFrame) -> DataFrame:
@@ -85,37 +92,3 @@ def load_ignore_patterns(spark: SparkSession, path) -> DataFrame:
     from shoreline.sources.lines import read_lines
 
     return parse_ignore_patterns(read_lines(spark, path))
-
-
-def flatten_json_kv(df: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """JSON documents ``(file, content)`` to ``(file, key, value)``.
-
-    Object keys are joined with dots, array entries are ``[i]``, nulls are
-    dropped and nesting below ``max_depth`` is ignored.  A recursive query walks
-    one level per step, so only documents that are that deep cost that many steps.
-    """
-    spark = df.sparkSession
-    # the walk has as many rows as the documents have keys
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    parsed = df.select("file", F.try_parse_json(F.col("content")).alias("v")).where(
-        F.col("v").isNotNull()
-    )
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(file, path, v, depth) MAX RECURSION LEVEL {levels} AS (
-            SELECT file, CAST('' AS STRING), v, 0 FROM {docs}
-            UNION ALL
-            SELECT w.file,
-                   CASE WHEN c.key IS NULL THEN w.path || '[' || c.pos || ']'
-                        WHEN w.path = '' THEN c.key ELSE w.path || '.' || c.key END,
-                   c.value, w.depth + 1
-            FROM walk w, LATERAL variant_explode(w.v) c
-            WHERE w.depth < {depth}
-              AND (schema_of_variant(w.v) LIKE 'OBJECT%' OR schema_of_variant(w.v) LIKE 'ARRAY%')
-        )
-        SELECT file, path AS key, CAST(v AS STRING) AS value FROM walk
-        WHERE path <> '' AND NOT is_variant_null(v)
-          AND schema_of_variant(v) NOT LIKE 'OBJECT%' AND schema_of_variant(v) NOT LIKE 'ARRAY%'
-        """.replace("{levels}", str(max_depth + 2)).replace("{depth}", str(max_depth)),
-        docs=parsed,
-    )

@@ -6,6 +6,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shoreline.operators import records as R
 from shoreline.operators.classify import classify_findings
+from shoreline.operators.metrics import unwatched
 from shoreline.schema import conform
 from shoreline.sources.ids_log import parse_eve
 from shoreline.sources.sensor_logs import parse_ssl_json
@@ -27,13 +28,14 @@ def stream_lines(spark: SparkSession, path, **options) -> DataFrame:
     )
 
 
-def stream_tls_logs(spark: SparkSession, path, fmt: str = "eve", **options) -> DataFrame:
-    """Records of rotated NDJSON logs, parsed as in batch; malformed lines are dropped."""
+def stream_tls_logs(spark: SparkSession, path, fmt: str = "eve", watch=unwatched, **options) -> DataFrame:
+    """Records of rotated NDJSON logs, parsed as in batch; malformed lines are dropped, and
+    counted by a watch in the progress of the query."""
     lines = stream_lines(spark, path, **options)
     if fmt == "eve":
-        return parse_eve(lines)
+        return parse_eve(lines, watch)
     if fmt == "ssl":
-        return parse_ssl_json(lines)
+        return parse_ssl_json(lines, watch)
     raise ValueError(f"unknown stream format {fmt!r}")
 
 
