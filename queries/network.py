@@ -247,7 +247,7 @@ def detect_format(spark, sf):
 
 
 @query("log_format_fallback", f"""SELECT log_no AS src_file, count(*) AS n
-    FROM {V.duck(V.TLS)} AS t WHERE established AND (event_id + 100) % 1000 <> 0 GROUP BY log_no
+    FROM {V.duck(V.TLS)} AS t WHERE established GROUP BY log_no
     UNION ALL SELECT 'j' || log_no, count(*) FROM {V.duck(V.TLS)} AS t
     WHERE established AND event_id % 17 <> 5 AND event_id % 29 <> 3 GROUP BY log_no""")
 def log_format_fallback(spark, sf):
@@ -255,7 +255,7 @@ def log_format_fallback(spark, sf):
     lines = ssl_tsv_lines(spark, sf).unionByName(
         ssl_json_lines(spark, sf).withColumn("src_file", F.concat(F.lit("j"), "src_file"))
     )
-    rows = sensor_logs._by_format(lines, sensor_logs.parse_ssl_tsv, sensor_logs.parse_ssl_json)
+    rows = sensor_logs.parse_ssl(lines)
     return rows.groupBy("src_file").agg(F.count(F.lit(1)).alias("n"))
 
 
