@@ -29,7 +29,6 @@ Texts are equal if 128 bits of hash are, tokens if 64 bits are.
 """
 
 from bisect import bisect_left
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
 from heapq import heapify, heappop, heappush
@@ -109,15 +108,23 @@ class Bin:
         self.rows = sorted(rows, key=lambda r: (r[1], r[0]))
         self.root = list(range(len(rows)))
         self.span: dict[int, tuple[int, int]] = {}
-        self.index: dict[int, list[int]] = defaultdict(list)
-        for i, (_, label, _, tokens, _, listed) in enumerate(self.rows):
+        for i, (_, label, *_) in enumerate(self.rows):
             low, _ = self.span.get(label, (i, i))
             self.span[label] = low, i + 1
-            if low < i:
-                self.root[i] = low
-            if listed:
-                for t in tokens.tolist():
-                    self.index[t].append(i)
+            self.root[i] = low
+        # the lists one after the other, by token: a list is a run of numbers in order
+        listed = [i for i, row in enumerate(self.rows) if row[5]]
+        tokens = np.concatenate([np.empty(0, np.int64), *[self.rows[i][3] for i in listed]])
+        numbers = np.repeat(np.array(listed, np.int64), [len(self.rows[i][3]) for i in listed])
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.numbers = tokens[order], numbers[order].astype(np.int32)
+
+    def lists(self, tokens: np.ndarray) -> Iterator[list[int]]:
+        """The lists of these tokens that are not empty."""
+        starts, ends = (np.searchsorted(self.tokens, tokens, side).tolist() for side in ("left", "right"))
+        for a, b in zip(starts, ends, strict=True):
+            if a < b:
+                yield self.numbers[a:b].tolist()
 
     def find(self, i: int) -> int:
         while self.root[i] != i:
@@ -131,13 +138,11 @@ class Bin:
         low, high = self.span[label]
         least = -(-4 * n // 5)
         lists = []
-        for t in tokens.tolist():
-            found = self.index.get(t)
+        for found in self.lists(tokens):
+            a, b = bisect_left(found, low), bisect_left(found, high)
+            found = found[:a] + found[b:] if a < b else found
             if found:
-                a, b = bisect_left(found, low), bisect_left(found, high)
-                found = found[:a] + found[b:] if a < b else found
-                if found:
-                    lists.append(found)
+                lists.append(found)
         if len(lists) < least:
             return
         lists.sort(key=len)
@@ -218,10 +223,17 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         *text_keys(F.col("text")), "doc_id", "text")
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches cut small, so that only the sets of a few texts are held at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _marked(texts: DataFrame, words: int) -> DataFrame:
     """``(k1, k2, doc_id, n, low)``: the size of the set and its lowest quarter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _pieces(batches):
             sets = [tokens_of(t, words) for t in b.column("text").cast(pa.binary()).to_pylist()]
             low = [s[:np.searchsorted(s, _LOW)].view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([
@@ -235,7 +247,7 @@ def _marked(texts: DataFrame, words: int) -> DataFrame:
 def _sets(texts: DataFrame, words: int) -> DataFrame:
     """``(c, n, text)`` to ``(c, n, tokens)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _pieces(batches):
             sets = [tokens_of(t, words).view(np.int64) for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("c"), b.column("n"), pa.array(sets, pa.list_(pa.int64()))], ["c", "n", "tokens"])
