@@ -14,6 +14,7 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -102,28 +103,59 @@ class Encoder:
                 out[w] = (out.get(core) or known[core]) + signs[tail]
         return out
 
+    def _remember(self, words: set[str] | list[str]) -> dict[str, bytes]:
+        """What is known, with these words in it."""
+        learnt = self._learn({w for w in words if w not in self.known})
+        if len(self.known) + len(learnt) > REMEMBERED:
+            # what is asked for now is what is remembered next
+            self.known = {w: self.known[w] for w in words if w in self.known}
+        self.known.update(learnt)
+        return self.known
+
+    def _apart(self, text: str) -> bytes:
+        """A text with an added token, or with spaces that do not start a word."""
+        if not self.wordwise or self.added and self.added.search(text):
+            return self._ids(text)
+        head, *words = _WORD_SPACE.split(text)
+        known = self._remember(words)
+        return (self._ids(head) if head else b"") + b"".join(known[w] for w in words)
+
+    def encode_flat(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, each ended by ``end``; and how many each has.
+
+        The words of a batch are made distinct first, so that only distinct words are looked
+        up; the ids of all words are then gathered at once.
+        """
+        odd = [not self.wordwise or bool(self.added and self.added.search(t) or _OTHER_SPACE.search(t)) for t in texts]
+        split = pc.split_pattern(pa.array(["" if o else t for t, o in zip(texts, odd, strict=True)], pa.large_string()), " ")
+        words = pc.dictionary_encode(split.values)
+        bounds = split.offsets.to_numpy()
+        distinct = words.dictionary.to_pylist()
+        known = self._remember(distinct) if self.wordwise else {}
+        ids = [known[w] for w in distinct] if self.wordwise else [b""] * len(distinct)
+        # the first word of a text has no space before it
+        heads = words.indices.to_numpy(zero_copy_only=False)[bounds[:-1]]
+        ids += [self._apart(t) if o else self._ids(distinct[h]) if distinct[h] else b""
+                for t, o, h in zip(texts, odd, heads, strict=True)]
+        ids.append(b"" if end is None else np.array([end], "<u4").tobytes())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        values, starts = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        which = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        which[bounds[:-1]] = len(distinct) + np.arange(len(texts))
+        which = np.insert(which, bounds[1:], len(ids) - 1)
+        each = sizes[which]
+        ends = np.cumsum(each)
+        # the place of every id in `values`: its word's start, and how far it is into the word
+        at = np.repeat(starts[which] - (ends - each), each)
+        at += np.arange(len(at))
+        last = ends[bounds[1:] + np.arange(len(texts))] if len(texts) else ends
+        return values[at], np.diff(last, prepend=0)
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if not self.wordwise:
-            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
-            return
-        whole = [bool(self.added and self.added.search(t)) for t in texts]
-        parts = [[""] if w else _WORD_SPACE.split(t) if _OTHER_SPACE.search(t) else t.split(" ")
-                 for t, w in zip(texts, whole, strict=True)]
-        known = self.known
-        heads = [p.pop(0) for p in parts]
-        asked = set().union(*parts)
-        learnt = self._learn(asked.difference(known))
-        if len(known) + len(learnt) > REMEMBERED:
-            # what this batch asks for is what is remembered next
-            self.known = known = {w: known[w] for w in asked if w in known}
-        known.update(learnt)
-        for t, w, h, p in zip(texts, whole, heads, parts, strict=True):
-            if w:
-                yield self._ids(t)
-                continue
-            yield (self._ids(h) if h else b"") + b"".join(map(known.__getitem__, p))
+        values, sizes = self.encode_flat(texts)
+        for part in np.split(values, np.cumsum(sizes)[:-1]) if len(texts) else []:
+            yield part.tobytes()
 
 
 @lru_cache(2)
@@ -133,18 +165,17 @@ def encoder(definition: str, escape: bool = False) -> Encoder:
 
 def _encoded(definition, end_id: int, escape: bool, most: int = 4_000_000):
     """Rows in order to rows with tokens; a batch holds about ``most`` characters."""
-    end = np.array([end_id], "<u4").tobytes()
-
-    def write(ids: list, tokens: list[bytes]) -> pa.RecordBatch:
-        size = np.fromiter((len(t) // 4 for t in tokens), np.int32, len(tokens))
-        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-        values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(tokens))])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(size), pa.ListArray.from_arrays(pa.array(offsets), values)],
-            ["doc_id", "n_tokens", "tokens"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(definition.value, escape)
+
+        def write(ids: list, texts: list[str]) -> pa.RecordBatch:
+            values, sizes = enc.encode_flat(texts, end_id)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(sizes.astype(np.int32)),
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int32)))],
+                ["doc_id", "n_tokens", "tokens"])
+
         ids, texts, held = [], [], 0
         for b in batches:
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
@@ -152,10 +183,10 @@ def _encoded(definition, end_id: int, escape: bool, most: int = 4_000_000):
                 texts.append(t.as_py())
                 held += len(texts[-1])
                 if held >= most:
-                    yield write(ids, [x + end for x in enc.encode(texts)])
+                    yield write(ids, texts)
                     ids, texts, held = [], [], 0
         if ids:
-            yield write(ids, [x + end for x in enc.encode(texts)])
+            yield write(ids, texts)
 
     return run
 
