@@ -27,7 +27,6 @@ REMEMBERED = 500_000
 _TOGETHER = 4_096
 #: A space that starts a word: the pattern of byte-level BPE parts texts here in any case.
 _WORD_SPACE = re.compile(r" (?=\S)")
-_OTHER_SPACE = re.compile(r" (?:\s|$)")
 _SIGNS = ".,;:!?*$%&#()\"-"
 #: How byte-level vocabularies write a space.
 _SPACE_BYTE = "\u0120"
@@ -49,7 +48,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = escape
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and not (escape and t.special)]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = added
         #: ids of a space and the word
         self.known: dict[str, bytes] = {}
         # other kinds of tokenizers are left to the library
@@ -82,25 +81,27 @@ class Encoder:
                 out.update((w, self._ids(" " + w)) for w in run)
                 continue
             octets = ids.tobytes()
-            out.update((w, octets[a:b]) for w, a, b in zip(run, at, [*at[1:], len(octets)], strict=True))
+            out.update(zip(run, map(octets.__getitem__, map(slice, at, [*at[1:], len(octets)])), strict=True))
         return out
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        known, cores, whole = self.known, {}, []
-        for w in words:
+        known, cores = self.known, {}
+        whole = {w for w in words if w.isalpha()}
+        for w in words - whole:
             core = w.rstrip(_SIGNS)
             if core.isalpha():
                 cores[w] = core
+                if core not in known:
+                    whole.add(core)
             else:
-                whole.append(w)
-        out = self._together([*{c for c in cores.values() if c not in known}, *whole])
+                whole.add(w)
+        out = self._together(list(whole))
         signs: dict[str, bytes] = {}
         for w, core in cores.items():
-            if w not in out:
-                tail = w[len(core):]
-                if tail not in signs:
-                    signs[tail] = self._ids(tail)
-                out[w] = (out.get(core) or known[core]) + signs[tail]
+            tail = w[len(core):]
+            if tail not in signs:
+                signs[tail] = self._ids(tail)
+            out[w] = (out.get(core) or known[core]) + signs[tail]
         return out
 
     def _remember(self, words: set[str] | list[str]) -> dict[str, bytes]:
@@ -114,7 +115,7 @@ class Encoder:
 
     def _apart(self, text: str) -> bytes:
         """A text with an added token, or with spaces that do not start a word."""
-        if not self.wordwise or self.added and self.added.search(text):
+        if not self.wordwise or any(a in text for a in self.added):
             return self._ids(text)
         head, *words = _WORD_SPACE.split(text)
         known = self._remember(words)
@@ -126,11 +127,22 @@ class Encoder:
         The words of a batch are made distinct first, so that only distinct words are looked
         up; the ids of all words are then gathered at once.
         """
-        odd = [not self.wordwise or bool(self.added and self.added.search(t) or _OTHER_SPACE.search(t)) for t in texts]
-        split = pc.split_pattern(pa.array(["" if o else t for t, o in zip(texts, odd, strict=True)], pa.large_string()), " ")
-        words = pc.dictionary_encode(split.values)
-        bounds = split.offsets.to_numpy()
-        distinct = words.dictionary.to_pylist()
+        odd = [not self.wordwise or any(a in t for a in self.added) for t in texts]
+        while True:
+            split = pc.split_pattern(pa.array(["" if o else t for t, o in zip(texts, odd, strict=True)], pa.large_string()), " ")
+            words = pc.dictionary_encode(split.values)
+            bounds = split.offsets.to_numpy()
+            distinct = words.dictionary.to_pylist()
+            # a space before another one, or before the end, starts no word
+            strange = np.fromiter((not w or w[0].isspace() for w in distinct), bool, len(distinct))
+            if not strange.any():
+                break
+            at = np.flatnonzero(strange[words.indices.to_numpy(zero_copy_only=False)])
+            more = np.unique(np.searchsorted(bounds, at[~np.isin(at, bounds[:-1])], "right") - 1)
+            if not len(more):
+                break
+            for i in more.tolist():
+                odd[i] = True
         known = self._remember(distinct) if self.wordwise else {}
         ids = [known[w] for w in distinct] if self.wordwise else [b""] * len(distinct)
         # the first word of a text has no space before it
