@@ -12,6 +12,7 @@ from shoreline.operators import config_match as CM
 from shoreline.operators import enrich, suppress
 from shoreline.rules import binaries, config, constants, formats
 from shoreline.sources import config_text, text_files
+from shoreline.tables import literal_table
 
 # --- source lines ---------------------------------------------------------------
 @query("load_source_lines", """SELECT 'd' || doc_id AS file, CAST(i AS INT) AS line_no, length(t) AS chars
@@ -80,6 +81,13 @@ def suppress_by_path(spark, sf):
     return suppress.suppress_by_path(V.findings(spark, sf), IGNORES).select("seq", "file")
 
 
+@query("suppress_by_path_rows", f"SELECT seq, file FROM {V.duck(V.FINDINGS)} WHERE NOT {_IGNORED}")
+def suppress_by_path_rows(spark, sf):
+    """The same patterns as rows of a table."""
+    rows = literal_table(spark, [(0, i, p) for i, p in enumerate(IGNORES)], "src_block int, row_no int, pattern string")
+    return suppress.suppress_by_path(V.findings(spark, sf), rows).select("seq", "file")
+
+
 @query("load_ignore_patterns", f"""SELECT project, file AS src_file, line_no AS row_no, trim(text) AS pattern
     FROM {_LINES} WHERE trim(text) <> '' AND NOT starts_with(trim(text), '#')""")
 def load_ignore_patterns(spark, sf):

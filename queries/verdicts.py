@@ -21,6 +21,7 @@ from shoreline.plans import verdict
 from shoreline.plans.checkpoints import cut
 from shoreline.rules import compliance, formats
 from shoreline.rules import impact as irules
+from shoreline.tables import literal_table
 
 _BIG = f"WITH cf AS MATERIALIZED (SELECT * FROM {O.findings(V.FINDINGS_BIG)})"
 
@@ -247,6 +248,13 @@ def protocol_boundaries(spark, sf):
     return IM.protocol_boundaries(IM.flow_steps(flows(spark, sf))).drop("finding_key", "engine_rank")
 
 
+@query("protocol_boundaries_rows", _CROSS)
+def protocol_boundaries_rows(spark, sf):
+    """The same API names as rows of a table."""
+    calls = literal_table(spark, [(p, c) for p, cs in irules.PROTOCOL_CALLS.items() for c in cs], "protocol string, call string")
+    return IM.protocol_boundaries(IM.flow_steps(flows(spark, sf)), calls).drop("finding_key", "engine_rank")
+
+
 _SIZES = ", ".join(f"({V.text(n)}, {sig or ct or pub})" for n, pub, sig, ct in irules.SIZES)
 _TARGETS = ", ".join(f"({V.text(k)}, {i}, {V.text(t)})" for k, ts in irules.TARGETS.items() for i, t in enumerate(ts))
 

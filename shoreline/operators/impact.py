@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shoreline import schema
 from shoreline.functions import impact as I
 from shoreline.operators.known import once, with_facts
+from shoreline.operators.path_patterns import containing
 
 
 def _steps(df: DataFrame) -> DataFrame:
@@ -55,24 +56,14 @@ def constraint_hits(steps: DataFrame) -> DataFrame:
 def protocol_boundaries(steps: DataFrame, patterns_dim: DataFrame | None = None) -> DataFrame:
     """Protocols crossed at each step, each once per step.
 
-    ``patterns_dim`` (protocol, call) replaces the built-in API names; it is a
-    rule table, read on the driver and refused beyond 1000 rows.
+    ``patterns_dim`` (protocol, call) replaces the built-in API names; it is joined to the
+    distinct messages, so it may have any number of rows.
     """
     if patterns_dim is None:
-        found = I.protocol_calls(F.col("message"))
-    else:
-        rows = patterns_dim.limit(1001).collect()
-        if len(rows) > 1000:
-            raise ValueError("a protocol table has at most 1000 rows")
-        calls = {}
-        for r in rows:
-            calls.setdefault(r["protocol"], []).append(r["call"])
-        from shoreline.functions.text import contains_any
-
-        found = F.array_compact(F.array(*[
-            F.when(contains_any(F.col("message"), calls[p]), p) for p in sorted(calls)
-        ]))
-    return steps.select(*steps.columns, F.explode(found).alias("protocol")).drop("message")
+        return steps.select(*steps.columns, F.explode(I.protocol_calls(F.col("message"))).alias("protocol")).drop("message")
+    found = containing(steps, patterns_dim, "message", "call").select(
+        F.col("message").alias("_said"), "protocol").distinct()
+    return steps.join(found, F.col("message") == F.col("_said")).select(*steps.columns, "protocol").drop("message")
 
 
 def size_profile(df: DataFrame, key: str = "name") -> DataFrame:

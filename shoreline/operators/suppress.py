@@ -19,10 +19,10 @@ from shoreline.functions.text import (
     strip,
 )
 from shoreline.operators.known import once
+from shoreline.operators.path_patterns import ignored_paths
 
 TAG = "crypto"
 COMMENT_OPENERS = ["//", "#", "/*", "<!--"]
-MAX_PATTERNS = 10_000
 
 
 def strip_string_literals(text: Column) -> Column:
@@ -179,16 +179,18 @@ def ignored_by_patterns(path: Column, patterns: list) -> Column:
 
 
 def suppress_by_path(df: DataFrame, patterns, base: str | None = None) -> DataFrame:
-    """Drop findings in ignored paths.
+    """Drop findings in ignored paths; the last pattern that matches a path decides.
 
-    ``patterns`` is a list, or the rows of :func:`load_ignore_patterns`; those are
-    one configuration file, so they are read on the driver, and a table too long
-    to be one is refused.
+    ``patterns`` is a list, which becomes part of the projection, or the rows of
+    :func:`load_ignore_patterns` in any number, which are joined by their literal pieces;
+    these may have a column ``project`` and then count in their own project.
     """
-    if isinstance(patterns, DataFrame):
-        rows = patterns.orderBy("src_block", "row_no").select("pattern").limit(MAX_PATTERNS + 1)
-        patterns = [r[0] for r in rows.collect()]
-        if len(patterns) > MAX_PATTERNS:
-            raise ValueError(f"more than {MAX_PATTERNS} ignore patterns: not an ignore file")
     path = relative_to(F.col("file"), base)
-    return df.where(~F.coalesce(ignored_by_patterns(path, list(patterns)), F.lit(False)))
+    if not isinstance(patterns, DataFrame):
+        return df.where(~F.coalesce(ignored_by_patterns(path, list(patterns)), F.lit(False)))
+    scope = schema.scope_columns(patterns)
+    ordered = patterns.select(*scope, "pattern", F.struct("src_block", "row_no").alias("ordinal"))
+    paths = df.select(*[F.col(c) for c in scope], path.alias("path")).where("path is not null")
+    gone = ignored_paths(paths, ordered).select(F.col("project").alias("_in"), F.col("path").alias("_gone"))
+    same = path == F.col("_gone")
+    return df.join(gone, same & F.col(scope[0]).eqNullSafe(F.col("_in")) if scope else same, "left_anti")
