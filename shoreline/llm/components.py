@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoreline.llm.frames import forget, stored
+from shoreline.llm.frames import forget, stored_with
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -17,18 +17,16 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     not appear; self-loops and repeated edges are ignored.  Stops when a round changes
     nothing; raises if ``rounds`` (logarithmic in the longest chain) are not enough.
     """
-    pairs = stored(_tidy(edges), "links")
-    before = None
+    sums = {"rows": F.count(F.lit(1)), "both": F.sum(F.xxhash64("a", "b") % 1_000_003), "ends": F.sum(F.xxhash64("b") % 1_000_003)}
+    pairs, mark = stored_with(_tidy(edges), "links", **sums)
     for _ in range(rounds):
-        mark = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b") % 1_000_003)).first()
-        if tuple(mark) == before:
+        if not mark.get("rows"):
             break
-        before = tuple(mark)
-        if not mark[0]:
-            break
-        after = stored(_small_star(_large_star(pairs)), "links")
+        after, now = stored_with(_small_star(_large_star(pairs)), "links", **sums)
         forget(pairs)
-        pairs = after
+        pairs, before, mark = after, mark, now
+        if mark == before:
+            break
     else:
         raise RuntimeError(f"components: not stable after {rounds} rounds")
     nodes = pairs.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -5,7 +5,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,6 +46,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return table
 
 
+def stored_with(df: DataFrame, what: str, **sums: Column) -> tuple[DataFrame, dict[str, int]]:
+    """As :func:`stored`, with sums over the rows taken while they are written; none of no rows."""
+    seen = Observation()
+    table = stored(df.observe(seen, *[c.alias(n) for n, c in sums.items()]), what)
+    try:
+        return table, dict(seen.get)
+    except Py4JJavaError:
+        # adaptive execution leaves out what has no rows, and its sums with it
+        return table, {}
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more; what depends on them must be stored itself."""
     for table in tables:

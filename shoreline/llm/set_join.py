@@ -377,7 +377,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         told = met.join(at.select(F.col("c").alias("b"), "k1", "k2"), ["k1", "k2"]).join(
             at.select(F.col("c").alias("a"), F.col("k1").alias("h1"), F.col("k2").alias("h2")), ["h1", "h2"]).select("a", "b")
         links = stored(_head_links(ordered, stored(told.distinct(), "told"), 1024), "told-links")
-        labels = stored(_labelled(ordered, links), "labels")
+        # a text is told to meet one head, so what is linked is a star
+        star = links.groupBy(F.col("b").alias("c")).agg(F.min("a").alias("label"))
+        labels = stored(ordered.select("c").join(star, "c", "left").select("c", F.coalesce("label", "c").alias("label")), "labels")
         of = [labels.select(F.col("c").alias(x), F.col("label").alias(f"l{x}")) for x in ("a", "b")]
         meetings = stored(meetings.join(of[0], "a").join(of[1], "b").where("la <> lb").select("a", "b"), "meetings")
     more = stored(_head_links(ordered, meetings, 1024), "head-links")
