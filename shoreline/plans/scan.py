@@ -92,19 +92,27 @@ def merge(findings: DataFrame, n_feeds: int, options: ScanOptions) -> DataFrame:
     return watch(dedupe_findings(out, n_feeds), "merged")
 
 
+def _of_scan(table: DataFrame | None) -> DataFrame | None:
+    """Markers or constants; without a column ``project`` they are those of findings without a project."""
+    if table is None or schema.scope_columns(table):
+        return table
+    return schema.in_project(table, F.lit(None).cast("string"))
+
+
 def finish(merged: DataFrame, options: ScanOptions) -> tuple[DataFrame, DataFrame | None]:
     """Suppress, complete, classify and prioritise merged findings; with impact zones."""
     watch = _watched(options)
     out = merged
+    directives, constants = map(_of_scan, (options.directives, options.constants))
     if options.ignore_patterns:
         out = watch(suppress.suppress_by_path(out, options.ignore_patterns, options.base), "not suppressed by path")
-    if options.directives is not None:
-        out = watch(suppress.suppress_inline(out, options.directives), "not suppressed by marker")
-    if options.constants is not None and options.mode not in ("diff", "quick"):
-        out = enrich_key_size(out, options.constants)
+    if directives is not None:
+        out = watch(suppress.suppress_inline(out, directives), "not suppressed by marker")
+    if constants is not None and options.mode not in ("diff", "quick"):
+        out = enrich_key_size(out, constants)
         # a name as the source writes it, with its class, module or package
-        scope = F.concat(F.col("scope"), F.lit(".")) if "scope" in options.constants.columns else F.lit("")
-        out = enrich_key_size_by_identifier(out, options.constants.withColumn("name", F.concat(scope, "name")))
+        scope = F.concat(F.col("scope"), F.lit(".")) if "scope" in constants.columns else F.lit("")
+        out = enrich_key_size_by_identifier(out, constants.withColumn("name", F.concat(scope, "name")))
     out = C.classify_findings(out)
     if options.snippets:
         out = C.migration_snippet(out)
