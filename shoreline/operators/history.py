@@ -63,11 +63,11 @@ def top_findings(df: DataFrame, n: int = MAX_TOP, by=()) -> DataFrame:
 
 
 def last_n_scans(history: DataFrame, n: int) -> DataFrame:
-    """The last ``n`` records of each project; ``scan_seq`` tells their order."""
+    """The last ``n`` records of each project, a project's records in order."""
     latest = W.partitionBy("project").orderBy(F.col("scan_seq").desc())
     return history.withColumn("_place", F.row_number().over(latest)).where(
         F.col("_place") <= n
-    ).drop("_place")
+    ).drop("_place").sortWithinPartitions("project", "scan_seq")
 
 
 def _data_point():
