@@ -123,8 +123,8 @@ def size_limits(message: Column) -> Column:
         return F.concat(*[of(*r) for r in readers])
 
     nothing = F.array().cast("array<struct<type:string,max_bytes:bigint>>")
-    # no digit, no limit
-    return F.when(message.rlike("[0-9]"), let(F.regexp_extract_all(message, F.lit(r"\w+|\S"), F.lit(0)), found)).otherwise(nothing)
+    # most messages hold none of the words that a limit needs
+    return F.when(contains_any(message, ["byte", "VARCHAR", "max_len", "_MAX_"]) & message.rlike("[0-9]"), let(F.regexp_extract_all(message, F.lit(r"\w+|\S"), F.lit(0)), found)).otherwise(nothing)
 
 
 def blast_radius(hops: Column, limits: Column, protocols: Column, ratio: Column) -> Column:

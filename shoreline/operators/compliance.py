@@ -1,10 +1,10 @@
 """Evaluate compliance frameworks over findings."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoreline.functions import compliance as C
-from shoreline.functions.text import blank_to_null, let, lookup
+from shoreline.functions.text import blank_to_null, lookup
 from shoreline.operators.known import with_facts
 from shoreline.rules import compliance as rules
 
@@ -21,12 +21,8 @@ def compliance_eval(df: DataFrame, frameworks: list | None = None) -> DataFrame:
     name, group = C.subject_names()
     df = with_facts(with_facts(df, name, C.name_facts, "_name"), group, C.group_facts, "_group")
     chosen = list(C.FRAMEWORKS) if frameworks is None else [f for f in frameworks if f != PCI]
-
-    def violations(name: Column, group: Column) -> Column:
-        facts = C.Facts(name, group)
-        return F.array_compact(F.array(*[C.violation(f, facts) for f in chosen]))
-
-    found = let(F.col("_name"), lambda n: let(F.col("_group"), lambda g: violations(n, g)))
+    facts = C.Facts()
+    found = F.array_compact(F.array(*[C.violation(f, facts) for f in chosen]))
     subject = F.when(F.col("algorithm").isNotNull(), F.col("algorithm.name")).otherwise(
         F.col("raw_identifier")
     )

@@ -45,7 +45,7 @@ def known_names() -> tuple:
 def with_facts(
     df: DataFrame, name: Column, facts: Callable[[Column], Column], out: str
 ) -> DataFrame:
-    """Add ``out``, the struct ``facts(name)``; NULL where the name is NULL."""
+    """Add ``out``, the value or struct ``facts(name)``; NULL where the name is NULL."""
     table = literal_table(df.sparkSession, [(n,) for n in known_names()], "_known string")
     table = F.broadcast(table.select("_known", facts(F.col("_known")).alias("_known_facts")))
     joined = df.withColumn("_asked", name).join(
