@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from shoreline.llm import set_join
 from shoreline.llm.components import components
-from shoreline.llm.frames import forget, own_name, ship, stored, text_keys
+from shoreline.llm.frames import own_name, ship, stored, text_keys
 
 SEED = 42
 _ONE = np.uint64(1)
@@ -238,29 +238,19 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-                     radius: int = 3) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """``docs`` with one row of each group of near-copies, all columns kept.
 
     Two texts are near-copies if their ``words``-word shingles have a Jaccard similarity of
     at least 0.8.  Read in order of ids, nulls last, a text goes if it is a near-copy of one
-    that stays.  Texts whose fingerprints are linked are compared first, with one text of
-    their fingerprint group; a fingerprint alone never decides.  What fingerprints miss is
-    found by the set join, which knows what is linked already, so no pair is lost.  Equal
-    texts (null counts as empty) always go to one row, the one with the smallest id; texts
-    without words are equal only to themselves.
+    that stays.  The set join finds every such pair, so fingerprints, which could neither
+    add a pair nor take one away, are not made.  Equal texts (null counts as empty) always
+    go to one row, the one with the smallest id; texts without words are equal only to
+    themselves.
     """
-    texts = _texts(docs, id_col, text_col)
-    prints = stored(fingerprints(texts, words), "fingerprints")
-    grouped = fingerprint_groups(prints, radius)
-    # one row per text and per fingerprint group: a text that all others of its group meet
-    one = prints.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"))
-    placed = stored(one.join(grouped, "fp", "left").withColumn("grp", F.coalesce("grp", "fp")), "placed")
-    forget(prints)
-    heads = placed.groupBy("grp").agg(F.min(F.struct("k1", "k2")).alias("head"))
-    met = placed.join(heads, "grp").select("k1", "k2", F.col("head.k1").alias("h1"), F.col("head.k2").alias("h2"))
-    joined = set_join.similar(docs, id_col, text_col, words, met=met.where("not (k1 = h1 and k2 = h2)"))
-    kept = placed.select("k1", "k2", "least").join(set_join.superseded(joined), ["k1", "k2"], "left_anti")
+    joined = set_join.similar(docs, id_col, text_col, words)
+    least = joined.rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
+    kept = least.join(set_join.superseded(joined), ["k1", "k2"], "left_anti")
     h1, h2, n, nth = (own_name(docs, x) for x in ("kept_k1", "kept_k2", "kept_least", "kept_nth"))
     kept = kept.select(F.col("k1").alias(h1), F.col("k2").alias(h2), F.col("least").alias(n))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))

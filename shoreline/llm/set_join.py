@@ -349,12 +349,10 @@ class Joined(NamedTuple):
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-            block: int = 384, met: DataFrame | None = None) -> Joined:
+            block: int = 384) -> Joined:
     """Find the families of linked texts.
 
-    A text that no different text is linked with is in no family.  ``met`` names pairs
-    ``(k1, k2, h1, h2)`` that are compared first, a text with a head; what these link is
-    not searched again.
+    A text that no different text is linked with is in no family.
     """
     texts = _texts(docs, id_col, text_col)
     lows = stored(_marked(texts, words), "lows")
@@ -371,19 +369,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     forget(sets)
     cells = _cells(ordered)
     meetings = stored(_meetings(cells), "meetings")
-    links = None
-    if met is not None:
-        at = left.select("c", "k1", "k2")
-        told = met.join(at.select(F.col("c").alias("b"), "k1", "k2"), ["k1", "k2"]).join(
-            at.select(F.col("c").alias("a"), F.col("k1").alias("h1"), F.col("k2").alias("h2")), ["h1", "h2"]).select("a", "b")
-        links = stored(_head_links(ordered, stored(told.distinct(), "told"), 1024), "told-links")
-        # a text is told to meet one head, so what is linked is a star
-        star = links.groupBy(F.col("b").alias("c")).agg(F.min("a").alias("label"))
-        labels = stored(ordered.select("c").join(star, "c", "left").select("c", F.coalesce("label", "c").alias("label")), "labels")
-        of = [labels.select(F.col("c").alias(x), F.col("label").alias(f"l{x}")) for x in ("a", "b")]
-        meetings = stored(meetings.join(of[0], "a").join(of[1], "b").where("la <> lb").select("a", "b"), "meetings")
     more = stored(_head_links(ordered, meetings, 1024), "head-links")
-    labels = stored(_labelled(ordered, more if links is None else links.unionByName(more)), "labels")
+    labels = stored(_labelled(ordered, more), "labels")
     more = stored(_full_links(ordered, cells, labels, block), "full-links")
     joined = more.join(labels.select(F.col("c").alias("a"), F.col("label").alias("la")), "a").join(
         labels.select(F.col("c").alias("b"), F.col("label").alias("lb")), "b").select(
