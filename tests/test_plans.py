@@ -139,6 +139,18 @@ def test_stream(spark, tmp_path):
         ("TLS_AES_128_GCM_SHA256", "quantum-resistant"), ("X25519MLKEM768", "quantum-safe")]
 
 
+def test_log_files_stay_small(spark, tmp_path, monkeypatch):
+    # four files for any number of lines before, each sorted whole in one task
+    from queries import network, records
+
+    lines = spark.range(0, 900, 1, 9).select(F.lit("eve0").alias("src_file"), F.col("id").alias("row_no"),
+                                             F.col("id").cast("string").alias("line"))
+    monkeypatch.setattr(network, "eve_lines", lambda spark, sf: lines)
+    folder = records._log_files(spark, "", str(tmp_path))
+    sizes = [len(f.read_text().split()) for f in (tmp_path / "in").glob("part-*")]
+    assert sizes == [100] * 9 and spark.read.text(folder).distinct().count() == 900
+
+
 def test_scores(spark):
     empty = C.classify_findings(feed(spark, "x", []))
     assert [tuple(r) for r in score.qrs(empty).collect()] == [(100, "A+")]
