@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoreline import schema
+from shoreline.plans.checkpoints import cut
 from shoreline.rules import constants as rules
 
 
@@ -120,7 +121,8 @@ def enrich_key_size_by_identifier(df: DataFrame, constants: DataFrame) -> DataFr
     """
     project = schema.scope_of(df, constants, "constants")
     field = F.regexp_replace(F.col("name"), r"^[^.]*\.", "")
-    consts = (
+    # read twice, for the names and for the longest of them; the sources are read once
+    consts = cut(
         constants.where(F.col("value") > 0)
         .select(project.alias("_in"), field.alias("_field"), F.col("value").alias("_value"))
         .where(F.col("_field") != "")

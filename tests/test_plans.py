@@ -251,3 +251,22 @@ def test_identifiers_meet_constants_by_all_their_tokens(spark):
     out = enrich.enrich_key_size_by_identifier(found, constants)
     assert {r["raw_identifier"]: r["algorithm"]["key_size"] for r in out.collect()} == ids
     assert enrich.enrich_key_size_by_identifier(found, constants.where("false")).count() == len(ids)
+
+
+def test_constants_are_read_once(spark):
+    # names, and the longest of them, were each worked out from the sources
+    from shoreline.operators import enrich
+
+    count = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(name):
+        count.add(1)
+        return name
+
+    constants = spark.createDataFrame([("RSA_BITS", 2048), ("AES_KEY", 256)], "name string, value long").select(
+        F.lit(None).cast("string").alias("project"), read.asNondeterministic()("name").alias("name"), "value")
+    found = feed(spark, "x", [("f", 1, "RSA", "kem", None, None, 1, None)]).withColumn("raw_identifier", F.lit("use(RSA_BITS)"))
+    out = enrich.enrich_key_size_by_identifier(found, constants)
+    assert [r[0] for r in out.select("algorithm.key_size").collect()] == [2048]
+    assert count.value == 2
