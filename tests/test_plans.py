@@ -270,3 +270,27 @@ def test_constants_are_read_once(spark):
     out = enrich.enrich_key_size_by_identifier(found, constants)
     assert [r[0] for r in out.select("algorithm.key_size").collect()] == [2048]
     assert count.value == 2
+
+
+def test_zones_are_worked_out_once_for_a_score(spark):
+    # the protocols of the first zone and the average radius each followed all flow paths
+    from shoreline.operators.impact import impact_zones
+
+    count = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(name):
+        count.add(1)
+        return name
+
+    rows = [("f", i, "RSA-2048", "pke", 2048, None, i, "tls.Dial") for i in range(3)]
+    found = C.classify_findings(feed(spark, "x", rows))
+    zones = impact_zones(found)
+    want = zones.count()
+    watched = zones.where(read.asNondeterministic()("from_algorithm").isNotNull())
+    assert want > 0
+    for operator in (lambda z: score.qrs_impact(found, z), lambda z: score.qrs_full(found, z, 20)):
+        plain = operator(zones).collect()
+        before = count.value
+        assert operator(watched).collect() == plain
+        assert count.value - before == want
