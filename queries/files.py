@@ -149,9 +149,8 @@ def _files(spark, sf, then: bool):
 
 
 def _scanned(files):
-    """Findings of a feed in each of its files: as many as the text's length says, modulo 3."""
-    length = F.length("content")
-    rows = files.select("engine", "path", length.alias("_n"), F.explode(F.sequence(F.lit(1), length % 3 + 1)).alias("_k"))
+    """Findings of a feed in each of its files: as many as the text's length ``_n`` says, modulo 3."""
+    rows = files.select("engine", "path", "_n", F.explode(F.sequence(F.lit(1), F.col("_n") % 3 + 1)).alias("_k"))
     name = V.expr(pick(f"(_n + _k) % {len(_NAMES)}", _NAMES))
     return rows.select(
         "engine", "path", F.col("path").alias("file"), F.col("_k").cast("int").alias("line"),
@@ -170,14 +169,15 @@ def incremental_scan(spark, sf):
     folder = new_folder(spark, "cache")
     for then in (True, False):
         files = _files(spark, sf, then)
-        hashed = C.content_hash(files)
+        # the texts stay where they are; what this scan looks at is their length
+        lengths = files.select("path", F.length("content").alias("_n"))
 
-        def changed_only(changed, files=files):
-            return _scanned(files.join(changed.select("engine", "path"), "path"))
+        def changed_only(changed, lengths=lengths):
+            return _scanned(lengths.join(changed.select("engine", "path"), "path"))
 
-        out = scan.incremental_scan(hashed, cache_store.read_cache(spark, folder), FEEDS, changed_only,
+        out = scan.incremental_scan(C.content_hash(files), cache_store.read_cache(spark, folder), FEEDS, changed_only,
                                     scan.ScanOptions(snippets=False, cut_lineage=False))
-        cache_store.refresh_cache(out.entries, hashed, folder)
+        cache_store.refresh_cache(out.entries, out.files, folder)
     return out.findings.select("file", "line", F.col("algorithm.name").alias("alg_name"),
                                (1 + F.size("corroborated_by")).alias("feeds"))
 

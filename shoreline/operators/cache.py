@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from shoreline.functions.text import lookup
 
-KEY = ["engine", "path"]
+# the path first: sorts compare their first column, and there are few feeds
+KEY = ["path", "engine"]
 
 
 def content_hash(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from shoreline import schema
 from shoreline.functions.text import blank_to_null, longest_prefix, lookup, strip
+from shoreline.operators import known
 from shoreline.rules import quantum, registry
 from shoreline.tables import literal_table
 
@@ -32,7 +33,7 @@ def with_canonical_name(df: DataFrame, name, key_size, mode, out: str = "canonic
     families = registry.families()
     upper = F.upper(clean)
     prefix = longest_prefix(upper, [f.upper() for f in families])
-    family = lookup(prefix, {f.upper(): f for f in families})
+    family = F.col("_family")
     rest = blank_to_null(
         F.regexp_replace(F.substr(upper, F.lit(5)), "^[-_]+|[-_]+$", "")
     )
@@ -49,6 +50,7 @@ def with_canonical_name(df: DataFrame, name, key_size, mode, out: str = "canonic
         .join(by_raw, F.col("_upper_raw") == F.col("_r_pattern"), "left")
     )
     exact = F.coalesce(F.col("_c_canonical"), F.col("_r_canonical"))
+    joined = known.once(joined, F.when(exact.isNull(), lookup(prefix, {f.upper(): f for f in families})), "_family")
     result = F.struct(
         F.when(exact.isNotNull(), exact).when(family.isNotNull(), by_family)
         .otherwise(name).alias("name"),
@@ -57,8 +59,8 @@ def with_canonical_name(df: DataFrame, name, key_size, mode, out: str = "canonic
         F.when(exact.isNotNull(), "exact").when(family.isNotNull(), "prefix")
         .otherwise("none").alias("match"),
     )
-    helpers = ["_upper_clean", "_upper_raw"] + [f"_{s}_{c}" for s in "cr" for c in hit]
-    return joined.withColumn(out, F.when(name.isNotNull(), result)).drop(*helpers)
+    helpers = ["_upper_clean", "_upper_raw", "_family"] + [f"_{s}_{c}" for s in "cr" for c in hit]
+    return known.once(joined, F.when(name.isNotNull(), result), out).drop(*helpers)
 
 
 def resolve_curve_column(curve):
@@ -89,9 +91,9 @@ def normalize_algorithm(df: DataFrame) -> DataFrame:
         a["key_size"].alias("key_size"), a["mode"].alias("mode"),
         resolve_curve_column(a["curve"]).alias("curve"),
     )
-    return named.withColumn(
-        "algorithm", F.when(a.isNotNull() & F.col("_canon").isNotNull(), fixed).otherwise(a)
-    ).drop("_canon")
+    # worked out once, since the merge filters on the name three times
+    fixed = F.when(a.isNotNull() & F.col("_canon").isNotNull(), fixed).otherwise(a)
+    return known.once(named, fixed, "_fixed").withColumn("algorithm", F.col("_fixed")).drop("_canon", "_fixed")
 
 
 def fold_generic_protocol(df: DataFrame) -> DataFrame:

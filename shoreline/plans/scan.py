@@ -12,7 +12,7 @@ from shoreline.functions.text import lookup
 from shoreline.operators import classify as C
 from shoreline.operators import filters, suppress
 from shoreline.operators import records as R
-from shoreline.operators.cache import incremental_split, union_feeds
+from shoreline.operators.cache import KEY, incremental_split, union_feeds
 from shoreline.operators.dedupe import dedupe_findings
 from shoreline.operators.enrich import enrich_key_size, enrich_key_size_by_identifier
 from shoreline.operators.impact import attach_impact, impact_zones
@@ -44,7 +44,7 @@ class ScanOptions:
     certificates: DataFrame | None = None
     extra_hosts: DataFrame | None = None
     watch: Watch | None = None
-    # checkpoint the merged findings, which several later steps read
+    # checkpoint the merged findings, which several later steps read; without, they are merged when they are read
     cut_lineage: bool = True
 
 
@@ -146,6 +146,8 @@ class Incremental(NamedTuple):
     zones: DataFrame | None
     #: cache entries of the files that were scanned; :func:`cache_store.refresh_cache` keeps them
     entries: DataFrame
+    #: the current files with their hashes, which are worked out once
+    files: DataFrame
 
 
 def incremental_scan(
@@ -157,28 +159,37 @@ def incremental_scan(
     ``files`` are the current ``(path, content_hash)``, ``engine_versions`` the feeds in
     their order with their versions.  ``scan_changed`` takes ``(engine, path, content_hash)``
     of what is to be scanned and gives findings with the columns ``engine`` and ``path``.
-    Findings of all other files come from the cache; the result is that of scanning all.
+    Findings of all other files come from the cache; the result is that of scanning all,
+    also when it is read after the cache was brought up to date.
     """
     options = options or ScanOptions()
+    files = cut(files.select("path", "content_hash"))
     changed, reused = incremental_split(files, cache, engine_versions)
     changed = cut(changed)
     rank = lookup(F.col("engine"), {e: i for i, e in enumerate(engine_versions)})
     found = scan_changed(changed)
     ranked = found.withColumn("engine_rank", rank)
     fresh = cut(ranked.select("engine", "path", F.struct(*[c.alias(n) for n, c in _conformed(ranked).items()]).alias("f")))
-    listed = fresh.groupBy("engine", "path").agg(F.collect_list("f").alias("findings"))
+    listed = fresh.groupBy(*KEY).agg(F.collect_list("f").alias("findings"))
     none = F.array().cast(listed.schema["findings"].dataType)
-    entries = changed.join(listed, ["engine", "path"], "left").select(
+    entries = changed.join(listed, KEY, "left").select(
         lookup(F.col("engine"), engine_versions).alias("engine_version"), "path", "content_hash",
         F.coalesce("findings", none).alias("findings"), "engine")
-    kept = reused.join(files.select("path"), "path", "left_semi").select("engine", F.explode("findings").alias("f"))
+    kept = reused.select("engine", F.explode("findings").alias("f"))
+    # merged twice, rows would be counted twice
+    at_once = options.cut_lineage or options.watch
+    if not at_once:
+        # a refresh replaces the cache's files
+        kept = cut(kept)
     both = kept.unionByName(fresh.select("engine", "f")).select("f.*")
     # the order of feeds is that of this scan
     both = schema.conform(both.withColumn("engine_rank", F.coalesce(
         lookup(F.col("source_engine"), {e: i for i, e in enumerate(engine_versions)}), F.col("engine_rank"))))
-    merged = cut(merge(both, len(engine_versions), options))
+    merged = merge(both, len(engine_versions), options)
+    if at_once:
+        merged = cut(merged)
     findings, zones = finish(merged, options)
-    return Incremental(C.sort_by_priority(findings), zones, entries)
+    return Incremental(C.sort_by_priority(findings), zones, entries, files)
 
 
 def _conformed(df: DataFrame) -> dict:

@@ -45,9 +45,10 @@ def refresh_cache(
     again does not need the files it replaces.
     """
     spark = fresh.sparkSession
+    exists = _exists(spark, path)
     fresh = cut(fresh.select(*[F.col(c.split(" ")[0]) for c in _fields()]))
     old = read_cache(spark, path).withColumn("bucket", bucket_of(F.col("path"), buckets))
-    if _exists(spark, path):
+    if exists:
         old = spark.read.schema(_STORED).parquet(path).where("path is not null")
     touched = fresh.select("engine", bucket_of(F.col("path"), buckets).alias("bucket"))
     if mode == "full":
@@ -57,8 +58,10 @@ def refresh_cache(
     touched = cut(touched.distinct())
     held = old.join(F.broadcast(touched), ["engine", "bucket"], "left_semi").drop("bucket")
     rows = updated_cache(held, fresh, current_paths, mode).withColumn("bucket", bucket_of(F.col("path"), buckets))
+    if exists:
+        rows = cut(rows)
     emptied = touched.join(rows.select("engine", "bucket").distinct(), ["engine", "bucket"], "left_anti")
-    whole = cut(rows.unionByName(emptied, allowMissingColumns=True).select(*rows.columns))
+    whole = rows.unionByName(emptied, allowMissingColumns=True).select(*rows.columns)
     (whole.repartition("engine", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("engine", "bucket").parquet(path))
 

@@ -80,6 +80,32 @@ def test_incremental_scan_equals_a_full_one(spark, tmp_path):
     assert newer == full and scanned == sorted(("alpha", p) for p in texts)
 
 
+def test_files_are_hashed_once_and_merged_when_read(spark, tmp_path):
+    folder, runs = str(tmp_path / "cache"), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(x):
+        runs.add(1)
+        return x
+
+    options = scan.ScanOptions(snippets=False, cut_lineage=False)
+    texts = {f"f{i}": f"RSA AES SHA-{i}" for i in range(6)}
+    run(spark, texts, folder, options=options)
+    texts = {**texts, "f3": "DES", "new": "TLS"}
+    files = files_of(spark, texts)
+    out = scan.incremental_scan(
+        C.content_hash(files.withColumn("content", told("content"))), cache_store.read_cache(spark, folder), FEEDS,
+        lambda changed: findings_in(files.join(changed.select("engine", "path"), "path")), options)
+    assert "Aggregate" in out.findings._jdf.queryExecution().optimizedPlan().toString()
+    # the files that the cached findings came from are replaced before the findings are read
+    cache_store.refresh_cache(out.entries, out.files, folder, buckets=8)
+    found = sorted((r["file"], r["line"], r["algorithm"]["name"], r["confidence"], tuple(r["corroborated_by"] or ()))
+                   for r in out.findings.collect())
+    assert runs.value == len(texts)
+    full, _ = run(spark, texts, str(tmp_path / "other"))
+    assert found == full and {r[0] for r in found} == set(texts)
+
+
 def test_a_bucket_can_become_empty(spark, tmp_path):
     folder = str(tmp_path / "cache")
     run(spark, {"a": "RSA", "b": "DES"}, folder)

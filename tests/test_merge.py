@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shoreline import schema
 from shoreline.operators import dedupe
+from shoreline.operators.normalize import normalize_algorithm
 from shoreline.rules.quantum import CONFIDENCE_ORDER
 
 ENGINES = ["a", "b", "c", "a"]
@@ -115,3 +116,11 @@ def test_projects_are_kept_apart(spark):
     marks = spark.createDataFrame([("p", "a.py", 3, [])], "project string, file string, line int, algorithms array<string>")
     left = suppress.suppress_inline(schema.conform(both), marks)
     assert {r["project"] for r in left.collect()} == {"q"}
+
+
+def test_names_are_not_worked_out_again_in_filters(spark):
+    df = schema.conform(spark.createDataFrame([("f", "aes_128")], "file string, name string").withColumn(
+        "algorithm", schema.algorithm(F.col("name"))))
+    plan = dedupe.dedupe_findings(normalize_algorithm(df))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter " in line]
+    assert filters and not any("regexp_extract" in line for line in filters)
