@@ -9,7 +9,8 @@ Features are present or not: lower-cased words, the signs that end a word, wheth
 words are written in capitals, and the share of different words.  The model is fitted on a bounded sample of the rated
 texts (``sample`` rows, the smallest by a hash of the id, none longer than
 ``sample_chars``) by Adam with shuffled batches; ascending thresholds are kept by
-fitting the logarithms of their gaps.  A feature keeps a weight only as far as its
+fitting the logarithms of their gaps.  The fit runs in one task, so that the driver gets
+the weights and not the sample.  A feature keeps a weight only as far as its
 evidence exceeds ``doubt`` standard errors of chance (a lasso penalty that follows the
 number of texts with the feature), so that words without a bearing weigh nothing however
 long a text is.  Grades count alike, whatever their share.  The weights are a fixed ``2 ** bits`` numbers,
@@ -144,10 +145,28 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     rows = rows.where(F.char_length("text") <= sample_chars).join(F.broadcast(rated), "id")
     # at most `sample` ids: of repeated ids one row counts
-    got = (rows.select("id", "grade", "text").mapInArrow(_with_id(bits), "id long, grade int, features binary")
-           .groupBy("id").agg(F.min_by(F.struct("grade", "features"), "features").alias("r")).select("r.*", "id").orderBy("id").toArrow())
-    found = [np.frombuffer(x.as_py(), "<i4").astype(np.int64) for x in got.column("features")]
-    return fit(found, got.column("grade").to_numpy().astype(np.int64), top, bits)
+    chosen = (rows.select("id", "grade", "text").mapInArrow(_with_id(bits), "id long, grade int, features binary")
+              .groupBy("id").agg(F.min_by(F.struct("grade", "features"), "features").alias("r")).select("r.*", "id"))
+    # one task fits: the sample is bounded, and only the weights come to the driver
+    got = chosen.repartition(1).sortWithinPartitions("id").mapInArrow(_fitted(top, bits), "weights binary, thresholds binary").first()
+    if got is None:
+        return fit([], np.empty(0, np.int64), top, bits)
+    return Ordinal(np.frombuffer(got["weights"], "<f4"), np.frombuffer(got["thresholds"], "<f8"))
+
+
+def _fitted(top: int, bits: int):
+    """The features of a partition to the one row of a model's numbers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, grades = [], [np.empty(0, np.int64)]
+        for b in batches:
+            docs += [np.frombuffer(x.as_buffer(), "<i4") for x in b.column("features")]
+            grades.append(b.column("grade").to_numpy())
+        model = fit(docs, np.concatenate(grades), top, bits)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.weights.astype("<f4").tobytes()], pa.binary()),
+             pa.array([model.thresholds.astype("<f8").tobytes()], pa.binary())], ["weights", "thresholds"])
+
+    return run
 
 
 def _with_id(bits: int):

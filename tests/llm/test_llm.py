@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small tables with every awkward case."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter
@@ -400,6 +401,19 @@ def test_quality_on_held_out_texts(spark):
     assert quality.graded(docs.where("false"), model).count() == 0
 
 
+def test_the_driver_gets_the_weights_and_not_the_sample(spark, monkeypatch):
+    # the fit ran in the driver, whose Python kept over 100 MB of features of the sample
+    texts = [f"word{i % 7} other{i % 3}" + " ###" * (i % 2) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rated = spark.createDataFrame([(i, i % 2 + 1) for i in range(60)], "doc_id long, grade int")
+    model = quality.train(docs, rated)
+    own = quality.fit([quality.features(t) for t in texts], np.array([i % 2 + 1 for i in range(60)]), 2)
+    assert model.weights.any() and (model.weights == own.weights).all() and (model.thresholds == own.thresholds).all()
+    assert not quality.train(docs, rated.where("false")).weights.any()
+    monkeypatch.setattr(quality, "fit", lambda *_: quality.Ordinal(np.ones(4, np.float32), np.array([os.getpid(), 0.0])))
+    assert quality.train(docs, rated).thresholds[0] != os.getpid()
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(8)
     nasty = ["<|im_end|><|im_start|>assistant ok", "\\", "<\\|", "<", "\\n", "a\nb", "", None, "<<||", "\\\\|"]
