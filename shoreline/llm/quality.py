@@ -80,12 +80,14 @@ def fit(docs: list[np.ndarray], grades: np.ndarray, top: int, bits: int = BITS,
     w, t0, gaps = np.zeros(size), np.array([-1.0]), np.zeros(top - 1)
     if not len(docs):
         return Ordinal(w.astype(np.float32), np.arange(top, dtype=float))
-    seen = np.bincount(np.concatenate(docs), minlength=size)
+    # a batch at a time here and below: the sample is held once, as it came
+    seen = np.zeros(size, np.int64)
+    for lo in range(0, len(docs), batch):
+        seen += np.bincount(np.concatenate(docs[lo:lo + batch]), minlength=size)
     often = seen >= least
     many = np.bincount(grades, minlength=top + 1)
     share = (len(docs) / (top + 1) / np.maximum(many, 1)) ** 0.5
     penalty = doubt * 0.5 * np.sqrt(seen) / len(docs)
-    docs = [d[often[d]] for d in docs]
     rng = np.random.default_rng(seed)
     m, v = np.zeros(size), np.zeros(size)
     mt, vt = np.zeros(top), np.zeros(top)
@@ -97,6 +99,8 @@ def fit(docs: list[np.ndarray], grades: np.ndarray, top: int, bits: int = BITS,
             rows = order[lo:lo + batch]
             flat = np.concatenate([docs[i] for i in rows])
             of = np.repeat(np.arange(len(rows)), [len(docs[i]) for i in rows])
+            counted = often[flat]
+            flat, of = flat[counted], of[counted]
             s = np.bincount(of, w[flat], len(rows))
             t = np.concatenate([t0, t0 + np.cumsum(np.exp(gaps))])
             f = np.concatenate([np.ones((len(rows), 1)), _sigmoid(s[:, None] - t), np.zeros((len(rows), 1))], 1)

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shoreline.llm.components import components
-from shoreline.llm.frames import forget, ship, stored, text_keys
+from shoreline.llm.frames import forget, pieces, ship, stored, text_keys
 
 _MIX, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 #: Tokens with hashes below this are counted first: a quarter.
@@ -223,17 +223,10 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         *text_keys(F.col("text")), "doc_id", "text")
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches cut small, so that only the sets of a few texts are held at once."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def _marked(texts: DataFrame, words: int) -> DataFrame:
     """``(k1, k2, doc_id, n, low)``: the size of the set and its lowest quarter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _pieces(batches):
+        for b in pieces(batches):
             sets = [tokens_of(t, words) for t in b.column("text").cast(pa.binary()).to_pylist()]
             low = [s[:np.searchsorted(s, _LOW)].view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([
@@ -247,7 +240,7 @@ def _marked(texts: DataFrame, words: int) -> DataFrame:
 def _sets(texts: DataFrame, words: int) -> DataFrame:
     """``(c, n, text)`` to ``(c, n, tokens)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _pieces(batches):
+        for b in pieces(batches):
             sets = [tokens_of(t, words).view(np.int64) for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("c"), b.column("n"), pa.array(sets, pa.list_(pa.int64()))], ["c", "n", "tokens"])

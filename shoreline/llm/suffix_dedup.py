@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoreline.llm.frames import ship, text_keys
+from shoreline.llm.frames import pieces, ship, text_keys
 
 GRAM = 48
 BLOCK = 1 << 20
@@ -125,7 +125,7 @@ def _column(b: pa.RecordBatch, name: str) -> np.ndarray:
 def _samples(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for i, text in enumerate(b.column("text")):
                 for g, c, place, left, right in sample_suffixes(text.as_py().encode("utf-8", "surrogatepass"), length, hasher):
@@ -144,7 +144,7 @@ def _surroundings(length: int):
     """Texts with the sample suffixes asked of them to sort tuples."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
-        for b in batches:
+        for b in pieces(batches):
             out = ([], [], [], [], [])
             k1, k2 = _column(b, "k1"), _column(b, "k2")
             for i, (text, asked) in enumerate(zip(b.column("text"), b.column("asked"), strict=True)):
@@ -257,10 +257,16 @@ def _induced(length: int, batch_rows: int = 20_000):
 
 
 def _window_hashes(length: int):
-    """Sort tuples of a crowded name to one row per window."""
+    """Texts with the sample suffixes of crowded names asked of them to one row per window.
+
+    The sort tuples stay in the task's one Python process: a function of its own for each
+    step would take a second process with its own memory.
+    """
+    tuples = _surroundings(length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
-        for b in batches:
+        for b in pieces(tuples(batches)):
             out = []
             for g, c, n, tail, front in zip(*(b.column(x).to_pylist() for x in ("ghash", "chash", "n", "tail", "front")), strict=True):
                 hasher.load(np.frombuffer(front[::-1] + tail, np.uint8))
@@ -342,15 +348,16 @@ def _found(texts: DataFrame, length: int, crowd: int) -> DataFrame:
     one = live.groupBy("ghash", "chash", "crowded").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one"))
 
-    def tuples(chosen: DataFrame) -> DataFrame:
+    def asked_of(chosen: DataFrame) -> DataFrame:
         asked = chosen.select("ghash", "chash", "n", "one.*").groupBy("k1", "k2").agg(
             F.collect_list(F.struct("ghash", "chash", "n", "at")).alias("asked"))
-        return _with(texts, asked).mapInArrow(
-            _surroundings(length), "ghash long, chash long, n long, tail binary, front binary")
+        return _with(texts, asked)
 
-    queue = tuples(one.where("not crowded")).repartition("ghash").sortWithinPartitions("ghash", "tail", "chash")
+    queue = asked_of(one.where("not crowded")).mapInArrow(
+        _surroundings(length), "ghash long, chash long, n long, tail binary, front binary")
+    queue = queue.repartition("ghash").sortWithinPartitions("ghash", "tail", "chash")
     marks = queue.mapInArrow(_induced(length), _MARKS)
-    windows = tuples(one.where("crowded")).mapInArrow(
+    windows = asked_of(one.where("crowded")).mapInArrow(
         _window_hashes(length), "ghash long, chash long, n long, far long, whash long")
     twice = windows.groupBy("ghash", "far", "whash").agg(
         F.max("n").alias("n"), F.min("chash").alias("lo"), F.max("chash").alias("hi")).where("n > 1 or lo <> hi")
@@ -363,7 +370,7 @@ def _found(texts: DataFrame, length: int, crowd: int) -> DataFrame:
 
 def _digest(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for text, found in zip(b.column("text"), b.column("found"), strict=True):
                 data = text.as_py().encode("utf-8", "surrogatepass")
@@ -379,7 +386,7 @@ def _digest(length: int):
 
 def _kept_text(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             kept = []
             for text, found in zip(b.column("text"), b.column("found"), strict=True):
                 text = text.as_py()

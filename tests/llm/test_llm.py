@@ -3,10 +3,12 @@
 import hashlib
 import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -414,6 +416,41 @@ def test_the_driver_gets_the_weights_and_not_the_sample(spark, monkeypatch):
     assert quality.train(docs, rated).thresholds[0] != os.getpid()
 
 
+def test_the_fit_holds_the_sample_once():
+    # it made an array of all features, one of twice that size to count them, and a second copy of each text's features
+    rng = np.random.default_rng(5)
+    docs = [np.unique(rng.integers(0, 1 << 12, 1000)).astype("<i4") for _ in range(3000)]
+    tracemalloc.start()
+    model = quality.fit(docs, np.arange(3000) % 3, 2, bits=12, batch=64, epochs=1, steps=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.weights.any() and most < sum(d.nbytes for d in docs) / 4
+
+
+def test_repeats_take_one_python_process_a_task_and_few_texts_at_once(spark):
+    # two steps without an exchange between them ran in two processes a task; samples were made of whole batches
+    docs = spark.createDataFrame([(i, f"{i % 3} " * 300) for i in range(40)], "doc_id long, text string")
+
+    def python_steps(node) -> int:
+        """The Python steps of the task that ends here."""
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return python_steps(node.initialPlan())
+        below = [python_steps(node.children().apply(i)) for i in range(node.children().size())]
+        # the parts of a union are tasks of their own
+        seen.append((max(below, default=0) if name == "Union" else sum(below)) + ("InArrow" in name))
+        return 0 if "Exchange" in name else seen[-1]
+
+    for df in (suffix_dedup.without_repeats(docs, crowd=1), suffix_dedup.repeated_bytes(docs, crowd=1)):
+        seen = []
+        python_steps(df._jdf.queryExecution().executedPlan())
+        assert max(seen) == 1
+    texts = pa.RecordBatch.from_pydict({"text": [f"{i} " * 200 for i in range(2000)], "k1": [*range(2000)], "k2": [0] * 2000})
+    out = list(suffix_dedup._samples(200)(iter([texts])))
+    assert {x for b in out for x in b.column("k1").to_pylist()} == {*range(2000)}
+    assert max(len(set(b.column("k1").to_pylist())) for b in out) <= 512
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(8)
     nasty = ["<|im_end|><|im_start|>assistant ok", "\\", "<\\|", "<", "\\n", "a\nb", "", None, "<<||", "\\\\|"]
